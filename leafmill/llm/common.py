@@ -93,3 +93,19 @@ def running_total(placed: DataFrame, value: str, name: str) -> DataFrame:
     within = F.sum(value).over(Window.partitionBy("_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0))
     out = with_offsets(placed, F.col(value), f"_{name}")
     return out.withColumn(name, within + F.col(f"_{name}_before")).drop(f"_{name}_before", f"_{name}_all")
+
+
+#: For bytes.translate: A-Z lower-cased and everything that is no letter, digit or part of a non-ASCII character a space.
+WORD_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
+
+
+def alnum_words(text: bytes) -> list[bytes]:
+    """The words of letters and digits of a text in UTF-8, with A-Z lower-cased."""
+    return text.translate(WORD_BYTES).split()
+
+
+def text_bytes(column) -> list[bytes]:
+    """An Arrow column of strings as UTF-8 bytes; null is empty."""
+    import pyarrow as pa
+
+    return [b if b is not None else b"" for b in column.cast(pa.large_binary()).to_pylist()]

@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
+from leafmill.llm.decontaminate import OP6_SQL, op6_suffix_automaton
 from leafmill.llm.fair_mix import OP7_SQL, op7_fair_queue
 from leafmill.llm.hilbert_shards import op3_hilbert
+from leafmill.llm.license_templates import op10_templates
+from leafmill.llm.quality_forest import op5_forest
 from leafmill.llm.url_rules import OP4_SQL, op4_url_rules
 
 QUERIES = {
     "op3_hilbert": op3_hilbert,
     "op4_url_rules": op4_url_rules,
+    "op5_forest": op5_forest,
+    "op6_suffix_automaton": op6_suffix_automaton,
     "op7_fair_queue": op7_fair_queue,
+    "op10_templates": op10_templates,
 }
 
 ORACLES = {
     "op4_url_rules": OP4_SQL,
+    "op6_suffix_automaton": OP6_SQL,
     "op7_fair_queue": OP7_SQL,
 }
