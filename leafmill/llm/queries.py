@@ -5,6 +5,7 @@ from __future__ import annotations
 from leafmill.llm.decontaminate import OP6_SQL, op6_suffix_automaton
 from leafmill.llm.fair_mix import OP7_SQL, op7_fair_queue
 from leafmill.llm.hilbert_shards import op3_hilbert
+from leafmill.llm.jaccard_join import OP2_SQL, op2_size_aware
 from leafmill.llm.license_templates import op10_templates
 from leafmill.llm.quality_forest import op5_forest
 from leafmill.llm.suffix_dedup import OP1_SQL, op1_suffix_array
@@ -12,6 +13,7 @@ from leafmill.llm.url_rules import OP4_SQL, op4_url_rules
 
 QUERIES = {
     "op1_suffix_array": op1_suffix_array,
+    "op2_size_aware": op2_size_aware,
     "op3_hilbert": op3_hilbert,
     "op4_url_rules": op4_url_rules,
     "op5_forest": op5_forest,
@@ -22,6 +24,7 @@ QUERIES = {
 
 ORACLES = {
     "op1_suffix_array": OP1_SQL,
+    "op2_size_aware": OP2_SQL,
     "op4_url_rules": OP4_SQL,
     "op6_suffix_automaton": OP6_SQL,
     "op7_fair_queue": OP7_SQL,
