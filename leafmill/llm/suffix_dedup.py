@@ -20,9 +20,11 @@ from leafmill.llm.hashing import Hashes, mixed, pack, runs_of, unpack
 
 WIDTH, GRAM = 50, 24
 #: Text that a task works on at a time, and packed anchors for one bucket.
-BLOCK_BYTES, BUCKET_BYTES = 24 << 20, 32 << 20
+BLOCK_BYTES, BUCKET_BYTES = 3 << 20, 16 << 20
+#: Text of the corpus for each bucket of contexts, about a quarter of which are contexts to sort.
+TEXT_OF_BUCKET = 4 << 20
 #: Different contexts of one anchor in a block, or in all, from which on they are compared string by string.
-HOT_IN_BLOCK, HOT = 64, 4096
+HOT_IN_BLOCK, HOT = 32, 4096
 NO_ID = (1 << 63) - 1
 PIECE = "kind string, bucket int, doc long, mark int, data binary"
 
@@ -425,6 +427,7 @@ def covered_ranges(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> tup
     asked = one.where("kind IN ('strings?', 'context?')").groupBy("doc", "mark").agg(F.collect_list(F.struct("kind", "data")).alias("asked"))
     fetched = keyed.select("doc", "mark", "text").join(asked, ["doc", "mark"]).select("doc", "mark", "text", "asked")
     # rows alike in id and text would send their contexts twice; that changes nothing, since neither id is smaller
+    buckets = max(48, total // TEXT_OF_BUCKET)
     two = written.table(_by_bucket(fetched.mapInArrow(_fetch(buckets, width), PIECE), buckets, width), "contexts")
     free_shuffles(spark)
     return keyed, one.unionByName(two).where("kind = 'mark'")
