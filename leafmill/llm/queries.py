@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from leafmill.llm.brown_lm import op9_brown
 from leafmill.llm.decontaminate import OP6_SQL, op6_suffix_automaton
 from leafmill.llm.fair_mix import OP7_SQL, op7_fair_queue
 from leafmill.llm.hilbert_shards import op3_hilbert
 from leafmill.llm.jaccard_join import OP2_SQL, op2_size_aware
 from leafmill.llm.license_templates import op10_templates
 from leafmill.llm.quality_forest import op5_forest
+from leafmill.llm.sanitise import op8_disclosure
 from leafmill.llm.suffix_dedup import OP1_SQL, op1_suffix_array
 from leafmill.llm.url_rules import OP4_SQL, op4_url_rules
 
@@ -19,6 +21,8 @@ QUERIES = {
     "op5_forest": op5_forest,
     "op6_suffix_automaton": op6_suffix_automaton,
     "op7_fair_queue": op7_fair_queue,
+    "op8_disclosure": op8_disclosure,
+    "op9_brown": op9_brown,
     "op10_templates": op10_templates,
 }
 
