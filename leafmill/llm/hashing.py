@@ -12,17 +12,31 @@ def _constants():
     return np.random.default_rng(50).integers(0, 1 << 63, 256, dtype=np.int64).astype(np.uint64), 0x9E3779B97F4A7C15
 
 
+_powers: list = []
+
+
+def _power_tables(n: int):
+    """Powers of the base and of its inverse, for ranges of texts up to n bytes; kept for the next text."""
+    import numpy as np
+
+    if not _powers or len(_powers[0]) <= n:
+        base = _constants()[1]
+        size = max(n + 1, 1 << 20)
+        with np.errstate(over="ignore"):
+            _powers[:] = [np.cumprod(np.concatenate([[np.uint64(1)], np.full(size, f, np.uint64)])) for f in (base, pow(base, -1, 1 << 64))]
+    return _powers
+
+
 class Hashes:
     """Polynomial hashes mod 2**64 of all ranges of a text, by prefix sums."""
 
     def __init__(self, text):
         import numpy as np
 
-        mix, base = _constants()
+        self.power, back = (p[: len(text) + 1] for p in _power_tables(len(text)))
+        self.sums = np.zeros(len(text) + 1, np.uint64)
         with np.errstate(over="ignore"):
-            self.power = np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(text), base, np.uint64)]))
-            back = np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(text), pow(base, -1, 1 << 64), np.uint64)]))
-            self.sums = np.concatenate([[np.uint64(0)], np.cumsum(mix[text] * back[:-1])])
+            np.cumsum(_constants()[0][text] * back[:-1], out=self.sums[1:])
 
     def of(self, begin, end):
         import numpy as np

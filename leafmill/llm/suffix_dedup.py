@@ -20,13 +20,15 @@ from leafmill.llm.hashing import Hashes, mixed, pack, runs_of, unpack
 
 WIDTH, GRAM = 50, 24
 #: Text that a task works on at a time, and packed anchors for one bucket.
-BLOCK_BYTES, BUCKET_BYTES = 3 << 20, 16 << 20
+BLOCK_BYTES, BUCKET_BYTES = 2 << 20, 16 << 20
 #: Text of the corpus for each bucket of contexts, about a quarter of which are contexts to sort.
-TEXT_OF_BUCKET = 4 << 20
+TEXT_OF_BUCKET = 2 << 20
+#: Text of a block of documents that meet their ranges.
+TEXT_OF_BLOCK = 4 << 20
 #: Different contexts of one anchor in a block, or in all, from which on they are compared string by string.
 HOT_IN_BLOCK, HOT = 32, 4096
 NO_ID = (1 << 63) - 1
-PIECE = "kind string, bucket int, doc long, mark int, data binary"
+PIECE = "kind string, bucket int, data binary"
 
 
 # ---- Difference-cover suffix ranks ----------------------------------------------------------------
@@ -36,10 +38,24 @@ def names(columns: list):
     """Ranks of rows (columns of non-negative ints, first column first); equal rows share one."""
     import numpy as np
 
-    code = columns[0]
+    code, top = columns[0], int(columns[0].max(initial=0)) + 1
     for c in columns[1:]:
-        code = np.unique(code, return_inverse=True)[1].astype(np.int64) * (int(c.max(initial=0)) + 1) + c
-    return np.unique(code, return_inverse=True)[1].astype(np.int64)
+        width = int(c.max(initial=0)) + 1
+        if top * width >= 1 << 62:
+            code = ranked(code)
+            top = int(code.max(initial=0)) + 1
+        code, top = code * width + c, top * width
+    return ranked(code)
+
+
+def ranked(code):
+    import numpy as np
+
+    by = np.argsort(code, kind="stable")
+    out = np.empty(len(code), np.int64)
+    in_order = code[by]
+    out[by] = np.cumsum(np.concatenate([[0], in_order[1:] != in_order[:-1]]))[: len(code)]
+    return out
 
 
 def suffix_ranks(s, depth: int):
@@ -163,53 +179,85 @@ def anchors(text, ends, width: int, gram: int):
     return [g[place], sign, first, last, doc[first]], hashes
 
 
-def mark_rows(ids, marks, which, first, last, width: int) -> Iterator[tuple]:
-    """Rows of covered ranges, one for each document: strings that start at first .. last are covered."""
+def block_of(ids, marks, blocks: int):
+    """The block of a row, as `row_block` computes it in Spark."""
+    import numpy as np
+
+    return np.mod(np.fmod(ids, 1_000_003) + marks, blocks)
+
+
+def by_block(kind: str, ids, marks, which, blocks: int, **arrays) -> Iterator[tuple]:
+    """Entries of documents (`which`, with ids and marks), packed by the block of their document."""
     import numpy as np
 
-    by_doc = np.lexsort((first, which))
-    which, first, end = which[by_doc], first[by_doc], last[by_doc] + width
-    for a, b in runs_of(which):
-        lo, hi = united(first[a:b], end[a:b])
-        yield "mark", 0, int(ids[which[a]]), int(marks[which[a]]), pack(lo=lo.astype(np.uint32), n=(hi - lo).astype(np.uint32))
+    block = block_of(ids, marks.astype(np.int64), blocks)[which]
+    by = np.argsort(block, kind="stable")
+    for a, b in runs_of(block[by]):
+        own = by[a:b]
+        docs, local = np.unique(which[own], return_inverse=True)
+        yield kind, int(block[own[0]]), pack(ids=ids[docs], marks=marks[docs], doc=local.astype(np.uint32), **{k: v[own] for k, v in arrays.items()})
+
+
+def mark_rows(ids, marks, which, first, last, width: int, blocks: int) -> Iterator[tuple]:
+    """Covered ranges by block: the strings that start at first .. last of documents."""
+    import numpy as np
+
+    which, lo, hi = united(which, first, last + width)
+    yield from by_block("mark", ids, marks, which, blocks, lo=lo.astype(np.uint32), n=(hi - lo).astype(np.uint32))
 
 
-def united(lo, hi):
-    """Sorted ranges without overlaps; ranges that touch become one."""
+def united(which, lo, hi):
+    """Ranges of documents in order and without overlaps; ranges that touch become one."""
     import numpy as np
 
-    by = np.argsort(lo, kind="stable")
-    lo, hi = lo[by].astype(np.int64), np.maximum.accumulate(hi[by].astype(np.int64))
-    new = np.flatnonzero(np.concatenate([[True], lo[1:] > hi[:-1]])) if len(lo) else np.zeros(0, np.int64)
-    return lo[new], hi[np.concatenate([new[1:], [len(lo)]]).astype(np.int64) - 1] if len(lo) else hi
+    if not len(lo):
+        return which, lo, hi
+    by = np.lexsort((lo, which))
+    which, lo, hi = which[by].astype(np.int64), lo[by].astype(np.int64), hi[by].astype(np.int64)
+    reach = np.maximum.accumulate((which << 40) + hi)
+    new = np.flatnonzero(np.concatenate([[True], (which[1:] << 40) + lo[1:] > reach[:-1]]))
+    return which[new], lo[new], reach[np.concatenate([new[1:], [len(lo)]]) - 1] - (which[new] << 40)
 
 
 def smallest(sign, order):
     """For each entry the least order among those with its sign, and the sign's number."""
     import numpy as np
 
-    _, number = np.unique(sign, return_inverse=True)
-    least = np.full(int(number.max(initial=-1)) + 1, NO_ID, np.int64)
-    np.minimum.at(least, number, order)
-    return least[number], number
+    if not len(sign):
+        return order, np.zeros(0, np.int64)
+    by = np.argsort(sign, kind="stable")
+    new = np.concatenate([[True], sign[by][1:] != sign[by][:-1]])
+    group = np.cumsum(new) - 1
+    least, number = np.empty(len(sign), np.int64), np.empty(len(sign), np.int64)
+    least[by] = np.minimum.reduceat(order[by], np.flatnonzero(new))[group]
+    number[by] = group
+    return least, number
 
 
-def string_rows(sign, order, ids, marks, which, start, buckets: int, width: int) -> Iterator[tuple]:
+def string_rows(sign, order, ids, marks, which, start, buckets: int, blocks: int, width: int) -> Iterator[tuple]:
     """Single strings, by bucket of their hash; those that a smaller id has in this block are marked here."""
     import numpy as np
 
     least, _ = smallest(sign, order)
     done = order > least
-    yield from mark_rows(ids, marks, which[done], start[done], start[done], width)
+    yield from mark_rows(ids, marks, which[done], start[done], start[done], width, blocks)
     sign, which, start = sign[~done], which[~done], start[~done]
     bucket = (sign % np.uint64(buckets)).astype(np.int64)
     for b in np.unique(bucket):
         own = bucket == b
         docs, local = np.unique(which[own], return_inverse=True)
-        yield "string", int(b), None, None, pack(ids=ids[docs], marks=marks[docs], sign=sign[own], doc=local.astype(np.uint32), start=start[own].astype(np.uint32))
+        yield "string", int(b), pack(ids=ids[docs], marks=marks[docs], sign=sign[own], doc=local.astype(np.uint32), start=start[own].astype(np.uint32))
+
+
+def narrow(a):
+    """Non-negative ints in the least number of bytes that holds them."""
+    import numpy as np
+
+    top = int(a.max(initial=0))
+    return a.astype(np.uint8 if top < 1 << 8 else np.uint16 if top < 1 << 16 else np.uint32 if top < 1 << 32 else np.uint64)
 
 
-def block_rows(texts: list[bytes], ids, marks, buckets: int, width: int, gram: int) -> Iterator[tuple]:
+def block_rows(texts: list[bytes], ids, marks, buckets: int, strings: int, blocks: int, width: int, gram: int) -> Iterator[tuple]:
     """What a block of documents sends: packed anchors by bucket, strings of hot anchors, ranges settled here."""
     import numpy as np
 
@@ -221,7 +269,7 @@ def block_rows(texts: list[bytes], ids, marks, buckets: int, width: int, gram: i
     order = ids[doc]
     least, _ = smallest(sign, order)
     done = order > least
-    yield from mark_rows(ids, marks, doc[done], first[done] - begin[doc[done]], last[done] - begin[doc[done]], width)
+    yield from mark_rows(ids, marks, doc[done], first[done] - begin[doc[done]], last[done] - begin[doc[done]], width, blocks)
     key, sign, first, last, doc = (a[~done] for a in (key, sign, first, last, doc))
     _, number, count = np.unique(key, return_inverse=True, return_counts=True)
     hot = np.zeros(len(key), bool)
@@ -232,7 +280,7 @@ def block_rows(texts: list[bytes], ids, marks, buckets: int, width: int, gram: i
         n = last[hot] - first[hot] + 1
         start = np.repeat(first[hot], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         d = np.repeat(doc[hot], n)
-        yield from string_rows(hashes.of(start, start + width), ids[d], ids, marks, d, start - begin[d], buckets, width)
+        yield from string_rows(hashes.of(start, start + width), ids[d], ids, marks, d, start - begin[d], strings, blocks, width)
     sign = np.where(hot, np.uint64(0), sign)
     keep = ~hot
     keep[np.flatnonzero(hot)[np.unique(key[hot], return_index=True)[1]]] = True  # one of each hot anchor tells the others
@@ -245,42 +293,45 @@ def block_rows(texts: list[bytes], ids, marks, buckets: int, width: int, gram: i
         if len(own):
             docs, local = np.unique(doc[own], return_inverse=True)
             rest = key[own] // np.uint64(buckets)
-            yield "anchor", b, None, None, pack(
-                ids=ids[docs], marks=marks[docs], low=(rest & np.uint64(0xFFFFFFFF)).astype(np.uint32), high=((rest >> np.uint64(32)) & np.uint64(0xFFFF)).astype(np.uint16),
-                sign=sign[own], doc=np.diff(local, prepend=0).astype(np.uint16 if len(docs) < 1 << 16 else np.uint32), start=(first[own] - begin[doc[own]]).astype(np.uint32), n=(last[own] - first[own]).astype(np.uint8),
+            # 40 bits of the key beside its bucket and 48 of the sign; together they tell contexts apart
+            yield "anchor", b, pack(
+                ids=ids[docs], marks=marks[docs], low=(rest & np.uint64(0xFFFFFFFF)).astype(np.uint32), high=((rest >> np.uint64(32)) & np.uint64(0xFF)).astype(np.uint8),
+                sign=(sign[own] & np.uint64(0xFFFFFFFF)).astype(np.uint32), more=((sign[own] >> np.uint64(32)) & np.uint64(0xFFFF)).astype(np.uint16), told=np.packbits(sign[own] == 0),
+                doc=narrow(np.diff(local, prepend=0)), start=narrow(first[own] - begin[doc[own]]), n=narrow(last[own] - first[own]),
             )
 
 
-def settle_anchors(pieces: list[bytes], width: int) -> Iterator[tuple]:
+def settle_anchors(pieces: list[bytes], blocks: int, width: int) -> Iterator[tuple]:
     """One bucket of anchors: marks ranges that a smaller id has alike, and asks for contexts that differ."""
     import numpy as np
 
     parts, at = [], 0
     for p in map(unpack, pieces):
-        local = np.cumsum(p["doc"].astype(np.int64)) & (0xFFFF if p["doc"].dtype.itemsize == 2 else 0xFFFFFFFF)
-        parts.append((p["ids"], p["marks"], p["low"].astype(np.int64) | p["high"].astype(np.int64) << 32, p["sign"], local + at, p["start"].astype(np.int64), p["n"].astype(np.int64)))
+        local = np.cumsum(p["doc"].astype(np.int64)) + at
+        key = p["low"].astype(np.uint64) | p["high"].astype(np.uint64) << np.uint64(32)
+        sign = p["sign"].astype(np.uint64) | p["more"].astype(np.uint64) << np.uint64(32)
+        with np.errstate(over="ignore"):
+            both = mixed(key * np.uint64(0x9E3779B97F4A7C15) + sign)
+        parts.append((p["ids"], p["marks"], key, both, np.unpackbits(p["told"])[: len(key)].astype(bool), local, p["start"].astype(np.int64), p["n"].astype(np.int64)))
         at += len(p["ids"])
-    ids, marks, key, sign, doc, start, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+    ids, marks, key, sign, told, doc, start, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+    del parts
     order = ids[doc]
-    told = sign == 0
     least, number = smallest(sign, order)
     done = (order > least) & ~told
-    yield from mark_rows(ids, marks, doc[done], start[done], start[done] + n[done], width)
-    _, group = np.unique(key, return_inverse=True)
+    yield from mark_rows(ids, marks, doc[done], start[done], start[done] + n[done], width, blocks)
+    _, group = smallest(key, order)
     groups = int(group.max(initial=-1)) + 1
-    different = np.bincount(group[np.unique(number, return_index=True)[1]], minlength=groups)
+    one = np.zeros(int(number.max(initial=-1)) + 1, np.int64)
+    one[number] = group  # a sign has one key
+    different = np.bincount(one, minlength=groups)
     hot = np.bincount(group, told, minlength=groups) > 0
-    left = ~done & ~told & ((different[group] > 1) | hot[group])
-    kind = hot[group] | (different[group] > HOT)
-    for name, own in (("strings?", left & kind), ("context?", left & ~kind)):
-        own = np.flatnonzero(own)
-        own = own[np.argsort(doc[own], kind="stable")]
-        for a, b in runs_of(doc[own]):
-            i = own[a:b]
-            yield name, 0, int(ids[doc[i[0]]]), int(marks[doc[i[0]]]), pack(key=key[i], start=start[i].astype(np.uint32), n=n[i].astype(np.uint8))
+    left = np.flatnonzero(~done & ~told & ((different[group] > 1) | hot[group]))
+    strings = hot[group[left]] | (different[group[left]] > HOT)
+    yield from by_block("ask", ids, marks, doc[left], blocks, key=key[left], start=start[left].astype(np.uint32), n=n[left].astype(np.uint8), strings=strings)
 
 
-def settle_strings(pieces: list[bytes], width: int) -> Iterator[tuple]:
+def settle_strings(pieces: list[bytes], blocks: int, width: int) -> Iterator[tuple]:
     import numpy as np
 
     parts, at = [], 0
@@ -290,10 +341,10 @@ def settle_strings(pieces: list[bytes], width: int) -> Iterator[tuple]:
     ids, marks, sign, doc, start = (np.concatenate(x) for x in zip(*parts, strict=True))
     least, _ = smallest(sign, ids[doc])
     done = ids[doc] > least
-    yield from mark_rows(ids, marks, doc[done], start[done], start[done], width)
+    yield from mark_rows(ids, marks, doc[done], start[done], start[done], width, blocks)
 
 
-def settle_contexts(pieces: list[bytes], width: int) -> Iterator[tuple]:
+def settle_contexts(pieces: list[bytes], blocks: int, width: int) -> Iterator[tuple]:
     """One bucket of contexts: a suffix array over all of them."""
     import numpy as np
 
@@ -307,7 +358,7 @@ def settle_contexts(pieces: list[bytes], width: int) -> Iterator[tuple]:
         at += len(p["ids"])
     ids, marks, doc, start, n = (np.concatenate(x) for x in zip(*parts, strict=True))
     which, offset = repeated_starts(contexts, n + 1, ids[doc], width)
-    yield from mark_rows(ids, marks, doc[which], start[which] + offset, start[which] + offset, width)
+    yield from mark_rows(ids, marks, doc[which], start[which] + offset, start[which] + offset, width, blocks)
 
 
 # ---- Spark --------------------------------------------------------------------------------------
@@ -316,7 +367,7 @@ def settle_contexts(pieces: list[bytes], width: int) -> Iterator[tuple]:
 def _rows_to_batch(rows: list[tuple]):
     import pyarrow as pa
 
-    kinds = [("kind", pa.string()), ("bucket", pa.int32()), ("doc", pa.int64()), ("mark", pa.int32()), ("data", pa.binary())]
+    kinds = [("kind", pa.string()), ("bucket", pa.int32()), ("data", pa.binary())]
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, (_, t) in enumerate(kinds)], names=[k for k, _ in kinds])
 
 
@@ -324,15 +375,21 @@ def _batches(rows: Iterator[tuple]) -> Iterator:
     held, size = [], 0
     for r in rows:
         held.append(r)
-        size += len(r[4]) + 60
-        if size > 8 << 20:
+        size += len(r[2]) + 60
+        if size > 4 << 20:
             yield _rows_to_batch(held)
             held, size = [], 0
     if held:
         yield _rows_to_batch(held)
 
 
-def _read_blocks(buckets: int, width: int, gram: int):
+def _table(rows: Iterator[tuple]):
+    import pyarrow as pa
+
+    return pa.Table.from_batches([_rows_to_batch(list(rows))])
+
+
+def _read_blocks(buckets: int, strings: int, blocks: int, width: int, gram: int):
     """docs (doc, mark, text) to pieces, a block of texts at a time."""
 
     def rows(batches: Iterator) -> Iterator[tuple]:
@@ -348,95 +405,108 @@ def _read_blocks(buckets: int, width: int, gram: int):
                 marks.append(mark)
                 size += len(text)
                 if size >= BLOCK_BYTES:
-                    yield from block_rows(texts, np.array(ids, np.int64), np.array(marks, np.int32), buckets, width, gram)
+                    yield from block_rows(texts, np.array(ids, np.int64), np.array(marks, np.int32), buckets, strings, blocks, width, gram)
                     texts, ids, marks, size = [], [], [], 0
         if texts:
-            yield from block_rows(texts, np.array(ids, np.int64), np.array(marks, np.int32), buckets, width, gram)
+            yield from block_rows(texts, np.array(ids, np.int64), np.array(marks, np.int32), buckets, strings, blocks, width, gram)
 
     return lambda batches: _batches(rows(batches))
 
 
-def _settle(width: int):
-    """One bucket of one kind of pieces."""
+def _settle(kinds: dict, blocks: int, width: int):
+    """One bucket of one kind of pieces; other kinds go through."""
 
     def settle(key, table):
-        import pyarrow as pa
-
         kind = key[0].as_py()
-        if kind == "mark":
-            return table.select(["kind", "bucket", "doc", "mark", "data"])
-        f = {"anchor": settle_anchors, "string": settle_strings, "context": settle_contexts}[kind]
-        rows = list(f(table.column("data").to_pylist(), width))
-        return pa.Table.from_batches([_rows_to_batch(rows)])
+        if kind not in kinds:
+            return table.select(["kind", "bucket", "data"])
+        return _table(kinds[kind](table.column("data").to_pylist(), blocks, width))
 
     return settle
 
 
-def _fetch(buckets: int, width: int):
-    """docs with what is asked of them (doc, mark, text, asked) to pieces."""
+class Entries:
+    """Packed entries of one block, by document."""
 
-    def rows(batches: Iterator) -> Iterator[tuple]:
+    def __init__(self, pieces: list[bytes], names: list[str]):
         import numpy as np
 
-        for batch in batches:
-            contexts: dict[int, list] = {}
-            strings = []
-            for doc, mark, text, asked in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), text_bytes(batch.column(2)), batch.column(3).to_pylist(), strict=True):
-                hashes = None
-                for a in asked:
-                    p = unpack(a["data"])
-                    start, n = p["start"].astype(np.int64), p["n"].astype(np.int64)
-                    if a["kind"] == "strings?":
-                        hashes = hashes or Hashes(np.frombuffer(text, np.uint8))
-                        at = np.repeat(start, n + 1) + np.arange((n + 1).sum()) - np.repeat(np.cumsum(n + 1) - n - 1, n + 1)
-                        strings.append((doc, mark, hashes.of(at, at + width), at))
-                    else:
-                        bucket = p["key"] % buckets
-                        for b in np.unique(bucket):
-                            own = bucket == b
-                            contexts.setdefault(int(b), []).append((doc, mark, start[own], n[own], b"".join(text[s : s + m + width] for s, m in zip(start[own], n[own], strict=True))))
-            for b, found in contexts.items():
-                yield "context", b, None, None, pack(
-                    ids=np.array([f[0] for f in found], np.int64), marks=np.array([f[1] for f in found], np.int32), doc=np.repeat(np.arange(len(found)), [len(f[2]) for f in found]).astype(np.uint32),
-                    start=np.concatenate([f[2] for f in found]).astype(np.uint32), n=np.concatenate([f[3] for f in found]).astype(np.uint8), bytes=np.frombuffer(b"".join(f[4] for f in found), np.uint8),
-                )
-            if strings:
-                ids, marks = np.array([s[0] for s in strings], np.int64), np.array([s[1] for s in strings], np.int32)
-                which = np.repeat(np.arange(len(strings)), [len(s[3]) for s in strings])
-                yield from string_rows(np.concatenate([s[2] for s in strings]), ids[which], ids, marks, which, np.concatenate([s[3] for s in strings]), buckets, width)
+        self.at: dict[tuple[int, int], list] = {}
+        for p in map(unpack, pieces):
+            doc = p["doc"]
+            by = np.argsort(doc, kind="stable")
+            for a, b in runs_of(doc[by]):
+                own = by[a:b]
+                d = doc[own[0]]
+                self.at.setdefault((int(p["ids"][d]), int(p["marks"][d])), []).append({n: p[n][own] for n in names})
 
-    return lambda batches: _batches(rows(batches))
+    def of(self, doc: int, mark: int) -> list[dict]:
+        return self.at.get((doc, mark), [])
+
+
+def _fetch(buckets: int, blocks: int, width: int):
+    """A block of documents (doc, mark, text) and what is asked of it, to pieces."""
+
+    def rows(own, asked) -> Iterator[tuple]:
+        import numpy as np
+
+        entries = Entries(asked.column("data").to_pylist(), ["key", "start", "n", "strings"])
+        contexts: dict[int, list] = {}
+        strings = []
+        for doc, mark, text in zip(own.column("doc").to_pylist(), own.column("mark").to_pylist(), text_bytes(own.column("text").combine_chunks()), strict=True):
+            for e in entries.of(doc, mark):
+                start, n = e["start"].astype(np.int64), e["n"].astype(np.int64)
+                if (hot := e["strings"]).any():
+                    first, m = start[hot], n[hot] + 1
+                    at = np.repeat(first, m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+                    strings.append((doc, mark, Hashes(np.frombuffer(text, np.uint8)).of(at, at + width), at))
+                cold = np.flatnonzero(~hot)
+                bucket = (e["key"][cold] % np.uint64(buckets)).tolist()
+                for b, i in zip(bucket, cold.tolist(), strict=True):
+                    contexts.setdefault(b, []).append((doc, mark, start[i], n[i], text[start[i] : start[i] + n[i] + width]))
+        for b, found in contexts.items():
+            # each context is a document of its own here; ids may repeat
+            yield "context", b, pack(
+                ids=np.array([f[0] for f in found], np.int64), marks=np.array([f[1] for f in found], np.int32), doc=np.arange(len(found), dtype=np.uint32),
+                start=np.array([f[2] for f in found], np.uint32), n=np.array([f[3] for f in found], np.uint8), bytes=np.frombuffer(b"".join(f[4] for f in found), np.uint8),
+            )
+        if strings:
+            ids, marks = np.array([s[0] for s in strings], np.int64), np.array([s[1] for s in strings], np.int32)
+            which = np.repeat(np.arange(len(strings)), [len(s[3]) for s in strings])
+            yield from string_rows(np.concatenate([s[2] for s in strings]), ids[which], ids, marks, which, np.concatenate([s[3] for s in strings]), buckets, blocks, width)
+
+    def fetch(own, asked):
+        return _table(rows(own, asked) if own.num_rows and asked.num_rows else iter(()))
+
+    return fetch
 
 
 def covered_ranges(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> tuple[DataFrame, DataFrame]:
-    """(docs with keys doc and mark, covered byte ranges for each doc and mark as `kind` mark pieces).
+    """(docs with doc, mark and block; covered byte ranges packed by block).
 
     A byte is covered if it lies in a string of `width` bytes that also starts in a document with a
     smaller id. Works in three passes: anchors by bucket; contexts and hot strings by bucket; the rest is
-    for the caller. The number of buckets follows the bytes of the input.
+    for the caller. The numbers of buckets and blocks follow the bytes of the input.
     """
     spark = docs.sparkSession
     written = Written(spark, "repeats")
     # the hash tells rows with one id apart; rows alike in both have the same text and get the same ranges
     keyed = docs.withColumns({"doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "mark": F.hash("text")})
     total = keyed.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(48, total // 13 // (BUCKET_BYTES // 20))
-    pieces = keyed.select("doc", "mark", "text").mapInArrow(_read_blocks(buckets, width, gram), PIECE)
-    one = written.table(_by_bucket(pieces, buckets, width), "anchors")
+    buckets, sorts, blocks = max(48, total // 13 // (BUCKET_BYTES // 16)), max(48, total // TEXT_OF_BUCKET), max(48, total // TEXT_OF_BLOCK)
+    keyed = keyed.withColumn("block", F.pmod(F.col("doc") % 1_000_003 + F.col("mark"), F.lit(blocks)).cast("int"))
+    pieces = keyed.select("doc", "mark", "text").mapInArrow(_read_blocks(buckets, sorts, blocks, width, gram), PIECE)
+    one = written.table(_by_bucket(pieces, {"anchor": settle_anchors}, blocks, width), "anchors")
     free_shuffles(spark)
-    asked = one.where("kind IN ('strings?', 'context?')").groupBy("doc", "mark").agg(F.collect_list(F.struct("kind", "data")).alias("asked"))
-    fetched = keyed.select("doc", "mark", "text").join(asked, ["doc", "mark"]).select("doc", "mark", "text", "asked")
-    # rows alike in id and text would send their contexts twice; that changes nothing, since neither id is smaller
-    buckets = max(48, total // TEXT_OF_BUCKET)
-    two = written.table(_by_bucket(fetched.mapInArrow(_fetch(buckets, width), PIECE), buckets, width), "contexts")
+    asked = one.where("kind = 'ask'").select(F.col("bucket").alias("block"), "data")
+    fetched = keyed.select("doc", "mark", "text", "block").groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(_fetch(sorts, blocks, width), PIECE).unionByName(one.where("kind = 'string'"))
+    two = written.table(_by_bucket(fetched, {"string": settle_strings, "context": settle_contexts}, blocks, width), "contexts")
     free_shuffles(spark)
-    return keyed, one.unionByName(two).where("kind = 'mark'")
+    return keyed, one.unionByName(two).where("kind = 'mark'").select(F.col("bucket").alias("block"), "data")
 
 
-def _by_bucket(pieces: DataFrame, buckets: int, width: int) -> DataFrame:
-    """Pieces settled by kind and bucket; marks are final already and are spread by document."""
-    spread = pieces.withColumn("bucket", F.when(F.col("kind") == "mark", F.pmod(F.hash("doc", "mark"), F.lit(buckets))).otherwise(F.col("bucket")))
-    return spread.groupBy(F.col("kind").alias("k"), F.col("bucket").alias("b")).applyInArrow(_settle(width), PIECE)
+def _by_bucket(pieces: DataFrame, kinds: dict, blocks: int, width: int) -> DataFrame:
+    return pieces.groupBy(F.col("kind").alias("k"), F.col("bucket").alias("b")).applyInArrow(_settle(kinds, blocks, width), PIECE)
 
 
 def remove_repeats(docs: DataFrame, width: int = WIDTH, with_text: bool = False) -> DataFrame:
@@ -449,26 +519,28 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, with_text: bool = False)
     character, so kept_text replaces what is left of it.
     """
     keyed, marks = covered_ranges(docs, width)
-    grouped = marks.groupBy("doc", "mark").agg(F.collect_list("data").alias("ranges"))
-    joined = keyed.select("doc", "mark", "doc_id", "text").join(grouped, ["doc", "mark"], "left").select("doc_id", "text", "ranges")
-    kind = dict(joined.dtypes)["doc_id"]
+    kind = dict(docs.dtypes)["doc_id"]
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept_text"][: 7 if with_text else 6]
 
-    def cut(batches: Iterator) -> Iterator:
+    def cut(own, ranges):
         import numpy as np
         import pyarrow as pa
 
-        for batch in batches:
-            rows = []
-            for text, ranges in zip(text_bytes(batch.column(1)), batch.column(2).to_pylist(), strict=True):
-                found = [unpack(r) for r in ranges or ()]
-                lo = np.concatenate([f["lo"] for f in found]).astype(np.int64) if found else np.zeros(0, np.int64)
-                lo, hi = united(lo, lo + (np.concatenate([f["n"] for f in found]).astype(np.int64) if found else 0))
-                kept = b"".join(text[a:b] for a, b in zip([0, *hi.tolist()], [*lo.tolist(), len(text)], strict=True))
-                rows.append((len(text), len(text) - len(kept), len(lo), hashlib.sha256(kept).hexdigest(), [{"first": a, "end": b} for a, b in zip(lo.tolist(), hi.tolist(), strict=True)], kept.decode(errors="replace") if with_text else None))
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())])), pa.string()][: 6 if with_text else 5]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)]], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept_text"][: len(kinds) + 1])
-
-    return joined.mapInArrow(cut, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<first:long,end:long>>" + ", kept_text string" * with_text)
+        entries = Entries(ranges.column("data").to_pylist(), ["lo", "n"])
+        rows = []
+        for doc, mark, text in zip(own.column("doc").to_pylist(), own.column("mark").to_pylist(), text_bytes(own.column("text").combine_chunks()), strict=True):
+            found = entries.of(doc, mark)
+            lo = np.concatenate([f["lo"] for f in found]).astype(np.int64) if found else np.zeros(0, np.int64)
+            hi = lo + (np.concatenate([f["n"] for f in found]).astype(np.int64) if found else 0)
+            _, lo, hi = united(np.zeros(len(lo), np.int64), lo, hi)
+            lo, hi = lo.tolist(), hi.tolist()
+            kept = b"".join(text[a:b] for a, b in zip([0, *hi], [*lo, len(text)], strict=True))
+            rows.append((len(text), len(text) - len(kept), len(lo), hashlib.sha256(kept).hexdigest(), [{"first": a, "end": b} for a, b in zip(lo, hi, strict=True)], kept.decode(errors="replace")))
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())])), pa.string()]
+        return pa.table([own.column("doc_id"), *[pa.array([r[i] for r in rows], kinds[i]) for i in range(len(names) - 1)]], names=names)
+
+    given = keyed.select("doc_id", "doc", "mark", "text", "block").groupBy("block").cogroup(marks.groupBy("block"))
+    return given.applyInArrow(cut, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<first:long,end:long>>" + ", kept_text string" * with_text)
 
 
 def op1_suffix_array(spark, sf_dir: str) -> DataFrame:
