@@ -210,9 +210,16 @@ def _lists(key, table):
     return pa.table({"key": k[own].view(np.int64), "node": node[own], "n": n[own], "place": place[own]})
 
 
-def similar_enough(percent: int) -> str:
-    """SQL: sets of sizes n and m may overlap enough, with what is left from places p and q on."""
-    return f"least(n, m) * 100 >= {percent} * greatest(n, m) AND least(n - p, m - q) * {100 + percent} >= {percent} * (n + m)"
+def may_be_similar(percent: int, light: int) -> str:
+    """SQL: sets of sizes n and m with `common` of their first tokens in common, p and q the places of the first, may be similar.
+
+    From the first common token on there must be enough left in both. And the set whose first tokens end
+    earlier in the common order shares there all that it can share, so the overlap is no more than that
+    count and the rest of the set; sets that enumerate pairs are not held to this.
+    """
+    need = f"(({percent} * (n + m) + {99 + percent}) div {100 + percent})"
+    rest = f"((greatest(n, m) * {percent} + 99) div 100 - 1)"
+    return f"least(n - p, m - q) >= {need} AND (least(n, m) < {light} OR common + {rest} >= {need})"
 
 
 def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -236,13 +243,9 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return two.select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
 
 
-def similar_groups(docs: DataFrame, percent: int = 80, k: int = 5) -> DataFrame:
-    """doc_id, n_shingles, component_id for each row of docs (doc_id, text).
-
-    Texts are lower-cased in A-Z and split at ASCII white space; a text's set are its distinct shingles of
-    k words, or all its words if it has fewer. Two rows link if their sets have `percent` % of their union in
-    common; component_id is the smallest doc_id that links reach. Null and empty texts link with nothing.
-    A null id counts as no id: such rows link, but give no component_id to others.
+def group_rows(docs: DataFrame, percent: int, k: int) -> DataFrame:
+    """(doc, mark, n, label) for each row of docs (doc_id, text): rows of one label are reached by links; null
+    labels have no words. doc and mark are the id and the hash of the text.
 
     Rows of equal sets are one node. Postings of the first tokens, or pairs of them, are dealt out by key.
     First each list is tied to its least node and those pairs are verified; then all pairs of a list that
@@ -265,7 +268,10 @@ def similar_groups(docs: DataFrame, percent: int = 80, k: int = 5) -> DataFrame:
 
     hubs = lists.groupBy("key").agg(F.min(F.struct("node", "n")).alias("hub"))
     stars = lists.join(hubs, "key").select(F.col("hub.node").alias("a"), F.col("node").alias("b"), F.col("hub.n").alias("m"), "n").where(f"a != b AND least(n, m) * 100 >= {percent} * greatest(n, m)")
-    stars = written.table(stars.select("a", "b").distinct(), "stars")
+    # pairs left out here for having little in common are looked at again below
+    stars = stars.groupBy("a", "b").agg(F.count("*").alias("common"), F.min("n").alias("n")).where(f"common * 400 >= n * {100 - percent}")
+    stars = written.table(stars.select("a", "b"), "stars")
+    free_shuffles(spark)
     links = written.table(verify(stars, _sets_of(rows, members, stars, k), percent), "links-1")
     joined = connected_components(links, written, "first")
 
@@ -273,25 +279,57 @@ def similar_groups(docs: DataFrame, percent: int = 80, k: int = 5) -> DataFrame:
     open_keys = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("key")
     labelled = written.table(labelled.join(open_keys, "key"), "open")
     other = labelled.select("key", F.col("node").alias("b"), F.col("n").alias("m"), F.col("place").alias("q"), F.col("label").alias("other"))
-    cross = labelled.withColumnsRenamed({"node": "a", "place": "p"}).join(other, "key").where(f"a < b AND label != other AND {similar_enough(percent)}").select("a", "b").distinct()
+    cross = labelled.withColumnsRenamed({"node": "a", "place": "p"}).join(other, "key").where(f"a < b AND label != other AND least(n, m) * 100 >= {percent} * greatest(n, m)")
+    cross = cross.groupBy("a", "b").agg(F.count("*").alias("common"), *[F.min(c).alias(c) for c in ("n", "m", "p", "q")])
+    cross = cross.where(may_be_similar(percent, light)).select("a", "b")
     cross = written.table(cross.join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "cross")
+    free_shuffles(spark)
     more = written.table(verify(cross, _sets_of(rows, members, cross, k), percent), "links-2")
     free_shuffles(spark)
     labels = connected_components(links.unionByName(more), written, "all")
 
-    grouped = written.table(members.where("n > 0").join(labels, "node", "left").select("doc", "mark", "n", F.coalesce("label", "node").alias("label")), "grouped")
-    least = grouped.groupBy("label").agg(F.min("doc").alias("component"))
-    out = grouped.join(least, "label").select("doc", "n", "component").unionByName(members.where("n = 0").select("doc", "n", F.col("doc").alias("component")))
+    return written.table(members.join(labels, "node", "left").select("doc", "mark", "n", F.coalesce("label", "node").alias("label")), "grouped")
+
+
+def similar_groups(docs: DataFrame, percent: int = 80, k: int = 5) -> DataFrame:
+    """doc_id, n_shingles, component_id for each row of docs (doc_id, text).
+
+    Texts are lower-cased in A-Z and split at ASCII white space; a text's set are its distinct shingles of
+    k words, or all its words if it has fewer. Two rows link if their sets have `percent` % of their union in
+    common; component_id is the smallest doc_id that links reach. Null and empty texts link with nothing.
+    A null id counts as no id: such rows link, but give no component_id to others.
+    """
+    grouped = group_rows(docs, percent, k)
+    least = grouped.where("n > 0").groupBy("label").agg(F.min("doc").alias("component"))
+    out = grouped.where("n > 0").join(least, "label").select("doc", "n", "component").unionByName(grouped.where("n = 0").select("doc", "n", F.col("doc").alias("component")))
     kind = dict(docs.dtypes)["doc_id"]
     return out.select(F.col("doc").cast(kind).alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "doc").cast(kind).alias("component_id"))
 
 
+def keep_one(docs: DataFrame, percent: int = 80, k: int = 5) -> DataFrame:
+    """One row of each group of similar rows of `docs` (doc_id, text): that of the smallest id; all columns stay.
+
+    Rows without words are in no group and stay. Of rows alike in id and text one stays.
+    """
+    grouped = group_rows(docs, percent, k)
+    first = grouped.where("n > 0").groupBy("label").agg(F.min(F.struct("doc", "mark")).alias("row")).select("row.*")
+    chosen = first.unionByName(grouped.where("n = 0").select("doc", "mark")).distinct()
+    kept = _rows_of(docs, chosen)
+    twice = grouped.groupBy("doc", "mark").count().where("count > 1")
+    return kept if twice.isEmpty() else kept.dropDuplicates(["doc_id", "text"])
+
+
+def _rows_of(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """The rows of docs (doc_id, text) whose id and hash of the text are in chosen (doc, mark)."""
+    chosen = small(chosen.select(F.col("doc").alias("_doc"), F.col("mark").alias("_mark")), SMALL_IDS)
+    return docs.join(chosen, docs["doc_id"].cast("long").eqNullSafe(F.col("_doc")) & (F.hash(docs["text"]) == F.col("_mark")), "left_semi")
+
+
 def _sets_of(rows: DataFrame, members: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
     """(node, data) of the nodes in `pairs`, read from one row's text for each."""
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     chosen = members.join(nodes, "node").groupBy("node").agg(F.min(F.struct("doc", "mark")).alias("row")).select("row.*")
-    # ids may be null, and rows alike in id and text are one to choose from
-    texts = rows.join(small(chosen.withColumnsRenamed({"doc": "d", "mark": "m"}), SMALL_IDS), F.col("doc").eqNullSafe(F.col("d")) & (F.col("mark") == F.col("m")), "left_semi")
+    texts = _rows_of(rows, chosen)
 
     def read(batches: Iterator) -> Iterator:
         import pyarrow as pa
