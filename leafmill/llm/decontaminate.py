@@ -6,8 +6,10 @@ import hashlib
 import re
 from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from leafmill.llm.common import Written, alnum_words, in_order, running_total, text_bytes
 
@@ -229,20 +231,23 @@ def cut_words(text: str | None, spans: list) -> str | None:
     return b"".join([*out, raw[at:]]).decode()
 
 
-def remove_leaks(docs: DataFrame, items: DataFrame, window: int = 10, most_covered: float = 0.5, text: str = "text") -> DataFrame:
-    """`docs` without leaked passages: hit spans are cut out of the text, and a row of which they cover more
-    than `most_covered` goes altogether. Rows without a hit stay as they are; columns stay the same."""
-    import pandas as pd
+@F.pandas_udf(T.StringType())
+def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
+    return pd.Series([cut_words(t, [(s["first"], s["end"]) for s in x]) for t, x in zip(texts, spans, strict=True)], dtype=object)
+
 
+def remove_leaks(docs: DataFrame, items: DataFrame, window: int = 10, most_covered: float = 0.5, text: str = "text", length: str | None = "n_chars") -> DataFrame:
+    """`docs` without leaked passages: hit spans are cut out of the text, and a row of which they cover more
+    than `most_covered` goes altogether. Rows without a hit stay as they are; columns stay the same. Where text
+    was cut, the column `length`, if there is one, gets its new number of characters."""
     leaks = find_leaks(docs, items, window, text)
     hit = F.aggregate("_leaks.spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["first"])
     left = leaks.where((hit == 0) | (hit <= most_covered * F.col("_leaks.n_words")))
 
-    @F.pandas_udf("string")
-    def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
-        return pd.Series([cut_words(t, [(s["first"], s["end"]) for s in x]) for t, x in zip(texts, spans, strict=True)], dtype=object)
-
-    return left.withColumn(text, F.when(hit > 0, cut(F.col(text), F.col("_leaks.spans"))).otherwise(F.col(text))).drop("_leaks")
+    done = left.withColumn(text, F.when(hit > 0, cut(F.col(text), F.col("_leaks.spans"))).otherwise(F.col(text)))
+    if length in docs.columns:
+        done = done.withColumn(length, F.when(hit > 0, F.length(text)).otherwise(F.col(length)).cast(docs.schema[length].dataType))
+    return done.drop("_leaks")
 
 
 def op6_suffix_automaton(spark, sf_dir: str) -> DataFrame:

@@ -9,6 +9,8 @@ from leafmill.llm.common import SPACE_WORD, Written, in_order, running_total, sm
 
 #: A table of sources of no more rows than this is broadcast; beyond it, Spark joins by shuffling.
 SMALL_SOURCES = 100_000
+#: The same for a table of ids and copies.
+SMALL_DOCS = 500_000
 
 
 def count_words(text: Column) -> Column:
@@ -77,6 +79,20 @@ def mix_sources(docs: DataFrame, weights: Column, epochs: int = 3, seed: str = "
     return queued.withColumn("copies", copies).drop("_key", "_at", "_total", "start", "ordinal", "weight")
 
 
+def mixed_documents(docs: DataFrame, weights: Column, epochs: int = 3) -> DataFrame:
+    """`docs` (doc_id, source, text) with each row as often as the mix takes it; all columns stay.
+
+    Only ids, sources and sizes are sorted, and the number of copies is joined back. Rows alike in id, text
+    and source are taken equally often.
+    """
+    light = docs.select("doc_id", F.hash("text").alias("mark"), "source", count_words(F.col("text")).alias("size"))
+    light = light.groupBy("doc_id", "mark", "source").agg(F.sum("size").alias("size"))
+    taken = mix_sources(light, weights, epochs).where("copies > 0").select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), F.col("source").alias("_source"), "copies")
+    same = docs["doc_id"].eqNullSafe(F.col("_id")) & (F.hash(docs["text"]) == F.col("_mark")) & docs["source"].eqNullSafe(F.col("_source"))
+    joined = docs.join(small(taken, SMALL_DOCS), same).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return joined.select(*[docs[c] for c in docs.columns])
+
+
 def op7_weights() -> Column:
     return F.element_at(F.array(F.lit(5.0), F.lit(2.0), F.lit(1.0)), (F.col("ordinal") - 1) % 3 + 1)
 
