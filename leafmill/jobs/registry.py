@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from leafmill.jobs import scalars
+
 FLAGSHIP = "w4_page_outline"
-QUERIES: dict = {}
-ORACLES: dict = {}
+MODULES = [scalars]
+QUERIES: dict = {name: f for m in MODULES for name, f in m.QUERIES.items()}
+ORACLES: dict = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
