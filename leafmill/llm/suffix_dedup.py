@@ -51,20 +51,20 @@ def names(columns: list):
 def ranked(code):
     import numpy as np
 
-    by = np.argsort(code, kind="stable")
+    by = np.argsort(code)
     out = np.empty(len(code), np.int64)
     in_order = code[by]
     out[by] = np.cumsum(np.concatenate([[0], in_order[1:] != in_order[:-1]]))[: len(code)]
     return out
 
 
-def suffix_ranks(s, depth: int):
+def suffix_ranks(s, depth: int, wanted=None):
     """Ranks of all suffixes of the positive ints `s`, right for at least their first `depth` symbols.
 
     Suffixes that share a longer prefix may share a rank. Triples at the places i % 3 != 0 are sorted and
     named; their names form a shorter string, ranked in the same way unless they are all different or
     reach deep enough. The other suffixes are ranked by their first symbol and the rank after it, and
-    merged with the sampled ones.
+    merged with the sampled ones. With a mask `wanted`, only those places are merged and get a rank.
     """
     import numpy as np
 
@@ -72,34 +72,46 @@ def suffix_ranks(s, depth: int):
     if n == 0:
         return np.zeros(0, np.int64)
     t = np.concatenate([s, np.zeros(3, s.dtype)]).astype(np.int64)
-    ones, twos = np.arange(1, n + 1, 3), np.arange(2, n + 1, 3)
+    ones, twos = np.arange(1, n, 3), np.arange(2, n, 3)
     sample = np.concatenate([ones, twos])
-    sample = sample[sample < n]
-    n1 = int((ones < n).sum())
     rank = np.zeros(n + 3, np.int64)
     if len(sample):
         named = names([t[sample], t[sample + 1], t[sample + 2]]) + 1
         if depth > 3 and named.max() < len(sample):
             # a zero keeps the strings of the two residues apart
-            deeper = suffix_ranks(np.concatenate([named[:n1], [0], named[n1:]]), -(-depth // 3))
-            named = np.concatenate([deeper[:n1], deeper[n1 + 1 :]]) + 1
+            deeper = suffix_ranks(np.concatenate([named[: len(ones)], [0], named[len(ones) :]]), -(-depth // 3))
+            named = np.concatenate([deeper[: len(ones)], deeper[len(ones) + 1 :]]) + 1
         rank[sample] = named
-    rest, span = np.arange(0, n, 3), int(rank.max()) + 1
-    by_one = lambda i: t[i] * span + rank[i + 1]
-    top = int(t.max()) + 1
-    by_two = lambda i: (t[i] * top + t[i + 1]) * span + rank[i + 2]
-    if top * top * span >= 1 << 62:
-        pairs = names([np.concatenate([t[rest], t[sample]]), np.concatenate([t[rest + 1], t[sample + 1]])])
-        paired = np.zeros(n, np.int64)
-        paired[np.concatenate([rest, sample])] = pairs
-        by_two = lambda i: paired[i] * span + rank[i + 2]
-    s1, s2 = sample[:n1], sample[n1:]
+    rest = np.arange(0, n, 3)
+    if wanted is not None:
+        rest, ones, twos = rest[wanted[rest]], ones[wanted[ones]], twos[wanted[twos]]
+    span, top = int(rank.max()) + 1, int(t.max()) + 1
+
+    def by_one(i):
+        return t[i] * span + rank[i + 1]
+
+    if top * top * span < 1 << 62:
+
+        def by_two(i):
+            return (t[i] * top + t[i + 1]) * span + rank[i + 2]
+    else:
+        both = np.concatenate([rest, twos])
+        pairs = np.zeros(n, np.int64)
+        pairs[both] = names([t[both], t[both + 1]])
+
+        def by_two(i):
+            return pairs[i] * span + rank[i + 2]
+
+    # in their own order, lookups of one residue among another run through memory once
+    rest, ones, twos = rest[np.argsort(by_one(rest))], ones[np.argsort(rank[ones])], twos[np.argsort(rank[twos])]
+    rest_one, rest_two = by_one(rest), by_two(rest)
+    ones_one, twos_two = by_one(ones), by_two(twos)
+    sampled = np.sort(np.concatenate([rank[ones], rank[twos]]))
+    sorted_two = np.sort(rest_two)
     out = np.zeros(n, np.int64)
-    sorted_rank = np.sort(rank[sample])
-    zeros_one, zeros_two = np.sort(by_one(rest)), np.sort(by_two(rest))
-    out[rest] = np.searchsorted(zeros_one, by_one(rest)) + np.searchsorted(np.sort(by_one(s1)), by_one(rest)) + np.searchsorted(np.sort(by_two(s2)), by_two(rest))
-    out[s1] = np.searchsorted(sorted_rank, rank[s1]) + np.searchsorted(zeros_one, by_one(s1))
-    out[s2] = np.searchsorted(sorted_rank, rank[s2]) + np.searchsorted(zeros_two, by_two(s2))
+    out[rest] = np.searchsorted(rest_one, rest_one) + np.searchsorted(np.sort(ones_one), rest_one) + np.searchsorted(np.sort(twos_two), rest_two)
+    out[ones] = np.searchsorted(sampled, rank[ones]) + np.searchsorted(rest_one, ones_one)
+    out[twos] = np.searchsorted(sampled, rank[twos]) + np.searchsorted(sorted_two, twos_two)
     return out
 
 
@@ -114,16 +126,20 @@ def repeated_starts(contexts: list[bytes], starts, order, width: int):
     sizes = np.fromiter(map(len, contexts), np.int64, len(contexts))
     begin = np.concatenate([[0], np.cumsum(sizes)])[:-1]
     text = np.frombuffer(b"".join(contexts), np.uint8)
-    ranks = suffix_ranks(text.astype(np.int64) + 1, width)
     which = np.repeat(np.arange(len(contexts)), starts)
     offset = np.arange(len(which)) - np.repeat(np.cumsum(starts) - starts, starts)
     at = begin[which] + offset
-    by_rank = np.argsort(ranks[at], kind="stable")
+    wanted = np.zeros(len(text), bool)
+    wanted[at] = True
+    by_rank = np.argsort(suffix_ranks(text.astype(np.int64) + 1, width, wanted)[at])
     at, which, offset = at[by_rank], which[by_rank], offset[by_rank]
-    words = np.lib.stride_tricks.sliding_window_view(np.concatenate([text, np.zeros(8, np.uint8)]), 8)
+    words = np.zeros(len(text), np.uint64)  # eight bytes from each place on
+    for k in range(8):
+        words[: len(text) - k] |= text[k:].astype(np.uint64) << np.uint64(8 * k)
     same = np.ones(max(len(at) - 1, 0), bool)
     for d in [*range(0, width - 7, 8), width - 8]:
-        same &= (words[at[1:] + d] == words[at[:-1] + d]).all(axis=1)
+        w = words[at + d]
+        same &= w[1:] == w[:-1]
     group = np.concatenate([[0], np.cumsum(~same)])[: len(at)]
     least = np.full(int(group.max(initial=0)) + 1, NO_ID, np.int64)
     np.minimum.at(least, group, order[which])
@@ -225,7 +241,7 @@ def smallest(sign, order):
 
     if not len(sign):
         return order, np.zeros(0, np.int64)
-    by = np.argsort(sign, kind="stable")
+    by = np.argsort(sign)
     new = np.concatenate([[True], sign[by][1:] != sign[by][:-1]])
     group = np.cumsum(new) - 1
     least, number = np.empty(len(sign), np.int64), np.empty(len(sign), np.int64)
