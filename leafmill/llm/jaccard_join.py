@@ -18,7 +18,7 @@ from leafmill.llm.hashing import Hashes, mixed, pack, unpack
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Text that a task works on at a time; packed postings of one bucket; counters of the frequency sketch.
-BLOCK_BYTES, BUCKET_BYTES, CELL_BITS, CHUNKS = 3 << 20, 16 << 20, 20, 16
+BLOCK_BYTES, BUCKET_BYTES, CELL_BITS, CHUNKS = 1 << 20, 8 << 20, 20, 16
 #: Sets with one key in a block, from which on they are told apart from the rest of its list.
 HOT_IN_BLOCK = 32
 #: A table of ids of no more rows is broadcast.
