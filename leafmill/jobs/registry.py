@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from leafmill.jobs import outlines, pages, references, scalars
+from leafmill.jobs import outlines, pages, projects, references, scalars
 
 FLAGSHIP = "w4_page_outline"
-MODULES = [scalars, outlines, pages, references]
+MODULES = [scalars, outlines, pages, references, projects]
 QUERIES: dict = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLES: dict = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
