@@ -53,6 +53,16 @@ def free_shuffles(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def bounded_batches(spark: SparkSession, rows: int = 500) -> None:
+    """Has Spark send Python texts in batches of `rows` instead of its default of 10000, which long texts make large.
+
+    A number that the session has set itself stays.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(rows))
+
+
 def lower_ascii(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 

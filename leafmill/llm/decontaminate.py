@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from leafmill.llm.common import Written, alnum_words, in_order, running_total, text_bytes
+from leafmill.llm.common import Written, alnum_words, bounded_batches, in_order, running_total, text_bytes
 
 WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 
@@ -172,6 +172,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, window: int = 10, text: str =
     with several blocks the passes are chained and their spans merged. Null texts and items have no
     words; a null item id counts as the empty string, repeated ids as one.
     """
+    bounded_batches(docs.sparkSession)
     sc = docs.sparkSession.sparkContext
     kept = [c for c in docs.columns if c != "_leaks"]
     inner = [f"_c{i}" for i in range(len(kept))]

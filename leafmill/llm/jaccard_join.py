@@ -12,7 +12,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import Written, free_shuffles, small, text_bytes
+from leafmill.llm.common import Written, bounded_batches, free_shuffles, small, text_bytes
 from leafmill.llm.components import connected_components
 from leafmill.llm.hashing import Hashes, mixed, pack, unpack
 
@@ -253,6 +253,7 @@ def group_rows(docs: DataFrame, percent: int, k: int) -> DataFrame:
     components is missed and a group of near copies need not be expanded into all of its pairs.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     written = Written(spark, "jaccard")
     rows = docs.select("doc_id", F.col("doc_id").cast("long").alias("doc"), F.hash("text").alias("mark"), "text")
     measured = written.table(rows.select("doc", "mark", "text").mapInArrow(_measure(k), "doc long, mark int, n long, node long, chunk int, data binary"), "measured")

@@ -15,7 +15,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import Written, free_shuffles, text_bytes
+from leafmill.llm.common import Written, bounded_batches, free_shuffles, text_bytes
 from leafmill.llm.hashing import Hashes, mixed, pack, runs_of, unpack
 
 WIDTH, GRAM = 50, 24
@@ -505,6 +505,7 @@ def covered_ranges(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> tup
     for the caller. The numbers of buckets and blocks follow the bytes of the input.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     written = Written(spark, "repeats")
     # the hash tells rows with one id apart; rows alike in both have the same text and get the same ranges
     keyed = docs.withColumns({"doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "mark": F.hash("text")})
