@@ -36,7 +36,7 @@ def source_targets(sources: DataFrame, epochs: int) -> DataFrame:
     everything = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     left = F.sum("source_size").over(everything) - F.coalesce(F.sum("cap").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     s = s.withColumn("level", left / F.sum("weight").over(order.rowsBetween(0, Window.unboundedFollowing)))
-    s = s.withColumn("fits", F.min(F.when(F.col("level") <= F.col("full_at"), F.col("level"))).over(everything))
+    s = s.withColumn("fits", F.max(F.when(F.col("level") <= F.col("full_at"), F.col("level"))).over(everything))
     return s.select("source", "source_size", "weight", "ordinal", "start", F.least(F.col("cap").cast("double"), F.col("weight") * F.col("fits")).alias("target"))
 
 
@@ -121,7 +121,7 @@ WITH d AS (
             / sum(weight) OVER (ORDER BY full_at, ordinal ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
   FROM s3
 ), s5 AS (
-  SELECT *, (SELECT min(level) FROM s4 WHERE level <= full_at) AS fits FROM s4
+  SELECT *, (SELECT max(level) FROM s4 WHERE level <= full_at) AS fits FROM s4
 ), s AS (
   SELECT *, least(CAST(cap AS DOUBLE), weight * fits) AS target FROM s5
 ), q AS (
