@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from leafmill.llm.common import Written, in_order, lower_ascii
 
+#: Between host and path in a key, so that no host is the beginning of another.
+CUT = "\x00"
+
 #: The rules of the standard query: host, path, verdict.
 OP4_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
@@ -36,7 +39,7 @@ def rule_bounds(rules: DataFrame) -> DataFrame:
     rule around it is found by an equi-join on the prefixes of its key. Of rules with one key, the
     smallest verdict counts.
     """
-    key = F.concat(F.array_join(F.reverse(F.split(lower_ascii(F.col("host")), r"\.", -1)), "."), F.col("path"))
+    key = F.concat(F.array_join(F.reverse(F.split(lower_ascii(F.col("host")), r"\.", -1)), "."), F.lit(CUT), F.col("path"))
     r = rules.select(key.alias("key"), F.concat("host", "path").alias("rule"), "verdict").groupBy("key").agg(F.min(F.struct("verdict", "rule")).alias("v"))
     r = r.select("key", F.struct(F.length("key").alias("len"), F.col("v.rule").alias("rule"), F.col("v.verdict").alias("verdict")).alias("own"))
     lengths = F.sequence(F.lit(0), F.greatest(F.length("key") - 1, F.lit(0)))
@@ -64,7 +67,7 @@ def match_rules(pages: DataFrame, rules: DataFrame, otherwise: str = "allow") ->
     urls = pages.select(*kept, url_host(F.col("url")).alias("host"), url_path(F.col("url")).alias("path"))
     names = urls.select("host", "path").distinct()
     keys = names.select("host", "path", F.explode(reversed_hosts(F.col("host"))).alias("_h"))
-    keys = keys.select(F.encode(F.concat("_h", "path"), "utf-8").alias("key"), F.lit(2).alias("kind"), F.lit(None).cast("struct<len:int,rule:string,verdict:string>").alias("top"), "host", "path")
+    keys = keys.select(F.encode(F.concat("_h", F.lit(CUT), "path"), "utf-8").alias("key"), F.lit(2).alias("kind"), F.lit(None).cast("struct<len:int,rule:string,verdict:string>").alias("top"), "host", "path")
     bounds = rule_bounds(rules).withColumns({"host": F.lit(None).cast("string"), "path": F.lit(None).cast("string")})
     swept = in_order(keys.unionByName(bounds), [F.col("key"), F.col("kind"), F.xxhash64("host", "path")], written, "swept")
 
