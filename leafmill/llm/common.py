@@ -63,6 +63,28 @@ def bounded_batches(spark: SparkSession, rows: int = 500) -> None:
         spark.conf.set(name, str(rows))
 
 
+def give_back() -> None:
+    """Returns memory that a Python worker has freed to the system, since workers live on for later tasks."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def task(f):
+    """`f` over a partition's batches; freed memory is given back after it."""
+
+    def run(batches):
+        yield from f(batches)
+        give_back()
+
+    return run
+
+
 def lower_ascii(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from leafmill.llm.common import Written, alnum_words, bounded_batches, in_order, running_total, text_bytes
+from leafmill.llm.common import Written, alnum_words, bounded_batches, in_order, running_total, task, text_bytes
 
 WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 
@@ -182,7 +182,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, window: int = 10, text: str =
     for block in item_blocks(items, block_bytes):
         automaton = SuffixAutomaton(block, window)
         shared = sc.broadcast((automaton, automaton.prepared()))
-        out = out.mapInArrow(_leak_pass(shared, at), schema)
+        out = out.mapInArrow(task(_leak_pass(shared, at)), schema)
     empty = F.struct(F.lit(None).cast("long").alias("n_words"), F.array().cast("array<struct<first:long,end:long>>").alias("spans"), F.array().cast("array<string>").alias("items"), F.lit(0).cast("long").alias("longest"))
     named = out.withColumn("_leaks", F.coalesce("_leaks", empty))
     return named.withColumnsRenamed(dict(zip(inner, kept, strict=True)))

@@ -12,7 +12,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import Written, bounded_batches, free_shuffles, small, text_bytes
+from leafmill.llm.common import Written, bounded_batches, free_shuffles, give_back, small, task, text_bytes
 from leafmill.llm.components import connected_components
 from leafmill.llm.hashing import Hashes, mixed, pack, unpack
 
@@ -207,6 +207,8 @@ def _lists(key, table):
     group = np.cumsum(np.concatenate([[True], k[1:] != k[:-1]])) - 1
     wanted = (np.bincount(group, first)[group] > 1) | (np.bincount(group, told)[group] > 0) | (key[0].as_py() == "loose")
     own = first & wanted
+    del parts
+    give_back()
     return pa.table({"key": k[own].view(np.int64), "node": node[own], "n": n[own], "place": place[own]})
 
 
@@ -240,7 +242,7 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     one = pairs.join(sets.select(F.col("node").alias("a"), F.col("data").alias("x")), "a")
     two = one.join(sets.select(F.col("node").alias("b"), F.col("data").alias("y")), "b")
-    return two.select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
+    return two.select("a", "b", "x", "y").mapInArrow(task(check), "a long, b long")
 
 
 def group_rows(docs: DataFrame, percent: int, k: int) -> DataFrame:
@@ -256,14 +258,14 @@ def group_rows(docs: DataFrame, percent: int, k: int) -> DataFrame:
     bounded_batches(spark)
     written = Written(spark, "jaccard")
     rows = docs.select("doc_id", F.col("doc_id").cast("long").alias("doc"), F.hash("text").alias("mark"), "text")
-    measured = written.table(rows.select("doc", "mark", "text").mapInArrow(_measure(k), "doc long, mark int, n long, node long, chunk int, data binary"), "measured")
+    measured = written.table(rows.select("doc", "mark", "text").mapInArrow(task(_measure(k)), "doc long, mark int, n long, node long, chunk int, data binary"), "measured")
     levels, list_length = frequency_levels(measured.where("chunk IS NOT NULL"))
     members = measured.where("chunk IS NULL").select("doc", "mark", "n", "node")
     light = boundary(list_length, percent)
     total = members.agg(F.sum("n")).first()[0] or 0
     buckets = max(48, total * (100 - percent) // 100 * 18 // BUCKET_BYTES)
     shared = spark.sparkContext.broadcast(levels)
-    posted = rows.select("doc", "mark", "text").mapInArrow(_post(shared, light, percent, k, buckets), "kind string, bucket int, data binary")
+    posted = rows.select("doc", "mark", "text").mapInArrow(task(_post(shared, light, percent, k, buckets)), "kind string, bucket int, data binary")
     lists = written.table(posted.groupBy("kind", "bucket").applyInArrow(_lists, "key long, node long, n long, place long"), "lists")
     free_shuffles(spark)
 
@@ -340,7 +342,7 @@ def _sets_of(rows: DataFrame, members: DataFrame, pairs: DataFrame, k: int) -> D
             found = {node_of(h[a:b]): h[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True) if b > a}
             yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.binary())], names=["node", "data"])
 
-    return texts.select("doc", "mark", "text").mapInArrow(read, "node long, data binary").dropDuplicates(["node"])
+    return texts.select("doc", "mark", "text").mapInArrow(task(read), "node long, data binary").dropDuplicates(["node"])
 
 
 def op2_size_aware(spark, sf_dir: str) -> DataFrame:

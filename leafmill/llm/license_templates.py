@@ -9,7 +9,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import alnum_words, bounded_batches, text_bytes
+from leafmill.llm.common import alnum_words, bounded_batches, task, text_bytes
 
 #: Phrases that the standard query counts, and their labels.
 OP10_PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
@@ -161,7 +161,7 @@ def scan_licenses(docs: DataFrame, key: str, text: str, phrases: dict[str, str],
     bounded_batches(docs.sparkSession)
     kind = dict(docs.dtypes)[key]
     schema = f"`{key}` {kind}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, notices array<struct<label:string,first:long,end:long>>"
-    return docs.select(key, F.col(text).alias("_text")).mapInArrow(scan, schema)
+    return docs.select(key, F.col(text).alias("_text")).mapInArrow(task(scan), schema)
 
 
 def _result():

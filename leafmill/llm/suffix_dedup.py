@@ -15,7 +15,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import Written, bounded_batches, free_shuffles, text_bytes
+from leafmill.llm.common import Written, bounded_batches, free_shuffles, give_back, task, text_bytes
 from leafmill.llm.hashing import Hashes, mixed, pack, runs_of, unpack
 
 WIDTH, GRAM = 50, 24
@@ -436,7 +436,9 @@ def _settle(kinds: dict, blocks: int, width: int):
         kind = key[0].as_py()
         if kind not in kinds:
             return table.select(["kind", "bucket", "data"])
-        return _table(kinds[kind](table.column("data").to_pylist(), blocks, width))
+        out = _table(kinds[kind](table.column("data").to_pylist(), blocks, width))
+        give_back()
+        return out
 
     return settle
 
@@ -492,7 +494,9 @@ def _fetch(buckets: int, blocks: int, width: int):
             yield from string_rows(np.concatenate([s[2] for s in strings]), ids[which], ids, marks, which, np.concatenate([s[3] for s in strings]), buckets, blocks, width)
 
     def fetch(own, asked):
-        return _table(rows(own, asked) if own.num_rows and asked.num_rows else iter(()))
+        out = _table(rows(own, asked) if own.num_rows and asked.num_rows else iter(()))
+        give_back()
+        return out
 
     return fetch
 
@@ -512,7 +516,7 @@ def covered_ranges(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> tup
     total = keyed.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets, sorts, blocks = max(48, total // 13 // (BUCKET_BYTES // 16)), max(48, total // TEXT_OF_BUCKET), max(48, total // TEXT_OF_BLOCK)
     keyed = keyed.withColumn("block", F.pmod(F.col("doc") % 1_000_003 + F.col("mark"), F.lit(blocks)).cast("int"))
-    pieces = keyed.select("doc", "mark", "text").mapInArrow(_read_blocks(buckets, sorts, blocks, width, gram), PIECE)
+    pieces = keyed.select("doc", "mark", "text").mapInArrow(task(_read_blocks(buckets, sorts, blocks, width, gram)), PIECE)
     one = written.table(_by_bucket(pieces, {"anchor": settle_anchors}, blocks, width), "anchors")
     free_shuffles(spark)
     asked = one.where("kind = 'ask'").select(F.col("bucket").alias("block"), "data")
