@@ -18,3 +18,149 @@ def pipe_table_cells(tables: DataFrame, key: str = "doc_id") -> DataFrame:
     wide = rows.select(key, F.when(F.col("_n") == 0, 0).otherwise(F.col("_n") - 1).alias("row"), "_rule", cells(F.col("_line")).alias("_cells"))
     each = wide.select(key, "row", "_cells", F.posexplode("_rule").alias("col", "align"))
     return each.select(key, "row", "col", F.coalesce(F.try_element_at("_cells", F.col("col") + 1), F.lit("")).alias("text"), "align")
+
+
+# ---- Blocks by lines --------------------------------------------------------------------------------
+
+#: What a line outside of code is, by its beginning; the first that fits.
+LINE_KINDS = [
+    ("blank", r"^\s*$"), ("heading", r"^#{1,6}(\s|$)"), ("rule", r"^ {0,3}([-*_])(\s*\1){2,}\s*$"), ("blockquote", r"^ {0,3}>"), ("footnote", r"^\[\^[^\]]+\]:"),
+    ("list", r"^ {0,3}([-*+]|[0-9]{1,9}[.)])\s"), ("table", r"^ {0,3}\|"), ("math", r"^\$\$"), ("indented", r"^(    |\t)"),
+]
+
+
+def markdown_blocks(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Top-level blocks (key, pos, kind, level, ident, language, text) of Markdown documents (key, text).
+
+    One window over a document's lines finds which lie in fences or display math, another where runs of
+    lines of one kind begin. Headings, rules, footnotes and list items are a line and what continues it;
+    other blocks are runs. Text is the block's own, without markers; list markers stay. pos is the first line.
+    """
+    from pyspark.sql import Window
+
+    from leafmill.functions.text import code_info, trailing_attrs
+
+    w = Window.partitionBy(key).orderBy("n")
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    lines = docs.select(key, F.posexplode(F.split(F.coalesce("text", F.lit("")), "\r?\n")).alias("n", "line"))
+    fence, math = F.col("line").rlike(r"^ {0,3}(```|~~~)"), F.col("line").rlike(r"^\$\$\s*$")
+    odd = lambda c: F.coalesce(F.sum(c.cast("int")).over(before), F.lit(0)) % 2 == 1
+    marked = lines.withColumns({"in_code": odd(fence), "fence": fence}).withColumn("bar", math & ~F.col("in_code") & ~F.col("fence")).withColumn("in_math", odd(F.col("bar")))
+    kind = F.when(F.col("fence") | F.col("in_code"), "code").when(F.col("bar") | F.col("in_math"), "math")
+    for name, pattern in LINE_KINDS:
+        kind = kind.when(F.col("line").rlike(pattern), name)
+    k = marked.withColumn("kind", kind.otherwise("paragraph")).withColumn("last", F.lag("kind", 1, "blank").over(w))
+    lazy = ((F.col("kind") == "paragraph") & F.col("last").isin("blockquote", "list", "footnote")) | ((F.col("kind") == "indented") & F.col("last").isin("paragraph", "list", "footnote"))
+    opens = (F.col("fence") & ~F.col("in_code")) | (F.col("bar") & ~F.col("in_math"))
+    inside = F.col("in_code") | F.col("in_math")
+    new = F.when(inside, False).otherwise(opens | F.col("kind").isin("heading", "rule", "footnote") | ((F.col("kind") != F.col("last")) & ~lazy) | ((F.col("kind") == "code") & ~inside))
+    runs = k.withColumn("block", F.sum(new.cast("int")).over(upto))
+    own = F.when((F.col("kind") == "code") & F.col("fence"), None).when(F.col("bar"), None).otherwise(F.col("line"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("n", own.alias("s")))), lambda s: s["s"])
+    grouped = runs.groupBy(key, "block").agg(F.min("n").alias("pos"), F.min_by("kind", "n").alias("kind"), F.min_by("line", "n").alias("first"), F.array_compact(ordered).alias("ls"), F.count(F.when(F.col("kind") == "blank", 1)).alias("blanks")).where("kind != 'blank'")
+    body = F.filter("ls", lambda s: (F.trim(s) != "") | F.col("kind").isin("code", "math"))
+    unquoted = F.transform(body, lambda s: F.regexp_replace(s, r"^ {0,3}> ?", ""))
+    dedented = F.transform(body, lambda s: F.regexp_replace(s, r"^(    |\t)", ""))
+    joined = F.array_join(F.when(F.col("kind") == "blockquote", unquoted).when(F.col("kind") == "indented", dedented).otherwise(body), "\n")
+    head = trailing_attrs(F.trim(F.regexp_replace(F.regexp_replace("first", r"^#+\s*", ""), r"\s+#+\s*$", "")))
+    text = F.when(F.col("kind") == "heading", head["text"]).when(F.col("kind") == "footnote", F.regexp_replace(joined, r"^\[\^[^\]]+\]:\s*", "")).when(F.col("kind") == "rule", "").when(F.col("kind") == "math", F.trim(joined)).otherwise(joined)
+    info = code_info(F.regexp_replace("first", r"^ {0,3}[`~]+", ""))
+    return grouped.select(
+        key, "pos", F.when(F.col("kind") == "indented", "code").otherwise(F.col("kind")).alias("kind"), F.when(F.col("kind") == "heading", F.length(F.regexp_extract("first", "^#+", 0))).alias("level"),
+        F.when(F.col("kind") == "heading", head["attrs"]["id"]).when(F.col("kind") == "footnote", F.regexp_extract("first", r"^\[\^([^\]]+)\]", 1)).alias("ident"),
+        F.when(F.col("kind") == "code", info["language"]).alias("language"), text.alias("text"),
+    )
+
+
+#: Inline markup that does not nest, tried in this order at each place.
+INLINE = r"(?s)(`+)(?!`)(.+?)(?<!`)\1(?!`)|\$([^$\s](?:[^$]*[^$\s])?)\$|!\[([^\[\]]*)\]\(([^()\s]*)\)|\[\^([^\]\s]+)\]|\[([^\[\]]*)\]\(([^()\s]*)\)|\*\*([^*]+)\*\*|\*([^*]+)\*|~~([^~]+)~~|\^([^\^\s]+)\^|<((?:https?|mailto):[^<>\s]+)>"
+#: The groups of INLINE that hold the value, and the url if there is one.
+INLINE_KINDS = [("code", 2, None), ("math", 3, None), ("image", 4, 5), ("footnote_ref", 6, None), ("link", 7, 8), ("strong", 9, None), ("emphasis", 10, None), ("strikethrough", 11, None), ("superscript", 12, None), ("autolink", 13, 13)]
+
+
+def markdown_inlines(blocks: DataFrame) -> DataFrame:
+    """Inlines (keys of blocks, ipos, kind, value, url) of the column text; markup inside markup stays text of the outer one."""
+    keys = [c for c in blocks.columns if c != "text"]
+    plain = F.split("text", INLINE, -1)
+    group = {g: F.regexp_extract_all("text", F.lit(INLINE), g) for g in sorted({g for _, v, u in INLINE_KINDS for g in (v, u) if g})}
+    zipped = F.arrays_zip(*[c.alias(f"g{g}") for g, c in group.items()])
+
+    def one(m):
+        value, url, kind = F.lit(""), F.lit(None).cast("string"), F.lit("image")
+        for name, v, u in INLINE_KINDS:
+            hit = m[f"g{v}"] != "" if u is None or u == v else (m[f"g{u}"] != "") | (m[f"g{v}"] != "")
+            kind, value = F.when(hit, "link" if name == "autolink" else name).otherwise(kind), F.when(hit, m[f"g{v}"]).otherwise(value)
+            url = F.when(hit, m[f"g{u}"] if u else F.lit(None).cast("string")).otherwise(url)
+        return F.struct(kind.alias("kind"), value.alias("value"), url.alias("url"))
+
+    marks = F.transform(zipped, one)
+    text = F.transform(plain, lambda p: F.struct(F.lit("text").alias("kind"), p.alias("value"), F.lit(None).cast("string").alias("url")))
+    woven = F.flatten(F.transform(text, lambda p, i: F.concat(F.filter(F.array(p), lambda x: x["value"] != ""), F.when(i < F.size(marks), F.slice(marks, i + 1, F.lit(1))).otherwise(F.slice(marks, F.lit(1), F.lit(0))))))
+    return blocks.select(*keys, F.posexplode(woven).alias("ipos", "x")).select(*keys, "ipos", "x.*")
+
+
+def promote_math(blocks: DataFrame) -> DataFrame:
+    """Paragraphs that hold nothing but $$ ... $$ become math blocks."""
+    inner = F.regexp_extract("text", r"(?s)^\s*\$\$(.+)\$\$\s*$", 1)
+    is_math = (F.col("kind") == "paragraph") & (inner != "") & ~F.contains(inner, F.lit("$$"))
+    return blocks.withColumns({"kind": F.when(is_math, "math").otherwise(F.col("kind")), "text": F.when(is_math, F.trim(inner)).otherwise(F.col("text"))})
+
+
+def attributed(inlines: DataFrame) -> DataFrame:
+    """Inlines (doc_id, pos, ipos, kind, value, url) with attributes that follow them.
+
+    A text that begins with {...} right after an image or code gives it its attributes, or makes code raw
+    if it is {=format}; the braces go from the text.
+    """
+    from pyspark.sql import Window
+
+    from leafmill.functions.text import parse_attrs, raw_format
+
+    w = Window.partitionBy("doc_id", "pos").orderBy("ipos")
+    block = lambda c: F.regexp_extract(c, r"^(\{[^{}]*\})", 1)
+    following = F.when(F.lead("kind").over(w) == "text", F.nullif(block(F.lead("value").over(w)), F.lit("")))
+    x = inlines.withColumns({"_next": following, "_last": F.lag("kind").over(w)})
+    takes = F.col("kind").isin("image", "code") & F.col("_next").isNotNull() & (raw_format(F.col("_next")).isNotNull() | parse_attrs(F.col("_next")).isNotNull())
+    x = x.withColumn("_takes", takes).withColumn("_taken", F.coalesce(F.lag("_takes").over(w), F.lit(False)))
+    raw = F.when(F.col("_takes") & (F.col("kind") == "code"), raw_format(F.col("_next")))
+    out = x.withColumns({"format": raw, "attrs": F.when(F.col("_takes") & raw.isNull(), parse_attrs(F.col("_next"))), "value": F.when(F.col("_taken"), F.regexp_replace("value", r"^\{[^{}]*\}", "")).otherwise(F.col("value"))})
+    return out.withColumn("kind", F.when(F.col("format").isNotNull(), "raw").otherwise(F.col("kind"))).where("NOT _taken OR value != ''").drop("_next", "_last", "_takes", "_taken")
+
+
+def bracketed_spans(pieces: DataFrame) -> DataFrame:
+    """(keys of pieces, n, text, id, classes) of the spans [text]{attributes} in the column text; brackets may nest once."""
+    from leafmill.functions.text import parse_attrs
+
+    keys = [c for c in pieces.columns if c != "text"]
+    span = r"\[((?:[^\[\]]|\[[^\[\]]*\])*)\](\{[^{}]*\})"
+    found = F.arrays_zip(F.regexp_extract_all("text", F.lit(span), 1).alias("text"), F.regexp_extract_all("text", F.lit(span), 2).alias("attrs"))
+    each = pieces.select(*keys, F.posexplode(found).alias("n", "s")).withColumn("a", parse_attrs(F.col("s.attrs"))).where("a IS NOT NULL")
+    return each.select(*keys, "n", "s.text", "a.id", "a.classes")
+
+
+def front_matter(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, title, date, keywords, authors, rest, body) of documents (key, text) that may begin with a --- block.
+
+    Reads `name: value`, `name: [a, b]` and lists of `- item` lines; keywords may be called tags, authors
+    author. What has no field of its own is in rest. Anything else in the block is passed over.
+    """
+    block = r"(?s)^---\r?\n(.*?)\r?\n---[ \t]*(?:\r?\n|$)(.*)$"
+    has = F.col("text").rlike(block)
+    head = F.when(has, F.regexp_extract("text", block, 1)).otherwise("")
+    entry = r"(?m)^([\w-]+):[ \t]*(.*(?:\n[ \t]*- .*)*)$"
+    clean = lambda c: F.regexp_replace(F.trim(c), "^[\"']|[\"']$", "")
+    names = F.transform(F.regexp_extract_all(head, F.lit(entry), 1), lambda n: F.lower(n))
+    fields = F.map_from_arrays(F.array_distinct(names), F.transform(F.array_distinct(names), lambda n: F.element_at(F.regexp_extract_all(head, F.lit(entry), 2), F.array_position(names, n).cast("int"))))
+    d = docs.select(key, F.coalesce("text", F.lit("")).alias("text")).withColumn("f", fields)
+    get = lambda *n: F.coalesce(*[F.try_element_at("f", F.lit(x)) for x in n])
+
+    def several(c):
+        flow, lines = F.regexp_extract(c, r"^\[(.*)\]$", 1), F.regexp_extract_all(c, F.lit(r"(?m)^[ \t]*- (.*)$"), 1)
+        many = F.when(flow != "", F.split(flow, ",")).when(F.size(lines) > 0, lines).otherwise(F.array(c))
+        return F.when(c.isNotNull(), F.transform(many, lambda x: clean(x)))
+
+    known = ["title", "date", "keywords", "tags", "author", "authors"]
+    body = F.when(has, F.regexp_extract("text", block, 2)).otherwise(F.col("text"))
+    rest = F.transform_values(F.map_filter("f", lambda k, _: ~k.isin(*known)), lambda _, v: clean(v))
+    return d.select(key, clean(get("title")).alias("title"), clean(get("date")).alias("date"), several(get("keywords", "tags")).alias("keywords"), several(get("author", "authors")).alias("authors"), rest.alias("rest"), body.alias("body"))
