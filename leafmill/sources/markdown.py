@@ -133,7 +133,7 @@ def bracketed_spans(pieces: DataFrame) -> DataFrame:
     from leafmill.functions.text import parse_attrs
 
     keys = [c for c in pieces.columns if c != "text"]
-    span = r"\[((?:[^\[\]]|\[[^\[\]]*\])*)\](\{[^{}]*\})"
+    span = r"\[((?:[^\[\]]++|\[[^\[\]]*+\])*+)\](\{[^{}]*\})"
     found = F.arrays_zip(F.regexp_extract_all("text", F.lit(span), 1).alias("text"), F.regexp_extract_all("text", F.lit(span), 2).alias("attrs"))
     each = pieces.select(*keys, F.posexplode(found).alias("n", "s")).withColumn("a", parse_attrs(F.col("s.attrs"))).where("a IS NOT NULL")
     return each.select(*keys, "n", "s.text", "a.id", "a.classes")
