@@ -18,7 +18,9 @@ from leafmill.llm.hashing import Hashes, mixed, pack, unpack
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Text that a task works on at a time; packed postings of one bucket; counters of the frequency sketch.
-BLOCK_BYTES, BUCKET_BYTES, CELL_BITS, CHUNKS = 1 << 20, 8 << 20, 20, 16
+BLOCK_BYTES, BUCKET_BYTES, CELL_BITS, CHUNKS = 1 << 20, 8 << 20, 21, 16
+#: How often components are tied to a neighbour by their best pair before all other pairs are looked at.
+ROUNDS = 3
 #: Sets with one key in a block, from which on they are told apart from the rest of its list.
 HOT_IN_BLOCK = 32
 #: A table of ids of no more rows is broadcast.
@@ -104,13 +106,13 @@ def _measure(k: int):
     return run
 
 
-def frequency_levels(sketch: DataFrame):
-    """(levels of the sketch's cells as bytes, mean length of an inverted list among rare tokens).
+def frequencies(sketch: DataFrame):
+    """(counters of the sketch as bytes, mean length of an inverted list among rare tokens).
 
-    The sketch has a fixed number of counters over all shingles of all documents. A cell of level 0 holds
-    no more than twice the usual count; each further level doubles it. Token order is by level, then by
-    hash: frequent ones come last, whatever their number. Among rare tokens the counters' variance over
-    their mean is 1 if each occurs once and grows with the length of their lists.
+    The sketch has a fixed number of counters over all shingles of all documents. Tokens are ordered by their
+    counter, then by hash: a token that stands out from what shares its counter comes late, whatever its
+    number. Among counters that do not stand out the variance over the mean is 1 if each token occurs once
+    and grows with the length of their lists.
     """
     import numpy as np
 
@@ -122,12 +124,11 @@ def frequency_levels(sketch: DataFrame):
 
     summed = sketch.select("chunk", "data").groupBy("chunk").applyInArrow(add, "chunk int, data binary").collect()
     if not summed:
-        return bytes(1 << CELL_BITS), 1.0
+        return bytes(4 << CELL_BITS), 1.0
     cells = np.concatenate([np.frombuffer(r["data"], np.int64) for r in sorted(summed, key=lambda r: r["chunk"])])
-    usual = 2 * cells.mean() + 8
-    levels = np.where(cells <= usual, 0, 1 + np.log2(np.maximum(cells, 1) / usual)).astype(np.uint8)
-    rare = cells[levels == 0]
-    return levels.tobytes(), max(1.0, float(rare.var() / rare.mean())) if rare.any() else 1.0
+    rare = cells[cells <= 2 * cells.mean() + 8]
+    counters = np.minimum(cells, (1 << 32) - 1).astype(np.uint32)
+    return counters.tobytes(), max(1.0, float(rare.var() / rare.mean())) if rare.any() else 1.0
 
 
 def boundary(list_length: float, percent: int) -> int:
@@ -147,7 +148,7 @@ def _post(shared, light: int, percent: int, k: int, buckets: int):
         import numpy as np
         import pyarrow as pa
 
-        levels = np.frombuffer(shared.value, np.uint8)
+        counters = np.frombuffer(shared.value, np.uint32)
         for _, _, texts in blocks(batches, BLOCK_BYTES):
             h, cut = shingle_sets(texts, k)
             nodes = np.array([node_of(h[a:b]) if b > a else 0 for a, b in zip(cut[:-1], cut[1:], strict=True)], np.int64)
@@ -157,7 +158,7 @@ def _post(shared, light: int, percent: int, k: int, buckets: int):
             use = once & (size >= 4)  # smaller sets are similar to none but their equals
             doc = np.repeat(np.arange(len(texts)), size)
             h, doc = h[use[doc]], doc[use[doc]]
-            by = np.lexsort((h, levels[(h >> np.uint64(64 - CELL_BITS)).astype(np.int64)], doc))
+            by = np.lexsort((h, counters[(h >> np.uint64(64 - CELL_BITS)).astype(np.int64)], doc))
             h, doc = h[by], doc[by]
             begin = np.searchsorted(doc, np.arange(len(texts)))
             place = np.arange(len(h)) - begin[doc]
@@ -250,44 +251,48 @@ def group_rows(docs: DataFrame, percent: int, k: int) -> DataFrame:
     labels have no words. doc and mark are the id and the hash of the text.
 
     Rows of equal sets are one node. Postings of the first tokens, or pairs of them, are dealt out by key.
-    First each list is tied to its least node and those pairs are verified; then all pairs of a list that
-    are in different components yet, and could overlap enough, are verified as well. So no link between
-    components is missed and a group of near copies need not be expanded into all of its pairs.
+    For some rounds each component is tied to the least component of one of its lists, by the pair with most
+    in common, and those pairs are verified; then all pairs of a list that are in different components yet,
+    and could overlap enough, are verified as well. So no link between components is missed and a group of
+    near copies need not be expanded into all of its pairs.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
     written = Written(spark, "jaccard")
     rows = docs.select("doc_id", F.col("doc_id").cast("long").alias("doc"), F.hash("text").alias("mark"), "text")
     measured = written.table(rows.select("doc", "mark", "text").mapInArrow(task(_measure(k)), "doc long, mark int, n long, node long, chunk int, data binary"), "measured")
-    levels, list_length = frequency_levels(measured.where("chunk IS NOT NULL"))
+    counters, list_length = frequencies(measured.where("chunk IS NOT NULL"))
     members = measured.where("chunk IS NULL").select("doc", "mark", "n", "node")
     light = boundary(list_length, percent)
     total = members.agg(F.sum("n")).first()[0] or 0
     buckets = max(48, total * (100 - percent) // 100 * 18 // BUCKET_BYTES)
-    shared = spark.sparkContext.broadcast(levels)
+    shared = spark.sparkContext.broadcast(counters)
     posted = rows.select("doc", "mark", "text").mapInArrow(task(_post(shared, light, percent, k, buckets)), "kind string, bucket int, data binary")
     lists = written.table(posted.groupBy("kind", "bucket").applyInArrow(_lists, "key long, node long, n long, place long"), "lists")
     free_shuffles(spark)
 
-    hubs = lists.groupBy("key").agg(F.min(F.struct("node", "n")).alias("hub"))
-    stars = lists.join(hubs, "key").select(F.col("hub.node").alias("a"), F.col("node").alias("b"), F.col("hub.n").alias("m"), "n").where(f"a != b AND least(n, m) * 100 >= {percent} * greatest(n, m)")
-    # pairs left out here for having little in common are looked at again below
-    stars = stars.groupBy("a", "b").agg(F.count("*").alias("common"), F.min("n").alias("n")).where(f"common * 400 >= n * {100 - percent}")
-    stars = written.table(stars.select("a", "b"), "stars")
-    free_shuffles(spark)
-    links = written.table(verify(stars, _sets_of(rows, members, stars, k), percent), "links-1")
-    joined = connected_components(links, written, "first")
+    labelled, links, tried, labels = lists.withColumn("label", F.col("node")), None, None, None
+    for step in range(ROUNDS):
+        hubs = labelled.groupBy("key").agg(F.min(F.struct("label", "node", "n")).alias("hub"))
+        pairs = labelled.join(hubs, "key").where(f"label != hub.label AND least(n, hub.n) * 100 >= {percent} * greatest(n, hub.n)")
+        pairs = pairs.groupBy(F.col("hub.node").alias("a"), F.col("node").alias("b"), "label").agg(F.count("*").alias("common"))
+        pairs = pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti")
+        best = written.table(pairs.groupBy("label").agg(F.max(F.struct("common", "a", "b")).alias("x")).select("x.a", "x.b"), f"best-{step}")
+        found = written.table(verify(best, _sets_of(rows, members, best, k), percent), f"links-{step}")
+        links, tried = (found, best) if links is None else (links.unionByName(found), tried.unionByName(best))
+        labels = connected_components(links, written, f"step-{step}")
+        joined = labelled.drop("label").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        open_keys = joined.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("key")
+        labelled = written.table(joined.join(open_keys, "key"), f"open-{step}")
+        free_shuffles(spark)
 
-    labelled = lists.join(joined, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    open_keys = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("key")
-    labelled = written.table(labelled.join(open_keys, "key"), "open")
     other = labelled.select("key", F.col("node").alias("b"), F.col("n").alias("m"), F.col("place").alias("q"), F.col("label").alias("other"))
     cross = labelled.withColumnsRenamed({"node": "a", "place": "p"}).join(other, "key").where(f"a < b AND label != other AND least(n, m) * 100 >= {percent} * greatest(n, m)")
     cross = cross.groupBy("a", "b").agg(F.count("*").alias("common"), *[F.min(c).alias(c) for c in ("n", "m", "p", "q")])
     cross = cross.where(may_be_similar(percent, light)).select("a", "b")
-    cross = written.table(cross.join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "cross")
+    cross = written.table(cross.join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "cross")
     free_shuffles(spark)
-    more = written.table(verify(cross, _sets_of(rows, members, cross, k), percent), "links-2")
+    more = written.table(verify(cross, _sets_of(rows, members, cross, k), percent), "links-cross")
     free_shuffles(spark)
     labels = connected_components(links.unionByName(more), written, "all")
 
