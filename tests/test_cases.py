@@ -91,7 +91,7 @@ def test_includes(spark):
     files = [(1, "main.tex", "A\\input{./b}C\\begin{verbatim}\\input{b}\\end{verbatim}\\include{no}"), (1, "b.tex", "[\\input{main}\\input{c}]"), (1, "c.ltx", "c")]
     df = spark.createDataFrame(files, "project_id long, path string, text string")
     texts, warnings = includes.resolve_includes(df, df.where("path = 'main.tex'").select("project_id", F.col("path").alias("root")))
-    assert texts.first()["text"] == "A[A[c]C\\begin{verbatim}\\input{b}\\end{verbatim}c]C\\begin{verbatim}\\input{b}\\end{verbatim}"
+    assert texts.first()["text"] == "A[AC\\begin{verbatim}\\input{b}\\end{verbatim}c]C\\begin{verbatim}\\input{b}\\end{verbatim}"
     assert {r["message"] for r in warnings.collect()} == {"\\include{no}: file not found", "circular \\input{./b}"}
 
 
