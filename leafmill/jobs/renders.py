@@ -91,3 +91,26 @@ def add(name: str, form: str) -> None:
 
 for number, form in (("b1", "html"), ("b3_b5", "markdown"), ("b6", "plain"), ("b8", "latex"), ("b9", "typst"), ("b10", "myst")):
     add(f"{number}_render_{form}", form)
+
+
+def c1(spark, d):
+    return r.inline_text(corpus(spark, d)[1], "alt")
+
+
+QUERIES["c1_inline_text"] = c1
+ORACLES["c1_inline_text"] = f"""SELECT o_custkey AS doc_id, CASE k % 8 WHEN 5 THEN k * 100 + 2 * n + 2 WHEN 4 THEN k * 100 + 2 * n + 1 ELSE k * 100 END AS pos,
+  string_agg(CASE WHEN l_partkey % 8 IN (4, 6) THEN '' ELSE 'w' || l_suppkey || '_<' END, '' ORDER BY n) AS text FROM (SELECT *, doc_id AS k FROM {LINES}) JOIN orders ON o_orderkey = k WHERE k % 8 IN (0, 1, 4, 5, 7) GROUP BY ALL"""
+
+
+def w1(spark, d):
+    """Number, then render: the whole job on a corpus, as one chain."""
+    blocks, inlines = corpus(spark, d)
+    return r.render_documents(blocks, r.numbered_headings(blocks, inlines), "html")
+
+
+def _counter(level: int) -> str:
+    return f"(SELECT count(*) FROM o x WHERE x.o_custkey = o.o_custkey AND x.k % 8 = 1 AND x.lv = {level} AND x.k <= o.k AND x.k > coalesce((SELECT max(y.k) FROM o y WHERE y.o_custkey = o.o_custkey AND y.k % 8 = 1 AND y.lv < {level} AND y.k <= o.k), -1))"
+
+
+QUERIES["w1_number_and_render"] = w1
+ORACLES["w1_number_and_render"] = ORACLES["b1_render_html"].replace("coalesce(c, '') AS c", f"CASE WHEN o.k % 8 = 1 THEN array_to_string([{', '.join(_counter(v) for v in (1, 2, 3, 4))}][1:lv], '.') || ' ' ELSE '' END || coalesce(c, '') AS c")

@@ -164,6 +164,26 @@ def render_block(form: str) -> Column:
     ], line)
 
 
+#: What plain text of inlines is used for: kinds that are left out, and what stands for soft and hard breaks.
+PLAIN_TEXT = {"alt": (["link", "footnote_ref"], " ", " "), "toc": (["footnote_ref"], " ", "\n"), "slug": (["footnote_ref", "quoted"], " ", " "), "yaml": (["footnote_ref"], " ", " ")}
+
+
+def inline_text(inlines: DataFrame, use: str) -> DataFrame:
+    """(doc_id, pos, text): the plain text of each block's inlines for alternative texts, contents, slugs or YAML."""
+    dropped, soft, hard = PLAIN_TEXT[use]
+    said = F.when(F.col("kind") == "soft_break", soft).when(F.col("kind") == "hard_break", hard).when(F.col("kind").isin(*dropped), "").otherwise(F.col("value"))
+    return inlines.groupBy("doc_id", "pos").agg(in_order("ipos", piece=said).alias("text"))
+
+
+def numbered_headings(blocks: DataFrame, inlines: DataFrame, top: str | None = None) -> DataFrame:
+    """Inlines with the section number and a space before those of each heading."""
+    from leafmill.operators.outline import number_sections
+
+    numbers = number_sections(blocks.where("kind = 'heading'").select("doc_id", "pos", "level"), top)
+    first = numbers.select("doc_id", "pos", F.lit(-1).alias("ipos"), F.lit("text").alias("kind"), F.concat("number", F.lit(" ")).alias("value"))
+    return inlines.unionByName(first, allowMissingColumns=True)
+
+
 def separator(form: str) -> Column:
     """Between the blocks of a document or container: a blank line where blocks end in one line end; none between items."""
     return F.when(F.col("kind") == "item", "").otherwise("\n" if form in ("markdown", "myst", "typst") else "")
