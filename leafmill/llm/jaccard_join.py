@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafmill.llm.common import Written, bounded_batches, free_shuffles, give_back, small, task, text_bytes
@@ -19,8 +19,8 @@ from leafmill.llm.hashing import Hashes, mixed, pack, unpack
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Text that a task works on at a time; packed postings of one bucket; counters of the frequency sketch.
 BLOCK_BYTES, BUCKET_BYTES, CELL_BITS, CHUNKS = 1 << 20, 8 << 20, 21, 16
-#: How often components are tied to a neighbour by their best pair before all other pairs are looked at.
-ROUNDS = 3
+#: How often sets are tied to their nearest neighbours in lists, and to how many, before all other pairs are looked at.
+ROUNDS, TRIES = 3, 4
 #: Sets with one key in a block, from which on they are told apart from the rest of its list.
 HOT_IN_BLOCK = 32
 #: A table of ids of no more rows is broadcast.
@@ -251,8 +251,8 @@ def group_rows(docs: DataFrame, percent: int, k: int) -> DataFrame:
     labels have no words. doc and mark are the id and the hash of the text.
 
     Rows of equal sets are one node. Postings of the first tokens, or pairs of them, are dealt out by key.
-    For some rounds each component is tied to the least component of one of its lists, by the pair with most
-    in common, and those pairs are verified; then all pairs of a list that are in different components yet,
+    For some rounds sets are paired with sets of other components that stand next to them in their lists, the
+    pairs that most lists have first, and those pairs are verified; then all pairs of a list that are in different components yet,
     and could overlap enough, are verified as well. So no link between components is missed and a group of
     near copies need not be expanded into all of its pairs.
     """
@@ -273,11 +273,15 @@ def group_rows(docs: DataFrame, percent: int, k: int) -> DataFrame:
 
     labelled, links, tried, labels = lists.withColumn("label", F.col("node")), None, None, None
     for step in range(ROUNDS):
-        hubs = labelled.groupBy("key").agg(F.min(F.struct("label", "node", "n")).alias("hub"))
-        pairs = labelled.join(hubs, "key").where(f"label != hub.label AND least(n, hub.n) * 100 >= {percent} * greatest(n, hub.n)")
-        pairs = pairs.groupBy(F.col("hub.node").alias("a"), F.col("node").alias("b"), "label").agg(F.count("*").alias("common"))
+        # neighbours in a list, by size and in another order each time
+        order = Window.partitionBy("key").orderBy(*([F.col("n")] if step % 2 == 0 else []), F.xxhash64("node", F.lit(step)))
+        last = F.lag(F.struct("label", "node", "n")).over(order)
+        pairs = labelled.withColumn("last", last).where(f"label != last.label AND least(n, last.n) * 100 >= {percent} * greatest(n, last.n)")
+        pairs = pairs.select(F.least("node", "last.node").alias("a"), F.greatest("node", "last.node").alias("b")).groupBy("a", "b").agg(F.count("*").alias("common"))
         pairs = pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti")
-        best = written.table(pairs.groupBy("label").agg(F.max(F.struct("common", "a", "b")).alias("x")).select("x.a", "x.b"), f"best-{step}")
+        place = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("common"), "a", "b"))
+        best = pairs.select("common", "a", "b", F.explode(F.array("a", "b")).alias("node")).withColumn("place", place).where(F.col("place") <= TRIES)
+        best = written.table(best.select("a", "b").distinct(), f"best-{step}")
         found = written.table(verify(best, _sets_of(rows, members, best, k), percent), f"links-{step}")
         links, tried = (found, best) if links is None else (links.unionByName(found), tried.unionByName(best))
         labels = connected_components(links, written, f"step-{step}")
@@ -290,7 +294,7 @@ def group_rows(docs: DataFrame, percent: int, k: int) -> DataFrame:
     cross = labelled.withColumnsRenamed({"node": "a", "place": "p"}).join(other, "key").where(f"a < b AND label != other AND least(n, m) * 100 >= {percent} * greatest(n, m)")
     cross = cross.groupBy("a", "b").agg(F.count("*").alias("common"), *[F.min(c).alias(c) for c in ("n", "m", "p", "q")])
     cross = cross.where(may_be_similar(percent, light)).select("a", "b")
-    cross = written.table(cross.join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "cross")
+    cross = written.table(cross.join(tried, ["a", "b"], "left_anti"), "cross")
     free_shuffles(spark)
     more = written.table(verify(cross, _sets_of(rows, members, cross, k), percent), "links-cross")
     free_shuffles(spark)
@@ -335,7 +339,7 @@ def _rows_of(docs: DataFrame, chosen: DataFrame) -> DataFrame:
 
 def _sets_of(rows: DataFrame, members: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
     """(node, data) of the nodes in `pairs`, read from one row's text for each."""
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     chosen = members.join(nodes, "node").groupBy("node").agg(F.min(F.struct("doc", "mark")).alias("row")).select("row.*")
     texts = _rows_of(rows, chosen)
 
