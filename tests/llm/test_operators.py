@@ -256,6 +256,32 @@ def test_forest_tells_anomalies():
     assert forest.scores(np.array([[6.0, 6.0, -6.0]]))[0] > np.quantile(forest.scores(usual), 0.99)
 
 
+def test_shape():
+    assert quality_forest.shape("AB c | -- é 1 Ä".encode()) == (3, 2, 2)
+    assert quality_forest.shape(b"") == (0, 0, 0)
+
+
+def test_threshold_of():
+    good, bad = np.arange(1000) / 2000, np.array([0.1, 0.4992, 0.9])
+    assert quality_forest.threshold_of(good, bad, 0.001) == ((0.499 + 0.4992) / 2, 2)
+    assert quality_forest.threshold_of(good, bad[:1], 0.001) == (0.499, 0)
+    assert quality_forest.threshold_of(good[:0], bad, 0.001) == (1.0, 0)
+
+
+def test_forest_catches_junk(spark):
+    rng = np.random.default_rng(3)
+    word = lambda: "".join(rng.choice(list("abcdefgh"), rng.integers(2, 9)))
+    prose = lambda n: [" ".join([word().title(), *(word() for _ in range(9))]) + "." for _ in range(n)]
+    junk = [lambda s: s.replace(" ", "### "), str.upper, lambda s: s.replace(" ", " | ")]
+    rows = [(i, "\n".join(prose(8)), 1) for i in range(600)]
+    rows += [(1000 + i, junk[i % 3]("\n".join(prose(8))), 0) for i in range(60)]
+    rows += [(2000 + i, "### $$$ | | AA " * (i % 3), 1) for i in range(60)]  # fail the base rules; their scores set no threshold
+    docs, labels = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, quality int")
+    forest, threshold = quality_forest.fit_forest(docs, labels)
+    kept = {r["doc_id"] for r in quality_forest.score_quality(docs, forest, threshold, ["doc_id"]).where("kept").collect()}
+    assert len([i for i in kept if i < 1000]) >= 599 and len([i for i in kept if 1000 <= i < 2000]) <= 6
+
+
 # ---- 6 -------------------------------------------------------------------------------------------
 
 
