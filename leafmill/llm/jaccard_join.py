@@ -8,6 +8,7 @@ single tokens. Where one way becomes cheaper than the other follows from the cor
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,6 +26,8 @@ ROUNDS, TRIES = 3, 4
 HOT_IN_BLOCK = 32
 #: A table of ids of no more rows is broadcast.
 SMALL_IDS = 500_000
+#: Sets of one component that meet in one place when its links are verified.
+PART_SETS = 512
 
 
 def shingle_sets(texts: list[bytes], k: int):
@@ -246,8 +249,21 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return two.select("a", "b", "x", "y").mapInArrow(task(check), "a long, b long")
 
 
-def group_rows(docs: DataFrame, percent: int, k: int) -> DataFrame:
-    """(doc, mark, n, label) for each row of docs (doc_id, text): rows of one label are reached by links; null
+@dataclass
+class Found:
+    """Tables of a join: rows with their sets and labels, the labels of linked nodes, lists of first tokens, and what they came from."""
+
+    grouped: DataFrame
+    labels: DataFrame
+    lists: DataFrame
+    rows: DataFrame
+    light: int
+    shingles: int
+    written: Written
+
+
+def find_groups(docs: DataFrame, percent: int, k: int) -> Found:
+    """(doc, mark, n, node, label) for each row of docs (doc_id, text): rows of one label are reached by links; null
     labels have no words. doc and mark are the id and the hash of the text.
 
     Rows of equal sets are one node. Postings of the first tokens, or pairs of them, are dealt out by key.
@@ -300,7 +316,50 @@ def group_rows(docs: DataFrame, percent: int, k: int) -> DataFrame:
     free_shuffles(spark)
     labels = connected_components(links.unionByName(more), written, "all")
 
-    return written.table(members.join(labels, "node", "left").select("doc", "mark", "n", F.coalesce("label", "node").alias("label")), "grouped")
+    grouped = written.table(members.join(labels, "node", "left").select("doc", "mark", "n", "node", F.coalesce("label", "node").alias("label")), "grouped")
+    return Found(grouped, labels, lists, rows, light, total, written)
+
+
+def group_rows(docs: DataFrame, percent: int, k: int) -> DataFrame:
+    """(doc, mark, n, label) of `find_groups`."""
+    return find_groups(docs, percent, k).grouped.drop("node")
+
+
+def linked_sets(found: Found, percent: int, k: int) -> DataFrame:
+    """(a, b): every link between different sets, once.
+
+    Links stay inside components, so candidates are the pairs of sets of one component in one list that could
+    overlap enough. They are verified where their parts of the component meet: a set is sent to one place
+    for each part of its component, however many pairs it is in.
+    """
+    labels = found.labels
+    parts = labels.groupBy("label").agg(F.ceil(F.count("*") / PART_SETS).cast("int").alias("parts"))
+    placed = found.written.table(labels.join(parts, "label").select("node", "label", F.pmod(F.hash("node"), "parts").alias("part")), "placed")
+    own = found.written.table(found.lists.join(placed, "node"), "inside")
+    other = own.select("key", "label", F.col("node").alias("b"), F.col("n").alias("m"), F.col("place").alias("q"), F.col("part").alias("other"))
+    pairs = own.withColumnsRenamed({"node": "a", "place": "p"}).join(other, ["key", "label"]).where(f"a < b AND least(n, m) * 100 >= {percent} * greatest(n, m)")
+    pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("common"), *[F.min(c).alias(c) for c in ("n", "m", "p", "q", "label", "part", "other")])
+    buckets = max(48, found.shingles * 8 // BUCKET_BYTES)
+    bucket = F.pmod(F.hash("label", F.least("part", "other"), F.greatest("part", "other")), F.lit(buckets))
+    pairs = found.written.table(pairs.where(may_be_similar(percent, found.light)).select("a", "b", bucket.alias("bucket")), "candidates")
+    free_shuffles(found.written.spark)
+    sets = _sets_of(found.rows, found.grouped.select("doc", "mark", "n", "node"), pairs, k)
+    asked = pairs.select(F.col("bucket").alias("at"), F.explode(F.array("a", "b")).alias("node")).distinct().join(sets, "node")
+
+    def check(key, pairs, sets):
+        import numpy as np
+        import pyarrow as pa
+
+        of = dict(zip(sets.column("node").to_pylist(), (np.frombuffer(d, np.uint64) for d in sets.column("data").to_pylist()), strict=True))
+        ok = []
+        for a, b in zip(pairs.column("a").to_pylist(), pairs.column("b").to_pylist(), strict=True):
+            x, y = of[a], of[b]
+            both = np.sort(np.concatenate([x, y]))
+            common = int((both[1:] == both[:-1]).sum())
+            ok.append(100 * common >= percent * (len(x) + len(y) - common))
+        return pairs.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    return found.written.table(pairs.groupBy("bucket").cogroup(asked.groupBy("at")).applyInArrow(check, "a long, b long"), "verified")
 
 
 def similar_groups(docs: DataFrame, percent: int = 80, k: int = 5) -> DataFrame:
@@ -311,11 +370,31 @@ def similar_groups(docs: DataFrame, percent: int = 80, k: int = 5) -> DataFrame:
     common; component_id is the smallest doc_id that links reach. Null and empty texts link with nothing.
     A null id counts as no id: such rows link, but give no component_id to others.
     """
-    grouped = group_rows(docs, percent, k)
+    return _components_of(docs, group_rows(docs, percent, k))
+
+
+def similar_links(docs: DataFrame, percent: int = 80, k: int = 5) -> DataFrame:
+    """`similar_groups` with n_links: how many other rows each row links with.
+
+    Rows of equal sets link with each other and with the same others, so links are verified once for each pair
+    of different sets and counted by the rows of both.
+    """
+    found = find_groups(docs, percent, k)
+    links = linked_sets(found, percent, k)
+    copies = found.grouped.where("n > 0").groupBy("node").agg(F.count("*").alias("copies"))
+    both = links.union(links.select("b", "a"))
+    others = both.join(copies.withColumnsRenamed({"node": "b", "copies": "rows"}), "b").groupBy(F.col("a").alias("node")).agg(F.sum("rows").alias("others"))
+    count = found.written.table(copies.join(others, "node", "left").select("node", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links")), "counts")
+    grouped = found.grouped.join(count, "node", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0)))
+    return _components_of(docs, grouped, "n_links")
+
+
+def _components_of(docs: DataFrame, grouped: DataFrame, *more: str) -> DataFrame:
+    """doc_id, n_shingles, component_id and the columns `more` for each row of `grouped`."""
     least = grouped.where("n > 0").groupBy("label").agg(F.min("doc").alias("component"))
-    out = grouped.where("n > 0").join(least, "label").select("doc", "n", "component").unionByName(grouped.where("n = 0").select("doc", "n", F.col("doc").alias("component")))
+    out = grouped.where("n > 0").join(least, "label").select("doc", "n", "component", *more).unionByName(grouped.where("n = 0").select("doc", "n", F.col("doc").alias("component"), *more))
     kind = dict(docs.dtypes)["doc_id"]
-    return out.select(F.col("doc").cast(kind).alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "doc").cast(kind).alias("component_id"))
+    return out.select(F.col("doc").cast(kind).alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "doc").cast(kind).alias("component_id"), *more)
 
 
 def keep_one(docs: DataFrame, percent: int = 80, k: int = 5) -> DataFrame:
@@ -358,6 +437,10 @@ def op2_size_aware(spark, sf_dir: str) -> DataFrame:
     return similar_groups(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
 
 
+def op2_links(spark, sf_dir: str) -> DataFrame:
+    return similar_links(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+
+
 OP2_SQL = r"""
 WITH RECURSIVE d AS (
   SELECT row_number() OVER () AS r, doc_id,
@@ -380,3 +463,8 @@ WITH RECURSIVE d AS (
 SELECT d.doc_id, coalesce(max(n.n), 0) AS n_shingles, min(o.doc_id) AS component_id
 FROM d LEFT JOIN n ON n.r = d.r JOIN reach ON reach.r = d.r JOIN d o ON o.r = reach.t GROUP BY d.r, d.doc_id
 """
+
+OP2_LINKS_SQL = OP2_SQL.rsplit("SELECT", 1)[0] + r"""SELECT d.doc_id, coalesce(max(n.n), 0) AS n_shingles, min(o.doc_id) AS component_id, coalesce(max(l.n_links), 0) AS n_links
+FROM d LEFT JOIN n ON n.r = d.r LEFT JOIN (SELECT a, count(*) AS n_links FROM edges GROUP BY a) l ON l.a = d.r
+JOIN reach ON reach.r = d.r JOIN d o ON o.r = reach.t GROUP BY d.r, d.doc_id
+"""

@@ -139,6 +139,15 @@ def test_groups_odd(odd, none):
     assert kept.columns == odd.columns and kept.where("text = 'same text here'").count() == 1 and kept.count() == 7
 
 
+def test_links_of_a_family(spark):
+    base = [f"w{i}" for i in range(200)]
+    texts = [" ".join([*base[:i], "x", *base[i + 1 :]]) for i in range(0, 200, 8)] + [" ".join(base)] * 3 + ["", None, "a b", "A  b"]
+    sets = [{" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in ((t or "").lower().split() for t in texts)]
+    want = {i: sum(j != i and bool(x) and len(x & y) * 100 >= 80 * len(x | y) for j, y in enumerate(sets)) for i, x in enumerate(sets)}
+    got = jaccard_join.similar_links(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["n_links"] for r in got} == want and max(want.values()) == 27
+
+
 # ---- 3 -------------------------------------------------------------------------------------------
 
 
