@@ -1,7 +1,7 @@
 """Whole documents rendered from their blocks and inlines.
 
 Inlines become one text for each block and blocks one text for each document, by ordered aggregation.
-Containers are filled from the inside out: one aggregation for each level of nesting, which `depth` bounds.
+Containers are filled from the inside out: one aggregation for each level of nesting.
 """
 
 from __future__ import annotations
@@ -189,14 +189,14 @@ def separator(form: str) -> Column:
     return F.when(F.col("kind") == "item", "").otherwise("\n" if form in ("markdown", "myst", "typst") else "")
 
 
-def render_documents(blocks: DataFrame, inlines: DataFrame, form: str, depth: int = 2) -> DataFrame:
+def render_documents(blocks: DataFrame, inlines: DataFrame, form: str) -> DataFrame:
     """(doc_id, text) of blocks (doc_id, pos, parent, depth, ...) and inlines (doc_id, pos, ipos, kind, value, url, note).
 
-    `depth` is the depth of the most nested block. parent is the pos of the container, index the place of an
+    The depth of the most nested block is taken from the blocks. parent is the pos of the container, index the place of an
     item in its list.
     """
     content = inlines.groupBy("doc_id", "pos").agg(in_order("ipos", piece=render_inline(form)).alias("content"))
-    level = None
+    level, depth = None, blocks.agg(F.max("depth")).first()[0] or 0
     rows = blocks.join(content, ["doc_id", "pos"], "left").withColumn("content", F.coalesce("content", F.lit("")))
     for d in range(depth, -1, -1):
         here = rows.where(F.col("depth") == d)

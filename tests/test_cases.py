@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from leafmill.functions import text as t
-from leafmill.operators import cite, outline, render, template
+from leafmill.operators import cite, documents, outline, render, template
 from leafmill.operators import math as m
 from leafmill.sources import citations, html, includes, markdown
 
@@ -110,3 +110,14 @@ def test_markdown_blocks(spark):
 @pytest.mark.parametrize("latex,typst", [(r"\frac{a+b}{2}", "frac(a + b, 2)"), (r"x^{n+1}_i", "x^(n + 1)_i"), (r"\sqrt[3]{x}", "root(3, x)"), (r"\mathbf{v} \foo", "bold(v) foo"), ("", "")])
 def test_math(latex, typst):
     assert m.latex_to_typst(latex) == typst
+
+
+@pytest.mark.parametrize("form", documents.FORMATS)
+def test_render_nested_lists(spark, form):
+    kinds = ["list", "item"] * 4 + ["paragraph"]
+    schema = "doc_id long, pos long, parent long, depth int, kind string, level int, ident string, language string, text string, ordered boolean, start int, index int, checked boolean"
+    blocks = spark.createDataFrame([(1, i, i - 1 if i else None, i, k, None, None, None, None, False, None, 0, None) for i, k in enumerate(kinds)], schema)
+    inlines = spark.createDataFrame([(1, 8, 0, "text", "deep", None, None)], "doc_id long, pos long, ipos int, kind string, value string, url string, note string")
+    text = documents.render_documents(blocks, inlines, form).first()["text"]
+    marks = {"html": "<li>", "latex": "\\item"}
+    assert "deep" in text and text.count(marks.get(form, "- ")) == 4
