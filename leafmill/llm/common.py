@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from typing import ClassVar
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -30,19 +31,41 @@ def shared_dir(spark: SparkSession) -> str:
 class Written:
     """Tables written to the shared folder to cut lineage; `drop` removes those no longer read."""
 
+    all: ClassVar[list[Written]] = []
+
     def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        self.spark, self.root, self.names = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", set()
+        Written.all.append(self)
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
+        self.names.add(name)
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
-        jvm = self.spark._jvm
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            self.names.discard(name)
+            self._delete(f"{self.root}/{name}")
+
+    def drop_others(self, *names: str) -> None:
+        """Removes all tables but those named."""
+        self.drop(*(self.names - set(names)))
+
+    def _delete(self, path: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+    @classmethod
+    def written_so_far(cls) -> int:
+        return len(cls.all)
+
+    @classmethod
+    def remove_since(cls, mark: int) -> None:
+        """Removes the tables of all operators that began after `written_so_far` was `mark`, once their results are stored."""
+        for w in cls.all[mark:]:
+            w._delete(w.root)
+        del cls.all[mark:]
 
 
 def free_shuffles(spark: SparkSession) -> None:
@@ -53,14 +76,14 @@ def free_shuffles(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
-def bounded_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Has Spark send Python texts in batches of `rows` instead of its default of 10000, which long texts make large.
+def bounded_batches(spark: SparkSession, size: int = 4 << 20) -> None:
+    """Has Spark send Python batches of about `size` bytes, so that long texts do not make them large.
 
-    A number that the session has set itself stays.
+    Frames are lazy, so this stays set in the session; a size that the session has set itself is kept.
     """
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(name) == "10000":
-        spark.conf.set(name, str(rows))
+    name, unset = "spark.sql.execution.arrow.maxBytesPerBatch", "7"
+    if spark.conf.get(name, unset) == unset:
+        spark.conf.set(name, str(size))
 
 
 def give_back() -> None:

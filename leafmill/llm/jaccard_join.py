@@ -2,12 +2,13 @@
 
 Size-aware: all sets that can be similar share tokens among the first few of a common order. Small sets
 enumerate the pairs of those tokens and meet under a common pair; large sets scan the inverted lists of
-single tokens. Where one way becomes cheaper than the other follows from the corpus.
+single tokens. Where one way becomes cheaper than the other follows from the corpus. Who meets in a list is
+compared by a sketch that never tells similar sets apart; what is left is verified set against set.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
@@ -18,16 +19,16 @@ from leafmill.llm.components import connected_components
 from leafmill.llm.hashing import Hashes, mixed, pack, unpack
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-#: Text that a task works on at a time; packed postings of one bucket; counters of the frequency sketch.
+#: Text that a task works on at a time; packed bytes of one bucket; counters of the frequency sketch.
 BLOCK_BYTES, BUCKET_BYTES, CELL_BITS, CHUNKS = 1 << 20, 8 << 20, 21, 16
-#: How often sets are tied to their nearest neighbours in lists, and to how many, before all other pairs are looked at.
-ROUNDS, TRIES = 3, 4
 #: Sets with one key in a block, from which on they are told apart from the rest of its list.
 HOT_IN_BLOCK = 32
 #: A table of ids of no more rows is broadcast.
 SMALL_IDS = 500_000
-#: Sets of one component that meet in one place when its links are verified.
-PART_SETS = 512
+#: Sets, and shingles of sets, of a group that meet in one place; larger groups are cut into parts that meet part by part.
+PART_SETS, PART_SHINGLES = 512, 1 << 18
+#: Sets of a group in parts that are sent to each of its parts.
+PIVOTS = 16
 
 
 def shingle_sets(texts: list[bytes], k: int):
@@ -60,6 +61,53 @@ def node_of(hashes) -> int:
     return int.from_bytes(hashlib.blake2b(hashes.tobytes(), digest_size=8).digest(), "little") >> 1
 
 
+def parity_sketch(hashes) -> bytes:
+    """For each of 2**b cells, at least three for each shingle, whether an odd number of shingles falls into it.
+
+    Two sketches differ in no more cells than the sets differ in shingles.
+    """
+    import numpy as np
+
+    cells = 64
+    while cells < 3 * len(hashes):
+        cells *= 2
+    odd = np.bincount((hashes & np.uint64(cells - 1)).astype(np.int64), minlength=cells) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+class Sketches:
+    """Several parity sketches; those of more cells are folded onto those of fewer."""
+
+    def __init__(self, data: list[bytes]):
+        import numpy as np
+
+        self.words = np.frombuffer(b"".join(data), np.uint64)
+        self.width = np.fromiter(map(len, data), np.int64, len(data)) // 8
+        self.begin = np.cumsum(self.width) - self.width
+
+    def folded(self, at, width: int, to: int):
+        import numpy as np
+
+        x = self.words[self.begin[at][:, None] + np.arange(width)]
+        while width > to:
+            width //= 2
+            x = x[:, :width] ^ x[:, width:]
+        return x
+
+    def apart(self, p, q):
+        """In how many cells the sketches at p and q (arrays of places) differ."""
+        import numpy as np
+
+        out = np.zeros(len(p), np.int64)
+        both = self.width[p] << 32 | self.width[q]
+        for code in np.unique(both):
+            rows, wide = np.flatnonzero(both == code), (int(code) >> 32, int(code) & 0xFFFFFFFF)
+            for part in np.array_split(rows, -(-len(rows) * max(wide) // (1 << 19))):
+                differ = self.folded(p[part], wide[0], min(wide)) ^ self.folded(q[part], wide[1], min(wide))
+                out[part] = np.bitwise_count(differ).sum(1, dtype=np.int64)
+        return out
+
+
 def blocks(batches: Iterator, limit: int) -> Iterator[tuple[list, list, list[bytes]]]:
     """Rows (doc, mark, text) of Arrow batches in blocks of about `limit` bytes of text."""
     docs, marks, texts, size = [], [], [], 0
@@ -81,16 +129,21 @@ def needed(n, percent: int):
     return -(-n * percent // 100)
 
 
+def most_apart(n, m, percent: int):
+    """In how many shingles similar sets of n and m can differ."""
+    return n + m - 2 * -(-(n + m) * percent // (100 + percent))
+
+
 def _measure(k: int):
-    """docs (doc, mark, text) to their set's size and number, and chunks of the frequency sketch."""
+    """docs (doc, mark, text) to their set's size, number and sketch (once for equal sets of a block), and chunks of the frequency sketch."""
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
-        names = ["doc", "mark", "n", "node", "chunk", "data"]
-        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
-        cells = np.zeros(1 << CELL_BITS, np.int64)
+        names = ["doc", "mark", "n", "node", "sketch", "chunk", "data"]
+        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary()]
+        cells = np.zeros(1 << CELL_BITS, np.uint32)
         for docs, marks, texts in blocks(batches, BLOCK_BYTES):
             h, cut = shingle_sets(texts, k)
             nodes = [node_of(h[a:b]) if b > a else None for a, b in zip(cut[:-1], cut[1:], strict=True)]
@@ -98,13 +151,16 @@ def _measure(k: int):
             once = np.zeros(len(texts), bool)
             once[first] = True
             of_first = np.repeat(once, np.diff(cut))
-            cells += np.bincount((h[of_first] >> np.uint64(64 - CELL_BITS)).astype(np.int64), minlength=len(cells))
+            at, count = np.unique((h[of_first] >> np.uint64(64 - CELL_BITS)).astype(np.int64), return_counts=True)
+            cells[at] += count.astype(np.uint32)
+            sketches = [parity_sketch(h[a:b]) if o and b > a else None for a, b, o in zip(cut[:-1], cut[1:], once, strict=True)]
             none = [None] * len(docs)
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip([docs, marks, np.diff(cut), nodes, none, none], kinds, strict=True)], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip([docs, marks, np.diff(cut), nodes, sketches, none, none], kinds, strict=True)], names=names)
         if cells.any():
-            parts = [p.astype(np.uint32).tobytes() for p in np.split(cells, CHUNKS)]
-            none = [None] * CHUNKS
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip([none, none, none, none, range(CHUNKS), parts], kinds, strict=True)], names=names)
+            top = int(cells.max())
+            cells = cells.astype(np.uint8 if top < 1 << 8 else np.uint16 if top < 1 << 16 else np.uint32)
+            parts, none = [pack(count=p) for p in np.split(cells, CHUNKS)], [None] * CHUNKS
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip([none, none, none, none, none, range(CHUNKS), parts], kinds, strict=True)], names=names)
 
     return run
 
@@ -122,7 +178,7 @@ def frequencies(sketch: DataFrame):
     def add(key, table):
         import pyarrow as pa
 
-        total = sum((np.frombuffer(b, np.uint32).astype(np.int64) for b in table.column("data").to_pylist()), np.int64(0))
+        total = sum((unpack(b)["count"].astype(np.int64) for b in table.column("data").to_pylist()), np.int64(0))
         return pa.table({"chunk": pa.array([key[0].as_py()], pa.int32()), "data": pa.array([total.tobytes()], pa.binary())})
 
     summed = sketch.select("chunk", "data").groupBy("chunk").applyInArrow(add, "chunk int, data binary").collect()
@@ -158,7 +214,7 @@ def _post(shared, light: int, percent: int, k: int, buckets: int):
             size = np.diff(cut)
             once = np.zeros(len(texts), bool)
             once[np.unique(nodes, return_index=True)[1]] = True
-            use = once & (size >= 4)  # smaller sets are similar to none but their equals
+            use = once & (size > 0) & (100 * size >= percent * (size + 1))  # smaller sets are similar to none but their equals
             doc = np.repeat(np.arange(len(texts)), size)
             h, doc = h[use[doc]], doc[use[doc]]
             by = np.lexsort((h, counters[(h >> np.uint64(64 - CELL_BITS)).astype(np.int64)], doc))
@@ -167,15 +223,15 @@ def _post(shared, light: int, percent: int, k: int, buckets: int):
             place = np.arange(len(h)) - begin[doc]
             single = size - needed(size, percent) + 1
             scans = (place < single[doc]) & (size[doc] >= needed(light, percent))
-            keys, owners, places = [mixed(h[scans] * np.uint64(2) + np.uint64(1))], [doc[scans]], [place[scans]]
+            keys, owners = [mixed(h[scans] * np.uint64(2) + np.uint64(1))], [doc[scans]]
             for d in np.flatnonzero(use & (size < light)):
                 p = single[d] + 1
                 i, j = np.triu_indices(p, 1)
                 own = h[begin[d] : begin[d] + p]
+                i, j = i[j < len(own)], j[j < len(own)]
                 keys.append(mixed(own[i] * np.uint64(3) + mixed(own[j])))
                 owners.append(np.full(len(i), d))
-                places.append(j - 1)
-            key, owner, place = np.concatenate(keys), np.concatenate(owners), np.concatenate(places)
+            key, owner = np.concatenate(keys), np.concatenate(owners)
             _, number, count = np.unique(key, return_inverse=True, return_counts=True)
             hot = count[number] > HOT_IN_BLOCK
             told = np.zeros(len(key), bool)
@@ -184,261 +240,375 @@ def _post(shared, light: int, percent: int, k: int, buckets: int):
             for kind, own, bucket in (("list", ~hot | told, key % np.uint64(buckets)), ("loose", hot & ~told, mixed(key + owner.astype(np.uint64)) % np.uint64(buckets))):
                 own = np.flatnonzero(own)
                 own = own[np.argsort(bucket[own], kind="stable")]
-                cuts = np.searchsorted(bucket[own], np.arange(buckets + 1, dtype=np.uint64))
-                for b in np.flatnonzero(np.diff(cuts)):
-                    i = own[cuts[b] : cuts[b + 1]]
+                edges = np.flatnonzero(np.diff(bucket[own], prepend=np.uint64(buckets), append=np.uint64(buckets)))
+                for a, b in zip(edges[:-1], edges[1:], strict=True):
+                    i = own[a:b]
                     ds, local = np.unique(owner[i], return_inverse=True)
-                    rows.append((kind, int(b), pack(nodes=nodes[ds], sizes=size[ds].astype(np.uint32), key=key[i], owner=local.astype(np.uint32), place=place[i].astype(np.uint32), told=np.packbits(told[i]))))
+                    rows.append((kind, int(bucket[i[0]]), pack(nodes=nodes[ds], sizes=size[ds].astype(np.uint32), key=key[i], owner=local.astype(np.uint16 if len(ds) < 1 << 16 else np.uint32), told=np.packbits(told[i]))))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], names=["kind", "bucket", "data"])
 
     return run
 
 
-def _lists(key, table):
-    """One bucket of postings: those whose key several sets have."""
+def _lists(percent: int):
+    """One bucket of postings to lists (g, node, n) of sets that share a key and have sizes in reach of each other.
+
+    Keys with the same list give it once: g is then a hash of the list. Lists that were told apart in some
+    block are in several buckets and keep their key.
+    """
+
+    def run(key, table):
+        import numpy as np
+        import pyarrow as pa
+
+        parts = []
+        for p in map(unpack, table.column("data").to_pylist()):
+            owner = p["owner"]
+            parts.append((p["key"], p["nodes"][owner], p["sizes"][owner].astype(np.int64), np.unpackbits(p["told"])[: len(owner)].astype(bool)))
+        k, node, n, told = (np.concatenate(x) for x in zip(*parts, strict=True))
+        del parts
+        by = np.lexsort((node, n, k))
+        k, node, n, told = (x[by] for x in (k, node, n, told))
+        group = np.cumsum(np.concatenate([[False], k[1:] != k[:-1]]))
+        spread = (np.bincount(group, told)[group] > 0) | (key[0].as_py() == "loose")
+        new = np.concatenate([[True], (k[1:] != k[:-1]) | (node[1:] != node[:-1])])
+        k, node, n, group, spread = (x[new] for x in (k, node, n, group, spread))
+        near = (k[1:] == k[:-1]) & (n[:-1] * 100 >= percent * n[1:])
+        keep = spread | np.concatenate([[False], near]) | np.concatenate([near, [False]])
+        k, node, n, group, spread = (x[keep] for x in (k, node, n, group, spread))
+        if len(k):
+            starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+            with np.errstate(over="ignore"):
+                sums = mixed(np.add.reduceat(mixed(node.view(np.uint64)), starts))
+            of = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(k))))
+            k = np.where(spread, k, sums[of])
+            first = np.zeros(len(starts), bool)
+            first[np.unique(k[starts], return_index=True)[1]] = True
+            own = first[of]
+            k, node, n = k[own], node[own], n[own]
+        give_back()
+        return pa.table({"g": k.view(np.int64), "node": node, "n": n})
+
+    return run
+
+
+# ---- Groups that meet ------------------------------------------------------------------------------
+
+
+def parts_of(rows: DataFrame) -> DataFrame:
+    """(g, parts) for the groups of rows (g, node, n) that are too large to meet in one place."""
+    sizes = rows.groupBy("g").agg(F.count("*").alias("c"), F.sum("n").alias("w"))
+    parts = F.greatest(F.ceil(F.col("c") / PART_SETS), F.ceil(F.col("w") / PART_SHINGLES)).cast("int")
+    return sizes.select("g", parts.alias("parts")).where("parts > 1")
+
+
+def _placed(rows: DataFrame, big: DataFrame) -> DataFrame:
+    """rows with the number of parts of their group and their own part."""
+    parted = rows.join(small(big, SMALL_IDS), "g", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    return parted.withColumn("part", F.pmod(F.hash("node"), "parts")).withColumn("label", F.col("node"))
+
+
+MEETING = ["g", "i", "j", "side", "node", "n", "label"]
+
+
+def own_meetings(rows: DataFrame, big: DataFrame) -> DataFrame:
+    """Who meets whom first: each part of a group by itself, with a few sets of the group that come to all of its parts."""
+    own = _placed(rows, big).withColumn("at", F.col("part"))
+    if big.isEmpty():
+        return own.withColumns({"i": F.col("at"), "j": F.col("at"), "side": F.lit(2)}).select(*MEETING)
+    order = Window.partitionBy("g").orderBy(F.xxhash64("node"), "node")
+    pivots = own.where("parts > 1").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= PIVOTS).drop("rank")
+    pivots = pivots.withColumn("at", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).where("at != part")
+    return own.unionByName(pivots).withColumns({"i": F.col("at"), "j": F.col("at"), "side": F.lit(2)}).select(*MEETING)
+
+
+def open_meetings(rows: DataFrame, big: DataFrame, labels: DataFrame) -> DataFrame:
+    """Who of groups in parts has still to meet: sets that are not linked with most of their group, and all of the group."""
+    own = _placed(rows.join(small(big.select("g"), SMALL_IDS), "g", "left_semi"), big).drop("label").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    by_label = own.groupBy("g", "label").agg(F.count("*").alias("c"))
+    most = by_label.groupBy("g").agg(F.max(F.struct("c", "label")).alias("most"), F.sum("c").alias("c"))
+    most = most.select("g", F.col("most.label").alias("main"), (F.col("c") - F.col("most.c")).alias("rest"), "c").where("rest > 0")
+    own = own.join(small(most, SMALL_IDS), "g").withColumn("asking", F.ceil(F.col("rest") * F.col("parts") / F.col("c")).cast("int"))
+    ask = own.where("label != main").withColumns({"i": F.pmod(F.hash("node"), "asking"), "j": F.explode(F.sequence(F.lit(0), F.col("parts") - 1)), "side": F.lit(0)})
+    answer = own.withColumns({"i": F.explode(F.sequence(F.lit(0), F.col("asking") - 1)), "j": F.col("part"), "side": F.lit(1)})
+    return ask.select(*MEETING).unionByName(answer.select(*MEETING))
+
+
+def all_meetings(rows: DataFrame, big: DataFrame) -> DataFrame:
+    """Each part of a group meets itself and each other part once."""
+    own = _placed(rows, big).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    side = F.when(F.col("part") == F.col("other"), 2).when(F.col("part") < F.col("other"), 0).otherwise(1)
+    return own.withColumns({"i": F.least("part", "other"), "j": F.greatest("part", "other"), "side": side}).select(*MEETING)
+
+
+def bucketed(meetings: DataFrame, bytes_each: float) -> DataFrame:
+    """meetings with a bucket; those of one place (g, i, j) share it, and a bucket gets a bounded number of bytes."""
+    total = (meetings.agg(F.sum("n")).first()[0] or 0) * bytes_each
+    return meetings.withColumn("bucket", F.pmod(F.hash("g", "i", "j"), F.lit(max(48, int(total) // BUCKET_BYTES))))
+
+
+class Places:
+    """The rows of a bucket by place (g, i, j), in order of their sizes."""
+
+    def __init__(self, table):
+        import numpy as np
+
+        g, i, j, side, node, n, label = (table.column(c).to_numpy() for c in MEETING)
+        self.by = np.lexsort((node, n, j, i, g))
+        g, i, j, self.side, self.node, self.n, label = (x[self.by] for x in (g, i, j, side, node, n.astype(np.int64), label))
+        new = np.concatenate([[True], (g[1:] != g[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])[: len(g)]
+        self.starts = np.flatnonzero(new)
+        self.ends = np.append(self.starts[1:], len(g))
+        self.component = np.unique(label, return_inverse=True)[1]
+
+    def data(self, table) -> list[bytes]:
+        found = table.column("data").to_pylist()
+        return [found[i] for i in self.by.tolist()]
+
+    def may(self, p, q, percent: int):
+        """Whether rows at p and q, where the set at q is no smaller, can be linked and are not yet."""
+        sides = (self.side[p] == 2) | (self.side[p] != self.side[q])
+        return sides & (self.component[p] != self.component[q]) & (self.n[p] * 100 >= percent * self.n[q])
+
+    def join(self, at, p: int, others) -> list[int]:
+        """Ties the component of p with those of `others`, inside the rows `at`; returns one of `others` for each that is new."""
+        out = []
+        for q in others:
+            if self.component[q] != self.component[p]:
+                own = self.component[at]
+                own[own == self.component[q]] = self.component[p]
+                self.component[at] = own
+                out.append(int(q))
+        return out
+
+
+def _links(ends: list[tuple[int, int]], node):
+    """Pairs of places as an Arrow table of links (a, b, links)."""
     import numpy as np
     import pyarrow as pa
 
-    parts = []
-    for p in map(unpack, table.column("data").to_pylist()):
-        owner = p["owner"]
-        parts.append((p["key"], p["nodes"][owner], p["sizes"][owner].astype(np.int64), p["place"].astype(np.int64), np.unpackbits(p["told"])[: len(owner)].astype(bool)))
-    k, node, n, place, told = (np.concatenate(x) for x in zip(*parts, strict=True))
-    by = np.lexsort((node, k))
-    k, node, n, place, told = (x[by] for x in (k, node, n, place, told))
-    first = np.concatenate([[True], (k[1:] != k[:-1]) | (node[1:] != node[:-1])])
-    group = np.cumsum(np.concatenate([[True], k[1:] != k[:-1]])) - 1
-    wanted = (np.bincount(group, first)[group] > 1) | (np.bincount(group, told)[group] > 0) | (key[0].as_py() == "loose")
-    own = first & wanted
-    del parts
-    give_back()
-    return pa.table({"key": k[own].view(np.int64), "node": node[own], "n": n[own], "place": place[own]})
-
-
-def may_be_similar(percent: int, light: int) -> str:
-    """SQL: sets of sizes n and m with `common` of their first tokens in common, p and q the places of the first, may be similar.
-
-    From the first common token on there must be enough left in both. And the set whose first tokens end
-    earlier in the common order shares there all that it can share, so the overlap is no more than that
-    count and the rest of the set; sets that enumerate pairs are not held to this.
-    """
-    need = f"(({percent} * (n + m) + {99 + percent}) div {100 + percent})"
-    rest = f"((greatest(n, m) * {percent} + 99) div 100 - 1)"
-    return f"least(n - p, m - q) >= {need} AND (least(n, m) < {light} OR common + {rest} >= {need})"
+    pairs = np.array(ends, np.int64).reshape(-1, 2)
+    a, b = node[pairs[:, 0]], node[pairs[:, 1]]
+    return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b), "links": pa.nulls(len(a), pa.int64())})
+
+
+def _compare_sketches(percent: int, few: int = 8):
+    """One bucket of places to links that tie together all sets that their sketches do not tell apart."""
+
+    def run(key, table):
+        import numpy as np
+
+        places = Places(table)
+        sketches, n, found = Sketches(places.data(table)), places.n, []
+        close = lambda p, q: sketches.apart(p, q) <= most_apart(n[p], n[q], percent)
+        end = np.repeat(places.ends, places.ends - places.starts)
+        in_few = np.repeat(places.ends - places.starts <= few, places.ends - places.starts)
+        for step in range(1, few):
+            p = np.flatnonzero(in_few & (np.arange(len(n)) + step < end))
+            p = p[places.may(p, p + step, percent)]
+            p = p[close(p, p + step)]
+            found += zip(p.tolist(), (p + step).tolist(), strict=True)
+        for a, b in zip(places.starts, places.ends, strict=True):
+            for p in range(a, b) if b - a > few else ():
+                q = np.arange(p + 1, b)
+                q = q[places.may(np.full(len(q), p), q, percent)]
+                if len(q):
+                    found += [(p, x) for x in places.join(slice(a, b), p, q[close(np.full(len(q), p), q)])]
+        out = _links(found, places.node)
+        give_back()
+        return out
+
+    return run
 
 
-def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of `pairs` whose sets (node, data) have percent % of their union in common."""
+def _compare_sets(percent: int, count: bool):
+    """One bucket of places to links that tie together all similar sets, and with `count` the links of each set, weighed by `copies`."""
 
-    def check(batches: Iterator) -> Iterator:
+    def run(key, table):
         import numpy as np
         import pyarrow as pa
 
-        for batch in batches:
-            ok = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = np.sort(np.concatenate([x, y]))
-                common = int((both[1:] == both[:-1]).sum())
-                ok.append(100 * common >= percent * (len(x) + len(y) - common))
-            yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
+        places = Places(table)
+        sets = [np.frombuffer(d, np.uint64) for d in places.data(table)]
+        copies = table.column("copies").to_numpy()[places.by] if count else None
+        links, found = np.zeros(len(sets), np.int64), []
+        for a, b in zip(places.starts, places.ends, strict=True):
+            n, side = places.n[a:b], places.side[a:b]
+            begins = np.cumsum(n) - n
+            known, number = np.unique(np.concatenate(sets[a:b]), return_inverse=True)
+            marked = np.zeros(len(known), bool)
+            for p in range(a, b):
+                other = (side == 2) | (side != places.side[p])
+                other[: p - a + 1] = False
+                other &= n[p - a] * 100 >= percent * n
+                if not count:
+                    other &= places.component[a:b] != places.component[p]
+                if not other.any():
+                    continue
+                own = number[begins[p - a] : begins[p - a] + n[p - a]]
+                marked[own] = True
+                common = np.add.reduceat(marked[number], begins, dtype=np.int64)
+                marked[own] = False
+                q = a + np.flatnonzero(other & (100 * common >= percent * (n[p - a] + n - common)))
+                if count:
+                    links[p] += copies[q].sum()
+                    links[q] += copies[p]
+                found += [(p, x) for x in places.join(slice(a, b), p, q)]
+        out = _links(found, places.node)
+        if count:
+            own = np.flatnonzero(links)
+            out = pa.concat_tables([out, pa.table({"a": places.node[own], "b": pa.nulls(len(own), pa.int64()), "links": links[own]})])
+        give_back()
+        return out
+
+    return run
+
 
-    one = pairs.join(sets.select(F.col("node").alias("a"), F.col("data").alias("x")), "a")
-    two = one.join(sets.select(F.col("node").alias("b"), F.col("data").alias("y")), "b")
-    return two.select("a", "b", "x", "y").mapInArrow(task(check), "a long, b long")
+def linked(rows: DataFrame, compare: Callable[[DataFrame], DataFrame], written: Written, name: str) -> DataFrame:
+    """(node, label) of the sets of rows (g, node, n) that links found in a group tie together.
+
+    Parts of a group meet by themselves first. Sets of groups in parts that are in the same component then need
+    not meet again; those that are not linked with most of their group meet all of it.
+    """
+    big = written.table(parts_of(rows), f"{name}-parts")
+    links = written.table(compare(own_meetings(rows, big)), f"{name}-own")
+    labels = connected_components(links, written, f"{name}-first")
+    if not big.isEmpty():
+        links = links.unionByName(written.table(compare(open_meetings(rows, big, labels)), f"{name}-open"))
+        labels = connected_components(links, written, f"{name}-all")
+    free_shuffles(written.spark)
+    return labels
 
 
 @dataclass
 class Found:
-    """Tables of a join: rows with their sets and labels, the labels of linked nodes, lists of first tokens, and what they came from."""
+    """rows: (doc, mark, n, node, label) and, if counted, n_links, for each row; null labels have no words."""
 
-    grouped: DataFrame
-    labels: DataFrame
-    lists: DataFrame
     rows: DataFrame
-    light: int
-    shingles: int
     written: Written
 
 
-def find_groups(docs: DataFrame, percent: int, k: int) -> Found:
-    """(doc, mark, n, node, label) for each row of docs (doc_id, text): rows of one label are reached by links; null
-    labels have no words. doc and mark are the id and the hash of the text.
+def find_groups(docs: DataFrame, percent: int, k: int, count: bool = False) -> Found:
+    """The links of docs (doc_id, text); doc and mark are the id and the hash of the text.
 
-    Rows of equal sets are one node. Postings of the first tokens, or pairs of them, are dealt out by key.
-    For some rounds sets are paired with sets of other components that stand next to them in their lists, the
-    pairs that most lists have first, and those pairs are verified; then all pairs of a list that are in different components yet,
-    and could overlap enough, are verified as well. So no link between components is missed and a group of
-    near copies need not be expanded into all of its pairs.
+    Rows of equal sets are one node. Postings of the first tokens, or pairs of them, are dealt out by key. The
+    nodes of a list compare their sketches where they meet, and only links that tie components together leave
+    that place. No similar sets are in different components then, so sets are read once for each node that
+    has a partner, and verified where the parts of its component meet. With `count` all pairs of a component
+    are; else only as long as something is left to tie together.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
     written = Written(spark, "jaccard")
-    rows = docs.select("doc_id", F.col("doc_id").cast("long").alias("doc"), F.hash("text").alias("mark"), "text")
-    measured = written.table(rows.select("doc", "mark", "text").mapInArrow(task(_measure(k)), "doc long, mark int, n long, node long, chunk int, data binary"), "measured")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc"), F.hash("text").alias("mark"), "text")
+    measured = written.table(rows.mapInArrow(task(_measure(k)), "doc long, mark int, n long, node long, sketch binary, chunk int, data binary"), "measured")
     counters, list_length = frequencies(measured.where("chunk IS NOT NULL"))
     members = measured.where("chunk IS NULL").select("doc", "mark", "n", "node")
     light = boundary(list_length, percent)
     total = members.agg(F.sum("n")).first()[0] or 0
-    buckets = max(48, total * (100 - percent) // 100 * 18 // BUCKET_BYTES)
+    buckets = max(48, total * (100 - percent) // 100 * 12 // BUCKET_BYTES)
     shared = spark.sparkContext.broadcast(counters)
-    posted = rows.select("doc", "mark", "text").mapInArrow(task(_post(shared, light, percent, k, buckets)), "kind string, bucket int, data binary")
-    lists = written.table(posted.groupBy("kind", "bucket").applyInArrow(_lists, "key long, node long, n long, place long"), "lists")
-    free_shuffles(spark)
-
-    labelled, links, tried, labels = lists.withColumn("label", F.col("node")), None, None, None
-    for step in range(ROUNDS):
-        # neighbours in a list, by size and in another order each time
-        order = Window.partitionBy("key").orderBy(*([F.col("n")] if step % 2 == 0 else []), F.xxhash64("node", F.lit(step)))
-        last = F.lag(F.struct("label", "node", "n")).over(order)
-        pairs = labelled.withColumn("last", last).where(f"label != last.label AND least(n, last.n) * 100 >= {percent} * greatest(n, last.n)")
-        pairs = pairs.select(F.least("node", "last.node").alias("a"), F.greatest("node", "last.node").alias("b")).groupBy("a", "b").agg(F.count("*").alias("common"))
-        pairs = pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti")
-        place = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("common"), "a", "b"))
-        best = pairs.select("common", "a", "b", F.explode(F.array("a", "b")).alias("node")).withColumn("place", place).where(F.col("place") <= TRIES)
-        best = written.table(best.select("a", "b").distinct(), f"best-{step}")
-        found = written.table(verify(best, _sets_of(rows, members, best, k), percent), f"links-{step}")
-        links, tried = (found, best) if links is None else (links.unionByName(found), tried.unionByName(best))
-        labels = connected_components(links, written, f"step-{step}")
-        joined = labelled.drop("label").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        open_keys = joined.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("key")
-        labelled = written.table(joined.join(open_keys, "key"), f"open-{step}")
-        free_shuffles(spark)
-
-    other = labelled.select("key", F.col("node").alias("b"), F.col("n").alias("m"), F.col("place").alias("q"), F.col("label").alias("other"))
-    cross = labelled.withColumnsRenamed({"node": "a", "place": "p"}).join(other, "key").where(f"a < b AND label != other AND least(n, m) * 100 >= {percent} * greatest(n, m)")
-    cross = cross.groupBy("a", "b").agg(F.count("*").alias("common"), *[F.min(c).alias(c) for c in ("n", "m", "p", "q")])
-    cross = cross.where(may_be_similar(percent, light)).select("a", "b")
-    cross = written.table(cross.join(tried, ["a", "b"], "left_anti"), "cross")
+    posted = rows.mapInArrow(task(_post(shared, light, percent, k, buckets)), "kind string, bucket int, data binary")
+    lists = written.table(posted.groupBy("kind", "bucket").applyInArrow(_lists(percent), "g long, node long, n long"), "lists")
+    lists = written.table(lists.distinct(), "different")
     free_shuffles(spark)
-    more = written.table(verify(cross, _sets_of(rows, members, cross, k), percent), "links-cross")
-    free_shuffles(spark)
-    labels = connected_components(links.unionByName(more), written, "all")
-
-    grouped = written.table(members.join(labels, "node", "left").select("doc", "mark", "n", "node", F.coalesce("label", "node").alias("label")), "grouped")
-    return Found(grouped, labels, lists, rows, light, total, written)
 
+    def by_sketch(meetings: DataFrame) -> DataFrame:
+        met = bucketed(written.table(meetings, "meetings"), 0.6)
+        own = measured.where("sketch IS NOT NULL").select("node", F.col("sketch").alias("data"))
+        own = own.join(small(met.select("node").distinct(), SMALL_IDS), "node", "left_semi").groupBy("node").agg(F.first("data").alias("data"))
+        return met.join(own, "node").groupBy("bucket").applyInArrow(_compare_sketches(percent), "a long, b long, links long").select("a", "b").distinct()
+
+    near = linked(lists, by_sketch, written, "near")
+    nodes = members.join(near, "node").groupBy("node").agg(F.first("label").alias("g"), F.first("n").alias("n"), F.count("*").alias("copies"), F.min(F.struct("doc", "mark")).alias("row"))
+    nodes = written.table(nodes.select("node", "g", "n", "copies", "row.*"), "nodes")
+
+    def by_set(meetings: DataFrame) -> DataFrame:
+        met = bucketed(written.table(meetings, "meetings"), 8)
+        places = met.groupBy("node").agg(F.collect_list(F.struct("bucket", *[c for c in MEETING if c != "node"])).alias("places"))
+        chosen = nodes.select("node", "copies", F.col("doc").alias("d"), F.col("mark").alias("m")).join(places, "node")
+        texts = rows.join(small(chosen, SMALL_IDS), rows["doc"].eqNullSafe(F.col("d")) & (rows["mark"] == F.col("m")))
+        sets = texts.select("node", "copies", "text", "places").mapInArrow(task(_sets(k)), "node long, copies long, data binary, " + f"places {dict(places.dtypes)['places']}")
+        sets = sets.select("node", "copies", "data", F.inline("places")).groupBy("bucket").applyInArrow(_compare_sets(percent, count), "a long, b long, links long")
+        return sets if count else sets.select("a", "b").distinct()
+
+    grouped = nodes.select("g", "node", "n")
+    if count:
+        big = written.table(parts_of(grouped), "sets-parts")
+        verified = written.table(by_set(all_meetings(grouped, big)), "verified")
+        labels = connected_components(verified.where("b IS NOT NULL").select("a", "b"), written, "sets")
+        others = verified.where("b IS NULL").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("others"))
+        copies = members.where("n > 0").groupBy("node").agg(F.count("*").alias("copies"))
+        count_of = copies.join(others, "node", "left").select("node", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+    else:
+        labels = linked(grouped, by_set, written, "sets")
+    out = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    if count:
+        out = out.join(count_of, "node", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0)))
+    found = written.table(out, "found")
+    written.drop_others("found")
+    return Found(found, written)
+
+
+def _sets(k: int):
+    """Rows (node, copies, text, places) to the set of the text, if it is that of the node."""
 
-def group_rows(docs: DataFrame, percent: int, k: int) -> DataFrame:
-    """(doc, mark, n, label) of `find_groups`."""
-    return find_groups(docs, percent, k).grouped.drop("node")
-
-
-def linked_sets(found: Found, percent: int, k: int) -> DataFrame:
-    """(a, b): every link between different sets, once.
-
-    Links stay inside components, so candidates are the pairs of sets of one component in one list that could
-    overlap enough. They are verified where their parts of the component meet: a set is sent to one place
-    for each part of its component, however many pairs it is in.
-    """
-    labels = found.labels
-    parts = labels.groupBy("label").agg(F.ceil(F.count("*") / PART_SETS).cast("int").alias("parts"))
-    placed = found.written.table(labels.join(parts, "label").select("node", "label", F.pmod(F.hash("node"), "parts").alias("part")), "placed")
-    own = found.written.table(found.lists.join(placed, "node"), "inside")
-    other = own.select("key", "label", F.col("node").alias("b"), F.col("n").alias("m"), F.col("place").alias("q"), F.col("part").alias("other"))
-    pairs = own.withColumnsRenamed({"node": "a", "place": "p"}).join(other, ["key", "label"]).where(f"a < b AND least(n, m) * 100 >= {percent} * greatest(n, m)")
-    pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("common"), *[F.min(c).alias(c) for c in ("n", "m", "p", "q", "label", "part", "other")])
-    buckets = max(48, found.shingles * 8 // BUCKET_BYTES)
-    bucket = F.pmod(F.hash("label", F.least("part", "other"), F.greatest("part", "other")), F.lit(buckets))
-    pairs = found.written.table(pairs.where(may_be_similar(percent, found.light)).select("a", "b", bucket.alias("bucket")), "candidates")
-    free_shuffles(found.written.spark)
-    sets = _sets_of(found.rows, found.grouped.select("doc", "mark", "n", "node"), pairs, k)
-    asked = pairs.select(F.col("bucket").alias("at"), F.explode(F.array("a", "b")).alias("node")).distinct().join(sets, "node")
-
-    def check(key, pairs, sets):
-        import numpy as np
+    def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        of = dict(zip(sets.column("node").to_pylist(), (np.frombuffer(d, np.uint64) for d in sets.column("data").to_pylist()), strict=True))
-        ok = []
-        for a, b in zip(pairs.column("a").to_pylist(), pairs.column("b").to_pylist(), strict=True):
-            x, y = of[a], of[b]
-            both = np.sort(np.concatenate([x, y]))
-            common = int((both[1:] == both[:-1]).sum())
-            ok.append(100 * common >= percent * (len(x) + len(y) - common))
-        return pairs.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+        for batch in batches:
+            h, cut = shingle_sets(text_bytes(batch.column(2)), k)
+            sets = [h[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
+            own = pa.array([node_of(s) == x for s, x in zip(sets, batch.column(0).to_pylist(), strict=True)], pa.bool_())
+            out = [batch.column(0), batch.column(1), pa.array([s.tobytes() for s in sets], pa.binary()), batch.column(3)]
+            yield pa.RecordBatch.from_arrays(out, names=["node", "copies", "data", "places"]).filter(own)
 
-    return found.written.table(pairs.groupBy("bucket").cogroup(asked.groupBy("at")).applyInArrow(check, "a long, b long"), "verified")
+    return run
 
 
 def similar_groups(docs: DataFrame, percent: int = 80, k: int = 5) -> DataFrame:
-    """doc_id, n_shingles, component_id for each row of docs (doc_id, text).
+    """doc_id, n_shingles, component_id, n_links for each row of docs (doc_id, text).
 
     Texts are lower-cased in A-Z and split at ASCII white space; a text's set are its distinct shingles of
     k words, or all its words if it has fewer. Two rows link if their sets have `percent` % of their union in
-    common; component_id is the smallest doc_id that links reach. Null and empty texts link with nothing.
-    A null id counts as no id: such rows link, but give no component_id to others.
-    """
-    return _components_of(docs, group_rows(docs, percent, k))
-
-
-def similar_links(docs: DataFrame, percent: int = 80, k: int = 5) -> DataFrame:
-    """`similar_groups` with n_links: how many other rows each row links with.
+    common; component_id is the smallest doc_id that links reach, n_links the number of other rows that a row
+    links with. Rows of equal sets link with each other and with the same others, so links are verified once for
+    each pair of different sets and counted by the rows of both.
 
-    Rows of equal sets link with each other and with the same others, so links are verified once for each pair
-    of different sets and counted by the rows of both.
+    Null and empty texts link with nothing; repeated rows are rows of their own; a very long text is read whole,
+    its set goes to one task at a time. Ids are integers; a null id counts as no id: such rows link, but
+    give no component_id to others. Other columns are not looked at. An empty table gives no rows.
     """
-    found = find_groups(docs, percent, k)
-    links = linked_sets(found, percent, k)
-    copies = found.grouped.where("n > 0").groupBy("node").agg(F.count("*").alias("copies"))
-    both = links.union(links.select("b", "a"))
-    others = both.join(copies.withColumnsRenamed({"node": "b", "copies": "rows"}), "b").groupBy(F.col("a").alias("node")).agg(F.sum("rows").alias("others"))
-    count = found.written.table(copies.join(others, "node", "left").select("node", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links")), "counts")
-    grouped = found.grouped.join(count, "node", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0)))
-    return _components_of(docs, grouped, "n_links")
-
-
-def _components_of(docs: DataFrame, grouped: DataFrame, *more: str) -> DataFrame:
-    """doc_id, n_shingles, component_id and the columns `more` for each row of `grouped`."""
+    grouped = find_groups(docs, percent, k, True).rows
     least = grouped.where("n > 0").groupBy("label").agg(F.min("doc").alias("component"))
-    out = grouped.where("n > 0").join(least, "label").select("doc", "n", "component", *more).unionByName(grouped.where("n = 0").select("doc", "n", F.col("doc").alias("component"), *more))
+    out = grouped.where("n > 0").join(least, "label").select("doc", "n", "component", "n_links").unionByName(grouped.where("n = 0").select("doc", "n", F.col("doc").alias("component"), "n_links"))
     kind = dict(docs.dtypes)["doc_id"]
-    return out.select(F.col("doc").cast(kind).alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "doc").cast(kind).alias("component_id"), *more)
+    return out.select(F.col("doc").cast(kind).alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "doc").cast(kind).alias("component_id"), "n_links")
 
 
 def keep_one(docs: DataFrame, percent: int = 80, k: int = 5) -> DataFrame:
     """One row of each group of similar rows of `docs` (doc_id, text): that of the smallest id; all columns stay.
 
-    Rows without words are in no group and stay. Of rows alike in id and text one stays.
+    Groups are those of `similar_groups`. Rows without words are in no group and stay. Of rows alike in id
+    and text one stays. Columns of any other name are carried along.
     """
-    grouped = group_rows(docs, percent, k)
+    grouped = find_groups(docs, percent, k).rows
     first = grouped.where("n > 0").groupBy("label").agg(F.min(F.struct("doc", "mark")).alias("row")).select("row.*")
     chosen = first.unionByName(grouped.where("n = 0").select("doc", "mark")).distinct()
-    kept = _rows_of(docs, chosen)
+    chosen = small(chosen, SMALL_IDS)
+    kept = docs.join(chosen, docs["doc_id"].cast("long").eqNullSafe(chosen["doc"]) & (F.hash(docs["text"]) == chosen["mark"]), "left_semi")
     twice = grouped.groupBy("doc", "mark").count().where("count > 1")
     return kept if twice.isEmpty() else kept.dropDuplicates(["doc_id", "text"])
 
 
-def _rows_of(docs: DataFrame, chosen: DataFrame) -> DataFrame:
-    """The rows of docs (doc_id, text) whose id and hash of the text are in chosen (doc, mark)."""
-    chosen = small(chosen.select(F.col("doc").alias("_doc"), F.col("mark").alias("_mark")), SMALL_IDS)
-    return docs.join(chosen, docs["doc_id"].cast("long").eqNullSafe(F.col("_doc")) & (F.hash(docs["text"]) == F.col("_mark")), "left_semi")
-
-
-def _sets_of(rows: DataFrame, members: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
-    """(node, data) of the nodes in `pairs`, read from one row's text for each."""
-    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    chosen = members.join(nodes, "node").groupBy("node").agg(F.min(F.struct("doc", "mark")).alias("row")).select("row.*")
-    texts = _rows_of(rows, chosen)
-
-    def read(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        for _, _, block in blocks(batches, BLOCK_BYTES):
-            h, cut = shingle_sets(block, k)
-            found = {node_of(h[a:b]): h[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True) if b > a}
-            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.binary())], names=["node", "data"])
-
-    return texts.select("doc", "mark", "text").mapInArrow(task(read), "node long, data binary").dropDuplicates(["node"])
-
-
 def op2_size_aware(spark, sf_dir: str) -> DataFrame:
     return similar_groups(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
 
 
 def op2_links(spark, sf_dir: str) -> DataFrame:
-    return similar_links(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    """The same rows; n_links was not part of op2_size_aware at first."""
+    return op2_size_aware(spark, sf_dir)
 
 
 OP2_SQL = r"""
@@ -460,11 +630,7 @@ WITH RECURSIVE d AS (
 ), reach(r, t) AS (
   SELECT r, r FROM d UNION SELECT reach.r, edges.b FROM reach JOIN edges ON edges.a = reach.t
 )
-SELECT d.doc_id, coalesce(max(n.n), 0) AS n_shingles, min(o.doc_id) AS component_id
-FROM d LEFT JOIN n ON n.r = d.r JOIN reach ON reach.r = d.r JOIN d o ON o.r = reach.t GROUP BY d.r, d.doc_id
-"""
-
-OP2_LINKS_SQL = OP2_SQL.rsplit("SELECT", 1)[0] + r"""SELECT d.doc_id, coalesce(max(n.n), 0) AS n_shingles, min(o.doc_id) AS component_id, coalesce(max(l.n_links), 0) AS n_links
+SELECT d.doc_id, coalesce(max(n.n), 0) AS n_shingles, min(o.doc_id) AS component_id, coalesce(max(l.n_links), 0) AS n_links
 FROM d LEFT JOIN n ON n.r = d.r LEFT JOIN (SELECT a, count(*) AS n_links FROM edges GROUP BY a) l ON l.a = d.r
 JOIN reach ON reach.r = d.r JOIN d o ON o.r = reach.t GROUP BY d.r, d.doc_id
 """

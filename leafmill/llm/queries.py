@@ -6,7 +6,7 @@ from leafmill.llm.brown_lm import op9_brown
 from leafmill.llm.decontaminate import OP6_SQL, op6_suffix_automaton
 from leafmill.llm.fair_mix import OP7_SQL, op7_fair_queue
 from leafmill.llm.hilbert_shards import op3_hilbert
-from leafmill.llm.jaccard_join import OP2_LINKS_SQL, OP2_SQL, op2_links, op2_size_aware
+from leafmill.llm.jaccard_join import OP2_SQL, op2_links, op2_size_aware
 from leafmill.llm.license_templates import op10_templates
 from leafmill.llm.quality_forest import op5_forest
 from leafmill.llm.sanitise import op8_disclosure
@@ -30,7 +30,7 @@ QUERIES = {
 ORACLES = {
     "op1_suffix_array": OP1_SQL,
     "op2_size_aware": OP2_SQL,
-    "op2_links": OP2_LINKS_SQL,
+    "op2_links": OP2_SQL,
     "op4_url_rules": OP4_SQL,
     "op6_suffix_automaton": OP6_SQL,
     "op7_fair_queue": OP7_SQL,

@@ -93,7 +93,7 @@ def plain_groups(rows):
     for _, text in rows:
         w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]+", lambda m: m[0].lower(), text or ""))
         sets.append({tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))} if w else set())
-    up = list(range(len(rows)))
+    up, links = list(range(len(rows))), [0] * len(rows)
 
     def root(i):
         while up[i] != i:
@@ -104,15 +104,19 @@ def plain_groups(rows):
         for j in range(i):
             if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
                 up[root(i)] = root(j)
+                links[i] += 1
+                links[j] += 1
     groups = {}
     for i, (doc, _) in enumerate(rows):
         groups.setdefault(root(i), []).append(doc)
-    return sorted((rows[i][0], len(sets[i]), min(groups[root(i)])) for i in range(len(rows)))
+    return sorted((rows[i][0], len(sets[i]), min(groups[root(i)]), links[i]) for i in range(len(rows)))
 
 
-@pytest.mark.parametrize("hot,light", [(32, None), (1, None), (32, 60), (1, 25)])
-def test_groups(spark, monkeypatch, hot, light):
+@pytest.mark.parametrize("hot,light,part", [(32, None, 2), (1, 25, 512)])
+def test_groups(spark, monkeypatch, hot, light, part):
     monkeypatch.setattr(jaccard_join, "HOT_IN_BLOCK", hot)
+    monkeypatch.setattr(jaccard_join, "PART_SETS", part)
+    monkeypatch.setattr(jaccard_join, "PIVOTS", 1)
     if light:
         monkeypatch.setattr(jaccard_join, "boundary", lambda *_: light)
     rng = random.Random(5)
@@ -127,24 +131,42 @@ def test_groups(spark, monkeypatch, hot, light):
             rows.append((len(rows), " ".join(copy)))
     rows += [(len(rows) + i, t) for i, t in enumerate(["", None, "one two", "ONE  two", "a b c d e f g h i", "a b c d e f g h i j"])]
     rng.shuffle(rows)
-    got = jaccard_join.similar_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
-    assert sorted(tuple(r) for r in got.collect()) == plain_groups(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = plain_groups(rows)
+    assert sorted(tuple(r) for r in jaccard_join.similar_groups(docs).collect()) == want
+    assert sorted(r["doc_id"] for r in jaccard_join.keep_one(docs).collect()) == sorted({r[2] for r in want})
 
 
 def test_groups_odd(odd, none):
     got = {(r["doc_id"], r["n_shingles"]): r["component_id"] for r in jaccard_join.similar_groups(odd).collect()}
     assert got[(5, 1)] == 4 and got[(1, 0)] == 1 and got[(None, 1)] is None
+    clash = odd.withColumns({c: F.lit("x") for c in ("doc", "mark", "node", "label", "g")})
+    assert jaccard_join.similar_groups(clash).count() == len(ODD) and jaccard_join.keep_one(clash).columns == clash.columns
     assert jaccard_join.similar_groups(none).count() == 0
     kept = jaccard_join.keep_one(odd)
     assert kept.columns == odd.columns and kept.where("text = 'same text here'").count() == 1 and kept.count() == 7
 
 
+def test_sketches_never_tell_similar_sets_apart():
+    rng = np.random.default_rng(8)
+    pool = rng.integers(0, 1 << 63, 3000).astype(np.uint64)
+    sets = [np.unique(pool[rng.integers(0, 3000, n)]) for n in rng.integers(1, 900, 60)]
+    sets += [np.unique(np.concatenate([s[len(s) // 9 :], pool[rng.integers(0, 3000, len(s) // 12)]])) for s in sets if len(s) > 9]
+    p, q = np.triu_indices(len(sets), 1)
+    apart = jaccard_join.Sketches([jaccard_join.parity_sketch(s) for s in sets]).apart(p, q)
+    for a, b, d in zip(p, q, apart, strict=True):
+        common, n = len(np.intersect1d(sets[a], sets[b])), len(sets[a]) + len(sets[b])
+        assert d <= n - 2 * common
+        if 100 * common >= 80 * (n - common):
+            assert d <= jaccard_join.most_apart(len(sets[a]), len(sets[b]), 80)
+
+
 def test_links_of_a_family(spark):
     base = [f"w{i}" for i in range(200)]
     texts = [" ".join([*base[:i], "x", *base[i + 1 :]]) for i in range(0, 200, 8)] + [" ".join(base)] * 3 + ["", None, "a b", "A  b"]
     sets = [{" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in ((t or "").lower().split() for t in texts)]
     want = {i: sum(j != i and bool(x) and len(x & y) * 100 >= 80 * len(x | y) for j, y in enumerate(sets)) for i, x in enumerate(sets)}
-    got = jaccard_join.similar_links(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    got = jaccard_join.similar_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
     assert {r["doc_id"]: r["n_links"] for r in got} == want and max(want.values()) == 27
 
 
