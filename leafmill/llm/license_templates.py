@@ -14,16 +14,21 @@ from leafmill.llm.common import alnum_words, bounded_batches, task, text_bytes
 #: Phrases that the standard query counts, and their labels.
 OP10_PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 
-#: Notices in template markup. [[ ]] may be left out; {{n}} stands for up to n words of any kind; the rest must match word for word.
+#: Notices and texts in template markup. [[ ]] may be left out and may hold other regions; {{n}} stands for up to n words
+#: of any kind; the rest must match word for word, whatever stands between the words.
 TEMPLATES = {
-    "gpl-3.0-notice": "licensed under the GNU General Public License[[ as published by the Free Software Foundation]][[ either]] version 3[[ of the License]]",
-    "gpl-2.0-notice": "licensed under the GNU General Public License[[ as published by the Free Software Foundation]][[ either]] version 2[[ of the License]]",
+    "gpl-3.0-notice": "licensed under[[ the terms of]] the GNU General Public License[[ as published by the Free Software Foundation]][[ either]] version 3[[ of the License[[ or at your option any later version]]]]",
+    "gpl-2.0-notice": "licensed under[[ the terms of]] the GNU General Public License[[ as published by the Free Software Foundation]][[ either]] version 2[[ of the License[[ or at your option any later version]]]]",
+    "gpl-header": "[[{{8}} is free software ]]you can redistribute it and or modify it under the terms of the GNU General Public License as published by the Free Software Foundation[[ either]] version {{1}}[[ of the License]][[ or at your option any later version]]",
     "apache-2.0-notice": "licensed under the Apache License[[ the License]] version 2 0",
+    "apache-2.0-header": "licensed under the Apache License version 2 0 the License you may not use this file except in compliance with the License you may obtain a copy of the License at {{12}}[[ unless required by applicable law or agreed to in writing software distributed under the License is distributed on an as is basis without warranties or conditions of any kind either express or implied see the License for the specific language governing permissions and limitations under the License]]",
     "mit-notice": "[[released]][[licensed]] under the[[ terms of the]] MIT License",
-    "mit-text": "permission is hereby granted free of charge to any person obtaining a copy of this {{4}} and associated documentation files",
-    "bsd-text": "redistribution and use in source and binary forms with or without modification are permitted provided that",
-    "cc-by-4.0-notice": "licensed under[[ the]][[ Creative Commons]] CC BY 4 0",
-    "cc-by-nc-4.0-notice": "licensed under[[ the]][[ Creative Commons]] CC BY NC 4 0",
+    "mit-text": "permission is hereby granted free of charge to any person obtaining a copy of this {{4}} and associated documentation files[[ the {{2}} to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute[[ sublicense]] and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice[[ including the next paragraph]] shall be included in all copies or substantial portions of the software[[ the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall {{8}} be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software]]]]",
+    "bsd-text": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met[[ 1]] redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer[[ 2]] redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution[[[[ 3]] neither the name of {{12}} nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission]]",
+    "bsd-notice": "redistribution and use in source and binary forms with or without modification are permitted",
+    "isc-text": "permission to use copy modify and[[ or]] distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
+    "cc-by-4.0-notice": "licensed under[[ the]][[ Creative Commons[[ Attribution]]]] CC BY 4 0[[ international[[ license]]]]",
+    "cc-by-nc-4.0-notice": "licensed under[[ the]][[ Creative Commons[[ Attribution NonCommercial]]]] CC BY NC 4 0[[ international[[ license]]]]",
     "spdx-tag": "SPDX License Identifier {{3}}",
     "all-rights-reserved": "copyright[[ c]] {{6}} all rights reserved",
 }
@@ -77,33 +82,39 @@ class Template:
 
 
 def compile_template(label: str, markup: str) -> Template:
-    """Reads [[optional]] and {{n}} regions, which may hold each other's neighbours but do not nest."""
-    out, at = Template(label), 0
-    for part in re.findall(r"\[\[.*?\]\]|\{\{\d+\}\}|[^\[{]+", markup):
-        begin = at
-        if part.startswith("{{"):
-            end = out.add()
-            for _ in range(int(part[2:-2])):
-                out.skips[at].append(end)
-                nxt = out.add()
-                out.any[at] = nxt
-                at = nxt
-            out.skips[at].append(end)
-            at = end
-            continue
-        for word in alnum_words(part.encode()):
-            at_next = out.add()
-            out.moves[at][word] = at_next
-            at = at_next
-        if part.startswith("[["):
-            end = out.add()
-            out.skips[at].append(end)
+    """Reads [[optional]] regions, which may nest, and {{n}} regions; other double brackets are an error."""
+    out, at, opened = Template(label), 0, []
+
+    def closing(begin: int, last: int) -> int:
+        end = out.add()  # a state of its own, so that what follows cannot loop back
+        out.skips[last].append(end)
+        if begin != last:
             out.skips[begin].append(end)
-            at = end
-        elif at != begin:  # a state of its own, so that what follows cannot loop back
+        return end
+
+    for part in re.findall(r"\[\[|\]\]|\{\{\d+\}\}|\{\{|\}\}|(?:(?!\[\[|\]\]|\{\{|\}\}).)+", markup, re.DOTALL):
+        if part == "[[":
+            opened.append(at)
+        elif part == "]]" and opened:
+            at = closing(opened.pop(), at)
+        elif part in ("]]", "{{", "}}"):
+            raise ValueError(f"template {label}: {part} without its other end")
+        elif part.startswith("{{"):
+            begins = [at]
+            for _ in range(int(part[2:-2])):
+                out.any[at] = out.add()
+                at = out.any[at]
+                begins.append(at)
             end = out.add()
-            out.skips[at].append(end)
+            for s in begins:
+                out.skips[s].append(end)
             at = end
+        else:
+            for word in alnum_words(part.encode()):
+                out.moves[at][word] = out.add()
+                at = out.moves[at][word]
+    if opened:
+        raise ValueError(f"template {label}: [[ without its other end")
     out.final = at
     return out
 
@@ -115,7 +126,9 @@ def scan_licenses(docs: DataFrame, key: str, text: str, phrases: dict[str, str],
     accepted only where all of their mandatory wording matches. notices lists label, first word and end
     of each accepted template, longest first at a place. score is the share of the text's words that
     lie in a phrase or a notice. The tables of phrases and templates are code, not data, and go to every
-    task. Null and empty texts have no words and score 0; nothing is shuffled, long texts take a pass.
+    task. Null and empty texts have no words and score 0; repeated rows are scanned each; of templates that
+    accept the same words all give their label; nothing is shuffled, a very long text takes one pass; an empty
+    table gives no rows; columns other than key and text are not looked at.
     """
     plain = {tuple(alnum_words(p.encode())): label for p, label in phrases.items()}
     automata = [compile_template(label, markup) for label, markup in templates.items()]
