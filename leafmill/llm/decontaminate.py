@@ -169,8 +169,11 @@ def find_leaks(docs: DataFrame, items: DataFrame, window: int = 10, text: str =
 
     A window is `window` consecutive words of an item, or all of an item that has fewer. Each block of
     items becomes a suffix automaton, of bounded size, that every task streams its documents through;
-    with several blocks the passes are chained and their spans merged. Null texts and items have no
-    words; a null item id counts as the empty string, repeated ids as one.
+    with several blocks each pass is written before the next, so one automaton is in memory at a time, and
+    their spans are merged. Null texts and items have no words; a null item id counts as the empty string,
+    repeated ids as one; repeated rows are judged each; a very long text is streamed whole in one task; an
+    empty table of documents gives no rows, one of items no hits. A column `_leaks` is replaced, all others
+    stay whatever their names.
     """
     bounded_batches(docs.sparkSession)
     sc = docs.sparkSession.sparkContext
@@ -179,7 +182,12 @@ def find_leaks(docs: DataFrame, items: DataFrame, window: int = 10, text: str =
     out = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(kept, inner, strict=True)]).withColumn("_leaks", F.lit(None).cast(FOUND))
     at = kept.index(text)
     schema = out.schema
-    for block in item_blocks(items, block_bytes):
+    written, shared = Written(docs.sparkSession, "leaks"), None
+    for n, block in enumerate(item_blocks(items, block_bytes)):
+        if shared is not None:
+            out = written.table(out, f"pass-{n}")
+            shared.unpersist()
+            written.drop(f"pass-{n - 1}")
         automaton = SuffixAutomaton(block, window)
         shared = sc.broadcast((automaton, automaton.prepared()))
         out = out.mapInArrow(task(_leak_pass(shared, at)), schema)
@@ -239,16 +247,17 @@ def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
 
 def remove_leaks(docs: DataFrame, items: DataFrame, window: int = 10, most_covered: float = 0.5, text: str = "text", length: str | None = "n_chars") -> DataFrame:
     """`docs` without leaked passages: hit spans are cut out of the text, and a row of which they cover more
-    than `most_covered` goes altogether. Rows without a hit stay as they are; columns stay the same. Where text
-    was cut, the column `length`, if there is one, gets its new number of characters."""
-    leaks = find_leaks(docs, items, window, text)
+    than `most_covered` goes altogether. Rows without a hit stay as they are, null texts too; columns stay the
+    same, whatever their names; repeated rows are cut alike. Where text was cut, the column `length`, if there is one, gets its new number of characters."""
+    inner = {c: f"_d{i}" for i, c in enumerate(docs.columns)}
+    leaks = find_leaks(docs.select(*[F.col(f"`{c}`").alias(n) for c, n in inner.items()]), items, window, inner[text])
     hit = F.aggregate("_leaks.spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["first"])
     left = leaks.where((hit == 0) | (hit <= most_covered * F.col("_leaks.n_words")))
-
-    done = left.withColumn(text, F.when(hit > 0, cut(F.col(text), F.col("_leaks.spans"))).otherwise(F.col(text)))
-    if length in docs.columns:
-        done = done.withColumn(length, F.when(hit > 0, F.length(text)).otherwise(F.col(length)).cast(docs.schema[length].dataType))
-    return done.drop("_leaks")
+    own = F.col(inner[text])
+    done = left.withColumn(inner[text], F.when(hit > 0, cut(own, F.col("_leaks.spans"))).otherwise(own))
+    if length in inner:
+        done = done.withColumn(inner[length], F.when(hit > 0, F.length(own)).otherwise(F.col(inner[length])).cast(docs.schema[length].dataType))
+    return done.select(*[F.col(n).alias(c) for c, n in inner.items()])
 
 
 def op6_suffix_automaton(spark, sf_dir: str) -> DataFrame:

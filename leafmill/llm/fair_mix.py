@@ -17,27 +17,25 @@ def count_words(text: Column) -> Column:
     return F.when(text.isNull(), F.lit(0)).otherwise(F.regexp_count(text, F.lit(SPACE_WORD))).cast("long")
 
 
-def source_targets(sources: DataFrame, epochs: int) -> DataFrame:
-    """Targets for (source, source_size, weight), which share the sum of all sizes by weight.
+def source_targets(sizes: DataFrame, weights: Column, epochs: int, written: Written) -> DataFrame:
+    """Targets for (source, source_size), which share the sum of all sizes by weight.
 
     A target stops at `epochs` times its source's size, and the excess goes to the others by weight
     until none is above. With sources by size for each unit of weight, the common level is the first at
-    which what is left, divided by the weights that are left, fits the next source. Adds target, start
-    (sizes of the sources before it), ordinal.
+    which what is left, divided by the weights that are left, fits the next source. Adds weight, target, start
+    (sizes of the sources before it), ordinal. Both orders are made by range, so sources need not fit a task.
     """
-    rank = Window.orderBy(F.col("source").asc_nulls_last())
-    before = rank.rowsBetween(Window.unboundedPreceding, -1)
-    s = sources.select(
-        "source", "source_size", "weight", F.row_number().over(rank).alias("ordinal"),
-        F.coalesce(F.sum("source_size").over(before), F.lit(0)).alias("start"),
-        (F.col("source_size") * epochs).alias("cap"), (F.col("source_size") * epochs / F.col("weight")).alias("full_at"),
-    )
-    order = Window.orderBy("full_at", "ordinal")
-    everything = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    left = F.sum("source_size").over(everything) - F.coalesce(F.sum("cap").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    s = s.withColumn("level", left / F.sum("weight").over(order.rowsBetween(0, Window.unboundedFollowing)))
-    s = s.withColumn("fits", F.max(F.when(F.col("level") <= F.col("full_at"), F.col("level"))).over(everything))
-    return s.select("source", "source_size", "weight", "ordinal", "start", F.least(F.col("cap").cast("double"), F.col("weight") * F.col("fits")).alias("target"))
+    placed = in_order(sizes, [F.col("source").asc_nulls_last()], written, "by-source").withColumn("one", F.lit(1))
+    placed = running_total(placed, "one", "ordinal")
+    placed = running_total(placed, "source_size", "start").withColumn("start", F.col("start") - F.col("source_size"))
+    s = placed.select("source", "source_size", F.col("ordinal").cast("int").alias("ordinal"), "start").withColumn("weight", weights.cast("double"))
+    s = s.withColumns({"cap": F.col("source_size") * epochs, "full_at": F.col("source_size") * epochs / F.col("weight")})
+    placed = in_order(s, [F.col("full_at"), F.col("ordinal")], written, "by-level")
+    whole, weight = (x or 0 for x in placed.agg(F.sum("source_size"), F.sum("weight")).first())
+    s = running_total(running_total(placed, "cap", "caps"), "weight", "weights")
+    s = s.withColumn("level", (F.lit(whole) - F.col("caps") + F.col("cap")) / (F.lit(float(weight)) - F.col("weights") + F.col("weight")))
+    fits = s.agg(F.max(F.when(F.col("level") <= F.col("full_at"), F.col("level")))).first()[0]
+    return s.select("source", "source_size", "weight", "ordinal", "start", F.least(F.col("cap").cast("double"), F.col("weight") * F.lit(fits or 0.0)).alias("target"))
 
 
 def mix_sources(docs: DataFrame, weights: Column, epochs: int = 3, seed: str = "") -> DataFrame:
@@ -46,17 +44,21 @@ def mix_sources(docs: DataFrame, weights: Column, epochs: int = 3, seed: str = "
     `weights` is a column over `ordinal`, the place of a source by code point with null last. In each
     source, rows are shuffled by the MD5 of seed and doc_id and queued `epochs` times over; the virtual
     finish time of an entry is the source's words up to it, divided by the source's weight. All entries
-    are range-sorted by it and taken until the sum of all sizes is reached. Rows of size 0 take nothing
-    away. Null ids count as empty; rows alike in id and size may change places. The same rows give the
-    same mix. An empty table gives no rows. Other columns of `docs` are kept.
+    are range-sorted by it and taken until the sum of all sizes is reached; ties go by source, epoch and place.
+    Rows of size 0 take nothing away. Null ids count as empty; rows alike in id and size may change places. The
+    same rows give the same mix. An empty table gives no rows. Other columns of `docs` are kept, whatever their
+    names, but those of the added ones are replaced.
     """
     spark = docs.sparkSession
     written = Written(spark, "mix")
+    kept = [c for c in docs.columns if c not in ("source_size", "target", "copies")]
+    own = ["doc_id", "source", "size"]
+    inner = {c: c if c in own else f"_c{i}" for i, c in enumerate(kept)}
+    docs = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in inner.items()])
     key = F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     queued = in_order(docs.withColumn("_key", key), [F.col("source").asc_nulls_last(), F.col("_key"), F.col("doc_id"), F.col("size")], written, "queues")
     sizes = queued.groupBy("source").agg(F.sum("size").alias("source_size"))
-    sizes = sizes.withColumn("ordinal", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())))
-    sources = written.table(source_targets(sizes.withColumn("weight", weights.cast("double")).drop("ordinal"), epochs), "sources")
+    sources = written.table(source_targets(sizes, weights, epochs, written), "sources")
     budget = sources.agg(F.sum("source_size")).first()[0] or 0
 
     total = running_total(queued, "size", "_total").drop("_part")
@@ -70,13 +72,13 @@ def mix_sources(docs: DataFrame, weights: Column, epochs: int = 3, seed: str = "
     entries = entries.select(finish(F.col("epoch")).alias("finish"), "ordinal", "epoch", F.col("_at").alias("entry"), "size")
     entries = in_order(entries, [F.col(c) for c in ("finish", "ordinal", "epoch", "entry")], written, "entries")
     last = running_total(entries, "size", "spent").where(F.col("spent") <= budget).agg(F.max(F.struct("finish", "ordinal", "epoch", "entry")).alias("last")).first()[0]
-    written.drop("entries")
+    written.drop_others("queues", "sources")
     if last is None:
         copies = F.lit(0)
     else:
         bound = F.struct(*[F.lit(last[c]).cast(t).alias(c) for c, t in (("finish", "double"), ("ordinal", "int"), ("epoch", "int"), ("entry", "long"))])
         copies = sum((F.struct(finish(F.lit(e)).alias("finish"), F.col("ordinal"), F.lit(e).alias("epoch"), F.col("_at").alias("entry")) <= bound).cast("int") for e in range(epochs))
-    return queued.withColumn("copies", copies).drop("_key", "_at", "_total", "start", "ordinal", "weight")
+    return queued.select(*[F.col(n).alias(c) for c, n in inner.items()], "source_size", "target", copies.alias("copies"))
 
 
 def mixed_documents(docs: DataFrame, weights: Column, epochs: int = 3) -> DataFrame:
@@ -88,9 +90,11 @@ def mixed_documents(docs: DataFrame, weights: Column, epochs: int = 3) -> DataFr
     light = docs.select("doc_id", F.hash("text").alias("mark"), "source", count_words(F.col("text")).alias("size"))
     light = light.groupBy("doc_id", "mark", "source").agg(F.sum("size").alias("size"))
     taken = mix_sources(light, weights, epochs).where("copies > 0").select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), F.col("source").alias("_source"), "copies")
-    same = docs["doc_id"].eqNullSafe(F.col("_id")) & (F.hash(docs["text"]) == F.col("_mark")) & docs["source"].eqNullSafe(F.col("_source"))
-    joined = docs.join(small(taken, SMALL_DOCS), same).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    return joined.select(*[docs[c] for c in docs.columns])
+    taken = small(taken, SMALL_DOCS)
+    same = docs["doc_id"].eqNullSafe(taken["_id"]) & (F.hash(docs["text"]) == taken["_mark"]) & docs["source"].eqNullSafe(taken["_source"])
+    each = F.explode(F.sequence(F.lit(1), taken["copies"])).alias("_copy")
+    numbered = docs.join(taken, same).select(*[docs[c].alias(f"_c{i}") for i, c in enumerate(docs.columns)], each)
+    return numbered.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 def op7_weights() -> Column:

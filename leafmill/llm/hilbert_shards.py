@@ -7,7 +7,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import Written, in_order, with_offsets
+from leafmill.llm.common import Written, in_order, small, with_offsets
+
+#: A table of groups of equal texts of no more rows is broadcast.
+SMALL_GROUPS = 500_000
 
 
 def quantise_category(value: Column, bits: int) -> Column:
@@ -82,16 +85,26 @@ def shard_by_hilbert(docs: DataFrame, cells: list[Column], bits: int, ties: list
 def shard_documents(docs: DataFrame, shards: int = 8, bits: int = 5, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Shards of a table of documents by source, language and text size; the law is `rows`.
 
-    Equal texts of one source and language lie side by side. Every column may be null: a null text has
-    size 1 and the checksum of the empty text.
+    Rows of equal texts count as of their least source and language, so they lie side by side on the curve; only a
+    cut may part them, since no shard may have two rows more than another. Every column may be null: a null
+    text has size 1 and the checksum of the empty text. Repeated rows get slots of their own; long texts are
+    only measured; an empty table gives no rows; columns other than `keep` may have any names.
     """
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    sized = docs.select(*keep, "source", "lang", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
-    cells = [quantise_category(F.col("source"), bits), quantise_category(F.col("lang"), bits), quantise_size(F.col("size"), bits)]
+    sized = docs.select(*keep, F.col("source").alias("_source"), F.col("lang").alias("_lang"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.md5(text).alias("_text"))
+    groups = sized.groupBy("_text").agg(F.min("_source").alias("_s"), F.min("_lang").alias("_l"), F.count("*").alias("_n")).where("_n > 1")
+    sized = sized.join(small(groups, SMALL_GROUPS), "_text", "left")
+    of_group = lambda a, b: F.when(F.col("_n").isNull(), F.col(a)).otherwise(F.col(b))
+    cells = [quantise_category(of_group("_source", "_s"), bits), quantise_category(of_group("_lang", "_l"), bits), quantise_size(F.col("size"), bits)]
     ties = [F.col("text_crc32"), F.col("size"), F.xxhash64(F.col("doc_id")), F.col("doc_id")]
     return shard_by_hilbert(sized, cells, bits, ties, shards, [*keep, "size", "text_crc32"])
 
 
+def write_shards(sharded: DataFrame, path: str) -> None:
+    """Writes each shard as a folder of its own, in the order of its slots, so that readers that filter by what the curve is made of skip shards and parts of files."""
+    sharded.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+
+
 def op3_hilbert(spark, sf_dir: str) -> DataFrame:
     out = shard_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "hilbert")

@@ -259,10 +259,11 @@ def string_rows(sign, order, ids, marks, which, start, buckets: int, blocks: int
     yield from mark_rows(ids, marks, which[done], start[done], start[done], width, blocks)
     sign, which, start = sign[~done], which[~done], start[~done]
     bucket = (sign % np.uint64(buckets)).astype(np.int64)
-    for b in np.unique(bucket):
-        own = bucket == b
+    by = np.argsort(bucket, kind="stable")
+    for a, b in runs_of(bucket[by]):
+        own = by[a:b]
         docs, local = np.unique(which[own], return_inverse=True)
-        yield "string", int(b), pack(ids=ids[docs], marks=marks[docs], sign=sign[own], doc=local.astype(np.uint32), start=start[own].astype(np.uint32))
+        yield "string", int(bucket[own[0]]), pack(ids=ids[docs], marks=marks[docs], sign=sign[own], doc=local.astype(np.uint32), start=start[own].astype(np.uint32))
 
 
 def narrow(a):
@@ -303,18 +304,16 @@ def block_rows(texts: list[bytes], ids, marks, buckets: int, strings: int, block
     key, sign, first, last, doc = (a[keep] for a in (key, sign, first, last, doc))
     bucket = (key % np.uint64(buckets)).astype(np.int64)
     by = np.argsort(bucket, kind="stable")
-    cuts = np.searchsorted(bucket[by], np.arange(buckets + 1))
-    for b in range(buckets):
-        own = by[cuts[b] : cuts[b + 1]]
-        if len(own):
-            docs, local = np.unique(doc[own], return_inverse=True)
-            rest = key[own] // np.uint64(buckets)
-            # 40 bits of the key beside its bucket and 48 of the sign; together they tell contexts apart
-            yield "anchor", b, pack(
-                ids=ids[docs], marks=marks[docs], low=(rest & np.uint64(0xFFFFFFFF)).astype(np.uint32), high=((rest >> np.uint64(32)) & np.uint64(0xFF)).astype(np.uint8),
-                sign=(sign[own] & np.uint64(0xFFFFFFFF)).astype(np.uint32), more=((sign[own] >> np.uint64(32)) & np.uint64(0xFFFF)).astype(np.uint16), told=np.packbits(sign[own] == 0),
-                doc=narrow(np.diff(local, prepend=0)), start=narrow(first[own] - begin[doc[own]]), n=narrow(last[own] - first[own]),
-            )
+    for a, b in runs_of(bucket[by]):
+        own = by[a:b]
+        docs, local = np.unique(doc[own], return_inverse=True)
+        rest = key[own] // np.uint64(buckets)
+        # 40 bits of the key beside its bucket and 48 of the sign; together they tell contexts apart
+        yield "anchor", int(bucket[own[0]]), pack(
+            ids=ids[docs], marks=marks[docs], low=(rest & np.uint64(0xFFFFFFFF)).astype(np.uint32), high=((rest >> np.uint64(32)) & np.uint64(0xFF)).astype(np.uint8),
+            sign=(sign[own] & np.uint64(0xFFFFFFFF)).astype(np.uint32), more=((sign[own] >> np.uint64(32)) & np.uint64(0xFFFF)).astype(np.uint16), told=np.packbits(sign[own] == 0),
+            doc=narrow(np.diff(local, prepend=0)), start=narrow(first[own] - begin[doc[own]]), n=narrow(last[own] - first[own]),
+        )
 
 
 def settle_anchors(pieces: list[bytes], blocks: int, width: int) -> Iterator[tuple]:

@@ -83,7 +83,8 @@ def match_rules(pages: DataFrame, rules: DataFrame, otherwise: str = "allow") ->
 
 
 def op4_url_rules(spark, sf_dir: str) -> DataFrame:
-    rules = spark.createDataFrame(OP4_RULES, "host string, path string, verdict string")
+    listed = F.array(*[F.struct(*[F.lit(v).alias(c) for c, v in zip(("host", "path", "verdict"), r, strict=True)]) for r in OP4_RULES])
+    rules = spark.range(1).select(F.inline(listed))
     return match_rules(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url"), rules).select("page_id", "host", "path", "rule", "verdict")
 
 
