@@ -215,6 +215,10 @@ def test_shards(spark, small, odd, none):
     assert all(r["size"] == len((texts[r["doc_id"]] or "").encode()) + 1 and r["text_crc32"] == zlib.crc32((texts[r["doc_id"]] or "").encode()) for r in rows)
     order = sorted(rows, key=lambda r: (r["shard"], r["slot"]))
     assert [r["hilbert"] for r in order] == sorted(r["hilbert"] for r in rows)
+    clash = odd.withColumns({c: F.lit("x") for c in ("hilbert", "shard", "slot", "size")})
+    assert hilbert_shards.shard_documents(clash).count() == len(ODD)
+    same = {(r["shard"], r["slot"]) for r in hilbert_shards.shard_documents(odd, shards=2).where("doc_id IN (4, 5)").collect()}
+    assert len(same) == 3 and hilbert_shards.shard_documents(odd, shards=1, keep=("doc_id", "source")).where("doc_id IN (4, 5)").agg(F.max("slot") - F.min("slot")).first()[0] == 2
     assert hilbert_shards.shard_documents(odd).count() == len(ODD) and hilbert_shards.shard_documents(none).count() == 0
 
 
@@ -278,6 +282,11 @@ def test_forest(spark, small, odd, none):
     assert threshold == 1.0
     assert quality_forest.score_quality(odd, forest, threshold, ["doc_id", "text"]).count() == len(ODD)
     assert quality_forest.score_quality(none, forest, threshold, ["doc_id"]).count() == 0
+    clash = odd.withColumns({c: F.lit("x") for c in ("kept", "n_words", "anomaly", "_k0", "_text")})
+    judged = quality_forest.score_quality(clash, forest, threshold, clash.columns)
+    assert judged.where("NOT kept").count() == len(ODD) and len(set(judged.columns)) == len(judged.columns)
+    kept = quality_forest.score_quality(clash, forest, threshold, clash.columns, only_kept=True)
+    assert kept.columns == clash.columns and {r["kept"] for r in kept.collect()} <= {"x"}
 
 
 def test_forest_tells_anomalies():
@@ -348,7 +357,11 @@ def test_mix(spark, odd, none):
     assert math.isclose(sum(rs[0]["target"] for rs in by_source.values()), sum(r[2] for r in rows))
     zero = fair_mix.mix_sources(spark.createDataFrame([(1, "a", 0), (2, None, 0)], "doc_id long, source string, size long"), fair_mix.op7_weights()).collect()
     assert [r["target"] for r in zero] == [0.0, 0.0]
-    assert fair_mix.mixed_documents(odd, fair_mix.op7_weights()).columns == odd.columns
+    clash = odd.withColumns({c: F.lit("x") for c in ("weight", "target", "source_size", "start", "ordinal", "copies", "_copy", "_key", "size2")})
+    assert fair_mix.mixed_documents(clash, fair_mix.op7_weights()).columns == clash.columns
+    sized = clash.withColumn("size", F.lit(1).cast("long"))
+    mixed = fair_mix.mix_sources(sized, fair_mix.op7_weights())
+    assert mixed.count() == len(ODD) and mixed.agg(F.sum("copies")).first()[0] == len(ODD) and {r["weight"] for r in mixed.collect()} == {"x"}
     assert fair_mix.mixed_documents(none, fair_mix.op7_weights()).count() == 0
 
 
@@ -379,22 +392,64 @@ def test_personal_data(spark, small, odd, none):
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(tricky)] + [(d, t) for d, t, *_ in documents(spark, small)], "doc_id long, text string")
     texts, spans = sanitise.find_personal_data(docs)
     got = {}
-    for r in spans.where("kind != 'term'").collect():
+    for r in spans.where("kind NOT IN ('term', 'general')").collect():
         got.setdefault(r["key"], []).append((r["start"], list(PLAIN).index(r["kind"]), r["end"], r["kind"]))
     for r in docs.collect():
         assert sorted(got.get(hashlib.md5((r["text"] or "").encode()).hexdigest(), [])) == plain_spans(r["text"]), r["text"][:80]
     assert sanitise.find_personal_data(none)[1].count() == 0 and sanitise.find_personal_data(odd)[1].count() == 0
 
 
-def test_disclosing_terms(spark):
+def plain_terms(texts, d):
+    """Words that give an entity of their text away, as (text, start, end, kind)."""
+    different = sorted(set(texts))
+    strip = lambda w: re.sub(r"^[^A-Za-zÀ-ÿ]+|[^A-Za-zÀ-ÿ]+$", "", w).lower()
+    words = {t: [(m.start(), m.end(), strip(m[0])) for m in re.finditer(r"[^\x20\x09-\x0D]+", t)] for t in different}
+    having = Counter(w for t in different for w in {w for *_, w in words[t]})
+    begins = Counter(b for t in texts for b in {w[: d.general] for *_, w in words[t]})
+    held = {t: [(k, t[a:e], a, e) for a, _, e, k in plain_spans(t)] for t in different}
+    out = set()
+    for entity in {x[:2] for spans in held.values() for x in spans}:
+        own = [t for t in different if any(x[:2] == entity for x in held[t])]
+        rows, room = sum(t in own for t in texts), (len(different) / len(own)) ** (1 - d.disclosed)
+        both, close = Counter(), Counter()
+        for t in own:
+            terms = {w for *_, w in words[t] if re.fullmatch("[A-Za-zÀ-ÿ'’-]+", w)}
+            near = {w for a, e, w in words[t] if w in terms for x in held[t] if x[:2] == entity and (e <= x[2] and e > x[2] - d.near or a >= x[3] and a < x[3] + d.near)}
+            close.update(near)
+            both.update(terms if len(own) > 1 else near)
+        for w in both:
+            if both[w] + close[w] >= d.evidence and having[w] <= both[w] * room:
+                general = len(w) >= d.least_general and begins[w[: d.general]] > rows * room
+                out |= {(t, a, e, w, general) for t in own for a, e, v in words[t] if v == w}
+    kinds = {}
+    for t, a, e, _, general in out:
+        kinds[t, a, e] = kinds.get((t, a, e), True) and general
+    return {(t, a, e, "general" if g else "term") for (t, a, e), g in kinds.items()}
+
+
+def test_disclosing_terms(spark, small):
     mail = "john@mail.example"
     rows = [(i, f"Common words around Zyxwvut {mail} common words {i}") for i in range(5)] + [(i, f"common words around {i} only") for i in range(10, 40)]
-    docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, kind string")
+    rows += [(50, "A letter of Li Ng +1 (017) 555-7713 to all words"), (51, "a letter of words to all common"), (51, "a letter of words to all common"), (52, f"far Quixotic {'words ' * 40} {mail}"), (53, f"far Quixotic {'common ' * 40} {mail}")]
+    rows += [(60 + i, f"zyxw{c} common words") for i, c in enumerate("abcdefghijklmno")]
+    docs = spark.createDataFrame([(i, t, "x", "y", "z") for i, t in rows], "doc_id long, text string, kind string, clean string, key string")
     texts, spans = sanitise.find_personal_data(docs)
-    shown = {t["text"][s["start"] : s["end"]] for t in texts.collect() for s in spans.where("kind = 'term'").collect() if s["key"] == t["key"]}
-    assert shown == {"Zyxwvut"}
+    by_key = {t["key"]: t["text"] for t in texts.collect()}
+    found = {(by_key[s["key"]], s["start"], s["end"], s["kind"]) for s in spans.where("kind IN ('term', 'general')").collect()}
+    assert found == plain_terms([t for _, t in rows], sanitise.Disclosure())
+    shown = {t[a:e] for t, a, e, _ in found}
+    assert {"Zyxwvut", "Li", "Ng", "Quixotic"} <= shown and not shown & {"common", "words", "letter"}
     clean = {r["doc_id"]: r["text"] for r in sanitise.sanitise(docs).collect()}
-    assert clean[3] == "Common words around [TERM] [EMAIL] common words 3" and clean[12] == rows[7][1] and len(clean) == len(rows)
+    assert clean[3] == "Common words around zyx* [EMAIL] common words 3".replace("zyx", "Zyx") and clean[12] == rows[7][1] and len(clean) == len({i for i, _ in rows})
+    assert clean[50].startswith("A letter of [TERM] [TERM] [PHONE] to") and sanitise.sanitise(docs).columns == docs.columns
+
+
+def test_disclosing_terms_of_the_tables(spark, small):
+    texts = [t or "" for _, t, *_ in documents(spark, small)]
+    kept, spans = sanitise.find_personal_data(spark.read.parquet(f"{small}/documents.parquet"))
+    by_key = {t["key"]: t["text"] for t in kept.collect()}
+    found = {(by_key[s["key"]], s["start"], s["end"], s["kind"]) for s in spans.where("kind IN ('term', 'general')").collect()}
+    assert found == plain_terms(texts, sanitise.Disclosure()) and found
 
 
 # ---- 9 -------------------------------------------------------------------------------------------
@@ -418,6 +473,54 @@ def test_class_model(spark, small, odd, none):
     assert brown_lm.score_corpus(none, F.lit(True)).count() == 0
 
 
+def test_class_model_adds_up_to_one(spark):
+    rng = random.Random(6)
+    words = [f"{rng.choice('abcd')}{i}" for i in range(80)]
+    texts = [" ".join(rng.choice(words[: rng.randint(1, 80)]) for _ in range(rng.randint(0, 60))) for _ in range(150)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    s = brown_lm.Settings(classes=6, endings=4, one_in=40, least=3, rounds=2)
+    blocks, model = brown_lm.fit(docs, F.lit(True), s)
+    count, of = {}, {}
+    for r in blocks.collect():
+        p = brown_lm.unpack(r["data"])
+        number, at = p["low"].astype(int) | p["high"].astype(int) << 16, 0
+        for doc, n in zip(r["ids"], p["counts"], strict=True):
+            for w, i in zip(texts[doc].split(), number[at : at + n], strict=True):
+                assert of.setdefault(w, p["classes"][i]) == p["classes"][i]
+                count[w] = p["count"][i]
+            at += n
+    assert count == Counter(w for t in texts for w in t.split())
+    assert np.allclose((10.0**model.transition).sum(1), 1)
+    for c in range(s.classes + s.endings):
+        inside = [count[w] for w in count if of[w] == c]
+        assert math.isclose(sum(inside) + s.delta * (len(inside) + 1), 10 ** model.emitted[c])  # each word and one unseen word
+    assert all((of[w] < s.classes) == (n >= s.least) for w, n in count.items())
+    longer = brown_lm.score_corpus(docs, F.lit(True), s).agg(F.sum("score")).first()[0]
+    assert longer > brown_lm.score_corpus(docs, F.lit(True), brown_lm.Settings(classes=6, endings=4, one_in=1, least=3)).agg(F.sum("base_score")).first()[0]
+
+
+def test_words_join_the_best_class():
+    rng = np.random.default_rng(5)
+    n, classes, words = 5, 3, 6
+    matrix = rng.integers(1, 40, (n, n))
+    beside = np.concatenate([np.sort(rng.choice(2 * n, 4, False)) for _ in range(words)])
+    word, count = np.repeat(np.arange(words), 4), rng.integers(1, 9, 4 * words)
+
+    def likelihood(m):
+        return brown_lm.plogp(m).sum() - brown_lm.plogp(m.sum(0)).sum() - brown_lm.plogp(m.sum(1)).sum()
+
+    best = brown_lm.best_classes(word, beside, count, words, matrix, classes)
+    for w in range(words):
+        gains = []
+        for b in range(classes):
+            m = matrix.astype(float)
+            for x, c in zip(beside[word == w], count[word == w], strict=True):
+                m[(x, b) if x < n else (b, x - n)] += c
+            # only the row and column of the class count, the marginals of its neighbours stay as they are for all classes
+            gains.append(brown_lm.plogp(m).sum() - brown_lm.plogp(matrix.sum(0)[b] + count[(word == w) & (beside < n)].sum()) + brown_lm.plogp(matrix.sum(0)[b]) - brown_lm.plogp(matrix.sum(1)[b] + count[(word == w) & (beside >= n)].sum()) + brown_lm.plogp(matrix.sum(1)[b]))
+        assert math.isclose(gains[best[w]], max(gains))
+
+
 def test_exchange_finds_the_best_class():
     rng = random.Random(4)
     n, classes = 5, 3
@@ -462,9 +565,72 @@ def test_licenses(spark, small, odd, none):
     assert license_templates.scan_licenses(none, "doc_id", "text", license_templates.OP10_PHRASES, license_templates.TEMPLATES).count() == 0
 
 
+def plain_ends(markup, words, at):
+    """Ends of all matches of a template that begin at `at`, by taking it apart."""
+    parts = re.findall(r"\[\[|\]\]|\{\{\d+\}\}|[a-z ]+", markup)
+
+    def tree(i):
+        out = []
+        while i < len(parts) and parts[i] != "]]":
+            if parts[i] == "[[":
+                inner, i = tree(i + 1)
+                out.append(inner)
+            else:
+                out.append(parts[i])
+            i += 1
+        return out, i
+
+    def ends(nodes, starts):
+        for x in nodes:
+            if isinstance(x, list):
+                starts = starts | ends(x, starts)
+            elif x.startswith("{"):
+                starts = {min(s + k, len(words)) for s in starts for k in range(int(x[2:-2]) + 1)}
+            else:
+                w = x.split()
+                starts = {s + len(w) for s in starts if words[s : s + len(w)] == w}
+        return starts
+
+    return ends(tree(0)[0], {at})
+
+
+def test_templates_against_expansion():
+    rng = random.Random(9)
+
+    def markup(depth):
+        parts = []
+        for _ in range(rng.randint(1, 3)):
+            kind = rng.random()
+            parts.append(f"[[{markup(depth - 1)}]]" if kind < 0.35 and depth else "{{%d}}" % rng.randint(1, 3) if kind < 0.5 else " ".join(rng.choice("abc") for _ in range(rng.randint(1, 3))))
+        return " ".join(parts)
+
+    for _ in range(300):
+        said = markup(3)
+        automaton, words = license_templates.compile_template("t", said), [rng.choice("abc") for _ in range(12)]
+        for at in range(len(words)):
+            want = max((e for e in plain_ends(said, words, at) if e > at), default=-1)
+            assert automaton.match([w.encode() for w in words], at) == want, (said, words, at)
+    for broken in ("a [[b", "a]]", "a {{x}} b"):
+        with pytest.raises(ValueError, match="template"):
+            license_templates.compile_template("t", broken)
+
+
 # ---- Pipeline --------------------------------------------------------------------------------------
 
 
+def test_pipeline_on_odd_rows(spark, small, odd, none):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    words = " ".join(f"w{i}" for i in range(80))
+    more = [(20, words, "s", "en"), (21, words, None, None), (22, words + " end", "s", "en"), (22, words + " end", "s", "en")]
+    clash = {c: F.lit("x") for c in ("kept", "label", "copies", "_leaks", "weight", "hilbert", "shard", "n_words")}
+    for docs, want in ((odd.unionByName(spark.createDataFrame(more, DOC)), {20}), (none, set()), (odd.where("false OR text IS NULL"), set())):
+        kept = docs.withColumns({"n_chars": F.length("text"), **clash})
+        for name, stage in pipeline.STAGES:
+            before, kept = kept.columns, stage(spark, kept, small)
+            assert name == "shards" or sorted(kept.columns) == sorted(before), name
+        assert {r["doc_id"] for r in kept.collect()} <= want | {6}
+
+
 def test_pipeline(spark, small):
     pipeline = pytest.importorskip("corpus_pipeline")
     docs = spark.read.parquet(f"{small}/documents.parquet")
