@@ -16,28 +16,28 @@ from leafmill.llm.quality_forest import fit_forest, score_quality
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and are no anomaly to the forest."""
+    """Documents that pass the base rules and are no anomaly to the forest; null and empty texts fail them."""
     forest, threshold = fit_forest(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return score_quality(docs, forest, threshold, docs.columns).where("kept").select(*docs.columns)
+    return score_quality(docs, forest, threshold, docs.columns, only_kept=True)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by five-word shingles with a Jaccard index of 0.8 or more."""
+    """One document of each group linked by five-word shingles with a Jaccard index of 0.8 or more: that of the least id; null ids come first."""
     return keep_one(docs)
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the words that they share with benchmark items, ten or more in a row."""
+    """Documents without the words that they share with benchmark items, ten or more in a row; null texts stay."""
     return remove_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mixture takes them."""
+    """Documents as often as the mixture takes them; those without words as often as their place in the queue says."""
     return mixed_documents(docs, op7_weights())
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with their shard and slot."""
+    """Documents with their shard and slot, each copy with a slot of its own."""
     return shard_documents(docs, keep=("doc_id", "text", "n_chars"))
 
 
@@ -54,13 +54,19 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the last stage over `documents`."""
+    """The rows of the last stage over `documents`.
+
+    Rows with nulls, empty or very long texts, repeated rows and empty tables go through each stage by its operator's
+    rules; columns of any other name are carried along. What a stage has written for itself goes once it is stored.
+    """
     written = Written(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (name, stage) in enumerate(STAGES):
+        mark = Written.written_so_far()
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             docs = written.table(docs, name)
+            Written.remove_since(mark)
             if i:
                 written.drop(STAGES[i - 1][0])
     return docs
