@@ -170,6 +170,14 @@ def a24(spark, d):
     return nth(typst.typst_blocks(snippets(spark, d, TYP)))
 
 
+@query("a25_typst_inlines", """WITH l AS (SELECT l_orderkey, l_linenumber, l_partkey AS k, l_suppkey, l_extendedprice FROM lineitem), x AS (SELECT *, 0 AS ipos, 'text' AS kind, 'See ' AS value, CAST(NULL AS VARCHAR) AS url FROM l UNION ALL SELECT *, 1, 'strong', 'b' || k, CAST(NULL AS VARCHAR) FROM l UNION ALL SELECT *, 2, 'text', ', ', CAST(NULL AS VARCHAR) FROM l UNION ALL SELECT *, 3, 'emphasis', 'e ' || k, CAST(NULL AS VARCHAR) FROM l UNION ALL SELECT *, 4, 'text', ' ', CAST(NULL AS VARCHAR) FROM l UNION ALL SELECT *, 5, 'crossref', 'fig:' || k, CAST(NULL AS VARCHAR) FROM l UNION ALL SELECT *, 6, 'text', ', ', CAST(NULL AS VARCHAR) FROM l UNION ALL SELECT *, 7, 'link', 't' || k, 'u' || k FROM l UNION ALL SELECT *, 8, 'text', ' ', CAST(NULL AS VARCHAR) FROM l UNION ALL SELECT *, 9, 'math', 'x_1', CAST(NULL AS VARCHAR) FROM l UNION ALL SELECT *, 10, 'text', ' me@b.c 5 * 6 ', CAST(NULL AS VARCHAR) FROM l UNION ALL SELECT *, 11, 'code', 'a*b*', CAST(NULL AS VARCHAR) FROM l UNION ALL SELECT *, 12, 'superscript', '2', CAST(NULL AS VARCHAR) FROM l UNION ALL SELECT *, 13, 'citation', 'p' || k, CAST(NULL AS VARCHAR) FROM l UNION ALL SELECT *, 14, 'text', ' #other[x]', CAST(NULL AS VARCHAR) FROM l)
+SELECT l_orderkey, l_linenumber, l_suppkey, l_extendedprice, ipos, kind, value, url FROM x""")
+def a25(spark, d):
+    k, s = F.col("l_partkey"), F.lit
+    text = F.concat(s("See *b"), k, s("*, _e "), k, s("_ @fig:"), k, s(', #link("u'), k, s('")[t'), k, s("] $x_1$ me@b.c 5 * 6 `a*b*`#super[2]#cite(<p"), k, s(">) #other[x]"))
+    return typst.typst_inlines(spark.read.parquet(f"{d}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice", text.alias("text")))
+
+
 @query("a27_typst_metadata", "SELECT p_partkey AS doc_id, CASE p_partkey % 3 WHEN 0 THEN p_name WHEN 1 THEN 'F' || p_partkey END AS title, CASE WHEN p_partkey % 3 != 2 THEN p_brand END AS author FROM part")
 def a27(spark, d):
     k = F.col("p_partkey")
@@ -236,7 +244,7 @@ def a28(spark, d):
 @query("a29_docx_style_kind", "SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'heading' || (p_size % 6 + 1) WHEN 1 THEN 'heading' || (p_size % 6 + 1) WHEN 2 THEN 'code' WHEN 3 THEN 'quote' ELSE 'normal' END AS kind FROM part")
 def a29(spark, d):
     k, n = F.col("p_partkey") % 5, F.col("p_size") % 6 + 1
-    style = F.when(k == 0, F.concat(F.lit("Überschrift "), n)).when(k == 2, "Source Code").when(k == 3, "IntenseQuote").otherwise("Body Text")
+    style = F.when(k == 0, F.concat(F.lit("Überschrift"), n)).when(k == 2, "Source Code").when(k == 3, "IntenseQuote").otherwise("Subtitle")
     return spark.read.parquet(f"{d}/part.parquet").select("p_partkey", docx.style_kind(style, F.when(k == 1, n - 1)).alias("kind"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from leafmill.functions import text as t
-from leafmill.operators import outline as o
+from leafmill.operators import documents as r
 from leafmill.sources import html as h
 
 QUERIES: dict = {}
@@ -40,14 +40,15 @@ PARA = f"trim(regexp_replace({UN.format(s='regexp_replace(x, ' + chr(39) + '<[^>
 FIND = "unnest(regexp_extract_all(html, '(?s)<(?:p|h1)>(?:[^<]|</?(?:b|a)\\b[^>]*>|<br>)*'))"
 
 
-@query("a7_html_blocks", f"""SELECT page_id, CASE WHEN x LIKE '<h1>%' THEN 'heading' ELSE 'paragraph' END AS kind, count(*) AS n, CAST(sum(length({PARA})) AS BIGINT) AS chars
+@query("a7_html_blocks", f"""SELECT page_id, CASE WHEN x LIKE '<h1>%' THEN 'heading' ELSE 'paragraph' END AS kind, {PARA} AS text, count(*) AS n
 FROM (SELECT page_id, {FIND} AS x FROM (SELECT page_id, regexp_replace(html, '(?s)<script.*?</script>', '') AS html FROM pages)) WHERE {PARA} != '' GROUP BY ALL""")
 def a7(spark, d):
-    b = h.html_blocks(pages(spark, d)).where("kind IN ('heading', 'paragraph') AND NOT array_contains(ancestors, 'list')")
-    inside = F.exists("ancestors", lambda a: a == "div") & (F.size("ancestors") == 1)
-    first = b.where(inside | (F.size("ancestors") == 0)).withColumn("said", F.col("text"))
-    prose = first.join(first.where("kind = 'heading'").select("page_id", F.col("pos").alias("from")), "page_id").join(h.html_blocks(pages(spark, d)).where("kind = 'div' AND depth = 0").groupBy("page_id").agg(F.max("pos").alias("footer")), "page_id")
-    return prose.where("pos >= from AND pos < footer AND text != ''").groupBy("page_id", "kind").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
+    """Headings and paragraphs between the first heading and the footer, with their whole text."""
+    p = h.page_arrays(pages(spark, d))
+    first = F.array_min(F.transform(F.filter("blocks", lambda b: b["kind"] == "heading"), lambda b: b["pos"]))
+    last = F.array_max(F.transform(F.filter("blocks", lambda b: (b["kind"] == "div") & (b["depth"] == 0)), lambda b: b["pos"]))
+    prose = p.select("page_id", first.alias("first"), last.alias("last"), F.inline("blocks")).where("kind IN ('heading', 'paragraph') AND pos >= first AND pos < last AND text != ''")
+    return prose.where(~F.array_contains("ancestors", "list")).groupBy("page_id", "kind", "text").agg(F.count("*").alias("n"))
 
 
 LINKS = "(SELECT page_id, unnest(regexp_extract_all(html, '<a href=\"[^\"]*\">[^<]*</a>')) AS x FROM pages)"
@@ -59,12 +60,14 @@ def a8(spark, d):
     return inlines.where("kind = 'link'").groupBy("page_id", "url", "value").agg(F.count("*").alias("n"))
 
 
-@query("a9_html_unwrap", """SELECT page_id, 1 AS top_divs_with_one_child, CAST(len(regexp_extract_all(html, '<li>')) AS BIGINT) AS items FROM pages WHERE len(regexp_extract_all(html, '<nav><ul>')) = 1""")
+@query("a9_html_unwrap", """SELECT page_id, 0 AS list_depth, 1 AS item_depth, CAST(len(regexp_extract_all(html, '<li>')) AS BIGINT) AS items, 1 AS divs FROM pages WHERE len(regexp_extract_all(html, '<li>')) > 0""")
 def a9(spark, d):
-    b = h.html_blocks(pages(spark, d))
-    gone = b.where("kind = 'div' AND children <= 1 AND pos = 0").select("page_id", F.lit(1).alias("top_divs_with_one_child"))
-    items = h.unwrap_divs(b).where("kind = 'item'").groupBy("page_id").agg(F.count("*").alias("items"))
-    return gone.join(items, "page_id")
+    """Lists of navigation without the section around them, at the depth that is left; only the article stays a section."""
+    b = h.html_blocks(pages(spark, d), document=True)
+    of = lambda k, c: F.max(F.when(F.col("kind") == k, F.col(c)))
+    n = lambda k: F.count(F.when(F.col("kind") == k, 1))
+    found = b.groupBy("page_id").agg(of("list", "depth").alias("list_depth"), of("item", "depth").alias("item_depth"), n("item").alias("items"), n("div").cast("int").alias("divs"))
+    return found.where("items > 0")
 
 
 TITLE = UN.format(s="regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)")
@@ -75,14 +78,36 @@ x AS (SELECT page_id, {FIND} AS x FROM p), y AS (SELECT page_id, {PARA} AS s, x
 SELECT p.page_id, trim({TITLE}) AS title, trim(regexp_replace(regexp_replace(regexp_replace(lower({TITLE}), '[ _]', '-', 'g'), '[^\\p{{L}}\\p{{N}}-]', '', 'g'), '-+', '-', 'g'), '-') AS id,
   (SELECT count(*) FROM y WHERE y.page_id = p.page_id AND s != '' AND NOT is_heading) AS paragraphs FROM p""")
 def w4(spark, d):
-    """Title, id of the first heading and number of paragraphs of each page."""
-    b = h.html_blocks(pages(spark, d))
-    heads = b.where("kind = 'heading'").withColumn("slug", t.slugify(F.col("text")))
-    first = o.dedup_ids(heads.withColumnRenamed("page_id", "doc_id")).groupBy("doc_id").agg(F.min_by("text", "pos").alias("title"), F.min_by("id", "pos").alias("id"), F.min("pos").alias("from"))
-    footer = b.where("kind = 'div' AND depth = 0").groupBy("page_id").agg(F.max("pos").alias("to"))
-    prose = b.where("kind = 'paragraph' AND size(ancestors) <= 1 AND text != ''").join(footer, "page_id")
-    n = prose.join(first, prose.page_id == first.doc_id).where("pos > from AND pos < to").groupBy("page_id").agg(F.count("*").alias("n"))
-    return first.withColumnRenamed("doc_id", "page_id").join(n, "page_id", "left").select("page_id", "title", "id", F.coalesce("n", F.lit(0)).alias("paragraphs"))
+    """Title, id of the first heading and number of paragraphs of each page: one pass, nothing is shuffled."""
+    of = lambda test: F.filter("blocks", test)
+    head, last = F.try_element_at(of(lambda b: b["kind"] == "heading"), F.lit(1)), F.array_max(F.transform(of(lambda b: (b["kind"] == "div") & (b["depth"] == 0)), lambda b: b["pos"]))
+    p = h.page_arrays(pages(spark, d)).withColumns({"head": head, "last": last}).where("head IS NOT NULL")
+    prose = F.size(of(lambda b: (b["kind"] == "paragraph") & (F.size(b["ancestors"]) <= 1) & (b["text"] != "") & (b["pos"] > F.col("head.pos")) & (b["pos"] < F.col("last"))))
+    return p.select("page_id", F.col("head.text").alias("title"), t.slugify(F.col("head.text")).alias("id"), prose.cast("long").alias("paragraphs"))
+
+
+# Pages by the rule that makes them: a list of links, an advertisement, an article of a heading and paragraphs, a footer.
+PAGE = f"""WITH p AS (SELECT page_id, regexp_replace(html, '(?s)<script.*?</script>', '') AS html FROM pages),
+nav AS (SELECT page_id, n, {UN.format(s="regexp_extract(x, 'href=.([^>]*).>', 1)")} AS url, {UN.format(s="regexp_extract(x, '>([^<]*)</a>', 1)")} AS said FROM (SELECT page_id, generate_subscripts(a, 1) AS n, unnest(a) AS x FROM (SELECT page_id, regexp_extract_all(html, '<li><a href="[^"]*">[^<]*</a></li>') AS a FROM p))),
+art AS (SELECT page_id, n, x, max(CASE WHEN contains(x, '<b>') THEN 1 ELSE 0 END) OVER (PARTITION BY page_id ORDER BY n) AS bold FROM (SELECT page_id, generate_subscripts(a, 1) AS n, unnest(a) AS x FROM (SELECT page_id, string_split(regexp_extract(html, '(?s)</h1>(.*)</article>', 1), '<p>')[2:] AS a FROM p))),
+para AS (SELECT page_id, n, bold, {PARA} AS s FROM art),
+f AS (SELECT page_id, {PARA.replace('(x,', "(regexp_extract(html, '(?s)<footer>(.*?)</footer>', 1),")} AS foot, {PARA.replace('(x,', "(regexp_extract(html, '(?s)<div class=.ad.>(.*?)</div>', 1),")} AS ad, {PARA.replace('(x,', "(regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1),")} AS head FROM p)"""
+NLS = "chr(10)"
+
+
+@query("w4_pages_to_plain", f"""{PAGE} SELECT page_id, (SELECT string_agg('- ' || said || ' (' || url || ')' || {NLS}, '' ORDER BY n) FROM nav WHERE nav.page_id = f.page_id) || {NLS} || ad || {NLS} || {NLS} || head || {NLS} || repeat('=', strlen(head)) || {NLS} || {NLS} ||
+  coalesce((SELECT string_agg(s || {NLS} || {NLS}, '' ORDER BY n) FROM para WHERE para.page_id = f.page_id AND s != ''), '') || foot || {NLS} AS text FROM f""")
+def w4_plain(spark, d):
+    """Whole pages as plain text."""
+    return r.render_documents(h.page_documents(pages(spark, d)), None, "plain").withColumnRenamed("doc_id", "page_id")
+
+
+@query("w4_pages_to_markdown", f"""{PAGE} SELECT page_id, (SELECT string_agg('- [' || said || '](' || url || ')' || {NLS}, '' ORDER BY n) FROM nav WHERE nav.page_id = f.page_id) || {NLS} || ad || {NLS} || {NLS} || ':::' || {NLS} || '# ' || head || {NLS} ||
+  coalesce((SELECT string_agg({NLS} || CASE WHEN bold = 1 THEN '**' || s || '**' ELSE s END || {NLS}, '' ORDER BY n) FROM para WHERE para.page_id = f.page_id AND s != ''), '') || ':::' || {NLS} || {NLS} ||
+  CASE WHEN (SELECT max(bold) FROM para WHERE para.page_id = f.page_id) = 1 THEN '**' || foot || '**' ELSE foot END || {NLS} AS text FROM f""")
+def w4_markdown(spark, d):
+    """Whole pages as Markdown; an element for bold text that a page leaves open goes on to its end."""
+    return r.render_documents(h.page_documents(pages(spark, d)), None, "markdown").withColumnRenamed("doc_id", "page_id")
 
 
 # ---- HTML made of orders ----------------------------------------------------------------------------

@@ -55,14 +55,14 @@ def d6(spark, d):
 
 
 WALK = f"""WITH RECURSIVE {S}, {EDGES}, {JOINED}, w(root, k, path, inside, ok, warn) AS (
-  SELECT k, k, path, CAST([] AS VARCHAR[]), true, CAST(NULL AS VARCHAR) FROM s WHERE k % 5 = 0
+  SELECT k, k, path, CAST([] AS VARCHAR[]), true, CAST(NULL AS VARCHAR) FROM s
   UNION ALL SELECT w.root, j.to_k, j.target, CASE WHEN j.target IS NULL THEN w.inside ELSE list_append(w.inside, j.target) END, j.target IS NOT NULL AND NOT list_contains(w.inside, j.target),
     CASE WHEN j.target IS NULL THEN '\\' || j.command || '{{' || j.arg || '}}: file not found' WHEN list_contains(w.inside, j.target) THEN 'circular \\' || j.command || '{{' || j.arg || '}}' END
   FROM w JOIN j ON j.path = w.path WHERE w.ok)"""
 
 
 def roots(f):
-    return f.where("k % 5 = 0").select("project_id", F.col("path").alias("root"))
+    return f.select("project_id", F.col("path").alias("root"))
 
 
 @query("a18_resolve_includes", WALK + " SELECT " + f"'f' || root || {EXT.format(k='root')} AS root, CAST(sum(CASE WHEN ok THEN length('S' || k) + length(' mid ' || k) + length('end') ELSE 0 END) + sum(CASE WHEN ok THEN length('\\begin{{verbatim}}\\input{{f0}}\\end{{verbatim}}') ELSE 0 END) AS BIGINT) AS n_chars, count(*) FILTER (ok) AS n_files FROM w GROUP BY root".replace("{{", "{").replace("}}", "}"))
@@ -111,12 +111,12 @@ def b12(spark, d):
     return template.render_template(docs, "# $$$doc_id$ by $for(author)$$author$$sep$, $endfor$$if(long)$ (long)$else$ (short: $meta.n$)$endif$[$missing$]").select("doc_id", "output")
 
 
-@query("b13_standalone", f"""SELECT doc_id, '<!DOCTYPE html>' || chr(10) || '<html lang="en">' || chr(10) || '<head>' || chr(10) || '<meta charset="utf-8">' || chr(10) || '<title>T' || doc_id || '</title>' || chr(10) || '<link rel="stylesheet" href="a.css">' || chr(10) || '<link rel="stylesheet" href="b.css">' || chr(10) || '</head>' || chr(10) || '<body>' || chr(10) ||
+@query("b13_standalone", f"""SELECT doc_id, '<!DOCTYPE html>' || chr(10) || '<html lang="en">' || chr(10) || '<head>' || chr(10) || '<meta charset="utf-8">' || chr(10) || '<title>T&lt;' || doc_id || '</title>' || chr(10) || '<link rel="stylesheet" href="a.css">' || chr(10) || '<link rel="stylesheet" href="b.css">' || chr(10) || '</head>' || chr(10) || '<body>' || chr(10) ||
   string_agg('<p>' || replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</p>' || chr(10), '' ORDER BY ord, role, text) || '</body>' || chr(10) || '</html>' || chr(10) AS output FROM {TURNS} GROUP BY doc_id""")
 def b13(spark, d):
     piece = F.concat(F.lit("<p>"), t.escape_html(F.col("text")), F.lit("</p>\n"))
     body = r.assemble_text(turns(spark, d).select("doc_id", F.struct("ord", "role", "text").alias("pos"), piece.alias("piece"))).withColumnRenamed("text", "body")
-    docs = body.withColumns({"title": F.concat(F.lit("T"), "doc_id"), "css": F.array(F.lit("a.css"), F.lit("b.css")), "lang": F.lit("de")})
+    docs = body.withColumns({"title": F.concat(F.lit("T<"), "doc_id"), "css": F.array(F.lit("a.css"), F.lit("b.css")), "lang": F.lit("de")})
     return template.standalone(docs, "html", {"lang": "en"}).select("doc_id", "output")
 
 

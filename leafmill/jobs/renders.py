@@ -114,3 +114,15 @@ def _counter(level: int) -> str:
 
 QUERIES["w1_number_and_render"] = w1
 ORACLES["w1_number_and_render"] = ORACLES["b1_render_html"].replace("coalesce(c, '') AS c", f"CASE WHEN o.k % 8 = 1 THEN array_to_string([{', '.join(_counter(v) for v in (1, 2, 3, 4))}][1:lv], '.') || ' ' ELSE '' END || coalesce(c, '') AS c")
+
+
+def i4(spark, d):
+    """Number sections and labels, resolve references, render: emphasised words refer to the label of their block's order."""
+    blocks, inlines = corpus(spark, d)
+    own = F.concat(F.lit("h_"), F.floor(F.col("pos") / 100).cast("long"))
+    refer = inlines.withColumns({"value": F.when(F.col("kind") == "emphasis", own).otherwise(F.col("value")), "kind": F.when(F.col("kind") == "emphasis", "crossref").otherwise(F.col("kind"))})
+    return r.render_documents(blocks, r.numbered_headings(blocks, r.resolved(blocks, refer)), "html")
+
+
+QUERIES["i4_number_resolve_render"] = i4
+ORACLES["i4_number_resolve_render"] = ORACLES["w1_number_and_render"].replace("'<em>w' || s || '_&lt;</em>'", """CASE WHEN k % 24 = 9 THEN 'Section ' || (SELECT count(*) FROM orders z, orders y WHERE y.o_orderkey = l.k AND z.o_custkey = y.o_custkey AND z.o_orderkey % 24 = 9 AND z.o_orderkey <= l.k) ELSE '<a href="#h_' || k || '" class="crossref">[h_' || k || ']</a>' END""")

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.functions import text as t
-from leafmill.operators.render import in_order
+from leafmill.operators.render import html_table, in_order, markdown_table, plaintext_table, section_order
 
 FORMATS = ("html", "markdown", "myst", "plain", "latex", "typst")
 #: LaTeX commands of heading levels.
@@ -63,28 +63,55 @@ def footnote_ref(form: str, ident: Column, note: Column) -> Column:
     return F.concat(F.lit("[^"), ident, F.lit("]"))
 
 
-def render_inline(form: str) -> Column:
-    """The text of an inline (kind, value, url, note)."""
-    said = escaped(F.col("value"), form)
-    code = {"html": F.concat(F.lit("<code>"), said, F.lit("</code>")), "latex": F.concat(F.lit("\\texttt{"), said, F.lit("}")), "plain": F.col("value"), "typst": F.concat(F.lit("`"), "value", F.lit("`"))}.get(form, t.code_span(F.col("value")))
-    math = {"html": F.concat(F.lit('<span class="math math-inline">'), said, F.lit("</span>")), "plain": F.col("value")}.get(form, F.concat(F.lit("$"), "value", F.lit("$")))
+def render_inline(form: str, x: Column | None = None) -> Column:
+    """The text of an inline (kind, value, url, note): the columns of a row, or the fields of x."""
+    get = F.col if x is None else (lambda n: F.lit(None).cast("string") if n == "note" else x[n])
+    kind, value, url = get("kind"), get("value"), get("url")
+    said = escaped(value, form)
+    code = {"html": F.concat(F.lit("<code>"), said, F.lit("</code>")), "latex": F.concat(F.lit("\\texttt{"), said, F.lit("}")), "plain": value, "typst": F.concat(F.lit("`"), value, F.lit("`"))}.get(form, t.code_span(value))
+    math = {"html": F.concat(F.lit('<span class="math math-inline">'), said, F.lit("</span>")), "plain": value}.get(form, F.concat(F.lit("$"), value, F.lit("$")))
     breaks = {"soft": {"plain": " "}.get(form, "\n"), "hard": {"html": "<br>\n", "plain": "\n", "latex": "\\\\\n", "typst": " \\\n"}.get(form, "  \n")}
-    kind = F.col("kind")
     cases = [(kind == k, F.concat(F.lit(a), said, F.lit(b))) for k, (a, b) in AROUND[form].items()]
-    cases += [(kind == "code", code), (kind == "math", math), (kind == "link", link(form, F.col("url"), said)), (kind == "footnote_ref", footnote_ref(form, F.col("value"), F.col("note")))]
+    cases += [(kind == "code", code), (kind == "math", math), (kind == "link", link(form, url, said)), (kind == "footnote_ref", footnote_ref(form, value, get("note")))]
     cases += [(kind == "soft_break", F.lit(breaks["soft"])), (kind == "hard_break", F.lit(breaks["hard"]))]
+    cases += [(kind == k, c) for k, c in references(form, value, url, said).items()]
     return choose(cases, said)
 
 
+#: Quotation marks by format, double and single; others have them as characters.
+QUOTES = {"html": (("&ldquo;", "&rdquo;"), ("&lsquo;", "&rsquo;")), "latex": (("``", "''"), ("`", "'")), "typst": (('"', '"'), ("'", "'"))}
+
+
+def references(form: str, value: Column, url: Column, said: Column) -> dict[str, Column]:
+    """Images (value is the alternative text), citations and cross-references that nothing has resolved, raw pieces (url is their format), quotes."""
+    lit, around = F.lit, lambda a, c, b: F.concat(F.lit(a), c, F.lit(b))
+    double, single = QUOTES.get(form, (("\u201c", "\u201d"), ("\u2018", "\u2019")))
+    quotes = {"quoted": around(double[0], said, double[1]), "single_quoted": around(single[0], said, single[1])}
+    own = lambda f: F.when(url == f, value).otherwise("")
+    if form == "html":
+        return quotes | {"image": F.concat(lit('<img src="'), t.escape_attr(url), lit('" alt="'), t.escape_attr(value), lit('">')), "citation": around("<cite>", value, "</cite>"), "crossref": F.concat(lit('<a href="#'), t.escape_attr(value), lit('" class="crossref">['), said, lit("]</a>")), "raw": own("html")}
+    if form == "latex":
+        return quotes | {"image": around("\\includegraphics{", url, "}"), "citation": around("\\cite{", value, "}"), "crossref": around("\\ref{", value, "}"), "raw": own("latex")}
+    if form == "typst":
+        return quotes | {"image": around('#image("', url, '")'), "citation": around("@", value, ""), "crossref": around("@", value, ""), "raw": own("typst")}
+    if form == "plain":
+        return quotes | {"image": around("[Image: ", value, "]"), "citation": around("[cite: ", value, "]"), "crossref": around("[ref: ", value, "]"), "raw": F.when(url.isin("plain", "text"), value).otherwise("")}
+    cite, ref = ("{cite:p}`", "{ref}`") if form == "myst" else (None, None)
+    raw = F.when(url == "html", value).otherwise(F.concat(lit("`"), value, lit("`{="), url, lit("}")))
+    return quotes | {"image": F.concat(lit("!["), value, lit("]("), url, lit(")")), "citation": around(cite, value, "`") if cite else around("[@", value, "]"), "crossref": around(ref, value, "`") if ref else F.concat(lit("["), value, lit("](#"), value, lit(")")), "raw": raw}
+
+
 def prefixed(c: Column, first: Column, rest: Column) -> Column:
     """Lines of a text, the first after `first` and others that are not empty after `rest`."""
     return F.concat(first, F.array_join(F.transform(F.split(c, "\n"), lambda line, i: F.when((i > 0) & (line != ""), F.concat(rest, line)).otherwise(line)), "\n"))
 
 
 def render_block(form: str) -> Column:
-    """The text of a block (kind, level, ident, language, text, ordered, start, index, checked, content).
+    """The text of a block (kind, level, ident, language, text, ordered, start, index, checked, url, title, classes, content).
 
-    content is the inlines of a leaf and the joined blocks of a container; index is an item's place.
+    content is the inlines of a leaf, the joined blocks of a container or a table made of its cells; index is an
+    item's place. A figure has the url and alternative text (text) of its image and its caption as content;
+    an admonition its name as first class and its title; a raw block the name of its format as language.
     """
     kind, content, text = F.col("kind"), F.col("content"), F.col("text")
     has = F.col("ident").isNotNull()
@@ -96,6 +123,9 @@ def render_block(form: str) -> Column:
     marker = F.when(F.col("ordered"), F.concat((F.coalesce("start", lit(1)) + F.col("index")).cast("string"), lit(". "))).otherwise("- ")
     box = F.when(F.col("checked"), "[x] ").when(~F.col("checked"), "[ ] ").otherwise("")
     trimmed = F.regexp_replace(content, "\n+$", "")
+    table = kind == "table"
+    attrs_of = F.concat(F.when(has, F.concat(lit("#"), ident)).otherwise(""), F.array_join(F.transform(F.coalesce("classes", F.array().cast("array<string>")), lambda c, i: F.concat(F.when((i > 0) | has, lit(" .")).otherwise("."), c)), ""))
+    named = F.coalesce(F.try_element_at("classes", lit(1)), lit("note"))
     quoted = F.concat(F.array_join(F.transform(F.split(F.regexp_replace(content, "\n\\z", ""), "\n"), lambda x: F.when(x == "", lit(">")).otherwise(F.concat(lit("> "), x))), "\n"), lit("\n"))
     if form == "html":
         tag = F.concat(lit("h"), F.least("level", lit(6)))
@@ -110,7 +140,11 @@ def render_block(form: str) -> Column:
             (kind == "item", F.concat(tick, content, lit("</li>\n"))),
             (kind == "rule", lit("<hr>\n")),
             (kind == "footnote", F.concat(lit('<aside id="fn-'), ident, lit('" class="footnote" role="note">\n'), content, lit("</aside>\n"))),
-            (kind == "div", F.concat(lit("<div>\n"), content, lit("</div>\n"))),
+            (kind == "div", F.concat(lit("<div"), F.when(has, F.concat(lit(' id="'), t.escape_attr(ident), lit('"'))).otherwise(""), F.when(F.size("classes") > 0, F.concat(lit(' class="'), F.array_join("classes", " "), lit('"'))).otherwise(""), lit(">\n"), content, lit("</div>\n"))),
+            (kind == "figure", F.concat(lit("<figure"), F.when(has, F.concat(lit(' id="'), t.escape_attr(ident), lit('"'))).otherwise(""), lit('><img src="'), t.escape_attr(F.coalesce("url", lit(""))), lit('" alt="'), t.escape_attr(F.coalesce(text, lit(""))), lit('">'), F.when(content != "", F.concat(lit("<figcaption>"), content, lit("</figcaption>"))).otherwise(""), lit("</figure>\n"))),
+            (kind == "admonition", F.concat(lit('<aside class="admonition '), t.escape_attr(named), lit('">'), F.when(F.col("title").isNotNull(), F.concat(lit('<p class="admonition-title">'), t.escape_html(F.col("title")), lit("</p>"))).otherwise(""), content, lit("</aside>\n"))),
+            (kind == "definition_list", F.concat(lit("<dl>\n"), content, lit("</dl>\n"))), (kind == "term", F.concat(lit("<dt>"), content, lit("</dt>\n"))), (kind == "definition", F.concat(lit("<dd>"), content, lit("</dd>\n"))),
+            (kind == "raw", F.when(language == "html", F.concat(text, lit("\n"))).otherwise("")), (table, content),
         ], F.concat(lit("<p>"), content, lit("</p>\n")))
     if form in ("markdown", "myst"):
         fence = t.code_fence(text)
@@ -127,6 +161,11 @@ def render_block(form: str) -> Column:
             (kind == "item", F.concat(prefixed(trimmed, F.concat(marker, box), F.repeat(lit(" "), F.length(marker))), lit("\n"))),
             (kind == "rule", lit("---\n")),
             (kind == "footnote", F.concat(lit("[^"), ident, lit("]: "), F.trim(content), lit("\n"))),
+            (kind == "div", F.concat(lit(":::"), F.when(attrs_of != "", F.concat(lit(" {"), attrs_of, lit("}"))).otherwise(""), lit("\n"), content, lit(":::\n"))),
+            (kind == "figure", F.concat(lit("!["), F.when(content != "", content).otherwise(F.coalesce(text, lit(""))), lit("]("), F.coalesce("url", lit("")), lit(")"), F.when(has, F.concat(lit("{#"), ident, lit("}"))).otherwise(""), lit("\n"))),
+            (kind == "admonition", F.concat(lit("> [!"), F.upper(named), lit("]"), F.coalesce(F.concat(lit(" "), F.col("title")), lit("")), lit("\n"), quoted) if form == "markdown" else F.concat(lit(":::{"), named, lit("}"), F.coalesce(F.concat(lit(" "), F.col("title")), lit("")), lit("\n"), content, lit(":::\n"))),
+            (kind == "definition_list", content), (kind == "term", line), (kind == "definition", F.concat(prefixed(trimmed, lit(":   "), lit("    ")), lit("\n"))),
+            (kind == "raw", F.when(language == "html", F.concat(text, lit("\n"))).otherwise(F.concat(lit("```{="), language, lit("}\n"), ended, lit("```\n")))), (table, content),
         ], line)
     if form == "plain":
         under = F.when(F.col("level") == 1, "=").when(F.col("level") == 2, "-")
@@ -137,6 +176,8 @@ def render_block(form: str) -> Column:
             (kind == "blockquote", F.concat(quoted, lit("\n"))), (kind == "list", F.concat(content, lit("\n"))),
             (kind == "item", F.concat(prefixed(trimmed, F.concat(marker, box), F.repeat(lit(" "), F.length(marker))), lit("\n"))),
             (kind == "rule", F.concat(F.repeat(lit("─"), 40), lit("\n\n"))), (kind == "footnote", F.concat(lit("[^"), ident, lit("]: "), F.trim(content), lit("\n\n"))), (kind == "div", content),
+            (kind == "figure", F.concat(lit("[Image: "), F.when(content != "", content).otherwise(F.coalesce(text, lit(""))), lit("]\n\n"))), (kind == "admonition", F.concat(F.upper(F.coalesce("title", named)), lit("\n"), content)),
+            (kind == "definition_list", F.concat(content, lit("\n"))), (kind == "term", line), (kind == "definition", F.concat(prefixed(trimmed, lit("    "), lit("    ")), lit("\n"))), (kind == "raw", F.when(language.isin("plain", "text"), F.concat(text, lit("\n\n"))).otherwise("")), (table, F.concat(content, lit("\n"))),
         ], F.concat(content, lit("\n\n")))
     if form == "latex":
         command = F.element_at(F.array(*map(lit, LATEX_LEVELS)), F.least("level", lit(6)))
@@ -153,6 +194,10 @@ def render_block(form: str) -> Column:
             (kind == "list", F.concat(lit("\\begin{"), env, lit("}\n"), counter, content, lit("\\end{"), env, lit("}\n"))),
             (kind == "item", F.concat(lit("\\item"), tick, content)), (kind == "rule", lit("\\hrulefill\n")), (kind == "div", content),
             (kind == "footnote", F.concat(lit("\\footnotetext["), ident, lit("]{"), F.trim(content), lit("}\n"))),
+            (kind == "figure", F.concat(lit("\\begin{figure}\n\\centering\n\\includegraphics{"), F.coalesce("url", lit("")), lit("}\n"), F.when(content != "", F.concat(lit("\\caption{"), content, lit("}\n"))).otherwise(""), F.when(has, F.concat(label, lit("\n"))).otherwise(""), lit("\\end{figure}\n"))),
+            (kind == "admonition", F.concat(lit("\\begin{quote}\n"), F.coalesce(F.concat(lit("\\textbf{"), t.escape_latex(F.col("title")), lit("}\n\n")), lit("")), content, lit("\\end{quote}\n"))),
+            (kind == "definition_list", F.concat(lit("\\begin{description}\n"), content, lit("\\end{description}\n"))), (kind == "term", F.concat(lit("\\item["), content, lit("] "))), (kind == "definition", content),
+            (kind == "raw", F.when(language == "latex", F.concat(text, lit("\n"))).otherwise("")), (table, content),
         ], F.concat(content, lit("\n\n")))
     tick = F.when(F.col("checked"), "☑ ").when(~F.col("checked"), "☐ ").otherwise("")
     label = F.when(has, F.concat(lit(" <"), ident, lit(">"))).otherwise("")
@@ -161,6 +206,8 @@ def render_block(form: str) -> Column:
         (kind == "heading", F.concat(F.repeat(lit("="), F.col("level")), lit(" "), content, label, lit("\n"))), (kind == "code", F.concat(lit("```"), language, lit("\n"), ended, lit("```\n"))),
         (kind == "math", F.concat(lit("$\n"), F.trim(text), lit("\n$"), label, lit("\n"))), (kind == "blockquote", F.concat(lit("#quote(block: true)[\n"), content, lit("]\n"))), (kind == "list", F.concat(start, content)),
         (kind == "item", F.concat(F.when(F.col("ordered"), "+ ").otherwise("- "), tick, F.trim(F.regexp_replace(content, "^\n+|\n+$", "")), lit("\n"))), (kind == "rule", lit("#line(length: 100%)\n")), (kind == "footnote", lit("")), (kind == "div", content),
+        (kind == "figure", F.concat(lit('#figure(image("'), F.coalesce("url", lit("")), lit('")'), F.when(content != "", F.concat(lit(", caption: ["), content, lit("]"))).otherwise(""), lit(")"), label, lit("\n"))), (kind == "admonition", F.concat(lit("#quote(block: true)[\n"), content, lit("]\n"))),
+        (kind == "definition_list", content), (kind == "term", F.concat(lit("/ "), content, lit(": "))), (kind == "definition", F.concat(F.trim(trimmed), lit("\n"))), (kind == "raw", F.when(language == "typst", F.concat(text, lit("\n"))).otherwise("")), (table, content),
     ], line)
 
 
@@ -186,18 +233,49 @@ def numbered_headings(blocks: DataFrame, inlines: DataFrame, top: str | None = N
 
 def separator(form: str) -> Column:
     """Between the blocks of a document or container: a blank line where blocks end in one line end; none between items."""
-    return F.when(F.col("kind") == "item", "").otherwise("\n" if form in ("markdown", "myst", "typst") else "")
+    return F.when(F.col("kind").isin("item", "definition"), "").otherwise("\n" if form in ("markdown", "myst", "typst") else "")
 
 
-def render_documents(blocks: DataFrame, inlines: DataFrame, form: str) -> DataFrame:
+def tables_of(cells: DataFrame, form: str) -> DataFrame:
+    """(doc_id, pos, content): each table of cells (doc_id, pos, section, row, col, text, ...) in its format."""
+    keyed = cells.withColumn("doc_id", F.struct("doc_id", "pos")).drop("pos")
+    if form == "html":
+        made = html_table(keyed).withColumnRenamed("html", "content")
+    elif form in ("markdown", "myst"):
+        made = markdown_table(keyed).withColumnRenamed("markdown", "content")
+    elif form == "plain":
+        made = plaintext_table(keyed).withColumnRenamed("text", "content")
+    else:
+        order = F.struct(section_order(F.col("section")).alias("s"), "row")
+        columns = F.max("col") + 1
+        said = escaped(F.col("text"), form)
+        if form == "latex":
+            rows = keyed.groupBy("doc_id", order.alias("o")).agg(F.concat(in_order("col", piece=said, sep=" & "), F.lit(" \\\\\n")).alias("r"), columns.alias("n"))
+            made = rows.groupBy("doc_id").agg(F.concat(F.lit("\\begin{tabular}{"), F.repeat(F.lit("l"), F.max("n")), F.lit("}\n"), in_order("o", piece=F.col("r")), F.lit("\\end{tabular}\n")).alias("content"))
+        else:
+            made = keyed.withColumn("o", order).groupBy("doc_id").agg(F.concat(F.lit("#table(columns: "), columns, F.lit(", "), in_order("o", "col", piece=F.concat(F.lit("["), said, F.lit("]")), sep=", "), F.lit(")\n")).alias("content"))
+    return made.select("doc_id.doc_id", "doc_id.pos", "content")
+
+
+def render_documents(blocks: DataFrame, inlines: DataFrame | None, form: str) -> DataFrame:
     """(doc_id, text) of blocks (doc_id, pos, parent, depth, ...) and inlines (doc_id, pos, ipos, kind, value, url, note).
 
-    The depth of the most nested block is taken from the blocks. parent is the pos of the container, index the place of an
-    item in its list.
+    Without `inlines`, blocks have them as arrays in their column inlines; tables have their cells in a column cells, if
+    there is one. The depth of the most nested block is taken from the blocks. parent is the pos of the container,
+    index the place of an item in its list.
     """
-    content = inlines.groupBy("doc_id", "pos").agg(in_order("ipos", piece=render_inline(form)).alias("content"))
+    for name, kind in (("url", "string"), ("title", "string"), ("classes", "array<string>")):
+        if name not in blocks.columns:
+            blocks = blocks.withColumn(name, F.lit(None).cast(kind))
     level, depth = None, blocks.agg(F.max("depth")).first()[0] or 0
-    rows = blocks.join(content, ["doc_id", "pos"], "left").withColumn("content", F.coalesce("content", F.lit("")))
+    if inlines is None:
+        rows = blocks.withColumn("content", F.coalesce(F.array_join(F.transform("inlines", lambda x: render_inline(form, x)), ""), F.lit("")))
+    else:
+        content = inlines.groupBy("doc_id", "pos").agg(in_order("ipos", piece=render_inline(form)).alias("content"))
+        rows = blocks.join(content, ["doc_id", "pos"], "left").withColumn("content", F.coalesce("content", F.lit("")))
+    if "cells" in blocks.columns:
+        cells = blocks.where("kind = 'table'").select("doc_id", "pos", F.inline("cells"))
+        rows = rows.join(tables_of(cells, form).withColumnRenamed("content", "made"), ["doc_id", "pos"], "left").withColumn("content", F.coalesce("made", "content")).drop("made")
     for d in range(depth, -1, -1):
         here = rows.where(F.col("depth") == d)
         if level is not None:
@@ -209,3 +287,15 @@ def render_documents(blocks: DataFrame, inlines: DataFrame, form: str) -> DataFr
         level = said.groupBy(*keys).agg(joined.alias("inner")).withColumnRenamed("parent", "pos")
     out = level.withColumnRenamed("inner", "text")
     return out.withColumn("text", F.concat(F.regexp_replace("text", "^[\\s]+|[\\s]+$", ""), F.lit("\n"))) if form == "plain" else out
+
+
+def resolved(blocks: DataFrame, inlines: DataFrame) -> DataFrame:
+    """Inlines with the text of each cross-reference (value is its label) that a block of its document answers; others stay."""
+    from leafmill.operators.outline import label_index, number_labels, resolve_crossrefs
+
+    refs = inlines.where("kind = 'crossref'").select("doc_id", "pos", "ipos", F.col("value").alias("target"), F.lit("number_with_type").alias("form"), F.lit(None).cast("string").alias("custom_text"))
+    labelled = blocks.withColumn("kind", F.when(F.col("kind") == "math", "equation").otherwise(F.col("kind")))
+    found = resolve_crossrefs(refs, label_index(number_labels(labelled))).select("doc_id", "pos", "ipos", F.col("text").alias("found")).where("found IS NOT NULL")
+    joined = inlines.join(found, ["doc_id", "pos", "ipos"], "left")
+    known = F.col("found").isNotNull()
+    return joined.withColumns({"kind": F.when(known, "text").otherwise(F.col("kind")), "value": F.when(known, F.col("found")).otherwise(F.col("value"))}).drop("found")

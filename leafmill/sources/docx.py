@@ -45,18 +45,32 @@ def docx_blocks(files: DataFrame, key: str = "doc_id") -> DataFrame:
     return files.select(key, "data").mapInArrow(run, f"{key} {kind}, blocks {BLOCKS}").select(key, F.inline("blocks"))
 
 
-#: How headings are called in the languages that are known.
-HEADING_WORDS = ["heading", "titre", "überschrift", "título", "titolo", "título", "kop", "rubrik"]
-
-
-def style_kind(style: Column, outline: Column) -> Column:
-    """What a paragraph style stands for: heading1 .. heading6, code, quote, math, caption, title and so on, else normal."""
-    s = F.lower(style)
-    level = F.regexp_extract(s, "^(?:" + "|".join(dict.fromkeys(HEADING_WORDS)) + r")\s*([1-6])$", 1)
-    named = F.when(level != "", F.concat(F.lit("heading"), level)).when(outline.between(0, 5), F.concat(F.lit("heading"), (outline + 1).cast("string")))
-    for word in ("code", "quote", "math", "caption", "title", "author", "date", "abstract"):
-        named = named.when(F.contains(s, F.lit(word)), word)
-    return named.otherwise("normal")
+#: Style ids by what they stand for, what heading ids begin with, words in style names.
+STYLE_IDS = {
+    "title": ["title"], "author": ["author"], "date": ["date"], "abstract": ["abstract"], "caption": ["caption"],
+    "code": ["codeblock", "code block", "sourcecode", "source code", "verbatim", "preformatted"],
+    "quote": ["blockquote", "block quote", "blocktext", "block text"], "math": ["mathblock", "math block", "displaymath", "display math"],
+}
+HEADING_IDS = ["heading", "titre", "überschrift", "titulo", "título", "overskrift", "rubrik", "kap"]
+STYLE_NAMES = {"code": ["code", "preformatted", "verbatim"], "quote": ["quote", "block text"], "abstract": ["abstract"], "caption": ["caption"]}
+
+
+def style_kind(style: Column, outline: Column, name: Column | None = None) -> Column:
+    """What a paragraph style stands for: heading1 .. heading6, code, quote, math, caption, title and so on, else normal.
+
+    Its id decides if it is known, then a heading's id with its level, then the outline level, then words of its name.
+    """
+    s, said = F.lower(style), F.lower(style if name is None else name)
+    level = F.regexp_extract(s, "^(?:" + "|".join(HEADING_IDS) + r")\+?0*([1-6])$", 1)
+    found = F.lit(None).cast("string")
+    for kind, ids in STYLE_IDS.items():
+        found = F.when(s.isin(*ids), kind).otherwise(found)
+    heading = F.contains(said, F.lit("heading")) | said.rlike("^h[123]")
+    digit = F.when(said.rlike("(?:[1-6]$| [1-6])"), F.array_min(F.transform(F.regexp_extract_all(said, F.lit("(?:(?<= )[1-6]|[1-6]$)"), 0), lambda x: x.cast("int")))).otherwise(1)
+    by_name = F.when(heading, F.concat(F.lit("heading"), digit.cast("string")))
+    for kind, words in STYLE_NAMES.items():
+        by_name = by_name.when(said.rlike("|".join(words)), kind)
+    return F.coalesce(found, F.when(level != "", F.concat(F.lit("heading"), level)), F.when(outline.between(0, 5), F.concat(F.lit("heading"), (outline + 1).cast("string"))), by_name, F.lit("normal"))
 
 
 def numbering_formats(nums: DataFrame, levels: DataFrame) -> DataFrame:

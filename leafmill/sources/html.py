@@ -6,12 +6,15 @@ that leaves tags open. Neither shuffles: a page's blocks come as an array and ar
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from leafmill.tables import cut
+
 #: Elements by what becomes of them.
 DROPPED = {"head", "script", "style", "meta", "link", "title", "noscript", "template"}
 SECTIONS = {"div", "section", "article", "main", "aside", "nav", "header", "footer"}
@@ -21,7 +24,8 @@ VOID = {"br", "hr", "img", "meta", "link", "input", "area", "base", "col", "embe
 INLINE = {"em": "emphasis", "i": "emphasis", "strong": "strong", "b": "strong", "code": "code", "a": "link", "sub": "subscript", "sup": "superscript", "s": "strikethrough", "del": "strikethrough", "strike": "strikethrough", "u": "underline", "ins": "underline", "span": "span"}
 #: A tag whose start ends an open paragraph.
 CLOSES_P = {*SECTIONS, *HEADINGS, "p", "ul", "ol", "dl", "pre", "blockquote", "table", "figure", "hr", "form"}
-BLOCK = "array<struct<pos:int,depth:int,ancestors:array<string>,kind:string,level:int,ident:string,text:string,ordered:boolean,classes:array<string>,children:int,inlines:array<struct<kind:string,value:string,url:string>>>>"
+CELL = "struct<section:string,row:int,col:int,text:string,colspan:int,rowspan:int,align:string>"
+BLOCK = f"array<struct<pos:int,parent:int,depth:int,ancestors:array<string>,kind:string,level:int,ident:string,text:string,language:string,url:string,ordered:boolean,start:int,index:int,checked:boolean,classes:array<string>,children:int,inlines:array<struct<kind:string,value:string,url:string>>,cells:array<{CELL}>>>"
 
 ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")]
 
@@ -67,26 +71,30 @@ class _Blocks(HTMLParser):
         self.out: list[dict] = []
         self.open: list[tuple[str, int | None]] = []  # element and its block
         self.leaf: int | None = None
-        self.inline: list[tuple[str, str | None]] = []
+        self.inline: list[tuple[str, str | None]] = []  # formatting that is open goes on in later blocks until it is closed
         self.dropped = 0
+        self.tables: list[dict] = []
 
     def block(self, kind: str, **fields) -> int:
         containers = [self.out[i]["kind"] for _, i in self.open if i is not None]
         parent = next((i for _, i in reversed(self.open) if i is not None), None)
+        index = None
         if parent is not None:
+            index = self.out[parent]["children"]
             self.out[parent]["children"] += 1
-        self.out.append({"pos": len(self.out), "depth": len(containers), "ancestors": containers, "kind": kind, "level": None, "ident": None, "text": None, "ordered": None, "classes": [], "children": 0, "inlines": []} | fields)
+        empty = dict.fromkeys(("level", "ident", "text", "language", "url", "ordered", "start", "checked"))
+        self.out.append({"pos": len(self.out), "parent": parent, "depth": len(containers), "ancestors": containers, "kind": kind, **empty, "index": index, "classes": [], "children": 0, "inlines": [], "cells": []} | fields)
         return len(self.out) - 1
 
     def end_leaf(self):
         if self.leaf is not None:
             b = self.out[self.leaf]
             text = "".join(x["value"] for x in b["inlines"])
-            b["text"] = text if b["kind"] == "code" else " ".join(text.split())
+            if b["kind"] != "figure":
+                b["text"] = text if b["kind"] == "code" else " ".join(text.split())
             if b["kind"] == "paragraph" and not b["text"] and not any(x["kind"] == "image" for x in b["inlines"]):
                 b["kind"] = "empty"
         self.leaf = None
-        self.inline = []
 
     def close(self, tags: set[str]):
         """Ends the innermost open element of `tags` and all inside it."""
@@ -101,29 +109,51 @@ class _Blocks(HTMLParser):
         if self.dropped or tag in DROPPED:
             self.dropped += tag not in VOID
             return
+        if self.tables and tag != "table":
+            return self.in_table(tag, a)
+        if tag == "a":
+            self.inline = [x for x in self.inline if x[0] != "a"]
         if tag == "br":
             return self.put("break", "\n")
+        if tag == "input" and (a.get("type") or "").lower() == "checkbox":
+            item = next((i for t, i in reversed(self.open) if t == "li"), None)
+            if item is not None:
+                self.out[item]["checked"] = "checked" in a
+            return
+        if tag == "img" and self.leaf is None and self.open and self.open[-1][0] == "figure":
+            self.out[self.open[-1][1]].update(url=a.get("src"), text=a.get("alt") or "")
+            return
+        if tag == "figcaption" and self.open and self.open[-1][0] == "figure":
+            self.leaf = self.open[-1][1]
+            return
         if tag == "img":
             return self.put("image", a.get("alt") or "", a.get("src"))
+        if tag == "code" and self.leaf is not None and self.out[self.leaf]["kind"] == "code":
+            self.out[self.leaf]["classes"] = self.out[self.leaf]["classes"] + (a.get("class") or "").split()
+            return
         if tag in INLINE:
             self.inline.append((tag, a.get("href")))
             return
         if tag in CLOSES_P:
             self.end_leaf()
         ident, classes = a.get("id"), (a.get("class") or "").split()
-        if tag == "hr":
+        if tag == "table":
+            self.tables.append({"block": self.block("table", ident=ident, classes=classes), "section": "tbody", "rows": {}, "cell": None})
+        elif tag == "hr":
             self.block("rule")
         elif tag == "pre":
             self.leaf = self.block("code", ident=ident, classes=classes)
         elif tag in LEAVES:
             self.leaf = self.block("heading" if tag in HEADINGS else "term" if tag == "dt" else "paragraph", level=HEADINGS.get(tag), ident=ident, classes=classes)
         elif tag in ("ul", "ol"):
-            self.open.append((tag, self.block("list", ordered=tag == "ol", ident=ident, classes=classes)))
+            start = a.get("start") or ""
+            self.open.append((tag, self.block("list", ordered=tag == "ol", start=int(start) if tag == "ol" and start.isdigit() else None, ident=ident, classes=classes)))
         elif tag in ("li", "dd"):
             self.end_leaf()
             if self.open and self.open[-1][0] == tag:
                 self.open.pop()
-            self.open.append((tag, self.block("item" if tag == "li" else "definition", ident=ident, classes=classes)))
+            around = self.out[self.open[-1][1]] if self.open else {}
+            self.open.append((tag, self.block("item" if tag == "li" else "definition", ordered=around.get("ordered"), start=around.get("start"), ident=ident, classes=classes)))
         elif tag == "blockquote" or tag in SECTIONS or tag in ("dl", "figure"):
             kind = {"blockquote": "blockquote", "dl": "definition_list", "figure": "figure"}.get(tag, "div")
             self.open.append((tag, self.block(kind, ident=ident, classes=classes)))
@@ -133,9 +163,46 @@ class _Blocks(HTMLParser):
         if tag not in VOID:
             self.handle_endtag(tag)
 
+    def in_table(self, tag, a):
+        """Rows, cells and the caption of the innermost open table; other elements only give their text."""
+        t = self.tables[-1]
+        if tag in ("thead", "tbody", "tfoot"):
+            t.update(section=tag, cell=None)
+        elif tag == "tr":
+            t.update(cell=None)
+            t["rows"][t["section"]] = t["rows"].get(t["section"], -1) + 1
+        elif tag in ("td", "th"):
+            number = lambda n: max(1, int(a[n])) if (a.get(n) or "").isdigit() else 1
+            cells = self.out[t["block"]]["cells"]
+            row = t["rows"].setdefault(t["section"], 0)
+            align = [x for x in ("left", "center", "right") if f"text-align:{x}" in (a.get("style") or "").replace(" ", "")]
+            t["cell"] = {"section": t["section"], "row": row, "col": sum(c["section"] == t["section"] and c["row"] == row for c in cells), "text": "", "colspan": number("colspan"), "rowspan": number("rowspan"), "align": align[0] if align else None}
+            cells.append(t["cell"])
+        elif tag == "caption":
+            t["cell"] = self.out[t["block"]]
+            t["cell"]["text"] = ""
+        elif t["cell"] is not None and tag in ("br", "p", "div", "li"):
+            t["cell"]["text"] += " "
+
+    def end_table(self):
+        b = self.out[self.tables.pop()["block"]]
+        for c in b["cells"]:
+            c["text"] = " ".join(c["text"].split())
+        b["text"] = " ".join((b["text"] or "").split()) or None
+        b["cells"] = [c for c in b["cells"] if c["section"] == "tbody" or c["row"] == 0]
+
     def handle_endtag(self, tag):
         if self.dropped:
             self.dropped -= tag not in VOID
+        elif self.tables:
+            if tag == "table":
+                self.end_table()
+            elif tag in ("td", "th", "caption"):
+                self.tables[-1]["cell"] = None
+            elif tag in ("thead", "tbody", "tfoot"):
+                self.tables[-1].update(section="tbody", cell=None)
+        elif tag == "figcaption":
+            self.end_leaf()
         elif tag in INLINE:
             for k in range(len(self.inline) - 1, -1, -1):
                 if self.inline[k][0] == tag:
@@ -147,7 +214,10 @@ class _Blocks(HTMLParser):
             self.close({tag})
 
     def handle_data(self, data):
-        if not self.dropped and (data.strip() or self.leaf is not None):
+        if self.tables and not self.dropped:
+            if self.tables[-1]["cell"] is not None:
+                self.tables[-1]["cell"]["text"] += data
+        elif not self.dropped and (data.strip() or self.leaf is not None):
             self.put("text", data)
 
     def put(self, kind, value, url=None):
@@ -165,15 +235,54 @@ def parse_page(html: str | None) -> list[dict]:
     p = _Blocks()
     p.feed(html or "")
     HTMLParser.close(p)
+    while p.tables:
+        p.end_table()
     p.end_leaf()
     return [b for b in p.out if b["kind"] != "empty"]
 
 
-def html_blocks(pages: DataFrame, key: str = "page_id") -> DataFrame:
-    """(key, pos, depth, ancestors, kind, level, ident, text, ordered, classes, children, inlines) of pages (key, html).
+def document_of(found: list[dict]) -> list[dict]:
+    """Blocks as a document has them: no sections of one child or none, inlines with single spaces, the language of code."""
+    kept: dict[int, dict] = {}
+    stands_for: dict[int | None, int | None] = {None: None}
+    inner: dict[int | None, int] = {}
+    for b in found:
+        inner[b["parent"]] = inner.get(b["parent"], 0) + 1
+    for b in found:
+        parent = stands_for[b["parent"]]
+        if b["kind"] == "div" and inner.get(b["pos"], 0) <= 1:
+            stands_for[b["pos"]] = parent
+            continue
+        stands_for[b["pos"]] = b["pos"]
+        around = kept.get(parent)
+        b = b | {"parent": parent, "depth": around["depth"] + 1 if around else 0, "ancestors": [*around["ancestors"], around["kind"]] if around else []}
+        if b["kind"] == "code":
+            said = [c[9:] for c in b["classes"] if c.startswith("language-")] or [c for c in b["classes"] if len(b["classes"]) == 1 and not c.startswith("highlight")]
+            b |= {"language": said[0] if said else None, "inlines": []}
+        b["inlines"] = even(b["inlines"])
+        kept[b["pos"]] = b
+    return list(kept.values())
+
+
+def even(inlines: list[dict]) -> list[dict]:
+    """Inlines of a block with runs of white space as one space, none at the ends, and neighbours of one kind as one."""
+    out: list[dict] = []
+    for x in inlines:
+        x = x | ({"kind": "hard_break"} if x["kind"] == "break" else {} if x["kind"] == "image" else {"value": re.sub(r"\s+", " ", x["value"])})
+        if out and out[-1]["kind"] == x["kind"] not in ("hard_break", "image") and out[-1]["url"] == x["url"]:
+            out[-1]["value"] = re.sub(" +", " ", out[-1]["value"] + x["value"])
+        else:
+            out.append(x)
+    for at, strip in ((0, str.lstrip), (-1, str.rstrip)):
+        while out and out[at]["kind"] not in ("image", "code", "link") and not strip(out[at]["value"]):
+            out.pop(at)
+        if out and out[at]["kind"] not in ("image", "hard_break"):
+            out[at] = out[at] | {"value": strip(out[at]["value"])}
+    return out
+
 
-    Ancestors are the kinds of the containers around a block, outermost first; null pages have no blocks.
-    """
+def page_arrays(pages: DataFrame, key: str = "page_id", document: bool = False) -> DataFrame:
+    """(key, blocks): the blocks of each page as one array, parsed once; `document`: as `document_of` has them."""
     kind = dict(pages.dtypes)[key]
 
     def run(batches: Iterator) -> Iterator:
@@ -181,19 +290,35 @@ def html_blocks(pages: DataFrame, key: str = "page_id") -> DataFrame:
 
         target = None
         for batch in batches:
-            rows = [parse_page(h) for h in batch.column(1).to_pylist()]
+            rows = [document_of(b) if document else b for b in map(parse_page, batch.column(1).to_pylist())]
             target = target or _arrow_blocks()
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, type=target)], names=[key, "blocks"])
 
-    arrays = pages.select(key, "html").mapInArrow(run, f"{key} {kind}, blocks {BLOCK}")
-    return arrays.select(key, F.inline("blocks"))
+    return pages.select(key, "html").mapInArrow(run, f"{key} {kind}, blocks {BLOCK}")
+
+
+def html_blocks(pages: DataFrame, key: str = "page_id", document: bool = False) -> DataFrame:
+    """(key, pos, parent, depth, ancestors, kind, level, ident, text, language, url, ordered, start, index, checked, classes, children, inlines, cells) of pages (key, html).
+
+    Ancestors are the kinds of the containers around a block, outermost first; tables have their cells, figures
+    the url and alternative text of their image and the caption as inlines; null pages have no blocks.
+    """
+    return page_arrays(pages, key, document).select(key, F.inline("blocks"))
+
+
+def page_documents(pages: DataFrame, key: str = "page_id") -> DataFrame:
+    """Blocks as renderers take them, with their inlines and cells: doc_id is the page's key. Pages are parsed once and cut off here."""
+    return cut(html_blocks(pages, key, document=True).withColumnRenamed(key, "doc_id"))
 
 
 def _arrow_blocks():
     import pyarrow as pa
 
     inline = pa.struct([("kind", pa.string()), ("value", pa.string()), ("url", pa.string())])
-    return pa.list_(pa.struct([("pos", pa.int32()), ("depth", pa.int32()), ("ancestors", pa.list_(pa.string())), ("kind", pa.string()), ("level", pa.int32()), ("ident", pa.string()), ("text", pa.string()), ("ordered", pa.bool_()), ("classes", pa.list_(pa.string())), ("children", pa.int32()), ("inlines", pa.list_(inline))]))
+    number, text, flag = pa.int32(), pa.string(), pa.bool_()
+    cell = pa.struct([("section", text), ("row", number), ("col", number), ("text", text), ("colspan", number), ("rowspan", number), ("align", text)])
+    fields = {"pos": number, "parent": number, "depth": number, "ancestors": pa.list_(text), "kind": text, "level": number, "ident": text, "text": text, "language": text, "url": text, "ordered": flag, "start": number, "index": number, "checked": flag, "classes": pa.list_(text), "children": number, "inlines": pa.list_(inline), "cells": pa.list_(cell)}
+    return pa.list_(pa.struct(list(fields.items())))
 
 
 def unwrap_divs(blocks: DataFrame) -> DataFrame:

@@ -29,6 +29,19 @@ LINE_KINDS = [
 ]
 
 
+def fences(bars: Column) -> Column:
+    """Of the lines that look like fences (n, bar, bare), in order, those that open or close code: a fence is closed by one of its sign that is no shorter."""
+    none = F.lit(None).cast("string")
+    begin = F.struct(none.alias("open"), F.array().cast("array<struct<n:int>>").alias("out"))
+
+    def step(a: Column, x: Column) -> Column:
+        closes = (F.substring(x["bar"], 1, 1) == F.substring(a["open"], 1, 1)) & (F.length(x["bar"]) >= F.length(a["open"])) & x["bare"]
+        more = F.concat(a["out"], F.array(F.struct(x["n"].alias("n"))))
+        return F.when(a["open"].isNull(), F.struct(x["bar"].alias("open"), more.alias("out"))).when(closes, F.struct(none.alias("open"), more.alias("out"))).otherwise(a)
+
+    return F.aggregate(bars, begin, step, lambda a: a["out"])
+
+
 def markdown_blocks(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """Top-level blocks (key, pos, kind, level, ident, language, text) of Markdown documents (key, text).
 
@@ -46,7 +59,10 @@ def markdown_blocks(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     lines = docs.select(key, F.posexplode(F.split(F.coalesce("text", F.lit("")), "\r?\n")).alias("n", "line"))
     fence, math = F.col("line").rlike(r"^ {0,3}(```|~~~)"), F.col("line").rlike(r"^\$\$\s*$")
     odd = lambda c: F.coalesce(F.sum(c.cast("int")).over(before), F.lit(0)) % 2 == 1
-    marked = lines.withColumns({"in_code": odd(fence), "fence": fence}).withColumn("bar", math & ~F.col("in_code") & ~F.col("fence")).withColumn("in_math", odd(F.col("bar")))
+    bars = lines.where(fence).select(key, "n", F.regexp_extract("line", r"^ {0,3}(`{3,}|~{3,})(.*)$", 1).alias("bar"), (F.trim(F.regexp_extract("line", r"^ {0,3}(`{3,}|~{3,})(.*)$", 2)) == "").alias("bare"))
+    real = bars.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("n", "bar", "bare"))).alias("bars")).select(key, F.inline(fences(F.col("bars")))).withColumn("fence", F.lit(True))
+    marked = lines.join(real, [key, "n"], "left").withColumn("fence", F.coalesce("fence", F.lit(False)))
+    marked = marked.withColumn("in_code", odd(F.col("fence"))).withColumn("bar", math & ~F.col("in_code") & ~F.col("fence")).withColumn("in_math", odd(F.col("bar")))
     kind = F.when(F.col("fence") | F.col("in_code"), "code").when(F.col("bar") | F.col("in_math"), "math")
     for name, pattern in LINE_KINDS:
         kind = kind.when(F.col("line").rlike(pattern), name)
@@ -74,9 +90,9 @@ def markdown_blocks(docs: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 #: Inline markup that does not nest, tried in this order at each place.
-INLINE = r"(?s)(`+)(?!`)(.+?)(?<!`)\1(?!`)|\$([^$\s](?:[^$]*[^$\s])?)\$|!\[([^\[\]]*)\]\(([^()\s]*)\)|\[\^([^\]\s]+)\]|\[([^\[\]]*)\]\(([^()\s]*)\)|\*\*([^*]+)\*\*|\*([^*]+)\*|~~([^~]+)~~|\^([^\^\s]+)\^|<((?:https?|mailto):[^<>\s]+)>"
+INLINE = r"(?s)(`+)(?!`)(.+?)(?<!`)\1(?!`)|\$([^$\s](?:[^$]*[^$\s])?)\$|!\[([^\[\]]*)\]\(([^()\s]*)\)|\[\^([^\]\s]+)\]|\[([^\[\]]*)\]\(([^()\s]*)\)|\*\*([^*]+)\*\*|\*([^*]+)\*|(?<![\p{L}\p{N}_])__([^_]+)__(?![\p{L}\p{N}_])|(?<![\p{L}\p{N}_])_([^_]+)_(?![\p{L}\p{N}_])|~~([^~]+)~~|\^([^\^\s]+)\^|<((?:https?|mailto):[^<>\s]+)>"
 #: The groups of INLINE that hold the value, and the url if there is one.
-INLINE_KINDS = [("code", 2, None), ("math", 3, None), ("image", 4, 5), ("footnote_ref", 6, None), ("link", 7, 8), ("strong", 9, None), ("emphasis", 10, None), ("strikethrough", 11, None), ("superscript", 12, None), ("autolink", 13, 13)]
+INLINE_KINDS = [("code", 2, None), ("math", 3, None), ("image", 4, 5), ("footnote_ref", 6, None), ("link", 7, 8), ("strong", 9, None), ("emphasis", 10, None), ("strong", 11, None), ("emphasis", 12, None), ("strikethrough", 13, None), ("superscript", 14, None), ("autolink", 15, 15)]
 
 
 def markdown_inlines(blocks: DataFrame) -> DataFrame:

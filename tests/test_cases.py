@@ -121,3 +121,107 @@ def test_render_nested_lists(spark, form):
     text = documents.render_documents(blocks, inlines, form).first()["text"]
     marks = {"html": "<li>", "latex": "\\item"}
     assert "deep" in text and text.count(marks.get(form, "- ")) == 4
+
+
+def test_a_page_becomes_a_document(spark):
+    from leafmill.operators.documents import render_documents
+    from leafmill.sources import html
+
+    page = """<!DOCTYPE html><html><head><title>T</title></head><body>
+    <h1>Introduction</h1>
+    <p>This is a <strong>bold</strong> and <em>italic</em> test.</p>
+    <h2 id="code">Code Example</h2>
+    <pre><code class="language-python">def hello():
+    print("world")</code></pre>
+    <blockquote><p>A wise quote.</p></blockquote>
+    <ul>
+        <li>Item one</li>
+        <li>Item two</li>
+    </ul>
+    <hr>
+    <p>A <a href="https://example.com">link</a> and <code>inline code</code>.</p>
+    <table><caption>Sizes</caption><thead><tr><th>A</th><th style="text-align: right">B</th></tr></thead><tr><td>1<td colspan=2><b>2</b> x</table>
+    <figure id="f"><img src="a.png" alt="pic"><figcaption>A picture</figcaption></figure>
+    <ul><li><input type="checkbox" checked> done</li><li><input type="checkbox"> open<ol start="3"><li>deep</li></ol></li></ul></body></html>"""
+    want = """# Introduction
+
+This is a **bold** and *italic* test.
+
+## Code Example {#code}
+
+```python
+def hello():
+    print("world")
+```
+
+> A wise quote.
+
+- Item one
+- Item two
+
+---
+
+A [link](https://example.com) and `inline code`.
+
+| A | B |
+| --- | ---: |
+| 1 | 2 x |
+
+![A picture](a.png){#f}
+
+- [x] done
+- [ ] open
+
+  3. deep
+"""
+    blocks = html.page_documents(spark.createDataFrame([(1, page), (2, None), (3, "")], "page_id long, html string"))
+    assert [tuple(r) for r in render_documents(blocks, None, "markdown").collect()] == [(1, want)]
+    found = render_documents(blocks, None, "html").first()["text"]
+    assert '<td colspan="2">2 x</td>' in found and '<figure id="f"><img src="a.png" alt="pic"><figcaption>A picture</figcaption></figure>' in found and '<ol start="3">' in found
+    assert "\\begin{tabular}{ll}\nA & B \\\\\n1 & 2 x \\\\\n" in render_documents(blocks, None, "latex").first()["text"]
+    assert "#table(columns: 2, [A], [B], [1], [2 x])" in render_documents(blocks, None, "typst").first()["text"]
+
+
+def test_kinds_of_blocks_and_inlines(spark):
+    from leafmill.operators.documents import render_documents
+
+    schema = "doc_id long, pos long, parent long, depth int, kind string, level int, ident string, language string, text string, ordered boolean, start int, index int, checked boolean, title string, classes array<string>, inlines array<struct<kind:string,value:string,url:string>>"
+    row = lambda pos, parent, depth, kind, language=None, text=None, title=None, classes=None, inlines=(): (1, pos, parent, depth, kind, None, None, language, text, None, None, None, None, title, classes, list(inlines))
+    blocks = spark.createDataFrame([
+        row(0, None, 0, "admonition", title="Mind", classes=["warning"]), row(1, 0, 1, "paragraph", inlines=[("quoted", "a", None), ("image", "i", "u.png"), ("citation", "k", None), ("crossref", "x", None), ("raw", "<hr>", "html")]),
+        row(2, None, 0, "definition_list"), row(3, 2, 1, "term", inlines=[("text", "T", None)]), row(4, 2, 1, "definition"), row(5, 4, 2, "paragraph", inlines=[("text", "D", None)]), row(6, None, 0, "raw", "html", "<br>"), row(7, None, 0, "raw", "latex", "\\x"),
+    ], schema)
+    said = {f: render_documents(blocks, None, f).first()["text"] for f in ("html", "markdown")}
+    assert said["html"] == '<aside class="admonition warning"><p class="admonition-title">Mind</p><p>&ldquo;a&rdquo;<img src="u.png" alt="i"><cite>k</cite><a href="#x" class="crossref">[x]</a><hr></p>\n</aside>\n<dl>\n<dt>T</dt>\n<dd><p>D</p>\n</dd>\n</dl>\n<br>\n'
+    assert said["markdown"].startswith("> [!WARNING] Mind\n> \u201ca\u201d![i](u.png)[@k][x](#x)<hr>\n\nT\n:   D\n\n<br>\n")
+
+
+def test_fences_and_underscores(spark):
+    from leafmill.sources import markdown
+
+    text = "~~~\na\n```\nb\n~~\n~~~~\nafter\n\n````py\n```\nx\n````\nend"
+    got = markdown.markdown_blocks(spark.createDataFrame([(1, text)], "doc_id long, text string")).orderBy("pos").collect()
+    assert [(r["kind"], r["language"], r["text"]) for r in got] == [("code", None, "a\n```\nb\n~~"), ("paragraph", None, "after"), ("code", "py", "```\nx"), ("paragraph", None, "end")]
+    inlines = markdown.markdown_inlines(spark.createDataFrame([(1, "an _em_ and __st__ but snake_case_name")], "doc_id long, text string")).orderBy("ipos").collect()
+    assert [(r["kind"], r["value"]) for r in inlines] == [("text", "an "), ("emphasis", "em"), ("text", " and "), ("strong", "st"), ("text", " but snake_case_name")]
+
+
+def test_style_kinds(spark):
+    from leafmill.sources import docx
+
+    cases = {"Subtitle": "normal", "Update": "normal", "Overskrift2": "heading2", "Kap1": "heading1", "Verbatim": "code", "Kop1": "normal", "Title": "title", "Heading7": "heading1", "IntenseQuote": "quote", "My Heading 3": "heading3"}
+    rows = spark.createDataFrame(list(cases.items()), "style string, want string")
+    got = rows.select("style", "want", docx.style_kind(F.col("style"), F.lit(None).cast("int")).alias("kind")).collect()
+    assert {r["style"]: r["kind"] for r in got} == cases
+
+
+def test_files_in_and_out(spark, tmp_path):
+    from leafmill.operators import pipeline
+
+    for name, text in (("a.md", "# A"), ("b.HTML", "<p>b"), ("c.xyz", "?")):
+        (tmp_path / name).write_text(text)
+    docs = pipeline.read_corpus(spark, str(tmp_path))
+    got = {r["path"].rsplit("/", 1)[1]: (r["text"], r["format"], r["error"]) for r in docs.collect()}
+    assert got == {"a.md": ("# A", "markdown", None), "b.HTML": ("<p>b", "html", None), "c.xyz": ("?", None, "unknown format: .xyz")}
+    pipeline.write_outputs(docs.where("error IS NULL"), str(tmp_path / "out"))
+    assert {r["format"] for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {"markdown", "html"}
