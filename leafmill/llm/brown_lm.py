@@ -15,11 +15,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.llm.common import Written, bounded_batches, free_shuffles, give_back, task, text_bytes
-from leafmill.llm.hashing import Hashes, pack, runs_of, unpack
+from leafmill.llm.hashing import Hashes, narrow, pack, runs_of, unpack
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Text of a block that is looked at together, and the least number of blocks, buckets and chunks.
-BLOCK_BYTES, LEAST = 4 << 20, 48
+BLOCK_BYTES, LEAST = 6 << 20, 48
 
 
 @dataclass
@@ -142,7 +142,7 @@ def _read(endings: int, buckets: int, kind: str):
         count = np.bincount(s.number[np.repeat(s.train, s.counts)], minlength=len(s.words))
         rows = [(block, table.column("doc_id").to_pylist(), data, None, None)]
         for b, own in s.by_bucket(np.arange(len(s.words)), buckets):
-            rows.append((block, None, None, b, pack(words=s.words[own], count=count[own].astype(np.uint32), ending=s.ending[own].astype(np.uint8))))
+            rows.append((block, None, None, b, pack(words=s.words[own], count=narrow(count[own]), ending=s.ending[own].astype(np.uint8))))
         out = _table(rows, ["block", "ids", "stream", "bucket", "data"], [pa.int32(), pa.list_(table.schema.field("doc_id").type), pa.binary(), pa.int32(), pa.binary()])
         give_back()
         return out
@@ -163,7 +163,7 @@ def _reply(s: Settings):
         total = np.bincount(number, np.concatenate([p["count"] for p in parts]), minlength=len(words)).astype(np.int64)
         rows, at = [], 0
         for block, p in zip(table.column("block").to_pylist(), parts, strict=True):
-            rows.append((block, key[0].as_py(), pack(count=total[number[at : at + len(p["words"])]].astype(np.uint32)), None, None))
+            rows.append((block, key[0].as_py(), pack(count=narrow(total[number[at : at + len(p["words"])]])), None, None))
             at += len(p["words"])
         often = (total >= s.least) & (total * s.one_in >= total.sum())  # more than are often in the whole corpus, never fewer
         others = np.bincount(ending[(total > 0) & (total < s.least)], minlength=s.endings)
@@ -423,7 +423,7 @@ def _ask_classes(model, s: Settings, buckets: int):
             for b, mine in stream.by_bucket(which, buckets):
                 size = end[mine] - begin[mine]
                 entry = np.repeat(begin[mine], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-                rows.append((b, own.column("block")[0].as_py(), pack(words=stream.words[mine], size=size.astype(np.uint16 if size.max(initial=0) < 1 << 16 else np.uint32), beside=(code[entry] % (2 * n)).astype(np.uint8), count=seen[entry].astype(np.uint32))))
+                rows.append((b, own.column("block")[0].as_py(), pack(words=stream.words[mine], size=narrow(size), beside=(code[entry] % (2 * n)).astype(np.uint8), count=narrow(seen[entry]))))
         out = _table(rows, ["bucket", "block", "data"], [pa.int32(), pa.int32(), pa.binary()])
         give_back()
         return out
@@ -539,11 +539,12 @@ def fit(docs: DataFrame, train: Column, s: Settings) -> tuple[DataFrame, Model]:
     blocks, buckets, ends = max(LEAST, (size[0] or 0) // BLOCK_BYTES), max(LEAST, (size[0] or 0) // (16 << 20)), size[1] or 0
     rows = rows.withColumn("block", F.pmod(F.hash("doc_id", "text"), F.lit(blocks)))
     asked = rows.groupBy("block").applyInArrow(_read(s.endings, buckets, kind), f"block int, ids array<{kind}>, stream binary, bucket int, data binary")
-    asked = written.table(asked, "asked")
+    asked = written.table(asked.withColumn("part", F.when(F.col("bucket").isNull(), "stream").otherwise("words")), "asked", "part")
     free_shuffles(spark)
-    streams = asked.where("bucket IS NULL").select("block", "ids", "stream")
-    asked = asked.where("bucket IS NOT NULL").select("bucket", "block", "data")
+    streams = asked.where("part = 'stream'").select("block", "ids", "stream")
+    asked = asked.where("part = 'words'").select("bucket", "block", "data")
     replies = written.table(asked.groupBy("bucket").applyInArrow(_reply(s), "block int, bucket int, data binary, known long, tokens long"), "replies")
+    written.drop("asked/part=words")
     free_shuffles(spark)
 
     stats = replies.where("block IS NULL")
@@ -563,6 +564,8 @@ def fit(docs: DataFrame, train: Column, s: Settings) -> tuple[DataFrame, Model]:
     pairs = ahead.withColumnRenamed("data", "ahead").join(behind.withColumnRenamed("data", "behind"), "chunk", "full")
     pairs = written.table(pairs.repartition(chunks, "chunk"), "pairs")
     of_symbol, matrix = cluster(pairs, len(often), s)
+    written.drop("ahead", "pairs")
+    free_shuffles(spark)
 
     exchanged = spark.sparkContext.broadcast((often, of_symbol, matrix))
     counts = replies.where("block IS NOT NULL").select("block", "bucket", F.lit("count").alias("kind"), "data")

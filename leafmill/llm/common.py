@@ -37,10 +37,11 @@ class Written:
         self.spark, self.root, self.names = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", set()
         Written.all.append(self)
 
-    def table(self, df: DataFrame, name: str) -> DataFrame:
+    def table(self, df: DataFrame, name: str, *parts: str) -> DataFrame:
+        """Writes df, in folders by the columns `parts`, and reads it again."""
         path = f"{self.root}/{name}"
         self.names.add(name)
-        df.write.mode("overwrite").parquet(path)
+        df.write.mode("overwrite").partitionBy(*parts).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
@@ -69,9 +70,13 @@ class Written:
 
 
 def free_shuffles(spark: SparkSession) -> None:
-    """Ask for the removal of shuffle files whose tables are gone, before the next large step."""
+    """Ask for the removal of shuffle files whose tables are gone, before the next large step.
+
+    Spark's scheduler holds on to the last job, so a small one goes first.
+    """
     import gc
 
+    spark.range(1).count()
     gc.collect()
     spark._jvm.System.gc()
 

@@ -59,6 +59,14 @@ def mixed(h):
         return h ^ (h >> np.uint64(33))
 
 
+def narrow(a):
+    """Non-negative ints in the least number of bytes that holds them."""
+    import numpy as np
+
+    top = int(a.max(initial=0))
+    return a.astype(np.uint8 if top < 1 << 8 else np.uint16 if top < 1 << 16 else np.uint32 if top < 1 << 32 else np.uint64)
+
+
 def pack(**arrays) -> bytes:
     import io
 

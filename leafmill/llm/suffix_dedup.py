@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.llm.common import Written, bounded_batches, free_shuffles, give_back, task, text_bytes
-from leafmill.llm.hashing import Hashes, mixed, pack, runs_of, unpack
+from leafmill.llm.hashing import Hashes, mixed, narrow, pack, runs_of, unpack
 
 WIDTH, GRAM = 50, 24
 #: Text that a task works on at a time, and packed anchors for one bucket.
@@ -266,14 +266,6 @@ def string_rows(sign, order, ids, marks, which, start, buckets: int, blocks: int
         yield "string", int(bucket[own[0]]), pack(ids=ids[docs], marks=marks[docs], sign=sign[own], doc=local.astype(np.uint32), start=start[own].astype(np.uint32))
 
 
-def narrow(a):
-    """Non-negative ints in the least number of bytes that holds them."""
-    import numpy as np
-
-    top = int(a.max(initial=0))
-    return a.astype(np.uint8 if top < 1 << 8 else np.uint16 if top < 1 << 16 else np.uint32 if top < 1 << 32 else np.uint64)
-
-
 def block_rows(texts: list[bytes], ids, marks, buckets: int, strings: int, blocks: int, width: int, gram: int) -> Iterator[tuple]:
     """What a block of documents sends: packed anchors by bucket, strings of hot anchors, ranges settled here."""
     import numpy as np
