@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from leafmill.jobs.pages import LINES, lines
+from leafmill.operators.documents import render_documents
 from leafmill.operators.render import in_order
 from leafmill.sources import docx, latex, markdown, typst
 
@@ -65,6 +66,44 @@ def a3(spark, d):
     return nth(markdown.markdown_blocks(docs))
 
 
+# Whole documents: what stands for an order in Markdown, and in HTML and LaTeX (# is its key, N a line end).
+WHOLE = [
+    ("Para #Nmore *e* and `c<d`", "<p>Para #Nmore <em>e</em> and <code>c&lt;d</code></p>N", "Para #Nmore \\emph{e} and \\texttt{c<d}NN"),
+    ("@ Title # {\x03h-#}", '<h@ id="h-#">Title #</h@>N', "\\@{Title #}\\label{h-#}N"),
+    ("```pyNcode #NN\x03 no headingN```", '<pre><code class="language-py">code #NN\x03 no heading</code></pre>N', "\\begin{lstlisting}[language=py]Ncode #NN\x03 no headingN\\end{lstlisting}N"),
+    ("> quote #N> - a *b*N> - cN>N> end", "<blockquote>N<p>quote #</p>N<ul>N<li><p>a <em>b</em></p>N</li>N<li><p>c</p>N</li>N</ul>N<p>end</p>N</blockquote>N", "\\begin{quote}Nquote #NN\\begin{itemize}N\\item a \\emph{b}NN\\item cNN\\end{itemize}NendNN\\end{quote}N"),
+    ("3. one #N   - [x] in **b**N   - [ ] twoNN     moreN4. last", '<ol start="3">N<li><p>one #</p>N<ul>N<li class="task-list-item"><input type="checkbox" checked disabled> <p>in <strong>b</strong></p>N</li>N<li class="task-list-item"><input type="checkbox" disabled> <p>two</p>N<p>more</p>N</li>N</ul>N</li>N<li><p>last</p>N</li>N</ol>N', "\\begin{enumerate}N\\setcounter{enumi}{2}N\\item one #NN\\begin{itemize}N\\item[$\\boxtimes$] in \\textbf{b}NN\\item[$\\square$] twoNNmoreNN\\end{itemize}N\\item lastNN\\end{enumerate}N"),
+    ("| A | B |N|---|--:|N| # | x\\|y |", '<table>N<thead>N<tr>N<th>A</th>N<th>B</th>N</tr>N</thead>N<tbody>N<tr>N<td>#</td>N<td style="text-align: right">x|y</td>N</tr>N</tbody>N</table>N', "\\begin{tabular}{ll}NA & B \\\\N# & x|y \\\\N\\end{tabular}N"),
+    ("- seeNN  ```pyN  - x = #N  ```N- end", '<ul>N<li><p>see</p>N<pre><code class="language-py">- x = #</code></pre>N</li>N<li><p>end</p>N</li>N</ul>N', "\\begin{itemize}N\\item seeNN\\begin{lstlisting}[language=py]N- x = #N\\end{lstlisting}N\\item endNN\\end{itemize}N"),
+    ("[^n#]: note #", '<aside id="fn-n#" class="footnote" role="note">N<p>note #</p>N</aside>N', "\\footnotetext[n#]{note #}N"),
+]
+
+
+def whole_documents(spark, d):
+    """Each customer's orders as one Markdown document, a rule between them."""
+    forms = [m.replace("N", "\n") for m, _, _ in WHOLE]
+    docs = snippets(spark, d, forms, "\n\n***\n\n").withColumn("text", F.replace("text", F.lit("\x03"), F.lit("#")))
+    return markdown.markdown_documents(docs)
+
+
+def whole_expected(column: int, level: str, rule: str) -> str:
+    forms = " ".join(f"WHEN {i} THEN '{w[column]}'" for i, w in enumerate(WHOLE))
+    said = f"replace(replace(replace(replace(CASE k % 8 {forms} END, '#', CAST(k AS VARCHAR)), '@', {level}), 'N', chr(10)), chr(3), '#')"
+    return f"SELECT doc_id, string_agg({said}, '{rule}' || chr(10) ORDER BY k) AS text FROM (SELECT o_custkey AS doc_id, o_orderkey AS k FROM orders) GROUP BY doc_id"
+
+
+@query("w1_markdown_to_html", whole_expected(1, "CAST(k % 3 + 1 AS VARCHAR)", "<hr>"))
+def w1_html(spark, d):
+    """Whole Markdown documents to HTML: lists in lists and quotes, code in items, tables, notes."""
+    return render_documents(whole_documents(spark, d), None, "html")
+
+
+@query("w1_markdown_to_latex", whole_expected(2, "repeat('sub', CAST(k % 3 AS INTEGER)) || 'section'", "\\hrulefill"))
+def w1_latex(spark, d):
+    """Whole Markdown documents to LaTeX."""
+    return render_documents(whole_documents(spark, d), None, "latex")
+
+
 @query("a4_markdown_inlines", """WITH l AS (SELECT l_orderkey, l_linenumber, l_partkey AS k, l_suppkey, l_extendedprice FROM lineitem), x AS (
   SELECT *, 0 AS ipos, 'text' AS kind, 'See ' AS value, NULL AS url FROM l UNION ALL SELECT *, 1, 'strong', 'b' || k, NULL FROM l UNION ALL SELECT *, 2, 'text', ', ', NULL FROM l UNION ALL SELECT *, 3, 'link', 't' || k, 'u' || k FROM l
   UNION ALL SELECT *, 4, 'code', 'c*d*' || k, NULL FROM l UNION ALL SELECT *, 5, 'text', ' 5 * 6 ', NULL FROM l UNION ALL SELECT *, 6, 'footnote_ref', 'n' || k, NULL FROM l UNION ALL SELECT *, 7, 'math', 'x_1+y', NULL FROM l UNION ALL SELECT *, 8, 'image', 'a', 'i' || k FROM l)

@@ -101,6 +101,11 @@ def references(form: str, value: Column, url: Column, said: Column) -> dict[str,
     return quotes | {"image": F.concat(lit("!["), value, lit("]("), url, lit(")")), "citation": around(cite, value, "`") if cite else around("[@", value, "]"), "crossref": around(ref, value, "`") if ref else F.concat(lit("["), value, lit("](#"), value, lit(")")), "raw": raw}
 
 
+def strip(c: Column) -> Column:
+    """Without white space at both ends, line ends too."""
+    return F.regexp_replace(c, r"^\s+|\s+\z", "")
+
+
 def prefixed(c: Column, first: Column, rest: Column) -> Column:
     """Lines of a text, the first after `first` and others that are not empty after `rest`."""
     return F.concat(first, F.array_join(F.transform(F.split(c, "\n"), lambda line, i: F.when((i > 0) & (line != ""), F.concat(rest, line)).otherwise(line)), "\n"))
@@ -149,9 +154,9 @@ def render_block(form: str) -> Column:
     if form in ("markdown", "myst"):
         fence = t.code_fence(text)
         label = F.when(has, F.concat(lit("<!-- label: "), ident, lit(" -->\n"))).otherwise("")
-        math = F.concat(lit("$$\n"), F.trim(text), lit("\n$$\n"), label)
+        math = F.concat(lit("$$\n"), strip(text), lit("\n$$\n"), label)
         if form == "myst":
-            math = F.concat(lit("```{math}\n"), F.when(has, F.concat(lit(":label: "), ident, lit("\n"))).otherwise(""), F.trim(text), lit("\n```\n"))
+            math = F.concat(lit("```{math}\n"), F.when(has, F.concat(lit(":label: "), ident, lit("\n"))).otherwise(""), strip(text), lit("\n```\n"))
         heading = F.concat(F.repeat(lit("#"), F.col("level")), lit(" "), line)
         attrs = F.concat(F.repeat(lit("#"), F.col("level")), lit(" "), content, F.when(has, F.concat(lit(" {#"), ident, lit("}"))).otherwise(""), lit("\n"))
         return choose([
@@ -160,7 +165,7 @@ def render_block(form: str) -> Column:
             (kind == "math", math), (kind == "blockquote", quoted), (kind == "list", content),
             (kind == "item", F.concat(prefixed(trimmed, F.concat(marker, box), F.repeat(lit(" "), F.length(marker))), lit("\n"))),
             (kind == "rule", lit("---\n")),
-            (kind == "footnote", F.concat(lit("[^"), ident, lit("]: "), F.trim(content), lit("\n"))),
+            (kind == "footnote", F.concat(lit("[^"), ident, lit("]: "), strip(content), lit("\n"))),
             (kind == "div", F.concat(lit(":::"), F.when(attrs_of != "", F.concat(lit(" {"), attrs_of, lit("}"))).otherwise(""), lit("\n"), content, lit(":::\n"))),
             (kind == "figure", F.concat(lit("!["), F.when(content != "", content).otherwise(F.coalesce(text, lit(""))), lit("]("), F.coalesce("url", lit("")), lit(")"), F.when(has, F.concat(lit("{#"), ident, lit("}"))).otherwise(""), lit("\n"))),
             (kind == "admonition", F.concat(lit("> [!"), F.upper(named), lit("]"), F.coalesce(F.concat(lit(" "), F.col("title")), lit("")), lit("\n"), quoted) if form == "markdown" else F.concat(lit(":::{"), named, lit("}"), F.coalesce(F.concat(lit(" "), F.col("title")), lit("")), lit("\n"), content, lit(":::\n"))),
@@ -175,7 +180,7 @@ def render_block(form: str) -> Column:
             (kind == "heading", F.concat(content, lit("\n"), underline, lit("\n"))), (kind == "code", F.concat(indented, lit("\n\n"))), (kind == "math", F.concat(text, lit("\n\n"))),
             (kind == "blockquote", F.concat(quoted, lit("\n"))), (kind == "list", F.concat(content, lit("\n"))),
             (kind == "item", F.concat(prefixed(trimmed, F.concat(marker, box), F.repeat(lit(" "), F.length(marker))), lit("\n"))),
-            (kind == "rule", F.concat(F.repeat(lit("─"), 40), lit("\n\n"))), (kind == "footnote", F.concat(lit("[^"), ident, lit("]: "), F.trim(content), lit("\n\n"))), (kind == "div", content),
+            (kind == "rule", F.concat(F.repeat(lit("─"), 40), lit("\n\n"))), (kind == "footnote", F.concat(lit("[^"), ident, lit("]: "), strip(content), lit("\n\n"))), (kind == "div", content),
             (kind == "figure", F.concat(lit("[Image: "), F.when(content != "", content).otherwise(F.coalesce(text, lit(""))), lit("]\n\n"))), (kind == "admonition", F.concat(F.upper(F.coalesce("title", named)), lit("\n"), content)),
             (kind == "definition_list", F.concat(content, lit("\n"))), (kind == "term", line), (kind == "definition", F.concat(prefixed(trimmed, lit("    "), lit("    ")), lit("\n"))), (kind == "raw", F.when(language.isin("plain", "text"), F.concat(text, lit("\n\n"))).otherwise("")), (table, F.concat(content, lit("\n"))),
         ], F.concat(content, lit("\n\n")))
@@ -189,11 +194,11 @@ def render_block(form: str) -> Column:
         return choose([
             (kind == "heading", F.concat(lit("\\"), command, lit("{"), content, lit("}"), F.when(has, label).otherwise(""), lit("\n"))),
             (kind == "code", F.when(language != "", listing).otherwise(F.concat(lit("\\begin{verbatim}\n"), ended, lit("\\end{verbatim}\n")))),
-            (kind == "math", F.when(has, F.concat(lit("\\begin{equation}\n"), label, lit("\n"), F.trim(text), lit("\n\\end{equation}\n"))).otherwise(F.concat(lit("\\[\n"), F.trim(text), lit("\n\\]\n")))),
+            (kind == "math", F.when(has, F.concat(lit("\\begin{equation}\n"), label, lit("\n"), strip(text), lit("\n\\end{equation}\n"))).otherwise(F.concat(lit("\\[\n"), strip(text), lit("\n\\]\n")))),
             (kind == "blockquote", F.concat(lit("\\begin{quote}\n"), content, lit("\\end{quote}\n"))),
             (kind == "list", F.concat(lit("\\begin{"), env, lit("}\n"), counter, content, lit("\\end{"), env, lit("}\n"))),
             (kind == "item", F.concat(lit("\\item"), tick, content)), (kind == "rule", lit("\\hrulefill\n")), (kind == "div", content),
-            (kind == "footnote", F.concat(lit("\\footnotetext["), ident, lit("]{"), F.trim(content), lit("}\n"))),
+            (kind == "footnote", F.concat(lit("\\footnotetext["), ident, lit("]{"), strip(content), lit("}\n"))),
             (kind == "figure", F.concat(lit("\\begin{figure}\n\\centering\n\\includegraphics{"), F.coalesce("url", lit("")), lit("}\n"), F.when(content != "", F.concat(lit("\\caption{"), content, lit("}\n"))).otherwise(""), F.when(has, F.concat(label, lit("\n"))).otherwise(""), lit("\\end{figure}\n"))),
             (kind == "admonition", F.concat(lit("\\begin{quote}\n"), F.coalesce(F.concat(lit("\\textbf{"), t.escape_latex(F.col("title")), lit("}\n\n")), lit("")), content, lit("\\end{quote}\n"))),
             (kind == "definition_list", F.concat(lit("\\begin{description}\n"), content, lit("\\end{description}\n"))), (kind == "term", F.concat(lit("\\item["), content, lit("] "))), (kind == "definition", content),
@@ -204,10 +209,10 @@ def render_block(form: str) -> Column:
     start = F.when(F.col("ordered") & (F.coalesce("start", lit(1)) != 1), F.concat(lit("#set enum(start: "), "start", lit(")\n"))).otherwise("")
     return choose([
         (kind == "heading", F.concat(F.repeat(lit("="), F.col("level")), lit(" "), content, label, lit("\n"))), (kind == "code", F.concat(lit("```"), language, lit("\n"), ended, lit("```\n"))),
-        (kind == "math", F.concat(lit("$\n"), F.trim(text), lit("\n$"), label, lit("\n"))), (kind == "blockquote", F.concat(lit("#quote(block: true)[\n"), content, lit("]\n"))), (kind == "list", F.concat(start, content)),
+        (kind == "math", F.concat(lit("$\n"), strip(text), lit("\n$"), label, lit("\n"))), (kind == "blockquote", F.concat(lit("#quote(block: true)[\n"), content, lit("]\n"))), (kind == "list", F.concat(start, content)),
         (kind == "item", F.concat(F.when(F.col("ordered"), "+ ").otherwise("- "), tick, F.trim(F.regexp_replace(content, "^\n+|\n+$", "")), lit("\n"))), (kind == "rule", lit("#line(length: 100%)\n")), (kind == "footnote", lit("")), (kind == "div", content),
         (kind == "figure", F.concat(lit('#figure(image("'), F.coalesce("url", lit("")), lit('")'), F.when(content != "", F.concat(lit(", caption: ["), content, lit("]"))).otherwise(""), lit(")"), label, lit("\n"))), (kind == "admonition", F.concat(lit("#quote(block: true)[\n"), content, lit("]\n"))),
-        (kind == "definition_list", content), (kind == "term", F.concat(lit("/ "), content, lit(": "))), (kind == "definition", F.concat(F.trim(trimmed), lit("\n"))), (kind == "raw", F.when(language == "typst", F.concat(text, lit("\n"))).otherwise("")), (table, content),
+        (kind == "definition_list", content), (kind == "term", F.concat(lit("/ "), content, lit(": "))), (kind == "definition", F.concat(strip(trimmed), lit("\n"))), (kind == "raw", F.when(language == "typst", F.concat(text, lit("\n"))).otherwise("")), (table, content),
     ], line)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -42,12 +42,14 @@ def fences(bars: Column) -> Column:
     return F.aggregate(bars, begin, step, lambda a: a["out"])
 
 
-def markdown_blocks(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+def markdown_blocks(docs: DataFrame, key: str = "doc_id", whole_lists: bool = False) -> DataFrame:
     """Top-level blocks (key, pos, kind, level, ident, language, text) of Markdown documents (key, text).
 
     One window over a document's lines finds which lie in fences or display math, another where runs of
-    lines of one kind begin. Headings, rules, footnotes and list items are a line and what continues it;
-    other blocks are runs. Text is the block's own, without markers; list markers stay. pos is the first line.
+    lines of one kind begin. Headings, rules and footnotes are a line and what continues it; other blocks are
+    runs. With whole_lists a list is one block with all that is indented under it, also after blank lines, until
+    its sign changes; without, a blank line ends it. Text is the block's own, without markers; list markers stay.
+    pos is the first line.
     """
     from pyspark.sql import Window
 
@@ -67,20 +69,30 @@ def markdown_blocks(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     for name, pattern in LINE_KINDS:
         kind = kind.when(F.col("line").rlike(pattern), name)
     k = marked.withColumn("kind", kind.otherwise("paragraph")).withColumn("last", F.lag("kind", 1, "blank").over(w))
+    # A list goes on over blank and indented lines, and over a line of text right after one of its own.
+    goes_on = F.col("kind").isin("list", "blank") | F.col("line").rlike(r"^(\s{2,}|\t|\s*$)") | ((F.col("kind") == "paragraph") & (F.col("last") != "blank"))
+    latest = lambda c: F.coalesce(F.max(F.when(c, F.col("n"))).over(upto), F.lit(-1))
+    k = k.withColumn("listed", (latest(F.col("kind") == "list") > latest(~goes_on)) & (F.col("kind") != "rule") if whole_lists else F.lit(False))
+    marker = F.when(F.col("listed") & (F.col("kind") == "list"), F.nullif(F.regexp_extract("line", r"^ ?(?:[0-9]{1,9})?([-*+.)])\s", 1), F.lit("")))
+    k = k.withColumn("marker", marker).withColumn("marked", F.last("marker", True).over(before))
+    k = k.withColumn("kind", F.when(F.col("listed"), "list").otherwise(F.col("kind"))).withColumn("last", F.lag("kind", 1, "blank").over(w))
     lazy = ((F.col("kind") == "paragraph") & F.col("last").isin("blockquote", "list", "footnote")) | ((F.col("kind") == "indented") & F.col("last").isin("paragraph", "list", "footnote"))
+    if whole_lists:
+        lazy = lazy & (F.col("last") != "list")
     opens = (F.col("fence") & ~F.col("in_code")) | (F.col("bar") & ~F.col("in_math"))
     inside = F.col("in_code") | F.col("in_math")
-    new = F.when(inside, False).otherwise(opens | F.col("kind").isin("heading", "rule", "footnote") | ((F.col("kind") != F.col("last")) & ~lazy) | ((F.col("kind") == "code") & ~inside))
+    new = F.when(F.col("listed"), (F.col("last") != "list") | F.coalesce(F.col("marker") != F.col("marked"), F.lit(False))).when(inside, False)
+    new = new.otherwise(opens | F.col("kind").isin("heading", "rule", "footnote") | ((F.col("kind") != F.col("last")) & ~lazy) | ((F.col("kind") == "code") & ~inside))
     runs = k.withColumn("block", F.sum(new.cast("int")).over(upto))
-    own = F.when((F.col("kind") == "code") & F.col("fence"), None).when(F.col("bar"), None).otherwise(F.col("line"))
+    own = F.when(F.col("listed"), F.col("line")).when((F.col("kind") == "code") & F.col("fence"), None).when(F.col("bar"), None).otherwise(F.col("line"))
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("n", own.alias("s")))), lambda s: s["s"])
     grouped = runs.groupBy(key, "block").agg(F.min("n").alias("pos"), F.min_by("kind", "n").alias("kind"), F.min_by("line", "n").alias("first"), F.array_compact(ordered).alias("ls"), F.count(F.when(F.col("kind") == "blank", 1)).alias("blanks")).where("kind != 'blank'")
-    body = F.filter("ls", lambda s: (F.trim(s) != "") | F.col("kind").isin("code", "math"))
+    body = F.filter("ls", lambda s: (F.trim(s) != "") | F.col("kind").isin("code", "math", "list"))
     unquoted = F.transform(body, lambda s: F.regexp_replace(s, r"^ {0,3}> ?", ""))
     dedented = F.transform(body, lambda s: F.regexp_replace(s, r"^(    |\t)", ""))
     joined = F.array_join(F.when(F.col("kind") == "blockquote", unquoted).when(F.col("kind") == "indented", dedented).otherwise(body), "\n")
     head = trailing_attrs(F.trim(F.regexp_replace(F.regexp_replace("first", r"^#+\s*", ""), r"\s+#+\s*$", "")))
-    text = F.when(F.col("kind") == "heading", head["text"]).when(F.col("kind") == "footnote", F.regexp_replace(joined, r"^\[\^[^\]]+\]:\s*", "")).when(F.col("kind") == "rule", "").when(F.col("kind") == "math", F.trim(joined)).otherwise(joined)
+    text = F.when(F.col("kind") == "heading", head["text"]).when(F.col("kind") == "footnote", F.regexp_replace(joined, r"^\[\^[^\]]+\]:\s*", "")).when(F.col("kind") == "rule", "").when(F.col("kind") == "math", F.trim(joined)).when(F.col("kind") == "list", F.regexp_replace(joined, r"\s+$", "")).otherwise(joined)
     info = code_info(F.regexp_replace("first", r"^ {0,3}[`~]+", ""))
     return grouped.select(
         key, "pos", F.when(F.col("kind") == "indented", "code").otherwise(F.col("kind")).alias("kind"), F.when(F.col("kind") == "heading", F.length(F.regexp_extract("first", "^#+", 0))).alias("level"),
@@ -90,16 +102,15 @@ def markdown_blocks(docs: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 #: Inline markup that does not nest, tried in this order at each place.
-INLINE = r"(?s)(`+)(?!`)(.+?)(?<!`)\1(?!`)|\$([^$\s](?:[^$]*[^$\s])?)\$|!\[([^\[\]]*)\]\(([^()\s]*)\)|\[\^([^\]\s]+)\]|\[([^\[\]]*)\]\(([^()\s]*)\)|\*\*([^*]+)\*\*|\*([^*]+)\*|(?<![\p{L}\p{N}_])__([^_]+)__(?![\p{L}\p{N}_])|(?<![\p{L}\p{N}_])_([^_]+)_(?![\p{L}\p{N}_])|~~([^~]+)~~|\^([^\^\s]+)\^|<((?:https?|mailto):[^<>\s]+)>"
+INLINE = r"(?s)(`+)(?!`)(.+?)(?<!`)\1(?!`)|\$([^$\s](?:[^$]*[^$\s])?)\$|!\[([^\[\]]*)\]\(([^()\s]*)\)|\[\^([^\]\s]+)\]|\[([^\[\]]*)\]\(([^()\s]*)\)|\*\*([^*]+)\*\*|\*([^*]+)\*|(?<![\p{L}\p{N}_])__([^_]+)__(?![\p{L}\p{N}_])|(?<![\p{L}\p{N}_])_([^_]+)_(?![\p{L}\p{N}_])|~~([^~]+)~~|\^([^\^\s]+)\^|<((?:https?|mailto):[^<>\s]+)>|\\([!-/:-@\[-`{-~])"
 #: The groups of INLINE that hold the value, and the url if there is one.
-INLINE_KINDS = [("code", 2, None), ("math", 3, None), ("image", 4, 5), ("footnote_ref", 6, None), ("link", 7, 8), ("strong", 9, None), ("emphasis", 10, None), ("strong", 11, None), ("emphasis", 12, None), ("strikethrough", 13, None), ("superscript", 14, None), ("autolink", 15, 15)]
+INLINE_KINDS = [("code", 2, None), ("math", 3, None), ("image", 4, 5), ("footnote_ref", 6, None), ("link", 7, 8), ("strong", 9, None), ("emphasis", 10, None), ("strong", 11, None), ("emphasis", 12, None), ("strikethrough", 13, None), ("superscript", 14, None), ("autolink", 15, 15), ("text", 16, None)]
 
 
-def markdown_inlines(blocks: DataFrame) -> DataFrame:
-    """Inlines (keys of blocks, ipos, kind, value, url) of the column text; markup inside markup stays text of the outer one."""
-    keys = [c for c in blocks.columns if c != "text"]
-    plain = F.split("text", INLINE, -1)
-    group = {g: F.regexp_extract_all("text", F.lit(INLINE), g) for g in sorted({g for _, v, u in INLINE_KINDS for g in (v, u) if g})}
+def inline_array(text: Column) -> Column:
+    """Inlines (kind, value, url) of a text; markup inside markup stays text of the outer one, an escaped sign is text."""
+    plain = F.split(text, INLINE, -1)
+    group = {g: F.regexp_extract_all(text, F.lit(INLINE), g) for g in sorted({g for _, v, u in INLINE_KINDS for g in (v, u) if g})}
     zipped = F.arrays_zip(*[c.alias(f"g{g}") for g, c in group.items()])
 
     def one(m):
@@ -111,9 +122,106 @@ def markdown_inlines(blocks: DataFrame) -> DataFrame:
         return F.struct(kind.alias("kind"), value.alias("value"), url.alias("url"))
 
     marks = F.transform(zipped, one)
-    text = F.transform(plain, lambda p: F.struct(F.lit("text").alias("kind"), p.alias("value"), F.lit(None).cast("string").alias("url")))
-    woven = F.flatten(F.transform(text, lambda p, i: F.concat(F.filter(F.array(p), lambda x: x["value"] != ""), F.when(i < F.size(marks), F.slice(marks, i + 1, F.lit(1))).otherwise(F.slice(marks, F.lit(1), F.lit(0))))))
-    return blocks.select(*keys, F.posexplode(woven).alias("ipos", "x")).select(*keys, "ipos", "x.*")
+    pieces = F.transform(plain, lambda p: F.struct(F.lit("text").alias("kind"), p.alias("value"), F.lit(None).cast("string").alias("url")))
+    return F.flatten(F.transform(pieces, lambda p, i: F.concat(F.filter(F.array(p), lambda x: x["value"] != ""), F.when(i < F.size(marks), F.slice(marks, i + 1, F.lit(1))).otherwise(F.slice(marks, F.lit(1), F.lit(0))))))
+
+
+def markdown_inlines(blocks: DataFrame) -> DataFrame:
+    """Inlines (keys of blocks, ipos, kind, value, url) of the column text."""
+    keys = [c for c in blocks.columns if c != "text"]
+    return blocks.select(*keys, F.posexplode(inline_array(F.col("text"))).alias("ipos", "x")).select(*keys, "ipos", "x.*")
+
+
+def with_breaks(inlines: Column) -> Column:
+    """Inlines with a soft break for each line break in their texts, a hard one after two spaces or a backslash."""
+    null = F.lit(None).cast("string")
+    inline = lambda kind, value: F.struct(kind.alias("kind"), value.alias("value"), null.alias("url"))
+
+    def split(x):
+        parts = F.split(x["value"], "\n", -1)
+        hard = lambda p: F.coalesce(p.rlike(r"(  +|\\\\)$"), F.lit(False))
+        said = lambda p, i: inline(F.lit("text"), F.when(i < F.size(parts) - 1, F.regexp_replace(p, r"( +|\\\\)$", "")).otherwise(p))
+        each = F.transform(parts, lambda p, i: F.array(inline(F.when(hard(F.get(parts, i - 1)), "hard_break").otherwise("soft_break"), F.when(i > 0, "\n").otherwise("")), said(p, i)))
+        return F.filter(F.flatten(each), lambda y: y["value"] != "")
+
+    return F.flatten(F.transform(inlines, lambda x: F.when((x["kind"] == "text") & F.contains(x["value"], F.lit("\n")), split(x)).otherwise(F.array(x))))
+
+
+# ---- Whole documents --------------------------------------------------------------------------------
+
+#: What a place is worth: pos is the line times this plus the depth.
+PLACES = 4096
+
+
+def list_items(lists: DataFrame, keys: list[str]) -> DataFrame:
+    """Items (keys, line, index, ordered, start, checked, text) of one list for each row (keys, text).
+
+    An item begins at a marker that stands no more than one place right of the list's first; what follows is
+    taken back by the width of the marker. line is that of the marker, from 0; lists number items from start.
+    """
+    from pyspark.sql import Window
+
+    mark = r"^ *(?:[-*+]|[0-9]{1,9}[.)])(?: {1,4}|$)"
+    w = Window.partitionBy(*keys).orderBy("n")
+    spaces = lambda c: F.length(F.regexp_extract(c, "^ *", 0))
+    text = F.replace("text", F.lit("\t"), F.lit("    "))
+    number = F.regexp_extract(text, r"^ *([0-9]{1,9})[.)]", 1)
+    lines = lists.select(*keys, spaces(text).alias("base"), (number != "").alias("ordered"), F.nullif(number, F.lit("")).cast("int").alias("start"), F.posexplode(F.split(text, "\n")).alias("n", "line"))
+    begins = F.col("line").rlike(mark) & (spaces(F.col("line")) <= F.col("base") + 1)
+    x = lines.withColumn("begins", begins).withColumn("index", (F.sum(F.col("begins").cast("int")).over(w) - 1).cast("int"))
+    x = x.withColumn("width", F.last(F.when(F.col("begins"), F.length(F.regexp_extract("line", mark, 0))), True).over(w))
+    own = F.when(F.col("begins"), F.expr("substr(line, width + 1)")).otherwise(F.expr("substr(line, least(length(regexp_extract(line, '^ *', 0)), width) + 1)"))
+    items = x.groupBy(*keys, "index").agg(F.min("n").alias("line"), F.first("ordered").alias("ordered"), F.first("start").alias("start"), F.transform(F.array_sort(F.collect_list(F.struct("n", own.alias("s")))), lambda s: s["s"]).alias("ls"))
+    box = F.regexp_extract(F.get("ls", F.lit(0)), r"^\[([ xX])\] ", 1)
+    joined = F.array_join("ls", "\n")
+    return items.select(*keys, "line", "index", "ordered", "start", F.when(box != "", box != " ").alias("checked"), F.when(box != "", F.expr("substr(array_join(ls, '\\n'), 5)")).otherwise(joined).alias("text"))
+
+
+def table_array(text: Column) -> Column:
+    """Cells (section, row, col, text, colspan, rowspan, align) of a pipe table; the second line sets alignments and columns."""
+    lines = F.split(text, "\n")
+    cells = lambda line: F.transform(F.split(F.regexp_replace(F.trim(line), r"^\||(?<!\\)\|$", ""), r"(?<!\\)\|"), lambda c: F.replace(F.trim(c), F.lit("\\|"), F.lit("|")))
+    rule = F.transform(cells(F.get(lines, F.lit(1))), lambda c: F.when(c.rlike("^:-+:$"), "center").when(c.rlike("-:$"), "right").when(c.rlike("^:"), "left"))
+    rows = F.transform(F.filter(lines, lambda _, i: i != 1), lambda line: cells(line))
+    cell = lambda row, r, align, c: F.struct(F.when(r == 0, "thead").otherwise("tbody").alias("section"), F.greatest(r - 1, F.lit(0)).alias("row"), c.alias("col"), F.coalesce(F.get(row, c), F.lit("")).alias("text"), F.lit(1).alias("colspan"), F.lit(1).alias("rowspan"), F.when(r > 0, align).alias("align"))
+    return F.flatten(F.transform(rows, lambda row, r: F.transform(rule, lambda align, c: cell(row, r, align, c))))
+
+
+def markdown_documents(docs: DataFrame, key: str = "doc_id", nesting: int = 16) -> DataFrame:
+    """Blocks as renderers take them, with their inlines and cells, of Markdown documents (key, text); doc_id is the key.
+
+    Lists, items, quotes and footnotes are read again, all those of one depth at a time, each pass cut off; what
+    lies in more than `nesting` of them stays text of a paragraph. Empty and null texts have no blocks.
+    """
+    from leafmill.tables import stored
+
+    at = ["doc_id", "parent", "base", "depth"]
+    todo = docs.select(F.struct(F.col(key).alias("doc_id"), F.lit(-1).cast("long").alias("parent"), F.lit(0).alias("base"), F.lit(0).alias("depth")).alias("at"), "text")
+    place = lambda line, depth: F.col(line).cast("long") * PLACES + F.col(depth)
+    null, found = lambda kind: F.lit(None).cast(kind), []
+    for i in range(nesting + 1):
+        read = markdown_blocks(todo, "at", whole_lists=True) if i < nesting else todo.select("at", F.lit(0).alias("pos"), F.lit("paragraph").alias("kind"), null("int").alias("level"), null("string").alias("ident"), null("string").alias("language"), "text")
+        blocks = read.select("at.*", "kind", "level", "ident", "language", "text", (F.col("at.base") + F.col("pos")).alias("line"))
+        blocks = stored(blocks.withColumn("pos", place("line", "depth")))
+        items = list_items(blocks.where("kind = 'list'").select("doc_id", F.col("pos").alias("list"), F.col("line").alias("first"), (F.col("depth") + 1).alias("depth"), "text"), ["doc_id", "list", "first", "depth"])
+        items = stored(items.withColumn("line", F.col("first") + F.col("line")).withColumn("pos", place("line", "depth")))
+        numbered = items.groupBy("doc_id", F.col("list").alias("pos")).agg(F.first("ordered").alias("ordered"), F.first("start").alias("start"))
+        found += [
+            blocks.join(numbered, ["doc_id", "pos"], "left").select("doc_id", "pos", "parent", "depth", "kind", "level", "ident", "language", "text", "ordered", "start", null("int").alias("index"), null("boolean").alias("checked")),
+            items.select("doc_id", "pos", F.col("list").alias("parent"), "depth", F.lit("item").alias("kind"), null("int").alias("level"), null("string").alias("ident"), null("string").alias("language"), null("string").alias("text"), "ordered", "start", "index", "checked"),
+        ]
+        held = blocks.where("kind IN ('blockquote', 'footnote')").select("doc_id", F.col("pos").alias("parent"), F.col("line").alias("base"), (F.col("depth") + 1).alias("depth"), "text")
+        held = held.unionByName(items.select("doc_id", F.col("pos").alias("parent"), F.col("line").alias("base"), (F.col("depth") + 1).alias("depth"), "text"))
+        if held.isEmpty():
+            break
+        todo = held.select(F.struct(*at).alias("at"), "text")
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    is_table = (F.col("kind") == "table") & F.get(F.split("text", "\n"), F.lit(1)).rlike(r"^[\s|:-]*-[\s|:-]*$")
+    out = out.withColumn("kind", F.when((F.col("kind") == "table") & ~F.coalesce(is_table, F.lit(False)), "paragraph").otherwise(F.col("kind")))
+    leaf = F.col("kind").isin("paragraph", "heading")
+    return stored(out.withColumns({"parent": F.nullif("parent", F.lit(-1)), "inlines": F.when(leaf, with_breaks(inline_array(F.col("text")))), "cells": F.when(F.col("kind") == "table", table_array(F.col("text")))}))
 
 
 def promote_math(blocks: DataFrame) -> DataFrame:

@@ -225,3 +225,17 @@ def test_files_in_and_out(spark, tmp_path):
     assert got == {"a.md": ("# A", "markdown", None), "b.HTML": ("<p>b", "html", None), "c.xyz": ("?", None, "unknown format: .xyz")}
     pipeline.write_outputs(docs.where("error IS NULL"), str(tmp_path / "out"))
     assert {r["format"] for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {"markdown", "html"}
+
+
+def test_markdown_documents(spark):
+    from leafmill.operators.documents import render_documents
+
+    text = "1. one\n   - [x] in **b**\n   - [ ] two\n\n     more  \n     hard\n2. last\n\n- a\n* b \\*c\\*\n\n> q\n> - c\n>   - d\n>\n> end\n\ntext\n\n| no table"
+    docs = spark.createDataFrame([(1, text, "x"), (2, None, "x"), (3, "", "x")], "doc_id long, text string, kind string")
+    blocks = markdown.markdown_documents(docs)
+    assert blocks.count() == blocks.select("doc_id", "pos").distinct().count()
+    want = "1. one\n   \n   - [x] in **b**\n   - [ ] two\n     \n     more  \n     hard\n2. last\n\n- a\n\n- b *c*\n\n> q\n>\n> - c\n>   \n>   - d\n>\n> end\n\ntext\n\n| no table\n"
+    said = [tuple(r) for r in render_documents(blocks, None, "markdown").collect()]
+    assert [(i, "\n".join(line.rstrip() if line.strip(" >") == "" else line for line in s.split("\n"))) for i, s in said] == [(1, "\n".join(line.rstrip() if line.strip(" >") == "" else line for line in want.split("\n")))]
+    shallow = markdown.markdown_documents(docs, nesting=1)
+    assert shallow.where("kind = 'paragraph' AND depth = 2 AND text LIKE '%- [ ] two%'").count() == 1
