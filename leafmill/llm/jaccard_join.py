@@ -513,16 +513,26 @@ def find_groups(docs: DataFrame, percent: int, k: int, count: bool = False) -> F
     lists = written.table(posted.groupBy("kind", "bucket").applyInArrow(_lists(percent), "g long, node long, n long"), "lists")
     lists = written.table(lists.distinct(), "different")
     free_shuffles(spark)
+    return join_lists(rows, members, measured.where("sketch IS NOT NULL").select("node", F.col("sketch").alias("data")), lists, percent, k, written, count)
+
+
+def join_lists(rows: DataFrame, members: DataFrame, sketches: DataFrame, lists: DataFrame, percent: int, k: int, written: Written, count: bool = False) -> Found:
+    """Groups of similar sets, if any two of them are in one of `lists` (g, node, n).
+
+    rows are (doc, mark, text), members (doc, mark, n, node), sketches (node, data). Sets of a list meet by their
+    sketches first; those that these tie together are read from the texts and verified set against set.
+    """
 
     def by_sketch(meetings: DataFrame) -> DataFrame:
         met = bucketed(written.table(meetings, "meetings"), 0.6)
-        own = measured.where("sketch IS NOT NULL").select("node", F.col("sketch").alias("data"))
-        own = own.join(small(met.select("node").distinct(), SMALL_IDS), "node", "left_semi").groupBy("node").agg(F.first("data").alias("data"))
+        own = sketches.join(small(met.select("node").distinct(), SMALL_IDS), "node", "left_semi").groupBy("node").agg(F.first("data").alias("data"))
         return met.join(own, "node").groupBy("bucket").applyInArrow(_compare_sketches(percent), "a long, b long, links long").select("a", "b").distinct()
 
     near = linked(lists, by_sketch, written, "near")
     nodes = members.join(near, "node").groupBy("node").agg(F.first("label").alias("g"), F.first("n").alias("n"), F.count("*").alias("copies"), F.min(F.struct("doc", "mark")).alias("row"))
     nodes = written.table(nodes.select("node", "g", "n", "copies", "row.*"), "nodes")
+    one = small(nodes.select(F.col("doc").alias("d"), F.col("mark").alias("m")), SMALL_IDS)
+    twice = not members.join(one, members["doc"].eqNullSafe(F.col("d")) & (members["mark"] == F.col("m")), "left_semi").groupBy("doc", "mark").count().where("count > 1").isEmpty()
 
     def by_set(meetings: DataFrame) -> DataFrame:
         met = bucketed(written.table(meetings, "meetings"), 8)
@@ -530,6 +540,8 @@ def find_groups(docs: DataFrame, percent: int, k: int, count: bool = False) -> F
         chosen = nodes.select("node", "copies", F.col("doc").alias("d"), F.col("mark").alias("m")).join(places, "node")
         texts = rows.join(small(chosen, SMALL_IDS), rows["doc"].eqNullSafe(F.col("d")) & (rows["mark"] == F.col("m")))
         sets = texts.select("node", "copies", "text", "places").mapInArrow(task(_sets(k)), "node long, copies long, data binary, " + f"places {dict(places.dtypes)['places']}")
+        if twice:  # rows alike in id and text: one of them brings the set
+            sets = sets.groupBy("node").agg(*[F.first(c).alias(c) for c in ("copies", "data", "places")])
         sets = sets.select("node", "copies", "data", F.inline("places")).groupBy("bucket").applyInArrow(_compare_sets(percent, count), "a long, b long, links long")
         return sets if count else sets.select("a", "b").distinct()
 
