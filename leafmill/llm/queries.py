@@ -8,6 +8,9 @@ from leafmill.llm.fair_mix import OP7_SQL, op7_fair_queue
 from leafmill.llm.hilbert_shards import op3_hilbert
 from leafmill.llm.jaccard_join import OP2_SQL, op2_links, op2_size_aware
 from leafmill.llm.license_templates import op10_templates
+from leafmill.llm.lsh_forest import OP13_SQL, op13_forest
+from leafmill.llm.merkle import OP12_SQL, op12_merkle
+from leafmill.llm.phrases import OP11_SQL, op11_phrases
 from leafmill.llm.quality_forest import op5_forest
 from leafmill.llm.sanitise import op8_disclosure
 from leafmill.llm.suffix_dedup import OP1_SQL, op1_suffix_array
@@ -25,6 +28,9 @@ QUERIES = {
     "op8_disclosure": op8_disclosure,
     "op9_brown": op9_brown,
     "op10_templates": op10_templates,
+    "op11_phrases": op11_phrases,
+    "op12_merkle": op12_merkle,
+    "op13_forest": op13_forest,
 }
 
 ORACLES = {
@@ -34,4 +40,7 @@ ORACLES = {
     "op4_url_rules": OP4_SQL,
     "op6_suffix_automaton": OP6_SQL,
     "op7_fair_queue": OP7_SQL,
+    "op11_phrases": OP11_SQL,
+    "op12_merkle": OP12_SQL,
+    "op13_forest": OP13_SQL,
 }
