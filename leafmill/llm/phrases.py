@@ -18,7 +18,7 @@ from leafmill.llm.common import Written, bounded_batches, free_shuffles, small,
 from leafmill.llm.hashing import Hashes, mixed
 
 #: Bytes of a block of text; the least of a shard.
-BLOCK, SHARD = 4 << 20, 32 << 20
+BLOCK, SHARD = 2 << 20, 32 << 20
 #: A-Z lower-cased, ends of pieces a line feed, spaces and tabs a space.
 PLAIN = bytes(c + 32 if 65 <= c <= 90 else 10 if c in b".,;:!?" or 10 <= c <= 13 else 32 if c == 9 else c for c in range(256))
 #: The step of a phrase that has not reached the threshold.
