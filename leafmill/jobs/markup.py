@@ -70,13 +70,18 @@ def a3(spark, d):
 WHOLE = [
     ("Para #Nmore *e* and `c<d`", "<p>Para #Nmore <em>e</em> and <code>c&lt;d</code></p>N", "Para #Nmore \\emph{e} and \\texttt{c<d}NN"),
     ("@ Title # {\x03h-#}", '<h@ id="h-#">Title #</h@>N', "\\@{Title #}\\label{h-#}N"),
-    ("```pyNcode #NN\x03 no headingN```", '<pre><code class="language-py">code #NN\x03 no heading</code></pre>N', "\\begin{lstlisting}[language=py]Ncode #NN\x03 no headingN\\end{lstlisting}N"),
-    ("> quote #N> - a *b*N> - cN>N> end", "<blockquote>N<p>quote #</p>N<ul>N<li><p>a <em>b</em></p>N</li>N<li><p>c</p>N</li>N</ul>N<p>end</p>N</blockquote>N", "\\begin{quote}Nquote #NN\\begin{itemize}N\\item a \\emph{b}NN\\item cNN\\end{itemize}NendNN\\end{quote}N"),
-    ("3. one #N   - [x] in **b**N   - [ ] twoNN     moreN4. last", '<ol start="3">N<li><p>one #</p>N<ul>N<li class="task-list-item"><input type="checkbox" checked disabled> <p>in <strong>b</strong></p>N</li>N<li class="task-list-item"><input type="checkbox" disabled> <p>two</p>N<p>more</p>N</li>N</ul>N</li>N<li><p>last</p>N</li>N</ol>N', "\\begin{enumerate}N\\setcounter{enumi}{2}N\\item one #NN\\begin{itemize}N\\item[$\\boxtimes$] in \\textbf{b}NN\\item[$\\square$] twoNNmoreNN\\end{itemize}N\\item lastNN\\end{enumerate}N"),
-    ("| A | B |N|---|--:|N| # | x\\|y |", '<table>N<thead>N<tr>N<th>A</th>N<th>B</th>N</tr>N</thead>N<tbody>N<tr>N<td>#</td>N<td style="text-align: right">x|y</td>N</tr>N</tbody>N</table>N', "\\begin{tabular}{ll}NA & B \\\\N# & x|y \\\\N\\end{tabular}N"),
-    ("- seeNN  ```pyN  - x = #N  ```N- end", '<ul>N<li><p>see</p>N<pre><code class="language-py">- x = #</code></pre>N</li>N<li><p>end</p>N</li>N</ul>N', "\\begin{itemize}N\\item seeNN\\begin{lstlisting}[language=py]N- x = #N\\end{lstlisting}N\\item endNN\\end{itemize}N"),
+    ("```pyNcode #NN\x03 no headingN```", '<pre><code class="language-py">code #NN\x03 no headingN</code></pre>N', "\\begin{lstlisting}[language=py]Ncode #NN\x03 no headingN\\end{lstlisting}N"),
+    ("> quote #N> - a *b*N> - cN>N> end", "<blockquote>N<p>quote #</p>N<ul>N<li><p>a <em>b</em></p>N</li>N<li><p>c</p>N</li>N</ul>N<p>end</p>N</blockquote>N", "\\begin{quote}Nquote #NN\\begin{itemize}N\\tightlistN\\item a \\emph{b}NN\\item cNN\\end{itemize}NendNN\\end{quote}N"),
+    ("3. one #N   - [x] in **b**N   - [ ] twoNN     moreN4. last", '<ol start="3">N<li><p>one #</p>N<ul>N<li class="task-list-item"><input type="checkbox" checked disabled> <p>in <strong>b</strong></p>N</li>N<li><p>two</p>N<p>more</p>N</li>N</ul>N</li>N<li><p>last</p>N</li>N</ol>N', "\\begin{enumerate}N\\tightlistN\\setcounter{enumi}{2}N\\item one #NN\\begin{itemize}N\\item[$\\boxtimes$] in \\textbf{b}NN\\item twoNNmoreNN\\end{itemize}N\\item lastNN\\end{enumerate}N"),
+    ("| A | *B* |N|---|--:|N| # | x\\|**y `z`** |", '<table>N<thead>N<tr><th><p>A</p>N</th><th style="text-align: right"><p><em>B</em></p>N</th></tr>N</thead>N<tbody>N<tr><td><p>#</p>N</td><td style="text-align: right"><p>x|<strong>y <code>z</code></strong></p>N</td></tr>N</tbody>N</table>N', "\\begin{longtable}[]{@{}lr@{}}N\\topruleN\\textbf{A} & \\textbf{\\emph{B}} \\\\N\\midruleN# & x|\\textbf{y \\texttt{z}} \\\\N\\bottomruleN\\end{longtable}N"),
+    ("- seeNN  ```pyN  - x = #N  ```N- end", '<ul>N<li><p>see</p>N<pre><code class="language-py">- x = #N</code></pre>N</li>N<li><p>end</p>N</li>N</ul>N', "\\begin{itemize}N\\item seeNN\\begin{lstlisting}[language=py]N- x = #N\\end{lstlisting}N\\item endNN\\end{itemize}N"),
     ("[^n#]: note #", '<aside id="fn-n#" class="footnote" role="note">N<p>note #</p>N</aside>N', "\\footnotetext[n#]{note #}N"),
+    ("***b i #***, **a *b* c** and [x **y** `z`](u# \"t\")N[[no]] ~~s *e*~~ H~2~O", '<p><em><strong>b i #</strong></em>, <strong>a <em>b</em> c</strong> and <a href="u#" title="t">x <strong>y</strong> <code>z</code></a>N[[no]] <del>s <em>e</em></del> H<sub>2</sub>O</p>N', "\\emph{\\textbf{b i #}}, \\textbf{a \\emph{b} c} and \\href{u#}{x \\textbf{y} \\texttt{z}}N[[no]] \\sout{s \\emph{e}} H\\textsubscript{2}ONN"),
+    ("Over #N====NNsee [a #], [the b][B #] and [none]NN[a #]: u#NN[b #]: <v#> 'T'", '<h1 id="over-#">Over #</h1>N<p>see <a href="u#">a #</a>, <a href="v#" title="T">the b</a> and [none]</p>N', "\\section{Over #}\\label{over-#}Nsee \\href{u#}{a #}, \\href{v#}{the b} and [none]NN"),
+    ("\"Say #\" it's -- a *\"b\"* ...", "<p>“Say #” it’s – a <em>“b”</em> …</p>N", "“Say #” it’s – a \\emph{“b”} …NN"),
 ]
+#: The place of the note among them.
+NOTE = 7
 
 
 def whole_documents(spark, d):
@@ -87,18 +92,21 @@ def whole_documents(spark, d):
 
 
 def whole_expected(column: int, level: str, rule: str) -> str:
-    forms = " ".join(f"WHEN {i} THEN '{w[column]}'" for i, w in enumerate(WHOLE))
-    said = f"replace(replace(replace(replace(CASE k % 8 {forms} END, '#', CAST(k AS VARCHAR)), '@', {level}), 'N', chr(10)), chr(3), '#')"
-    return f"SELECT doc_id, string_agg({said}, '{rule}' || chr(10) ORDER BY k) AS text FROM (SELECT o_custkey AS doc_id, o_orderkey AS k FROM orders) GROUP BY doc_id"
+    """Rules stand between the orders of a customer; notes come last."""
+    forms = " ".join(f"WHEN {i} THEN '{w[column].replace(chr(39), chr(39) * 2)}'" for i, w in enumerate(WHOLE))
+    n = len(WHOLE)
+    said = f"replace(replace(replace(replace(replace(replace(CASE k % {n} {forms} END, '@{{}}', chr(5)), '[none]', chr(4)), '#', CAST(k AS VARCHAR)), '@', {level}), 'N', chr(10)), chr(3), '#')"
+    return f"""SELECT doc_id, replace(replace(string_agg(CASE WHEN k % {n} = {NOTE} THEN '' ELSE {said} END, '{rule}' || chr(10) ORDER BY k) || coalesce(string_agg(CASE WHEN k % {n} = {NOTE} THEN {said} END, '' ORDER BY k), ''), chr(4), '[none]'), chr(5), '@{{}}') AS text
+FROM (SELECT o_custkey AS doc_id, o_orderkey AS k FROM orders) GROUP BY doc_id"""
 
 
 @query("w1_markdown_to_html", whole_expected(1, "CAST(k % 3 + 1 AS VARCHAR)", "<hr>"))
 def w1_html(spark, d):
-    """Whole Markdown documents to HTML: lists in lists and quotes, code in items, tables, notes."""
+    """Whole Markdown documents to HTML: lists in lists and quotes, code in items, tables, notes, nested inlines, link definitions."""
     return render_documents(whole_documents(spark, d), None, "html")
 
 
-@query("w1_markdown_to_latex", whole_expected(2, "repeat('sub', CAST(k % 3 AS INTEGER)) || 'section'", "\\hrulefill"))
+@query("w1_markdown_to_latex", whole_expected(2, "repeat('sub', CAST(k % 3 AS INTEGER)) || 'section'", "' || chr(10) || '\\noindent\\rule{\\textwidth}{0.4pt}' || chr(10) || '"))
 def w1_latex(spark, d):
     """Whole Markdown documents to LaTeX."""
     return render_documents(whole_documents(spark, d), None, "latex")

@@ -151,9 +151,9 @@ def e4(spark, d):
     return table_shape(h.table_cells(order_tables(spark, d)))
 
 
-@query("b2_render_html_table", f"""SELECT doc_id, '<table>' || chr(10) || '<thead>' || chr(10) || '<tr>' || chr(10) || '<th>Part</th>' || chr(10) || '<th>Supplier</th>' || chr(10) || '</tr>' || chr(10) || '</thead>' || chr(10) || '<tbody>' || chr(10) ||
-  string_agg('<tr>' || chr(10) || '<td' || CASE WHEN l_partkey % 3 = 0 AND l_partkey % 4 != 0 THEN ' colspan="' || (l_partkey % 4 + 1) || '"' ELSE '' END || '>' || CASE WHEN l_partkey % 3 = 0 THEN '&lt;' || l_partkey || '&gt;' ELSE CAST(l_partkey AS VARCHAR) END || '</td>' || chr(10) ||
-    '<td style="text-align: right">' || l_suppkey || '</td>' || chr(10) || '</tr>' || chr(10), '' ORDER BY n) || '</tbody>' || chr(10) || '<tfoot>' || chr(10) || '<tr>' || chr(10) || '<td rowspan="2">end</td>' || chr(10) || '</tr>' || chr(10) || '</tfoot>' || chr(10) || '</table>' || chr(10) AS html FROM {LINES} GROUP BY doc_id""")
+@query("b2_render_html_table", f"""SELECT doc_id, '<table>' || chr(10) || '<thead>' || chr(10) || '<tr><th><p>Part</p>' || chr(10) || '</th><th><p>Supplier</p>' || chr(10) || '</th></tr>' || chr(10) || '</thead>' || chr(10) || '<tbody>' || chr(10) ||
+  string_agg('<tr><td' || CASE WHEN l_partkey % 3 = 0 AND l_partkey % 4 != 0 THEN ' colspan="' || (l_partkey % 4 + 1) || '"' ELSE '' END || '><p>' || CASE WHEN l_partkey % 3 = 0 THEN '&lt;' || l_partkey || '&gt;' ELSE CAST(l_partkey AS VARCHAR) END || '</p>' || chr(10) || '</td>' ||
+    '<td style="text-align: right"><p>' || l_suppkey || '</p>' || chr(10) || '</td></tr>' || chr(10), '' ORDER BY n) || '</tbody>' || chr(10) || '<tfoot>' || chr(10) || '<tr><td rowspan="2"><p>end</p>' || chr(10) || '</td></tr>' || chr(10) || '</tfoot>' || chr(10) || '</table>' || chr(10) AS html FROM {LINES} GROUP BY doc_id""")
 def b2(spark, d):
     from leafmill.operators.render import html_table
 

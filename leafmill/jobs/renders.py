@@ -65,7 +65,7 @@ BLOCK_SQL = {
     "plain": (MD_ITEM, "'> ' || x || chr(10)", "'>' || chr(10)",
         "CASE k % 8 WHEN 1 THEN c || chr(10) || CASE lv WHEN 1 THEN repeat('=', strlen(c)) || chr(10) WHEN 2 THEN repeat('-', strlen(c)) || chr(10) ELSE '' END || chr(10) WHEN 2 THEN '    x < ' || k || ' _y_' || chr(10) || chr(10) WHEN 3 THEN 'x < ' || k || ' _y_' || chr(10) || chr(10) WHEN 4 THEN CASE WHEN q = '' THEN '>' || chr(10) ELSE q || '>' || chr(10) END || chr(10) WHEN 5 THEN t || chr(10) WHEN 6 THEN repeat('─', 40) || chr(10) || chr(10) ELSE c || chr(10) || chr(10) END", "''"),
     "latex": ("'\\item' || CASE f WHEN 'A' THEN '[$\\boxtimes$] ' WHEN 'R' THEN '[$\\square$] ' ELSE ' ' END || x || chr(10) || chr(10)", "x || chr(10) || chr(10)", "''",
-        "CASE k % 8 WHEN 1 THEN '\\' || ['section', 'subsection', 'subsubsection', 'paragraph'][lv] || '{' || c || '}' || CASE WHEN k % 3 = 0 THEN '\\label{h-' || k || '}' ELSE '' END || chr(10) WHEN 2 THEN CASE WHEN k % 5 = 0 THEN '\\begin{lstlisting}[language=py]' ELSE '\\begin{verbatim}' END || chr(10) || 'x < ' || k || ' _y_' || chr(10) || CASE WHEN k % 5 = 0 THEN '\\end{lstlisting}' ELSE '\\end{verbatim}' END || chr(10) WHEN 3 THEN CASE WHEN k % 3 = 0 THEN '\\begin{equation}' || chr(10) || '\\label{h-' || k || '}' || chr(10) || 'x < ' || k || ' _y_' || chr(10) || '\\end{equation}' ELSE '\\[' || chr(10) || 'x < ' || k || ' _y_' || chr(10) || '\\]' END || chr(10) WHEN 4 THEN '\\begin{quote}' || chr(10) || q || '\\end{quote}' || chr(10) WHEN 5 THEN CASE WHEN k % 16 = 5 THEN '\\begin{enumerate}' || chr(10) || CASE WHEN k % 4 != 1 THEN '\\setcounter{enumi}{' || (k % 4 - 1) || '}' || chr(10) ELSE '' END || t || '\\end{enumerate}' ELSE '\\begin{itemize}' || chr(10) || t || '\\end{itemize}' END || chr(10) WHEN 6 THEN '\\hrulefill' || chr(10) ELSE c || chr(10) || chr(10) END", "''"),
+        "CASE k % 8 WHEN 1 THEN '\\' || ['section', 'subsection', 'subsubsection', 'paragraph'][lv] || '{' || c || '}' || CASE WHEN k % 3 = 0 THEN '\\label{h-' || k || '}' ELSE '' END || chr(10) WHEN 2 THEN CASE WHEN k % 5 = 0 THEN '\\begin{lstlisting}[language=py]' ELSE '\\begin{verbatim}' END || chr(10) || 'x < ' || k || ' _y_' || chr(10) || CASE WHEN k % 5 = 0 THEN '\\end{lstlisting}' ELSE '\\end{verbatim}' END || chr(10) WHEN 3 THEN CASE WHEN k % 3 = 0 THEN '\\begin{equation}' || chr(10) || '\\label{h-' || k || '}' || chr(10) || 'x < ' || k || ' _y_' || chr(10) || '\\end{equation}' ELSE '\\[' || chr(10) || 'x < ' || k || ' _y_' || chr(10) || '\\]' END || chr(10) WHEN 4 THEN '\\begin{quote}' || chr(10) || q || '\\end{quote}' || chr(10) WHEN 5 THEN CASE WHEN k % 16 = 5 THEN '\\begin{enumerate}' || chr(10) || CASE WHEN k % 4 != 1 THEN '\\setcounter{enumi}{' || (k % 4 - 1) || '}' || chr(10) ELSE '' END || t || '\\end{enumerate}' ELSE '\\begin{itemize}' || chr(10) || t || '\\end{itemize}' END || chr(10) WHEN 6 THEN chr(10) || '\\noindent\\rule{\\textwidth}{0.4pt}' || chr(10) || chr(10) ELSE c || chr(10) || chr(10) END", "''"),
     "typst": ("CASE WHEN k % 16 = 5 THEN '+ ' ELSE '- ' END || CASE f WHEN 'A' THEN '☑ ' WHEN 'R' THEN '☐ ' ELSE '' END || x || chr(10)", "x || chr(10)", "chr(10)",
         "CASE k % 8 WHEN 1 THEN repeat('=', lv) || ' ' || c || CASE WHEN k % 3 = 0 THEN ' <h_' || k || '>' ELSE '' END || chr(10) WHEN 2 THEN '```' || CASE WHEN k % 5 = 0 THEN 'py' ELSE '' END || chr(10) || 'x < ' || k || ' _y_' || chr(10) || '```' || chr(10) WHEN 3 THEN '$' || chr(10) || 'x < ' || k || ' _y_' || chr(10) || '$' || CASE WHEN k % 3 = 0 THEN ' <h_' || k || '>' ELSE '' END || chr(10) WHEN 4 THEN '#quote(block: true)[' || chr(10) || q || ']' || chr(10) WHEN 5 THEN CASE WHEN k % 16 = 5 AND k % 4 != 1 THEN '#set enum(start: ' || k % 4 || ')' || chr(10) ELSE '' END || t WHEN 6 THEN '#line(length: 100%)' || chr(10) ELSE c || chr(10) END", "chr(10)"),
 }

@@ -11,18 +11,19 @@ from pyspark.sql import functions as F
 
 from leafmill.functions import text as t
 from leafmill.operators.render import html_table, in_order, markdown_table, plaintext_table, section_order
+from leafmill.tables import Tables
 
 FORMATS = ("html", "markdown", "myst", "plain", "latex", "typst")
 #: LaTeX commands of heading levels.
 LATEX_LEVELS = ["section", "subsection", "subsubsection", "paragraph", "subparagraph", "subparagraph"]
 #: What stands around inline content, by format and kind.
 AROUND = {
-    "html": {"emphasis": ("<em>", "</em>"), "strong": ("<strong>", "</strong>"), "strikethrough": ("<del>", "</del>"), "superscript": ("<sup>", "</sup>"), "subscript": ("<sub>", "</sub>"), "underline": ("<u>", "</u>")},
-    "markdown": {"emphasis": ("*", "*"), "strong": ("**", "**"), "strikethrough": ("~~", "~~"), "superscript": ("^", "^"), "subscript": ("~", "~"), "underline": ("<u>", "</u>")},
-    "myst": {"emphasis": ("*", "*"), "strong": ("**", "**"), "strikethrough": ("~~", "~~"), "superscript": ("{sup}`", "`"), "subscript": ("{sub}`", "`"), "underline": ("{u}`", "`")},
+    "html": {"small_caps": ('<span style="font-variant: small-caps">', '</span>'), "emphasis": ("<em>", "</em>"), "strong": ("<strong>", "</strong>"), "strikethrough": ("<del>", "</del>"), "superscript": ("<sup>", "</sup>"), "subscript": ("<sub>", "</sub>"), "underline": ("<u>", "</u>")},
+    "markdown": {"small_caps": ('[', ']{.smallcaps}'), "emphasis": ("*", "*"), "strong": ("**", "**"), "strikethrough": ("~~", "~~"), "superscript": ("^", "^"), "subscript": ("~", "~"), "underline": ("<u>", "</u>")},
+    "myst": {"small_caps": ('[', ']{.smallcaps}'), "emphasis": ("*", "*"), "strong": ("**", "**"), "strikethrough": ("~~", "~~"), "superscript": ("{sup}`", "`"), "subscript": ("{sub}`", "`"), "underline": ("{u}`", "`")},
     "plain": {},
-    "latex": {"emphasis": ("\\emph{", "}"), "strong": ("\\textbf{", "}"), "strikethrough": ("\\sout{", "}"), "superscript": ("\\textsuperscript{", "}"), "subscript": ("\\textsubscript{", "}"), "underline": ("\\underline{", "}")},
-    "typst": {"emphasis": ("_", "_"), "strong": ("*", "*"), "strikethrough": ("#strike[", "]"), "superscript": ("#super[", "]"), "subscript": ("#sub[", "]"), "underline": ("#underline[", "]")},
+    "latex": {"small_caps": ('\\textsc{', '}'), "emphasis": ("\\emph{", "}"), "strong": ("\\textbf{", "}"), "strikethrough": ("\\sout{", "}"), "superscript": ("\\textsuperscript{", "}"), "subscript": ("\\textsubscript{", "}"), "underline": ("\\underline{", "}")},
+    "typst": {"small_caps": ('#smallcaps[', ']'), "emphasis": ("_", "_"), "strong": ("*", "*"), "strikethrough": ("#strike[", "]"), "superscript": ("#super[", "]"), "subscript": ("#sub[", "]"), "underline": ("#underline[", "]")},
 }
 
 
@@ -38,19 +39,35 @@ def choose(cases: list[tuple[Column, Column]], otherwise: Column) -> Column:
     return otherwise if out is None else out.otherwise(otherwise)
 
 
-def link(form: str, url: Column, said: Column) -> Column:
-    same = said == url
+def around_link(form: str, url: Column, title: Column) -> tuple[Column, Column]:
+    """What stands before and after the inlines of a link."""
+    lit = F.lit
     if form == "html":
-        return F.concat(F.lit('<a href="'), t.escape_attr(url), F.lit('">'), said, F.lit("</a>"))
+        return F.concat(lit('<a href="'), t.escape_attr(url), lit('"'), html_title(title), lit(">")), lit("</a>")
+    if form in ("markdown", "myst"):
+        return lit("["), F.concat(lit("]("), url, F.coalesce(F.concat(lit(' "'), title, lit('"')), lit("")), lit(")"))
+    if form == "plain":
+        return lit(""), F.concat(lit(" ("), url, lit(")"))
+    if form == "latex":
+        return F.concat(lit("\\href{"), url, lit("}{")), lit("}")
+    return F.concat(lit('#link("'), t.escape_typst_url(url), lit('")[')), lit("]")
+
+
+def html_title(title: Column) -> Column:
+    return F.coalesce(F.concat(F.lit(' title="'), t.escape_attr(title), F.lit('"')), F.lit(""))
+
+
+def link(form: str, url: Column, title: Column, said: Column, value: Column) -> Column:
+    """A link around one text; where that is the url itself, as formats write it."""
+    first, last = around_link(form, url, title)
+    whole, same = F.concat(first, said, last), value == url
     if form == "markdown":
-        return F.when(same, F.concat(F.lit("<"), url, F.lit(">"))).otherwise(F.concat(F.lit("["), said, F.lit("]("), url, F.lit(")")))
-    if form == "myst":
-        return F.concat(F.lit("["), said, F.lit("]("), url, F.lit(")"))
+        return F.when(same, F.concat(F.lit("<"), url, F.lit(">"))).otherwise(whole)
     if form == "plain":
-        return F.when(same | (said == ""), url).otherwise(F.concat(said, F.lit(" ("), url, F.lit(")")))
+        return F.when(same | (said == ""), url).otherwise(whole)
     if form == "latex":
-        return F.when(same, F.concat(F.lit("\\url{"), url, F.lit("}"))).otherwise(F.concat(F.lit("\\href{"), url, F.lit("}{"), said, F.lit("}")))
-    return F.concat(F.lit('#link("'), t.escape_typst_url(url), F.lit('")['), said, F.lit("]"))
+        return F.when(same, F.concat(F.lit("\\url{"), url, F.lit("}"))).otherwise(whole)
+    return whole
 
 
 def footnote_ref(form: str, ident: Column, note: Column) -> Column:
@@ -63,42 +80,57 @@ def footnote_ref(form: str, ident: Column, note: Column) -> Column:
     return F.concat(F.lit("[^"), ident, F.lit("]"))
 
 
-def render_inline(form: str, x: Column | None = None) -> Column:
-    """The text of an inline (kind, value, url, note): the columns of a row, or the fields of x."""
-    get = F.col if x is None else (lambda n: F.lit(None).cast("string") if n == "note" else x[n])
-    kind, value, url = get("kind"), get("value"), get("url")
+def render_inline(form: str, x: Column | None = None, columns: list[str] | None = None) -> Column:
+    """The text of an inline event (kind, value, url, title, note): the `columns` of a row, or the fields of x.
+
+    What holds other inlines is two events: its first one, without a value, gives what stands before them, its last
+    one (of kind /kind) what stands after.
+    """
+    missing = ["note"] if columns is None else [c for c in ("title", "note") if c not in columns]
+    get = lambda n: F.lit(None).cast("string") if n in missing else F.col(n) if x is None else x[n]
+    kind, value, url, title = get("kind"), get("value"), get("url"), get("title")
     said = escaped(value, form)
     code = {"html": F.concat(F.lit("<code>"), said, F.lit("</code>")), "latex": F.concat(F.lit("\\texttt{"), said, F.lit("}")), "plain": value, "typst": F.concat(F.lit("`"), value, F.lit("`"))}.get(form, t.code_span(value))
     math = {"html": F.concat(F.lit('<span class="math math-inline">'), said, F.lit("</span>")), "plain": value}.get(form, F.concat(F.lit("$"), value, F.lit("$")))
     breaks = {"soft": {"plain": " "}.get(form, "\n"), "hard": {"html": "<br>\n", "plain": "\n", "latex": "\\\\\n", "typst": " \\\n"}.get(form, "  \n")}
-    cases = [(kind == k, F.concat(F.lit(a), said, F.lit(b))) for k, (a, b) in AROUND[form].items()]
-    cases += [(kind == "code", code), (kind == "math", math), (kind == "link", link(form, url, said)), (kind == "footnote_ref", footnote_ref(form, value, get("note")))]
+    cases = [(kind == "text", said)]
+    cases += [(kind == k, F.coalesce(F.concat(F.lit(a), said, F.lit(b)), F.lit(a))) for k, (a, b) in (AROUND[form] | quotes(form)).items()]
+    cases += [(kind == "code", code), (kind == "math", math), (kind == "link", F.coalesce(link(form, url, title, said, value), around_link(form, url, title)[0])), (kind == "footnote_ref", footnote_ref(form, value, get("note")))]
     cases += [(kind == "soft_break", F.lit(breaks["soft"])), (kind == "hard_break", F.lit(breaks["hard"]))]
-    cases += [(kind == k, c) for k, c in references(form, value, url, said).items()]
-    return choose(cases, said)
+    cases += [(kind == k, c) for k, c in references(form, value, url, title, said).items()]
+    ends = [(kind == f"/{k}", F.lit(b)) for k, (_, b) in (AROUND[form] | quotes(form)).items()] + [(kind == "/link", around_link(form, url, title)[1])]
+    return F.when(F.startswith(kind, F.lit("/")), choose(ends, F.lit(""))).otherwise(choose(cases, F.coalesce(said, F.lit(""))))
+
+
+def rendered(form: str, inlines: Column | str) -> Column:
+    """The text of an array of events; null is empty."""
+    return F.coalesce(F.array_join(F.transform(inlines, lambda x: render_inline(form, x)), ""), F.lit(""))
 
 
 #: Quotation marks by format, double and single; others have them as characters.
 QUOTES = {"html": (("&ldquo;", "&rdquo;"), ("&lsquo;", "&rsquo;")), "latex": (("``", "''"), ("`", "'")), "typst": (('"', '"'), ("'", "'"))}
 
 
-def references(form: str, value: Column, url: Column, said: Column) -> dict[str, Column]:
-    """Images (value is the alternative text), citations and cross-references that nothing has resolved, raw pieces (url is their format), quotes."""
-    lit, around = F.lit, lambda a, c, b: F.concat(F.lit(a), c, F.lit(b))
+def quotes(form: str) -> dict[str, tuple[str, str]]:
     double, single = QUOTES.get(form, (("\u201c", "\u201d"), ("\u2018", "\u2019")))
-    quotes = {"quoted": around(double[0], said, double[1]), "single_quoted": around(single[0], said, single[1])}
+    return {"quoted": double, "single_quoted": single}
+
+
+def references(form: str, value: Column, url: Column, title: Column, said: Column) -> dict[str, Column]:
+    """Images (value is the alternative text), citations and cross-references that nothing has resolved, raw pieces (url is their format)."""
+    lit, around = F.lit, lambda a, c, b: F.concat(F.lit(a), c, F.lit(b))
     own = lambda f: F.when(url == f, value).otherwise("")
     if form == "html":
-        return quotes | {"image": F.concat(lit('<img src="'), t.escape_attr(url), lit('" alt="'), t.escape_attr(value), lit('">')), "citation": around("<cite>", value, "</cite>"), "crossref": F.concat(lit('<a href="#'), t.escape_attr(value), lit('" class="crossref">['), said, lit("]</a>")), "raw": own("html")}
+        return {"image": F.concat(lit('<img src="'), t.escape_attr(url), lit('" alt="'), t.escape_attr(value), lit('"'), html_title(title), lit(">")), "citation": around("<cite>", value, "</cite>"), "crossref": F.concat(lit('<a href="#'), t.escape_attr(value), lit('" class="crossref">['), said, lit("]</a>")), "raw": own("html")}
     if form == "latex":
-        return quotes | {"image": around("\\includegraphics{", url, "}"), "citation": around("\\cite{", value, "}"), "crossref": around("\\ref{", value, "}"), "raw": own("latex")}
+        return {"image": around("\\includegraphics{", url, "}"), "citation": around("\\cite{", value, "}"), "crossref": around("\\ref{", value, "}"), "raw": own("latex")}
     if form == "typst":
-        return quotes | {"image": around('#image("', url, '")'), "citation": around("@", value, ""), "crossref": around("@", value, ""), "raw": own("typst")}
+        return {"image": around('#image("', url, '")'), "citation": around("@", value, ""), "crossref": around("@", value, ""), "raw": own("typst")}
     if form == "plain":
-        return quotes | {"image": around("[Image: ", value, "]"), "citation": around("[cite: ", value, "]"), "crossref": around("[ref: ", value, "]"), "raw": F.when(url.isin("plain", "text"), value).otherwise("")}
+        return {"image": around("[Image: ", value, "]"), "citation": around("[cite: ", value, "]"), "crossref": around("[ref: ", value, "]"), "raw": F.when(url.isin("plain", "text"), value).otherwise("")}
     cite, ref = ("{cite:p}`", "{ref}`") if form == "myst" else (None, None)
     raw = F.when(url == "html", value).otherwise(F.concat(lit("`"), value, lit("`{="), url, lit("}")))
-    return quotes | {"image": F.concat(lit("!["), value, lit("]("), url, lit(")")), "citation": around(cite, value, "`") if cite else around("[@", value, "]"), "crossref": around(ref, value, "`") if ref else F.concat(lit("["), value, lit("](#"), value, lit(")")), "raw": raw}
+    return {"image": F.concat(lit("!["), value, lit("]("), url, F.coalesce(F.concat(lit(' "'), title, lit('"')), lit("")), lit(")")), "citation": around(cite, value, "`") if cite else around("[@", value, "]"), "crossref": around(ref, value, "`") if ref else F.concat(lit("["), value, lit("](#"), value, lit(")")), "raw": raw}
 
 
 def strip(c: Column) -> Column:
@@ -196,8 +228,8 @@ def render_block(form: str) -> Column:
             (kind == "code", F.when(language != "", listing).otherwise(F.concat(lit("\\begin{verbatim}\n"), ended, lit("\\end{verbatim}\n")))),
             (kind == "math", F.when(has, F.concat(lit("\\begin{equation}\n"), label, lit("\n"), strip(text), lit("\n\\end{equation}\n"))).otherwise(F.concat(lit("\\[\n"), strip(text), lit("\n\\]\n")))),
             (kind == "blockquote", F.concat(lit("\\begin{quote}\n"), content, lit("\\end{quote}\n"))),
-            (kind == "list", F.concat(lit("\\begin{"), env, lit("}\n"), counter, content, lit("\\end{"), env, lit("}\n"))),
-            (kind == "item", F.concat(lit("\\item"), tick, content)), (kind == "rule", lit("\\hrulefill\n")), (kind == "div", content),
+            (kind == "list", F.concat(lit("\\begin{"), env, lit("}\n"), F.when(F.col("tight"), "\\tightlist\n").otherwise(""), counter, content, lit("\\end{"), env, lit("}\n"))),
+            (kind == "item", F.concat(lit("\\item"), tick, content)), (kind == "rule", lit("\n\\noindent\\rule{\\textwidth}{0.4pt}\n\n")), (kind == "div", content),
             (kind == "footnote", F.concat(lit("\\footnotetext["), ident, lit("]{"), strip(content), lit("}\n"))),
             (kind == "figure", F.concat(lit("\\begin{figure}\n\\centering\n\\includegraphics{"), F.coalesce("url", lit("")), lit("}\n"), F.when(content != "", F.concat(lit("\\caption{"), content, lit("}\n"))).otherwise(""), F.when(has, F.concat(label, lit("\n"))).otherwise(""), lit("\\end{figure}\n"))),
             (kind == "admonition", F.concat(lit("\\begin{quote}\n"), F.coalesce(F.concat(lit("\\textbf{"), t.escape_latex(F.col("title")), lit("}\n\n")), lit("")), content, lit("\\end{quote}\n"))),
@@ -223,7 +255,7 @@ PLAIN_TEXT = {"alt": (["link", "footnote_ref"], " ", " "), "toc": (["footnote_re
 def inline_text(inlines: DataFrame, use: str) -> DataFrame:
     """(doc_id, pos, text): the plain text of each block's inlines for alternative texts, contents, slugs or YAML."""
     dropped, soft, hard = PLAIN_TEXT[use]
-    said = F.when(F.col("kind") == "soft_break", soft).when(F.col("kind") == "hard_break", hard).when(F.col("kind").isin(*dropped), "").otherwise(F.col("value"))
+    said = F.when(F.col("kind") == "soft_break", soft).when(F.col("kind") == "hard_break", hard).when(F.col("kind").isin(*dropped), "").otherwise(F.coalesce("value", F.lit("")))
     return inlines.groupBy("doc_id", "pos").agg(in_order("ipos", piece=said).alias("text"))
 
 
@@ -244,6 +276,8 @@ def separator(form: str) -> Column:
 def tables_of(cells: DataFrame, form: str) -> DataFrame:
     """(doc_id, pos, content): each table of cells (doc_id, pos, section, row, col, text, ...) in its format."""
     keyed = cells.withColumn("doc_id", F.struct("doc_id", "pos")).drop("pos")
+    inner = rendered(form, "inlines") if "inlines" in cells.columns else escaped(F.col("text"), form)
+    keyed = keyed.withColumn("said", F.coalesce(inner, F.lit(""))).drop("inlines")
     if form == "html":
         made = html_table(keyed).withColumnRenamed("html", "content")
     elif form in ("markdown", "myst"):
@@ -253,34 +287,64 @@ def tables_of(cells: DataFrame, form: str) -> DataFrame:
     else:
         order = F.struct(section_order(F.col("section")).alias("s"), "row")
         columns = F.max("col") + 1
-        said = escaped(F.col("text"), form)
         if form == "latex":
-            rows = keyed.groupBy("doc_id", order.alias("o")).agg(F.concat(in_order("col", piece=said, sep=" & "), F.lit(" \\\\\n")).alias("r"), columns.alias("n"))
-            made = rows.groupBy("doc_id").agg(F.concat(F.lit("\\begin{tabular}{"), F.repeat(F.lit("l"), F.max("n")), F.lit("}\n"), in_order("o", piece=F.col("r")), F.lit("\\end{tabular}\n")).alias("content"))
+            bold = F.when(F.col("section") == "thead", F.concat(F.lit("\\textbf{"), "said", F.lit("}"))).otherwise(F.col("said"))
+            rows = keyed.groupBy("doc_id", order.alias("o")).agg(F.concat(in_order("col", piece=bold, sep=" & "), F.lit(" \\\\\n")).alias("r"))
+            ruled = F.when(F.col("o.s") == 0, F.concat("r", F.lit("\\midrule\n"))).when(F.col("o.s") == 2, F.concat(F.lit("\\midrule\n"), "r")).otherwise(F.col("r"))
+            spec = keyed.groupBy("doc_id", "col").agg(F.coalesce(F.substring(F.max("align"), 1, 1), F.lit("l")).alias("a")).groupBy("doc_id").agg(in_order("col", piece=F.col("a")).alias("spec"))
+            inside = rows.groupBy("doc_id").agg(in_order("o", piece=ruled).alias("rows")).join(spec, "doc_id")
+            made = inside.withColumn("content", F.concat(F.lit("\\begin{longtable}[]{@{}"), "spec", F.lit("@{}}\n\\toprule\n"), "rows", F.lit("\\bottomrule\n\\end{longtable}\n")))
         else:
-            made = keyed.withColumn("o", order).groupBy("doc_id").agg(F.concat(F.lit("#table(columns: "), columns, F.lit(", "), in_order("o", "col", piece=F.concat(F.lit("["), said, F.lit("]")), sep=", "), F.lit(")\n")).alias("content"))
+            cell = F.concat(F.when(F.col("o.s") == 1, "  [").otherwise("    ["), "said", F.lit("],\n"))
+            parts = keyed.withColumn("o", order).groupBy("doc_id").agg(columns.alias("n"), *[F.coalesce(in_order("o", "col", piece=F.when(F.col("o.s") == i, cell)), F.lit("")).alias(f"p{i}") for i in range(3)])
+            sides = keyed.groupBy("doc_id", "col").agg(F.coalesce(F.max("align"), F.lit("left")).alias("a")).groupBy("doc_id").agg(F.when(F.bool_or(F.col("a") != "left"), F.concat(F.lit("  align: ("), in_order("col", piece=F.col("a"), sep=", "), F.lit("),\n"))).otherwise("").alias("align"))
+            held = lambda name, c: F.when(F.col(c) != "", F.concat(F.lit(f"  table.{name}(\n"), c, F.lit("  ),\n"))).otherwise("")
+            made = parts.join(sides, "doc_id").withColumn("content", F.concat(F.lit("#table(\n  columns: "), "n", F.lit(",\n"), "align", held("header", "p0"), "p1", held("footer", "p2"), F.lit(")\n")))
     return made.select("doc_id.doc_id", "doc_id.pos", "content")
 
 
+def captioned(form: str, table: Column, caption: Column, ident: Column) -> Column:
+    """A table with its caption (rendered, empty if there is none) and label."""
+    lit, has, said = F.lit, ident.isNotNull(), caption != ""
+    if form == "html":
+        opened = F.concat(lit("<table"), F.when(has, F.concat(lit(' id="'), t.escape_attr(ident), lit('"'))).otherwise(""), lit(">\n"), F.when(said, F.concat(lit("<caption>"), caption, lit("</caption>\n"))).otherwise(""))
+        return F.concat(opened, F.expr("substr(made, 9)"))
+    if form in ("markdown", "myst"):
+        return F.concat(F.when(said, F.concat(lit("Table: "), caption, lit("\n\n"))).otherwise(""), table)
+    if form == "latex":
+        label = F.when(has, F.concat(lit("\\label{"), t.escape_label(ident), lit("}"))).otherwise("")
+        line = F.concat(F.when(said, F.concat(lit("\\caption{"), caption, lit("}"))).otherwise(""), label, lit("\\\\\n"))
+        first = F.instr(table, "\n")
+        return F.when(has | said, F.concat(F.substring(table, lit(1), first), line, F.substring(table, first + 1, F.length(table)))).otherwise(table)
+    if form == "typst":
+        label = F.when(has, F.concat(lit(" <"), ident, lit(">"))).otherwise("")
+        inside = F.concat(lit("#figure(\n"), F.when(said, F.concat(lit("  caption: ["), caption, lit("],\n"))).otherwise(""), F.regexp_replace(table, "\n\\z", ""), lit(")"), label, lit("\n"))
+        return F.when(has | said, inside).otherwise(table)
+    return table
+
+
 def render_documents(blocks: DataFrame, inlines: DataFrame | None, form: str) -> DataFrame:
     """(doc_id, text) of blocks (doc_id, pos, parent, depth, ...) and inlines (doc_id, pos, ipos, kind, value, url, note).
 
     Without `inlines`, blocks have them as arrays in their column inlines; tables have their cells in a column cells, if
-    there is one. The depth of the most nested block is taken from the blocks. parent is the pos of the container,
+    there is one. parent is the pos of the container,
     index the place of an item in its list.
     """
-    for name, kind in (("url", "string"), ("title", "string"), ("classes", "array<string>")):
+    for name, kind in (("url", "string"), ("title", "string"), ("classes", "array<string>"), ("tight", "boolean")):
         if name not in blocks.columns:
             blocks = blocks.withColumn(name, F.lit(None).cast(kind))
-    level, depth = None, blocks.agg(F.max("depth")).first()[0] or 0
     if inlines is None:
-        rows = blocks.withColumn("content", F.coalesce(F.array_join(F.transform("inlines", lambda x: render_inline(form, x)), ""), F.lit("")))
+        rows = blocks.withColumn("content", rendered(form, "inlines"))
     else:
-        content = inlines.groupBy("doc_id", "pos").agg(in_order("ipos", piece=render_inline(form)).alias("content"))
+        content = inlines.groupBy("doc_id", "pos").agg(in_order("ipos", piece=render_inline(form, columns=inlines.columns)).alias("content"))
         rows = blocks.join(content, ["doc_id", "pos"], "left").withColumn("content", F.coalesce("content", F.lit("")))
     if "cells" in blocks.columns:
         cells = blocks.where("kind = 'table'").select("doc_id", "pos", F.inline("cells"))
-        rows = rows.join(tables_of(cells, form).withColumnRenamed("content", "made"), ["doc_id", "pos"], "left").withColumn("content", F.coalesce("made", "content")).drop("made")
+        rows = rows.join(tables_of(cells, form).withColumnRenamed("content", "made"), ["doc_id", "pos"], "left").withColumn("content", F.when(F.col("made").isNotNull(), captioned(form, F.col("made"), F.col("content"), F.col("ident"))).otherwise(F.col("content"))).drop("made")
+    # written once, in a folder for each depth: each step reads its own blocks only
+    fields = ["doc_id", "pos", "parent", "depth", "kind", "level", "ident", "language", "text", "ordered", "start", "index", "checked", "url", "title", "classes", "tight", "content"]
+    rows = Tables(blocks).stored(rows.select(*fields), "depth")
+    level, depth = None, rows.agg(F.max("depth")).first()[0] or 0
     for d in range(depth, -1, -1):
         here = rows.where(F.col("depth") == d)
         if level is not None:

@@ -31,24 +31,31 @@ def table_shape(cells: DataFrame) -> DataFrame:
 
 
 def html_table(cells: DataFrame) -> DataFrame:
-    """Cells as HTML: rows from cells, sections from rows, the table from sections."""
+    """Cells as HTML: rows from cells, sections from rows, the table from sections.
+
+    A cell holds a paragraph, unless it is empty: of `said`, if there is such a column (rendered already), else of its text.
+    """
+    said_in = F.col("said") if "said" in cells.columns else escape_html(F.col("text"))
+    content = F.when(said_in == "", "").otherwise(F.concat(F.lit("<p>"), said_in, F.lit("</p>\n")))
     tag = F.when(F.col("section") == "thead", "th").otherwise("td")
     said = [F.when(F.col(n) != 1, F.concat(F.lit(f' {n}="'), F.col(n), F.lit('"'))).otherwise("") for n in ("colspan", "rowspan")]
     style = F.when(F.col("align").isNotNull(), F.concat(F.lit(' style="text-align: '), F.col("align"), F.lit('"'))).otherwise("")
-    cell = F.concat(F.lit("<"), tag, *said, style, F.lit(">"), escape_html(F.col("text")), F.lit("</"), tag, F.lit(">\n"))
+    cell = F.concat(F.lit("<"), tag, *said, style, F.lit(">"), content, F.lit("</"), tag, F.lit(">"))
     rows = cells.groupBy("doc_id", "section", "row").agg(in_order("col", piece=cell).alias("r"))
-    sections = rows.groupBy("doc_id", "section").agg(in_order("row", piece=F.concat(F.lit("<tr>\n"), "r", F.lit("</tr>\n"))).alias("s"))
+    sections = rows.groupBy("doc_id", "section").agg(in_order("row", piece=F.concat(F.lit("<tr>"), "r", F.lit("</tr>\n"))).alias("s"))
     sections = sections.select("doc_id", section_order(F.col("section")).alias("order"), F.concat(F.lit("<"), "section", F.lit(">\n"), "s", F.lit("</"), "section", F.lit(">\n")).alias("s"))
     return sections.groupBy("doc_id").agg(F.concat(F.lit("<table>\n"), in_order("order", piece=F.col("s")), F.lit("</table>\n")).alias("html"))
 
 
 def markdown_table(cells: DataFrame) -> DataFrame:
-    """Cells as a pipe table: head, a row of alignments, body, and the foot as a row."""
+    """Cells as a pipe table: head (empty ones if there is none), a row of alignments, body, and the foot as a row."""
     order = section_order(F.col("section"))
-    rows = cells.groupBy("doc_id", order.alias("order"), "row").agg(F.concat(F.lit("| "), in_order("col", piece=F.replace("text", F.lit("|"), F.lit("\\|")), sep=" | "), F.lit(" |\n")).alias("r"))
+    text = F.replace(F.col("said") if "said" in cells.columns else F.col("text"), F.lit("|"), F.lit("\\|"))
+    rows = cells.groupBy("doc_id", order.alias("order"), "row").agg(F.concat(F.lit("| "), in_order("col", piece=text, sep=" | "), F.lit(" |\n")).alias("r"))
     mark = F.when(F.col("a") == "right", "---:").when(F.col("a") == "center", ":---:").when(F.col("a") == "left", ":---").otherwise("---")
-    columns = cells.groupBy("doc_id", "col").agg(F.max("align").alias("a"))
-    rules = columns.groupBy("doc_id").agg(F.concat(F.lit("| "), in_order("col", piece=mark, sep=" | "), F.lit(" |\n")).alias("r"))
+    columns = cells.groupBy("doc_id", "col").agg(F.max("align").alias("a"), F.bool_or(F.col("section") == "thead").alias("headed"))
+    empty = F.concat(F.lit("|"), F.repeat(F.lit("  |"), F.count("*").cast("int")), F.lit("\n"))
+    rules = columns.groupBy("doc_id").agg(F.concat(F.when(F.bool_or("headed"), "").otherwise(empty), F.lit("| "), in_order("col", piece=mark, sep=" | "), F.lit(" |\n")).alias("r"))
     ruled = rules.select("doc_id", F.lit(0).alias("order"), F.lit(1 << 30).alias("row"), "r")
     return rows.unionByName(ruled).groupBy("doc_id").agg(in_order("order", "row", piece=F.col("r")).alias("markdown"))
 
@@ -56,6 +63,7 @@ def markdown_table(cells: DataFrame) -> DataFrame:
 def plaintext_table(cells: DataFrame) -> DataFrame:
     """Cells as a grid of characters; columns are as wide as their longest text in bytes, three at least."""
     pad = lambda n: F.repeat(F.lit(" "), n)
+    cells = cells.withColumn("text", F.col("said")) if "said" in cells.columns else cells
     widths = cells.groupBy("doc_id", "col").agg(F.greatest(F.max(F.octet_length("text")), F.lit(3)).alias("w"))
     rows = cells.select("doc_id", "section", "row").distinct().join(widths, "doc_id").join(cells, ["doc_id", "section", "row", "col"], "left")
     text = F.coalesce("text", F.lit(""))

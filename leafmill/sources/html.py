@@ -21,11 +21,12 @@ SECTIONS = {"div", "section", "article", "main", "aside", "nav", "header", "foot
 HEADINGS = {f"h{i}": i for i in range(1, 7)}
 LEAVES = {"p", "pre", "dt", *HEADINGS}
 VOID = {"br", "hr", "img", "meta", "link", "input", "area", "base", "col", "embed", "source", "track", "wbr"}
-INLINE = {"em": "emphasis", "i": "emphasis", "strong": "strong", "b": "strong", "code": "code", "a": "link", "sub": "subscript", "sup": "superscript", "s": "strikethrough", "del": "strikethrough", "strike": "strikethrough", "u": "underline", "ins": "underline", "span": "span"}
+INLINE = {"em": "emphasis", "i": "emphasis", "strong": "strong", "b": "strong", "code": "code", "a": "link", "sub": "subscript", "sup": "superscript", "q": "quoted", "s": "strikethrough", "del": "strikethrough", "strike": "strikethrough", "u": "underline", "ins": "underline", "span": "span"}
 #: A tag whose start ends an open paragraph.
 CLOSES_P = {*SECTIONS, *HEADINGS, "p", "ul", "ol", "dl", "pre", "blockquote", "table", "figure", "hr", "form"}
-CELL = "struct<section:string,row:int,col:int,text:string,colspan:int,rowspan:int,align:string>"
-BLOCK = f"array<struct<pos:int,parent:int,depth:int,ancestors:array<string>,kind:string,level:int,ident:string,text:string,language:string,url:string,ordered:boolean,start:int,index:int,checked:boolean,classes:array<string>,children:int,inlines:array<struct<kind:string,value:string,url:string>>,cells:array<{CELL}>>>"
+INLINES = "array<struct<kind:string,value:string,url:string,title:string>>"
+CELL = f"struct<section:string,row:int,col:int,text:string,colspan:int,rowspan:int,align:string,inlines:{INLINES}>"
+BLOCK = f"array<struct<pos:int,parent:int,depth:int,ancestors:array<string>,kind:string,level:int,ident:string,text:string,language:string,url:string,ordered:boolean,start:int,index:int,checked:boolean,classes:array<string>,children:int,inlines:{INLINES},cells:array<{CELL}>>>"
 
 ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")]
 
@@ -71,7 +72,7 @@ class _Blocks(HTMLParser):
         self.out: list[dict] = []
         self.open: list[tuple[str, int | None]] = []  # element and its block
         self.leaf: int | None = None
-        self.inline: list[tuple[str, str | None]] = []  # formatting that is open goes on in later blocks until it is closed
+        self.inline: list[tuple[str, str | None, str | None]] = []  # formatting that is open, with url and title, goes on in later blocks until it is closed
         self.dropped = 0
         self.tables: list[dict] = []
 
@@ -89,7 +90,8 @@ class _Blocks(HTMLParser):
     def end_leaf(self):
         if self.leaf is not None:
             b = self.out[self.leaf]
-            text = "".join(x["value"] for x in b["inlines"])
+            self.style(b, [])
+            text = said(b["inlines"])
             if b["kind"] != "figure":
                 b["text"] = text if b["kind"] == "code" else " ".join(text.split())
             if b["kind"] == "paragraph" and not b["text"] and not any(x["kind"] == "image" for x in b["inlines"]):
@@ -127,12 +129,12 @@ class _Blocks(HTMLParser):
             self.leaf = self.open[-1][1]
             return
         if tag == "img":
-            return self.put("image", a.get("alt") or "", a.get("src"))
+            return self.put("image", a.get("alt") or "", a.get("src"), a.get("title"))
         if tag == "code" and self.leaf is not None and self.out[self.leaf]["kind"] == "code":
             self.out[self.leaf]["classes"] = self.out[self.leaf]["classes"] + (a.get("class") or "").split()
             return
         if tag in INLINE:
-            self.inline.append((tag, a.get("href")))
+            self.inline.append((tag, a.get("href"), a.get("title")))
             return
         if tag in CLOSES_P:
             self.end_leaf()
@@ -164,8 +166,12 @@ class _Blocks(HTMLParser):
             self.handle_endtag(tag)
 
     def in_table(self, tag, a):
-        """Rows, cells and the caption of the innermost open table; other elements only give their text."""
+        """Rows, cells and the caption of the innermost open table; of other elements in a cell inline ones count."""
         t = self.tables[-1]
+        if tag in INLINE:
+            self.inline.append((tag, a.get("href"), a.get("title")))
+        elif t["cell"] is not None and tag in ("br", "img"):
+            self.say(t["cell"], "break" if tag == "br" else "image", "\n" if tag == "br" else a.get("alt") or "", a.get("src"), a.get("title"))
         if tag in ("thead", "tbody", "tfoot"):
             t.update(section=tag, cell=None)
         elif tag == "tr":
@@ -176,19 +182,20 @@ class _Blocks(HTMLParser):
             cells = self.out[t["block"]]["cells"]
             row = t["rows"].setdefault(t["section"], 0)
             align = [x for x in ("left", "center", "right") if f"text-align:{x}" in (a.get("style") or "").replace(" ", "")]
-            t["cell"] = {"section": t["section"], "row": row, "col": sum(c["section"] == t["section"] and c["row"] == row for c in cells), "text": "", "colspan": number("colspan"), "rowspan": number("rowspan"), "align": align[0] if align else None}
+            t["cell"] = {"section": t["section"], "row": row, "col": sum(c["section"] == t["section"] and c["row"] == row for c in cells), "text": "", "colspan": number("colspan"), "rowspan": number("rowspan"), "align": align[0] if align else None, "inlines": []}
             cells.append(t["cell"])
         elif tag == "caption":
             t["cell"] = self.out[t["block"]]
-            t["cell"]["text"] = ""
-        elif t["cell"] is not None and tag in ("br", "p", "div", "li"):
-            t["cell"]["text"] += " "
+        elif t["cell"] is not None and tag in ("p", "div", "li"):
+            self.say(t["cell"], "text", " ")
 
     def end_table(self):
         b = self.out[self.tables.pop()["block"]]
-        for c in b["cells"]:
-            c["text"] = " ".join(c["text"].split())
-        b["text"] = " ".join((b["text"] or "").split()) or None
+        for c in (b, *b["cells"]):
+            self.style(c, [])
+            c["text"] = " ".join(said(c["inlines"]).split())
+            c["inlines"] = even(c["inlines"])
+        b["text"] = b["text"] or None
         b["cells"] = [c for c in b["cells"] if c["section"] == "tbody" or c["row"] == 0]
 
     def handle_endtag(self, tag):
@@ -199,35 +206,74 @@ class _Blocks(HTMLParser):
                 self.end_table()
             elif tag in ("td", "th", "caption"):
                 self.tables[-1]["cell"] = None
+            elif tag in INLINE:
+                self.end_inline(tag)
             elif tag in ("thead", "tbody", "tfoot"):
                 self.tables[-1].update(section="tbody", cell=None)
         elif tag == "figcaption":
             self.end_leaf()
         elif tag in INLINE:
-            for k in range(len(self.inline) - 1, -1, -1):
-                if self.inline[k][0] == tag:
-                    del self.inline[k]
-                    break
+            self.end_inline(tag)
         elif tag in LEAVES:
             self.end_leaf()
         else:
             self.close({tag})
 
+    def end_inline(self, tag):
+        for k in range(len(self.inline) - 1, -1, -1):
+            if self.inline[k][0] == tag:
+                del self.inline[k]
+                return
+
     def handle_data(self, data):
         if self.tables and not self.dropped:
             if self.tables[-1]["cell"] is not None:
-                self.tables[-1]["cell"]["text"] += data
+                self.say(self.tables[-1]["cell"], "text", data)
         elif not self.dropped and (data.strip() or self.leaf is not None):
             self.put("text", data)
 
-    def put(self, kind, value, url=None):
+    def put(self, kind, value, url=None, title=None):
         if self.leaf is None:
             self.leaf = self.block("paragraph")
-        styles = [INLINE[t] for t, _ in self.inline]
-        link = next((href for t, href in reversed(self.inline) if t == "a"), None)
-        inlines = self.out[self.leaf]["inlines"]
-        kind = styles[-1] if kind == "text" and styles else kind
-        inlines.append({"kind": kind, "value": value, "url": url or link})
+        self.say(self.out[self.leaf], kind, value, url, title)
+
+    def say(self, block, kind, value, url=None, title=None):
+        """A leaf inside the formatting that is open now; code is a leaf of its own."""
+        if kind == "text" and block.get("kind") != "code" and any(INLINE[t] == "code" for t, _, _ in self.inline):
+            kind = "code"
+        if block.get("kind") != "code":
+            open_ = [(INLINE[t], url, title) for t, url, title in self.inline if INLINE[t] not in ("code", "span")]
+            self.style(block, list(dict.fromkeys(open_)))  # bold in bold is bold
+        block["inlines"].append({"kind": kind, "value": value, "url": url, "title": title})
+
+    def style(self, block, wanted):
+        """Ends the inlines of a block that are open but not wanted, with those inside them, and begins those that are missing."""
+        now, common = block.setdefault("styles", []), 0
+        while common < min(len(now), len(wanted)) and now[common] == wanted[common]:
+            common += 1
+        block["inlines"] += [{"kind": f"/{k}", "value": None, "url": u, "title": t} for k, u, t in reversed(now[common:])]
+        block["inlines"] += [{"kind": k, "value": None, "url": u, "title": t} for k, u, t in wanted[common:]]
+        block["styles"] = list(wanted)
+
+
+def said(inlines: list[dict]) -> str:
+    return "".join(x["value"] or "" for x in inlines)
+
+
+def folded(inlines: list[dict]) -> list[dict]:
+    """Events with neighbouring texts as one and what holds nothing but a text as a leaf; what holds nothing goes."""
+    out: list[dict] = []
+    for x in inlines:
+        if x["kind"] == "text" and out and out[-1]["kind"] == "text":
+            out[-1] = out[-1] | {"value": out[-1]["value"] + x["value"]}
+        elif x["kind"].startswith("/") and out and out[-1]["value"] is None and out[-1]["kind"] == x["kind"][1:]:
+            out.pop()
+        elif x["kind"].startswith("/") and len(out) > 1 and out[-1]["kind"] == "text" and out[-2]["value"] is None and out[-2]["kind"] == x["kind"][1:]:
+            value = out.pop()["value"]
+            out[-1] = out[-1] | {"value": value}
+        else:
+            out.append(x)
+    return out
 
 
 def parse_page(html: str | None) -> list[dict]:
@@ -238,9 +284,23 @@ def parse_page(html: str | None) -> list[dict]:
     while p.tables:
         p.end_table()
     p.end_leaf()
+    for b in p.out:
+        b.pop("styles", None)
+        for c in b["cells"]:
+            c.pop("styles", None)
+        b["inlines"] = folded(b["inlines"])
     return [b for b in p.out if b["kind"] != "empty"]
 
 
+def parsed_or_error(html: str | None) -> list[dict]:
+    """The blocks of a page; one of kind error with the message if it cannot be read, so that others go on."""
+    try:
+        return parse_page(html)
+    except Exception as e:  # whatever a parser raises on a page is that page's result
+        none = dict.fromkeys(("parent", "level", "ident", "language", "url", "ordered", "start", "index", "checked"))
+        return [none | {"pos": 0, "depth": 0, "ancestors": [], "kind": "error", "text": f"{type(e).__name__}: {e}", "classes": [], "children": 0, "inlines": [], "cells": []}]
+
+
 def document_of(found: list[dict]) -> list[dict]:
     """Blocks as a document has them: no sections of one child or none, inlines with single spaces, the language of code."""
     kept: dict[int, dict] = {}
@@ -267,18 +327,20 @@ def document_of(found: list[dict]) -> list[dict]:
 def even(inlines: list[dict]) -> list[dict]:
     """Inlines of a block with runs of white space as one space, none at the ends, and neighbours of one kind as one."""
     out: list[dict] = []
-    for x in inlines:
-        x = x | ({"kind": "hard_break"} if x["kind"] == "break" else {} if x["kind"] == "image" else {"value": re.sub(r"\s+", " ", x["value"])})
-        if out and out[-1]["kind"] == x["kind"] not in ("hard_break", "image") and out[-1]["url"] == x["url"]:
+    for x in folded(inlines):
+        x = x | ({"kind": "hard_break"} if x["kind"] == "break" else {} if x["kind"] == "image" or x["value"] is None else {"value": re.sub(r"\s+", " ", x["value"])})
+        if out and x["value"] is not None and out[-1]["value"] is not None and out[-1]["kind"] == x["kind"] not in ("hard_break", "image") and out[-1]["url"] == x["url"]:
             out[-1]["value"] = re.sub(" +", " ", out[-1]["value"] + x["value"])
         else:
             out.append(x)
-    for at, strip in ((0, str.lstrip), (-1, str.rstrip)):
-        while out and out[at]["kind"] not in ("image", "code", "link") and not strip(out[at]["value"]):
+    for step, strip in ((1, str.lstrip), (-1, str.rstrip)):
+        while (at := next((i for i in range(len(out))[::step] if out[i]["value"] is not None), None)) is not None:
+            x = out[at]
+            if x["kind"] in ("image", "code", "link") or strip(x["value"]):
+                x["value"] = x["value"] if x["kind"] in ("image", "hard_break") else strip(x["value"])
+                break
             out.pop(at)
-        if out and out[at]["kind"] not in ("image", "hard_break"):
-            out[at] = out[at] | {"value": strip(out[at]["value"])}
-    return out
+    return folded(out)
 
 
 def page_arrays(pages: DataFrame, key: str = "page_id", document: bool = False) -> DataFrame:
@@ -290,7 +352,7 @@ def page_arrays(pages: DataFrame, key: str = "page_id", document: bool = False)
 
         target = None
         for batch in batches:
-            rows = [document_of(b) if document else b for b in map(parse_page, batch.column(1).to_pylist())]
+            rows = [document_of(b) if document else b for b in map(parsed_or_error, batch.column(1).to_pylist())]
             target = target or _arrow_blocks()
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, type=target)], names=[key, "blocks"])
 
@@ -314,18 +376,13 @@ def page_documents(pages: DataFrame, key: str = "page_id") -> DataFrame:
 def _arrow_blocks():
     import pyarrow as pa
 
-    inline = pa.struct([("kind", pa.string()), ("value", pa.string()), ("url", pa.string())])
+    inline = pa.struct([(n, pa.string()) for n in ("kind", "value", "url", "title")])
     number, text, flag = pa.int32(), pa.string(), pa.bool_()
-    cell = pa.struct([("section", text), ("row", number), ("col", number), ("text", text), ("colspan", number), ("rowspan", number), ("align", text)])
+    cell = pa.struct([("section", text), ("row", number), ("col", number), ("text", text), ("colspan", number), ("rowspan", number), ("align", text), ("inlines", pa.list_(inline))])
     fields = {"pos": number, "parent": number, "depth": number, "ancestors": pa.list_(text), "kind": text, "level": number, "ident": text, "text": text, "language": text, "url": text, "ordered": flag, "start": number, "index": number, "checked": flag, "classes": pa.list_(text), "children": number, "inlines": pa.list_(inline), "cells": pa.list_(cell)}
     return pa.list_(pa.struct(list(fields.items())))
 
 
-def unwrap_divs(blocks: DataFrame) -> DataFrame:
-    """Blocks without divs that hold nothing or just one block."""
-    return blocks.where(~((F.col("kind") == "div") & (F.col("children") <= 1)))
-
-
 def page_inlines(blocks: DataFrame, key: str = "page_id") -> DataFrame:
     return blocks.select(key, "pos", F.posexplode("inlines").alias("ipos", "i")).select(key, "pos", "ipos", "i.*")
 

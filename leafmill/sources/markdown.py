@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from leafmill.sources.notes import NOTES
+
 
 def pipe_table_cells(tables: DataFrame, key: str = "doc_id") -> DataFrame:
     """Cells (key, row, col, text, align) of one pipe table for each row (key, text); row 0 is the head.
@@ -24,7 +26,7 @@ def pipe_table_cells(tables: DataFrame, key: str = "doc_id") -> DataFrame:
 
 #: What a line outside of code is, by its beginning; the first that fits.
 LINE_KINDS = [
-    ("blank", r"^\s*$"), ("heading", r"^#{1,6}(\s|$)"), ("rule", r"^ {0,3}([-*_])(\s*\1){2,}\s*$"), ("blockquote", r"^ {0,3}>"), ("footnote", r"^\[\^[^\]]+\]:"),
+    ("blank", r"^\s*$"), ("heading", r"^#{1,6}(\s|$)"), ("rule", r"^ {0,3}([-*_])(\s*\1){2,}\s*$"), ("blockquote", r"^ {0,3}>"), ("footnote", r"^\[\^[^\]]+\]:"), ("link_definition", r"^ {0,3}\[(?!\^)[^\[\]]+\]:\s*\S+"),
     ("list", r"^ {0,3}([-*+]|[0-9]{1,9}[.)])\s"), ("table", r"^ {0,3}\|"), ("math", r"^\$\$"), ("indented", r"^(    |\t)"),
 ]
 
@@ -73,6 +75,9 @@ def markdown_blocks(docs: DataFrame, key: str = "doc_id", whole_lists: bool = Fa
     goes_on = F.col("kind").isin("list", "blank") | F.col("line").rlike(r"^(\s{2,}|\t|\s*$)") | ((F.col("kind") == "paragraph") & (F.col("last") != "blank"))
     latest = lambda c: F.coalesce(F.max(F.when(c, F.col("n"))).over(upto), F.lit(-1))
     k = k.withColumn("listed", (latest(F.col("kind") == "list") > latest(~goes_on)) & (F.col("kind") != "rule") if whole_lists else F.lit(False))
+    # A line of = or - under a line of text makes it a heading.
+    ruled = ((F.col("kind") == "paragraph") & F.col("line").rlike(r"^ {0,3}=+\s*$")) | (F.col("kind").isin("rule", "paragraph") & F.col("line").rlike(r"^ {0,3}-+\s*$"))
+    k = k.withColumn("underline", ruled & (F.col("last") == "paragraph") & ~F.col("listed")).withColumn("kind", F.when(F.col("underline"), "paragraph").otherwise(F.col("kind")))
     marker = F.when(F.col("listed") & (F.col("kind") == "list"), F.nullif(F.regexp_extract("line", r"^ ?(?:[0-9]{1,9})?([-*+.)])\s", 1), F.lit("")))
     k = k.withColumn("marker", marker).withColumn("marked", F.last("marker", True).over(before))
     k = k.withColumn("kind", F.when(F.col("listed"), "list").otherwise(F.col("kind"))).withColumn("last", F.lag("kind", 1, "blank").over(w))
@@ -82,60 +87,104 @@ def markdown_blocks(docs: DataFrame, key: str = "doc_id", whole_lists: bool = Fa
     opens = (F.col("fence") & ~F.col("in_code")) | (F.col("bar") & ~F.col("in_math"))
     inside = F.col("in_code") | F.col("in_math")
     new = F.when(F.col("listed"), (F.col("last") != "list") | F.coalesce(F.col("marker") != F.col("marked"), F.lit(False))).when(inside, False)
-    new = new.otherwise(opens | F.col("kind").isin("heading", "rule", "footnote") | ((F.col("kind") != F.col("last")) & ~lazy) | ((F.col("kind") == "code") & ~inside))
+    new = new.otherwise(opens | F.lag("underline", 1, False).over(w) | F.col("kind").isin("heading", "rule", "footnote", "link_definition") | ((F.col("kind") != F.col("last")) & ~lazy) | ((F.col("kind") == "code") & ~inside))
     runs = k.withColumn("block", F.sum(new.cast("int")).over(upto))
     own = F.when(F.col("listed"), F.col("line")).when((F.col("kind") == "code") & F.col("fence"), None).when(F.col("bar"), None).otherwise(F.col("line"))
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("n", own.alias("s")))), lambda s: s["s"])
-    grouped = runs.groupBy(key, "block").agg(F.min("n").alias("pos"), F.min_by("kind", "n").alias("kind"), F.min_by("line", "n").alias("first"), F.array_compact(ordered).alias("ls"), F.count(F.when(F.col("kind") == "blank", 1)).alias("blanks")).where("kind != 'blank'")
+    grouped = runs.groupBy(key, "block").agg(F.min("n").alias("pos"), F.min_by("kind", "n").alias("kind"), F.min_by("line", "n").alias("first"), F.array_compact(ordered).alias("ls"), F.bool_or("underline").alias("underlined"), F.min_by((F.col("last") == "blank") & (F.col("n") > 0), "n").alias("spaced"), F.count(F.when(F.col("kind") == "blank", 1)).alias("blanks")).where("kind != 'blank'")
+    under = (F.col("kind") == "paragraph") & F.coalesce("underlined", F.lit(False)) & (F.size("ls") > 1)
+    level = F.when(F.trim(F.try_element_at("ls", F.lit(-1))).startswith("="), 1).otherwise(2)
+    grouped = grouped.withColumns({"setext": F.when(under, level), "kind": F.when(under, "heading").otherwise(F.col("kind")), "ls": F.when(under, F.slice("ls", F.lit(1), F.size("ls") - 1)).otherwise(F.col("ls"))})
     body = F.filter("ls", lambda s: (F.trim(s) != "") | F.col("kind").isin("code", "math", "list"))
     unquoted = F.transform(body, lambda s: F.regexp_replace(s, r"^ {0,3}> ?", ""))
     dedented = F.transform(body, lambda s: F.regexp_replace(s, r"^(    |\t)", ""))
     joined = F.array_join(F.when(F.col("kind") == "blockquote", unquoted).when(F.col("kind") == "indented", dedented).otherwise(body), "\n")
-    head = trailing_attrs(F.trim(F.regexp_replace(F.regexp_replace("first", r"^#+\s*", ""), r"\s+#+\s*$", "")))
+    title = F.when(F.col("setext").isNotNull(), joined).otherwise(F.regexp_replace(F.regexp_replace("first", r"^#+\s*", ""), r"\s+#+\s*$", ""))
+    head = trailing_attrs(F.trim(title))
     text = F.when(F.col("kind") == "heading", head["text"]).when(F.col("kind") == "footnote", F.regexp_replace(joined, r"^\[\^[^\]]+\]:\s*", "")).when(F.col("kind") == "rule", "").when(F.col("kind") == "math", F.trim(joined)).when(F.col("kind") == "list", F.regexp_replace(joined, r"\s+$", "")).otherwise(joined)
     info = code_info(F.regexp_replace("first", r"^ {0,3}[`~]+", ""))
     return grouped.select(
-        key, "pos", F.when(F.col("kind") == "indented", "code").otherwise(F.col("kind")).alias("kind"), F.when(F.col("kind") == "heading", F.length(F.regexp_extract("first", "^#+", 0))).alias("level"),
+        key, "pos", F.when(F.col("kind") == "indented", "code").otherwise(F.col("kind")).alias("kind"), F.when(F.col("kind") == "heading", F.coalesce("setext", F.length(F.regexp_extract("first", "^#+", 0)))).alias("level"),
         F.when(F.col("kind") == "heading", head["attrs"]["id"]).when(F.col("kind") == "footnote", F.regexp_extract("first", r"^\[\^([^\]]+)\]", 1)).alias("ident"),
-        F.when(F.col("kind") == "code", info["language"]).alias("language"), text.alias("text"),
+        F.when(F.col("kind") == "code", info["language"]).alias("language"), text.alias("text"), *(["spaced"] if whole_lists else []),
     )
 
 
-#: Inline markup that does not nest, tried in this order at each place.
-INLINE = r"(?s)(`+)(?!`)(.+?)(?<!`)\1(?!`)|\$([^$\s](?:[^$]*[^$\s])?)\$|!\[([^\[\]]*)\]\(([^()\s]*)\)|\[\^([^\]\s]+)\]|\[([^\[\]]*)\]\(([^()\s]*)\)|\*\*([^*]+)\*\*|\*([^*]+)\*|(?<![\p{L}\p{N}_])__([^_]+)__(?![\p{L}\p{N}_])|(?<![\p{L}\p{N}_])_([^_]+)_(?![\p{L}\p{N}_])|~~([^~]+)~~|\^([^\^\s]+)\^|<((?:https?|mailto):[^<>\s]+)>|\\([!-/:-@\[-`{-~])"
-#: The groups of INLINE that hold the value, and the url if there is one.
-INLINE_KINDS = [("code", 2, None), ("math", 3, None), ("image", 4, 5), ("footnote_ref", 6, None), ("link", 7, 8), ("strong", 9, None), ("emphasis", 10, None), ("strong", 11, None), ("emphasis", 12, None), ("strikethrough", 13, None), ("superscript", 14, None), ("autolink", 15, 15), ("text", 16, None)]
-
+#: What is not plain text: code, math, images, note references, links written out, escapes, ends and beginnings of links, runs of marks, superscript.
+MARK = (
+    r"(?s)(`+)(?!`).+?(?<!`)\1(?!`)|\$[^$\s](?:[^$]*[^$\s])?\$|!\[(?:[^\[\]]++|\[[^\[\]]*+\])*+\]\([^()\s]*(?:\s+\"[^\"]*\")?\s*\)|\[\^[^\]\s]+\]|<(?:https?|mailto):[^<>\s]+>|(?<![\w/])https?://[^\s<>\[\]()*]*[^\s<>\[\]()*.,;:!?\"'_~]"
+    r"|\\[!-/:-@\[-`{-~]|\[(?=(?:[^\[\]]++|\[[^\[\]]*+\])*+\]\([^()\s]*(?:\s+\"[^\"]*\")?\s*\))|\]\([^()\s]*(?:\s+\"[^\"]*\")?\s*\)|(?<=[^\s*])\*+|(?<!\*)\*+(?=[^\s*])|(?<![\p{L}\p{N}_])_+(?=[^\s_])|(?<=[^\s_])_+(?![\p{L}\p{N}_])|~~?|\^[^\^\s]+\^"
+)
 
-def inline_array(text: Column) -> Column:
-    """Inlines (kind, value, url) of a text; markup inside markup stays text of the outer one, an escaped sign is text."""
-    plain = F.split(text, INLINE, -1)
-    group = {g: F.regexp_extract_all(text, F.lit(INLINE), g) for g in sorted({g for _, v, u in INLINE_KINDS for g in (v, u) if g})}
-    zipped = F.arrays_zip(*[c.alias(f"g{g}") for g, c in group.items()])
 
-    def one(m):
-        value, url, kind = F.lit(""), F.lit(None).cast("string"), F.lit("image")
-        for name, v, u in INLINE_KINDS:
-            hit = m[f"g{v}"] != "" if u is None or u == v else (m[f"g{u}"] != "") | (m[f"g{v}"] != "")
-            kind, value = F.when(hit, "link" if name == "autolink" else name).otherwise(kind), F.when(hit, m[f"g{v}"]).otherwise(value)
-            url = F.when(hit, m[f"g{u}"] if u else F.lit(None).cast("string")).otherwise(url)
-        return F.struct(kind.alias("kind"), value.alias("value"), url.alias("url"))
+def inline_array(text: Column, smart: bool = False) -> Column:
+    """Events (kind, value, url, title) of a text: markup nests, marks are paired as `paired` says, an escaped sign is text.
 
-    marks = F.transform(zipped, one)
-    pieces = F.transform(plain, lambda p: F.struct(F.lit("text").alias("kind"), p.alias("value"), F.lit(None).cast("string").alias("url")))
-    return F.flatten(F.transform(pieces, lambda p, i: F.concat(F.filter(F.array(p), lambda x: x["value"] != ""), F.when(i < F.size(marks), F.slice(marks, i + 1, F.lit(1))).otherwise(F.slice(marks, F.lit(1), F.lit(0))))))
+    With `smart`, quotes, dashes and dots in plain text become typographic ones.
+    """
+    from leafmill.functions.inlines import event, let, paired, token
+    from leafmill.functions.inlines import smart as smarter
+    from leafmill.sources.html import unescape
+
+    lit, space, punct = F.lit, lambda c: c.rlike(r"^\s*$"), lambda c: c.rlike(r"^[\p{P}\p{S}]$")
+    rest = lambda c, n: F.substring(c, n, 1 << 30)
+    between = lambda c, a, z: F.substring(c, lit(a), F.length(c) - (a - 1 + z))
+    target = r'\]\(([^()\s]*)(?:\s+"([^"]*)")?\s*\)$'
+    url, title = lambda m: F.regexp_extract(m, target, 1), lambda m: F.nullif(F.regexp_extract(m, target, 2), lit(""))
+    none = F.array().cast("array<struct<kind:string,value:string,url:string,title:string,sign:string,opens:boolean,closes:boolean>>")
+
+    def mark(m: Column, before: Column, after: Column) -> Column:
+        sign = F.substring(m, 1, 1)
+        left = ~space(after) & (~punct(after) | space(before) | punct(before))
+        right = ~space(before) & (~punct(before) | space(after) | punct(after))
+        opens = F.when(sign == "_", left & (~right | punct(before))).otherwise(left)
+        closes = F.when(sign == "_", right & (~left | punct(after))).otherwise(right)
+        unit = lambda kind, value, s: token(kind, value, None, None, s, opens, closes)
+        autolink = between(m, 2, 1)
+        return (
+            F.when(sign == "`", F.array(token(lit("code"), F.regexp_replace(F.regexp_replace(m, "^`+|`+$", ""), r"(?s)^ (?=.*\S)(.*) $", "$1"))))
+            .when(sign == "$", F.array(token(lit("math"), between(m, 2, 1))))
+            .when(sign == "!", F.array(token(lit("image"), F.regexp_extract(m, r"(?s)^!\[(.*)\]\(", 1), url(m), title(m))))
+            .when(F.startswith(m, lit("[^")), F.array(token(lit("footnote_ref"), between(m, 3, 1))))
+            .when(sign == "<", F.array(token(lit("link"), autolink, autolink)))
+            .when(sign == "h", F.array(token(lit("link"), m, m)))
+            .when(sign == "\\", F.array(token(lit("text"), rest(m, 2))))
+            .when(sign == "[", F.array(token(null("string"), m, None, None, sign, lit(True), lit(False))))
+            .when(sign == "]", F.array(token(lit("link"), m, url(m), title(m), lit("["), lit(False), lit(True))))
+            .when(sign == "^", F.array(token(lit("superscript"), between(m, 2, 1))))
+            .when(sign == "~", F.array(unit(F.when(m == "~", "subscript").otherwise("strikethrough"), m, m)))
+            .otherwise(F.transform(F.sequence(lit(1), F.length(m)), lambda _: unit(null("string"), sign, sign)))
+        )
+
+    def tokens(plain: Column, marks: Column) -> Column:
+        edge = lambda c, n: F.substring(c, n, 1)
+        beside = lambda near, far, n: F.when(near != "", edge(near, n)).otherwise(F.coalesce(edge(far, n), lit(" ")))
+        said = lambda p: F.when(p != "", F.array(token(lit("text"), p))).otherwise(none)
+        each = F.transform(plain, lambda p, i: F.concat(said(p), F.when(i < F.size(marks), mark(F.get(marks, i), beside(p, F.get(marks, i - 1), -1), beside(F.get(plain, i + 1), F.get(marks, i + 1), 1))).otherwise(none)))
+        return F.flatten(each)
+
+    def parsed(plain: Column) -> Column:
+        return let(F.regexp_extract_all(text, lit(MARK), 0), lambda marks: F.when(F.size(marks) == 0, F.transform(F.filter(plain, lambda p: p != ""), lambda p: event(lit("text"), p))).otherwise(paired(tokens(plain, marks))))
+
+    events = let(F.split(text, MARK, -1), parsed)
+    prose = lambda e: e["kind"].isin("text", "emphasis", "strong", "strikethrough", "superscript", "subscript") | ((e["kind"] == "link") & (e["value"] != e["url"]))
+    typed = lambda e, i: F.when(prose(e) & e["value"].isNotNull(), event(e["kind"], smarter(unescape(e["value"]), (i == 0) | (e["kind"] != "text")), e["url"], e["title"])).otherwise(e)
+    return F.transform(events, typed) if smart else events
+
+
+def null(kind: str) -> Column:
+    return F.lit(None).cast(kind)
 
 
 def markdown_inlines(blocks: DataFrame) -> DataFrame:
     """Inlines (keys of blocks, ipos, kind, value, url) of the column text."""
     keys = [c for c in blocks.columns if c != "text"]
-    return blocks.select(*keys, F.posexplode(inline_array(F.col("text"))).alias("ipos", "x")).select(*keys, "ipos", "x.*")
+    return blocks.select(*keys, F.posexplode(inline_array(F.col("text"))).alias("ipos", "x")).select(*keys, "ipos", "x.kind", "x.value", "x.url")
 
 
 def with_breaks(inlines: Column) -> Column:
     """Inlines with a soft break for each line break in their texts, a hard one after two spaces or a backslash."""
-    null = F.lit(None).cast("string")
-    inline = lambda kind, value: F.struct(kind.alias("kind"), value.alias("value"), null.alias("url"))
+    from leafmill.functions.inlines import event as inline
 
     def split(x):
         parts = F.split(x["value"], "\n", -1)
@@ -154,10 +203,11 @@ PLACES = 4096
 
 
 def list_items(lists: DataFrame, keys: list[str]) -> DataFrame:
-    """Items (keys, line, index, ordered, start, checked, text) of one list for each row (keys, text).
+    """Items (keys, line, index, ordered, start, checked, text, spaced) of one list for each row (keys, text).
 
     An item begins at a marker that stands no more than one place right of the list's first; what follows is
     taken back by the width of the marker. line is that of the marker, from 0; lists number items from start.
+    spaced items have a blank line before them.
     """
     from pyspark.sql import Window
 
@@ -170,11 +220,12 @@ def list_items(lists: DataFrame, keys: list[str]) -> DataFrame:
     begins = F.col("line").rlike(mark) & (spaces(F.col("line")) <= F.col("base") + 1)
     x = lines.withColumn("begins", begins).withColumn("index", (F.sum(F.col("begins").cast("int")).over(w) - 1).cast("int"))
     x = x.withColumn("width", F.last(F.when(F.col("begins"), F.length(F.regexp_extract("line", mark, 0))), True).over(w))
+    x = x.withColumn("after", F.trim(F.lag("line", 1, "-").over(w)) == "")
     own = F.when(F.col("begins"), F.expr("substr(line, width + 1)")).otherwise(F.expr("substr(line, least(length(regexp_extract(line, '^ *', 0)), width) + 1)"))
-    items = x.groupBy(*keys, "index").agg(F.min("n").alias("line"), F.first("ordered").alias("ordered"), F.first("start").alias("start"), F.transform(F.array_sort(F.collect_list(F.struct("n", own.alias("s")))), lambda s: s["s"]).alias("ls"))
+    items = x.groupBy(*keys, "index").agg(F.min("n").alias("line"), F.first("ordered").alias("ordered"), F.first("start").alias("start"), F.min_by("after", "n").alias("spaced"), F.transform(F.array_sort(F.collect_list(F.struct("n", own.alias("s")))), lambda s: s["s"]).alias("ls"))
     box = F.regexp_extract(F.get("ls", F.lit(0)), r"^\[([ xX])\] ", 1)
     joined = F.array_join("ls", "\n")
-    return items.select(*keys, "line", "index", "ordered", "start", F.when(box != "", box != " ").alias("checked"), F.when(box != "", F.expr("substr(array_join(ls, '\\n'), 5)")).otherwise(joined).alias("text"))
+    return items.select(*keys, "line", "index", "ordered", "start", F.when(F.lower(box) == "x", True).alias("checked"), F.when(box != "", F.expr("substr(array_join(ls, '\\n'), 5)")).otherwise(joined).alias("text"), "spaced")
 
 
 def table_array(text: Column) -> Column:
@@ -183,32 +234,64 @@ def table_array(text: Column) -> Column:
     cells = lambda line: F.transform(F.split(F.regexp_replace(F.trim(line), r"^\||(?<!\\)\|$", ""), r"(?<!\\)\|"), lambda c: F.replace(F.trim(c), F.lit("\\|"), F.lit("|")))
     rule = F.transform(cells(F.get(lines, F.lit(1))), lambda c: F.when(c.rlike("^:-+:$"), "center").when(c.rlike("-:$"), "right").when(c.rlike("^:"), "left"))
     rows = F.transform(F.filter(lines, lambda _, i: i != 1), lambda line: cells(line))
-    cell = lambda row, r, align, c: F.struct(F.when(r == 0, "thead").otherwise("tbody").alias("section"), F.greatest(r - 1, F.lit(0)).alias("row"), c.alias("col"), F.coalesce(F.get(row, c), F.lit("")).alias("text"), F.lit(1).alias("colspan"), F.lit(1).alias("rowspan"), F.when(r > 0, align).alias("align"))
+    cell = lambda row, r, align, c: F.struct(F.when(r == 0, "thead").otherwise("tbody").alias("section"), F.greatest(r - 1, F.lit(0)).alias("row"), c.alias("col"), F.coalesce(F.get(row, c), F.lit("")).alias("text"), F.lit(1).alias("colspan"), F.lit(1).alias("rowspan"), align.alias("align"))
     return F.flatten(F.transform(rows, lambda row, r: F.transform(rule, lambda align, c: cell(row, r, align, c))))
 
 
-def markdown_documents(docs: DataFrame, key: str = "doc_id", nesting: int = 16) -> DataFrame:
+def defined(definitions: DataFrame) -> DataFrame:
+    """(doc_id, targets): a map from the labels of link definitions (doc_id, pos, text) to what follows them; the first of a label counts."""
+    form = r"^ {0,3}\[((?:[^\[\]])+)\]:\s*<?([^\s>]+)>?(?:\s+[\"'(](.*)[\"')])?\s*$"
+    part = lambda i: F.regexp_extract("text", form, i)
+    target = F.concat(part(2), F.when(part(3) != "", F.concat(F.lit(' "'), F.replace(part(3), F.lit('"'), F.lit("'")), F.lit('"'))).otherwise(""))
+    firsts = definitions.groupBy("doc_id", label_of(part(1)).alias("label")).agg(F.min_by(target, "pos").alias("target"))
+    return firsts.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("label", "target"))).alias("targets"))
+
+
+def label_of(c: Column) -> Column:
+    return F.lower(F.trim(F.regexp_replace(c, r"\s+", " ")))
+
+
+def linked(text: Column, targets: Column) -> Column:
+    """Text in which `[said][label]`, `[label][]` and `[label]` have become `[said](target)` where `targets` (or null) has the label."""
+    from leafmill.functions.inlines import let
+
+    form = r"\[((?:[^\[\]\\]|\\.)+)\](?:\[([^\[\]]*)\]|(?![\[(:]))"
+
+    def one(m: Column) -> Column:
+        said, label = F.regexp_extract(m, form, 1), F.regexp_extract(m, form, 2)
+        target = F.try_element_at(targets, label_of(F.when(label == "", said).otherwise(label)))
+        return F.coalesce(F.concat(F.lit("["), said, F.lit("]("), target, F.lit(")")), m)
+
+    plain = F.split(text, form, -1)
+    woven = let(F.regexp_extract_all(text, F.lit(form), 0), lambda ms: F.array_join(F.transform(plain, lambda p, i: F.concat(p, F.coalesce(one(F.get(ms, i)), F.lit("")))), ""))
+    return F.when(targets.isNotNull() & F.contains(text, F.lit("[")), woven).otherwise(text)
+
+
+def markdown_documents(docs: DataFrame, key: str = "doc_id", smart: bool = True) -> DataFrame:
     """Blocks as renderers take them, with their inlines and cells, of Markdown documents (key, text); doc_id is the key.
 
-    Lists, items, quotes and footnotes are read again, all those of one depth at a time, each pass cut off; what
-    lies in more than `nesting` of them stays text of a paragraph. Empty and null texts have no blocks.
+    Lists, items, quotes and footnotes are read again, all those of one depth at a time, each pass cut off, until
+    nothing is left that holds other blocks. Link definitions count for the whole document and go. Headings without
+    an id get one from their text, different from all before it. Notes come last. Empty and null texts have no blocks.
     """
-    from leafmill.tables import stored
+    from leafmill.tables import Tables
 
+    tables = Tables(docs)
+    stored = tables.stored
     at = ["doc_id", "parent", "base", "depth"]
     todo = docs.select(F.struct(F.col(key).alias("doc_id"), F.lit(-1).cast("long").alias("parent"), F.lit(0).alias("base"), F.lit(0).alias("depth")).alias("at"), "text")
     place = lambda line, depth: F.col(line).cast("long") * PLACES + F.col(depth)
-    null, found = lambda kind: F.lit(None).cast(kind), []
-    for i in range(nesting + 1):
-        read = markdown_blocks(todo, "at", whole_lists=True) if i < nesting else todo.select("at", F.lit(0).alias("pos"), F.lit("paragraph").alias("kind"), null("int").alias("level"), null("string").alias("ident"), null("string").alias("language"), "text")
-        blocks = read.select("at.*", "kind", "level", "ident", "language", "text", (F.col("at.base") + F.col("pos")).alias("line"))
-        blocks = stored(blocks.withColumn("pos", place("line", "depth")))
+    found = []
+    while True:
+        blocks = markdown_blocks(todo, "at", whole_lists=True).select("at.*", "kind", "level", "ident", "language", "text", "spaced", (F.col("at.base") + F.col("pos")).alias("line"))
+        late = F.when((F.col("kind") == "footnote") & (F.col("depth") == 0), F.lit(NOTES)).otherwise(0)
+        blocks = stored(blocks.withColumn("pos", place("line", "depth") + late))
         items = list_items(blocks.where("kind = 'list'").select("doc_id", F.col("pos").alias("list"), F.col("line").alias("first"), (F.col("depth") + 1).alias("depth"), "text"), ["doc_id", "list", "first", "depth"])
         items = stored(items.withColumn("line", F.col("first") + F.col("line")).withColumn("pos", place("line", "depth")))
         numbered = items.groupBy("doc_id", F.col("list").alias("pos")).agg(F.first("ordered").alias("ordered"), F.first("start").alias("start"))
         found += [
-            blocks.join(numbered, ["doc_id", "pos"], "left").select("doc_id", "pos", "parent", "depth", "kind", "level", "ident", "language", "text", "ordered", "start", null("int").alias("index"), null("boolean").alias("checked")),
-            items.select("doc_id", "pos", F.col("list").alias("parent"), "depth", F.lit("item").alias("kind"), null("int").alias("level"), null("string").alias("ident"), null("string").alias("language"), null("string").alias("text"), "ordered", "start", "index", "checked"),
+            blocks.join(numbered, ["doc_id", "pos"], "left").select("doc_id", "pos", "parent", "depth", "kind", "level", "ident", "language", "text", "ordered", "start", null("int").alias("index"), null("boolean").alias("checked"), "spaced"),
+            items.select("doc_id", "pos", F.col("list").alias("parent"), "depth", F.lit("item").alias("kind"), null("int").alias("level"), null("string").alias("ident"), null("string").alias("language"), null("string").alias("text"), "ordered", "start", "index", "checked", "spaced"),
         ]
         held = blocks.where("kind IN ('blockquote', 'footnote')").select("doc_id", F.col("pos").alias("parent"), F.col("line").alias("base"), (F.col("depth") + 1).alias("depth"), "text")
         held = held.unionByName(items.select("doc_id", F.col("pos").alias("parent"), F.col("line").alias("base"), (F.col("depth") + 1).alias("depth"), "text"))
@@ -220,8 +303,38 @@ def markdown_documents(docs: DataFrame, key: str = "doc_id", nesting: int = 16)
         out = out.unionByName(more)
     is_table = (F.col("kind") == "table") & F.get(F.split("text", "\n"), F.lit(1)).rlike(r"^[\s|:-]*-[\s|:-]*$")
     out = out.withColumn("kind", F.when((F.col("kind") == "table") & ~F.coalesce(is_table, F.lit(False)), "paragraph").otherwise(F.col("kind")))
+    definitions = stored(out.where("kind = 'link_definition'").select("doc_id", "pos", "text"))
+    out = out.where("kind != 'link_definition'")
+    if not definitions.isEmpty():
+        read = F.col("kind").isin("paragraph", "heading", "table")
+        out = out.join(defined(definitions), "doc_id", "left").withColumn("text", F.when(read, linked(F.col("text"), F.col("targets"))).otherwise(F.col("text"))).drop("targets")
     leaf = F.col("kind").isin("paragraph", "heading")
-    return stored(out.withColumns({"parent": F.nullif("parent", F.lit(-1)), "inlines": F.when(leaf, with_breaks(inline_array(F.col("text")))), "cells": F.when(F.col("kind") == "table", table_array(F.col("text")))}))
+    ended = F.when((F.col("kind") == "code") & (F.col("text") != ""), F.concat("text", F.lit("\n"))).otherwise(F.col("text"))
+    cells = F.transform(table_array(F.col("text")), lambda c: F.struct(*[c[n].alias(n) for n in CELL], inline_array(c["text"], smart).alias("inlines")))
+    out = stored(out.withColumns({"text": ended, "parent": F.nullif("parent", F.lit(-1)), "inlines": F.when(leaf, with_breaks(inline_array(F.col("text"), smart))), "cells": F.when(F.col("kind") == "table", cells)}))
+    return tables.keep(with_tight(with_ids(out)))
+
+
+def with_tight(blocks: DataFrame) -> DataFrame:
+    """Blocks with `tight` for lists: whether no item and no block right inside an item has a blank line before it. Their column spaced goes."""
+    items = blocks.where("kind = 'item'").select("doc_id", "pos", F.col("parent").alias("list"), "spaced")
+    apart = blocks.where("kind != 'item' AND spaced AND parent IS NOT NULL").select("doc_id", F.col("parent").alias("pos")).distinct().withColumn("apart", F.lit(True))
+    loose = items.join(apart, ["doc_id", "pos"], "left").where("spaced OR apart").select("doc_id", F.col("list").alias("pos")).distinct().withColumn("loose", F.lit(True))
+    return blocks.join(loose, ["doc_id", "pos"], "left").withColumn("tight", F.when(F.col("kind") == "list", F.col("loose").isNull())).drop("loose", "spaced")
+
+
+CELL = ["section", "row", "col", "text", "colspan", "rowspan", "align"]
+
+
+def with_ids(blocks: DataFrame) -> DataFrame:
+    """Blocks whose headings without an ident get one from the text of their inlines; repeated ones a number."""
+    from leafmill.functions.text import slugify
+    from leafmill.operators.outline import dedup_ids
+
+    said = F.array_join(F.transform(F.filter("inlines", lambda x: ~x["kind"].isin("footnote_ref", "image")), lambda x: F.when(x["kind"].isin("soft_break", "hard_break"), " ").otherwise(F.coalesce(x["value"], F.lit("")))), "")
+    headings = blocks.where("kind = 'heading' AND ident IS NULL").select("doc_id", "pos", slugify(said).alias("slug")).where("slug != ''")
+    made = dedup_ids(headings).select("doc_id", "pos", "id")
+    return blocks.join(made, ["doc_id", "pos"], "left").withColumn("ident", F.coalesce("ident", "id")).drop("id")
 
 
 def promote_math(blocks: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 def folder(df: DataFrame) -> str:
@@ -29,3 +29,30 @@ def stored(df: DataFrame) -> DataFrame:
     path = f"{folder(df).rstrip('/')}/leafmill-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Tables:
+    """Tables that a reader writes in rounds; `keep` stores the last one and removes the others."""
+
+    def __init__(self, df: DataFrame):
+        self.paths: list[str] = []
+        self.root = folder(df).rstrip("/")
+
+    def stored(self, df: DataFrame, *parts: str) -> DataFrame:
+        """df written, in folders by `parts`, and read again."""
+        path = f"{self.root}/leafmill-{uuid.uuid4().hex}"
+        df.write.partitionBy(*parts).parquet(path)
+        self.paths.append(path)
+        return df.sparkSession.read.schema(df.schema).parquet(path)
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        kept = stored(df)
+        for path in self.paths:
+            remove(df.sparkSession, path)
+        self.paths.clear()
+        return kept
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)

@@ -163,9 +163,11 @@ def hello():
 
 A [link](https://example.com) and `inline code`.
 
+Table: Sizes
+
 | A | B |
 | --- | ---: |
-| 1 | 2 x |
+| 1 | **2** x |
 
 ![A picture](a.png){#f}
 
@@ -177,16 +179,16 @@ A [link](https://example.com) and `inline code`.
     blocks = html.page_documents(spark.createDataFrame([(1, page), (2, None), (3, "")], "page_id long, html string"))
     assert [tuple(r) for r in render_documents(blocks, None, "markdown").collect()] == [(1, want)]
     found = render_documents(blocks, None, "html").first()["text"]
-    assert '<td colspan="2">2 x</td>' in found and '<figure id="f"><img src="a.png" alt="pic"><figcaption>A picture</figcaption></figure>' in found and '<ol start="3">' in found
-    assert "\\begin{tabular}{ll}\nA & B \\\\\n1 & 2 x \\\\\n" in render_documents(blocks, None, "latex").first()["text"]
-    assert "#table(columns: 2, [A], [B], [1], [2 x])" in render_documents(blocks, None, "typst").first()["text"]
+    assert '<td colspan="2"><p><strong>2</strong> x</p>\n</td>' in found and '<figure id="f"><img src="a.png" alt="pic"><figcaption>A picture</figcaption></figure>' in found and '<ol start="3">' in found
+    assert "\\begin{longtable}[]{@{}lr@{}}\n\\caption{Sizes}\\\\\n\\toprule\n\\textbf{A} & \\textbf{B} \\\\\n\\midrule\n1 & \\textbf{2} x \\\\\n" in render_documents(blocks, None, "latex").first()["text"]
+    assert "#figure(\n  caption: [Sizes],\n#table(\n  columns: 2,\n  align: (left, right),\n  table.header(\n    [A],\n    [B],\n  ),\n  [1],\n  [*2* x],\n))" in render_documents(blocks, None, "typst").first()["text"]
 
 
 def test_kinds_of_blocks_and_inlines(spark):
     from leafmill.operators.documents import render_documents
 
-    schema = "doc_id long, pos long, parent long, depth int, kind string, level int, ident string, language string, text string, ordered boolean, start int, index int, checked boolean, title string, classes array<string>, inlines array<struct<kind:string,value:string,url:string>>"
-    row = lambda pos, parent, depth, kind, language=None, text=None, title=None, classes=None, inlines=(): (1, pos, parent, depth, kind, None, None, language, text, None, None, None, None, title, classes, list(inlines))
+    schema = "doc_id long, pos long, parent long, depth int, kind string, level int, ident string, language string, text string, ordered boolean, start int, index int, checked boolean, title string, classes array<string>, inlines array<struct<kind:string,value:string,url:string,title:string>>"
+    row = lambda pos, parent, depth, kind, language=None, text=None, title=None, classes=None, inlines=(): (1, pos, parent, depth, kind, None, None, language, text, None, None, None, None, title, classes, [(*i, None) for i in inlines])
     blocks = spark.createDataFrame([
         row(0, None, 0, "admonition", title="Mind", classes=["warning"]), row(1, 0, 1, "paragraph", inlines=[("quoted", "a", None), ("image", "i", "u.png"), ("citation", "k", None), ("crossref", "x", None), ("raw", "<hr>", "html")]),
         row(2, None, 0, "definition_list"), row(3, 2, 1, "term", inlines=[("text", "T", None)]), row(4, 2, 1, "definition"), row(5, 4, 2, "paragraph", inlines=[("text", "D", None)]), row(6, None, 0, "raw", "html", "<br>"), row(7, None, 0, "raw", "latex", "\\x"),
@@ -234,8 +236,64 @@ def test_markdown_documents(spark):
     docs = spark.createDataFrame([(1, text, "x"), (2, None, "x"), (3, "", "x")], "doc_id long, text string, kind string")
     blocks = markdown.markdown_documents(docs)
     assert blocks.count() == blocks.select("doc_id", "pos").distinct().count()
-    want = "1. one\n   \n   - [x] in **b**\n   - [ ] two\n     \n     more  \n     hard\n2. last\n\n- a\n\n- b *c*\n\n> q\n>\n> - c\n>   \n>   - d\n>\n> end\n\ntext\n\n| no table\n"
+    want = "1. one\n   \n   - [x] in **b**\n   - two\n     \n     more  \n     hard\n2. last\n\n- a\n\n- b *c*\n\n> q\n>\n> - c\n>   \n>   - d\n>\n> end\n\ntext\n\n| no table\n"
     said = [tuple(r) for r in render_documents(blocks, None, "markdown").collect()]
     assert [(i, "\n".join(line.rstrip() if line.strip(" >") == "" else line for line in s.split("\n"))) for i, s in said] == [(1, "\n".join(line.rstrip() if line.strip(" >") == "" else line for line in want.split("\n")))]
-    shallow = markdown.markdown_documents(docs, nesting=1)
-    assert shallow.where("kind = 'paragraph' AND depth = 2 AND text LIKE '%- [ ] two%'").count() == 1
+
+
+# Inputs with their results as the formats are known to have them.
+CONVERSIONS = [
+    ("markdown", "html", 'A ***b i***, ~~s~~ & `c`.\n\n[x **y**](u "t") [r] "q" it\'s -- ...\n\n[r]: v', '<p>A <em><strong>b i</strong></em>, <del>s</del> &amp; <code>c</code>.</p>\n<p><a href="u" title="t">x <strong>y</strong></a> <a href="v">r</a> “q” it’s – …</p>\n'),
+    ("markdown", "html", "a **b *c* d** [x **y**](u)", '<p>a <strong>b <em>c</em> d</strong> <a href="u">x <strong>y</strong></a></p>\n'),
+    ("markdown", "html", "5 * 6 ** _x_y_ *a [b*](u) **", "<p>5 * 6 ** <em>x_y</em> *a <a href=\"u\">b*</a> **</p>\n"),
+    ("markdown", "html", "T\n===\n\nU\n---\n# T", '<h1 id="t">T</h1>\n<h2 id="u">U</h2>\n<h1 id="t-1">T</h1>\n'),
+    ("markdown", "latex", "| A | *B* |\n|---|:-:|\n| 1 | **2** |", "\\begin{longtable}[]{@{}lc@{}}\n\\toprule\n\\textbf{A} & \\textbf{\\emph{B}} \\\\\n\\midrule\n1 & \\textbf{2} \\\\\n\\bottomrule\n\\end{longtable}\n"),
+    ("markdown", "markdown", "[**b** x](u) and *a **b***", "[**b** x](u) and *a **b***\n"),
+    ("latex", "html", "\\begin{itemize}\\item a \\begin{itemize}\\item b\\end{itemize}\\item c\\end{itemize} end", "<ul>\n<li><p>a</p>\n<ul>\n<li><p>b</p>\n</li>\n</ul>\n</li>\n<li><p>c</p>\n</li>\n</ul>\n<p>end</p>\n"),
+    ("latex", "html", "x\\footnote{n} \\textbf{a \\emph{b}}", '<p>x<sup class="footnote-ref"><a href="#fn-fn1">[fn1]</a></sup> <strong>a <em>b</em></strong></p>\n<aside id="fn-fn1" class="footnote" role="note">\n<p>n</p>\n</aside>\n'),
+    ("typst", "html", "*a _b_* #strike[c *d*]\n\n/ T: x", "<p><strong>a <em>b</em></strong> <del>c <strong>d</strong></del></p>\n<dl>\n<dt>T</dt>\n<dd><p>x</p>\n</dd>\n</dl>\n"),
+    ("typst", "typst", '#figure(\n  table(columns: 2, [a], [b, (c)]),\n  caption: [C],\n) <t>', "#figure(\n  caption: [C],\n#table(\n  columns: 2,\n  [a],\n  [b, (c)],\n)) <t>\n"),
+]
+
+
+def test_conversions(spark):
+    from leafmill.operators.documents import render_documents
+    from leafmill.operators.job import readers
+
+    for name in ("markdown", "latex", "typst"):
+        own = [(i, c[2]) for i, c in enumerate(CONVERSIONS) if c[0] == name]
+        blocks = readers()[name](spark.createDataFrame([*own, (-1, None), (-2, "")], "doc_id long, text string"))
+        for form in {c[1] for c in CONVERSIONS if c[0] == name}:
+            got = {r["doc_id"]: r["text"] for r in render_documents(blocks, None, form).collect()}
+            assert -1 not in got and -2 not in got
+            assert {i: got[i] for i, _ in own if CONVERSIONS[i][1] == form} == {i: CONVERSIONS[i][3] for i, _ in own if CONVERSIONS[i][1] == form}
+
+
+def test_package(spark):
+    """A package with a heading, a link, a note, a nested list and a table with merged cells."""
+    import io
+    import zipfile
+
+    from leafmill.operators.documents import render_documents
+    from leafmill.sources import docx
+
+    w, r = "http://schemas.openxmlformats.org/wordprocessingml/2006/main", "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    run = lambda s, pr="": f'<w:r><w:rPr>{pr}</w:rPr><w:t xml:space="preserve">{s}</w:t></w:r>'
+    item = lambda n, s: f'<w:p><w:pPr><w:numPr><w:ilvl w:val="{n}"/><w:numId w:val="7"/></w:numPr></w:pPr>{run(s)}</w:p>'
+    cell = lambda s, pr="": f"<w:tc><w:tcPr>{pr}</w:tcPr><w:p>{run(s)}</w:p></w:tc>"
+    body = f'<w:p><w:pPr><w:pStyle w:val="H"/></w:pPr>{run("T")}</w:p><w:p>{run("a ", "<w:b/>")}{run("b", "<w:b/><w:i/>")}<w:hyperlink r:id="rId1">{run("x ")}{run("y", "<w:i/>")}</w:hyperlink><w:r><w:footnoteReference w:id="2"/></w:r></w:p>'
+    body += item(0, "one") + item(1, "in") + item(0, "two") + f'<w:tbl><w:tr>{cell("A")}{cell("B")}</w:tr><w:tr>{cell("1", "<w:vMerge w:val=\'restart\'/>")}{cell("2")}</w:tr><w:tr>{cell("", "<w:vMerge/>")}{cell("3")}</w:tr></w:tbl>'
+    parts = {
+        "document": f"<w:body>{body}</w:body>", "styles": '<w:style w:styleId="H"><w:name w:val="heading 2"/></w:style>', "footnotes": f'<w:footnote w:id="2"><w:p>{run("note")}</w:p></w:footnote>',
+        "numbering": '<w:abstractNum w:abstractNumId="1"><w:lvl w:ilvl="0"><w:numFmt w:val="decimal"/></w:lvl><w:lvl w:ilvl="1"><w:numFmt w:val="bullet"/></w:lvl></w:abstractNum><w:num w:numId="7"><w:abstractNumId w:val="1"/></w:num>',
+    }
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        for name, inner in parts.items():
+            z.writestr(f"word/{name}.xml", f'<w:{name} xmlns:w="{w}" xmlns:r="{r}">{inner}</w:{name}>')
+        z.writestr("word/_rels/document.xml.rels", f'<Relationships><Relationship Id="rId1" Type="{r}/hyperlink" Target="http://u"/></Relationships>')
+    blocks = docx.docx_documents(spark.createDataFrame([(1, bytearray(out.getvalue())), (2, bytearray(b"no")), (3, None)], "doc_id long, data binary"))
+    want = '<h2>T</h2>\n<p><strong>a <em>b</em></strong><a href="http://u">x <em>y</em></a><sup class="footnote-ref"><a href="#fn-2">[2]</a></sup></p>\n<ol>\n<li><p>one</p>\n<ul>\n<li><p>in</p>\n</li>\n</ul>\n</li>\n<li><p>two</p>\n</li>\n</ol>\n'
+    want += '<table>\n<thead>\n<tr><th><p>A</p>\n</th><th><p>B</p>\n</th></tr>\n</thead>\n<tbody>\n<tr><td rowspan="2"><p>1</p>\n</td><td><p>2</p>\n</td></tr>\n<tr><td><p>3</p>\n</td></tr>\n</tbody>\n</table>\n<aside id="fn-2" class="footnote" role="note">\n<p>note</p>\n</aside>\n'
+    assert {x["doc_id"]: x["text"] for x in render_documents(blocks.where("kind != 'error'"), None, "html").collect()} == {1: want}
+    assert {x["doc_id"] for x in blocks.where("kind = 'error'").collect()} == {2, 3}
