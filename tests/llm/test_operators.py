@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from leafmill.llm import brown_lm, decontaminate, fair_mix, hilbert_shards, jaccard_join, license_templates, quality_forest, sanitise, suffix_dedup, url_rules
+from leafmill.llm import brown_lm, decontaminate, fair_mix, hilbert_shards, jaccard_join, license_templates, lsh_forest, merkle, phrases, quality_forest, sanitise, suffix_dedup, url_rules
 from leafmill.llm.queries import QUERIES
 
 DOC = "doc_id long, text string, source string, lang string"
@@ -88,11 +88,11 @@ def test_repeats_odd(odd, none):
 # ---- 2 -------------------------------------------------------------------------------------------
 
 
-def plain_groups(rows):
+def plain_groups(rows, k=5, percent=80):
     sets = []
     for _, text in rows:
         w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]+", lambda m: m[0].lower(), text or ""))
-        sets.append({tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))} if w else set())
+        sets.append({tuple(w[i : i + k]) for i in range(max(len(w) - k + 1, 1))} if w else set())
     up, links = list(range(len(rows))), [0] * len(rows)
 
     def root(i):
@@ -102,7 +102,7 @@ def plain_groups(rows):
 
     for i in range(len(rows)):
         for j in range(i):
-            if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+            if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]):
                 up[root(i)] = root(j)
                 links[i] += 1
                 links[j] += 1
@@ -656,3 +656,138 @@ def test_pipeline(spark, small):
         if name == "shards":
             assert len(rows) == before.count() and {r["shard"] for r in rows} == set(range(8))
     assert isinstance(kept.schema["shard"].dataType, T.IntegerType)
+
+
+# ---- 2, repeated rows ------------------------------------------------------------------------------
+
+
+def test_links_of_repeated_rows(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(7, text), (7, text), (8, f"{text} end"), (None, text), (None, text), (9, "other words"), (9, "other words")]
+    got = jaccard_join.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r["n_links"] for r in got if r["doc_id"] in (7, 8)) == [4, 4, 4]
+    assert sorted(r["n_links"] for r in got if r["doc_id"] == 9) == [1, 1]
+
+
+# ---- 11 ------------------------------------------------------------------------------------------
+
+
+def plain_collocations(rows, least, longest, top):
+    counts, n = {}, Counter()
+    for lang, text in rows:
+        lang = "und" if lang is None else lang
+        counts.setdefault(lang, Counter())
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", re.sub("[A-Z]+", lambda m: m[0].lower(), text or "")):
+            w = re.findall(r"[^\x20\x09]+", piece)
+            n[lang] += len(w)
+            for k in range(1, longest + 1):
+                counts[lang].update(tuple(w[i : i + k]) for i in range(len(w) - k + 1))
+    out = []
+    for lang, c in counts.items():
+        often = {p: a for p, a in c.items() if a >= least}
+        inside = Counter()
+        for p, a in often.items():
+            for k in range(2, len(p)):
+                for i in range(len(p) - k + 1):
+                    inside[p[i : i + k]] = max(inside[p[i : i + k]], a)
+        found = []
+        for p, a in often.items():
+            if len(p) > 1 and inside[p] < a:
+                score, _, left, right = min((1000 * a * n[lang] // (c[p[:k]] * c[p[k:]]), k, c[p[:k]], c[p[k:]]) for k in range(1, len(p)))
+                found.append((-score, -a, " ".join(p).encode(), left, right))
+        out += [(lang, i + 1, p.decode(), -a, left, right, n[lang], -score) for i, (score, a, p, left, right) in enumerate(sorted(found)[:top])]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("shards,block", [(1, 1 << 20), (3, 40)])
+def test_collocations(spark, monkeypatch, shards, block):
+    monkeypatch.setattr(phrases, "BLOCK", block)
+    monkeypatch.setattr(phrases, "SHARD", 1)
+    rng = random.Random(5)
+    words = ["A", "b", "c", "d", "é", "f", "漢"]
+    rows = [(rng.choice(["en", "en", "de", None, "und"]), rng.choice([None, "", "x" * 300, *[" ".join(rng.choice(words) + rng.choice(["", "", "", ",", "\n", "\t"]) for _ in range(30))] * 9])) for _ in range(40)]
+    rows += [("en", "new york city  hall. " * 3)] * 3
+    df = spark.createDataFrame([(*r, "x") for r in rows], "lang string, text string, phrase string").repartition(3)
+    got = [tuple(r) for r in phrases.collocations(df, least=4, top=25, shards=shards).collect()]
+    assert sorted(got) == plain_collocations(rows, 4, 5, 25)
+    assert any(r[2] == "new york city hall" for r in got) and not any(r[2] == "york city" for r in got)
+
+
+def test_collocations_none(spark, none):
+    assert phrases.collocations(none).count() == 0
+
+
+# ---- 12 ------------------------------------------------------------------------------------------
+
+
+def plain_manifest(rows, arity):
+    """Rows (doc_id, text, source, lang) to (doc_id, lang, leaf, subroot, root, proof, folded root); texts of even ids are tampered with."""
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    enc = lambda v: "-" if v is None else f"{len(str(v).encode())}:{v}"
+    leaf = lambda r: sha("".join(map(enc, r)))
+
+    def tree(hs):
+        """Root, and for each leaf what stands before and after it on each level."""
+        paths, at = [[] for _ in hs], list(range(len(hs)))
+        while len(hs) > 1:
+            for i, place in enumerate(at):
+                run = hs[place // arity * arity : place // arity * arity + arity]
+                paths[i].append(("".join(run[: place % arity]), "".join(run[place % arity + 1 :])))
+            hs, at = [sha("".join(hs[j : j + arity])) for j in range(0, len(hs), arity)], [p // arity for p in at]
+        return hs[0], paths
+
+    first = lambda v: (v is not None, v)
+    groups = {}
+    for r in sorted(rows, key=lambda r: ((r[3] is not None, (r[3] or "").encode()), first(r[0]), leaf(r))):
+        groups.setdefault(r[3], []).append(r)
+    trees = {g: tree([leaf(r) for r in rs]) for g, rs in groups.items()}
+    root, tops = tree([t[0] for t in trees.values()])
+    out = []
+    for (g, rs), top in zip(groups.items(), tops, strict=True):
+        for r, path in zip(rs, trees[g][1], strict=True):
+            h = leaf((r[0], (r[1] or "") + "!" if r[0] is not None and r[0] % 2 == 0 else r[1], *r[2:]))
+            for a, b in path + top:
+                h = sha(a + h + b)
+            out.append((r[0], g, leaf(r), trees[g][0], root, sha("".join(a + b for a, b in path + top)), h, h == root))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("arity,digits", [(2, 2), (3, 1)])
+def test_manifest(spark, arity, digits):
+    rng = random.Random(2)
+    rows = ODD + [(rng.choice([i, i, 5, None]), rng.choice([None, "", "a", f"t{i}"]), "s", rng.choice(["en", "en", "en", "de", None, ""])) for i in range(30)]
+    df = spark.createDataFrame(rows, DOC).withColumn("tree", F.lit(1)).repartition(3)
+    changed = F.when(F.col("doc_id") % 2 == 0, F.concat(F.coalesce("text", F.lit("")), F.lit("!"))).otherwise(F.col("text"))
+    got = merkle.manifest(df, "lang", "doc_id", ["doc_id", "text", "source", "lang"], {"text": changed}, arity, digits)
+    assert sorted([tuple(r) for r in got.collect()], key=str) == plain_manifest(rows, arity)
+
+
+def test_manifest_none(spark, none):
+    assert merkle.manifest(none, "lang", "doc_id", ["doc_id", "text"]).count() == 0
+
+
+# ---- 13 ------------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("most,part", [(512, 512), (1, 2)])
+def test_forest_of_signatures(spark, monkeypatch, most, part):
+    monkeypatch.setattr(jaccard_join, "PART_SETS", part)
+    monkeypatch.setattr(jaccard_join, "PIVOTS", 1)
+    rng = random.Random(8)
+    bases = [[f"w{rng.randint(0, 400)}" for _ in range(rng.randint(25, 60))] for _ in range(5)]
+    rows = []
+    for i in range(90):
+        w = list(rng.choice(bases))
+        for _ in range(rng.randint(0, 2)):
+            w[rng.randrange(len(w))] = f"x{rng.randint(0, 9)}"
+        rows.append((rng.choice([i, i, i, 7]), rng.choice([None, "", "a b", "A  b", *[" ".join(w)] * 12])))
+    df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, node string").repartition(3)
+    got = lsh_forest.near_duplicates(df, most=most).collect()
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == sorted(r[:3] for r in plain_groups(rows, 3, 85))
+    assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
+
+
+def test_forest_of_signatures_odd(odd, none):
+    rows = sorted(((r["doc_id"], r["component_id"], r["kept"]) for r in lsh_forest.near_duplicates(odd).collect()), key=str)
+    assert (5, 4, False) in rows and (None, None, True) in rows and len(rows) == len(ODD)
+    assert lsh_forest.near_duplicates(none).count() == 0
