@@ -248,7 +248,7 @@ def docx_documents(files: DataFrame) -> DataFrame:
     runs = all_rows.withColumn("first", F.when(F.col("kind").isin("code", "quote", "item") & (F.lag("kind", 1, "").over(w) == F.col("kind")), null("int")).otherwise(F.col("pos"))).withColumn("home", F.last("first", True).over(w)).select("doc_id", "pos", "home")
     b = b.join(runs, ["doc_id", "pos"])
     at = lambda c, i=0: F.col(c).cast("long") * PLACE + i
-    empty = {"parent": "long", "level": "int", "text": "string", "ordered": "boolean", "index": "int", "ident": "string", "inlines": "array<struct<kind:string,value:string,url:string,title:string>>", "cells": "array<struct<section:string,row:int,col:int,text:string,colspan:int,rowspan:int,align:string,inlines:array<struct<kind:string,value:string,url:string,title:string>>>>"}
+    empty = {"parent": "long", "level": "int", "language": "string", "start": "int", "checked": "boolean", "text": "string", "ordered": "boolean", "index": "int", "ident": "string", "inlines": "array<struct<kind:string,value:string,url:string,title:string>>", "cells": "array<struct<section:string,row:int,col:int,text:string,colspan:int,rowspan:int,align:string,inlines:array<struct<kind:string,value:string,url:string,title:string>>>>"}
     full = lambda df: df.select("doc_id", "pos", "depth", "kind", *[(F.col(c) if c in df.columns else null(k)).cast(k).alias(c) for c, k in empty.items()])
     leaves = b.where("kind IN ('heading', 'paragraph', 'math')").select("doc_id", at("pos").alias("pos"), F.lit(0).alias("depth"), "kind", F.when(F.col("kind") == "heading", F.substring("stands", 8, 1).cast("int")).alias("level"), F.when(F.col("kind") == "math", plain).alias("text"), F.when(F.col("kind") != "math", F.col("inlines")).alias("inlines"))
     code = b.where("kind = 'code'").groupBy("doc_id", "home").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", plain.alias("s")))), lambda x: x["s"]), "\n").alias("text")).select("doc_id", at("home").alias("pos"), F.lit(0).alias("depth"), F.lit("code").alias("kind"), "text")
