@@ -156,6 +156,37 @@ def c17(spark, d):
     return out.select("doc_id", "title", F.array_join("keywords", ";").alias("keywords"), F.array_join("authors", ";").alias("authors"), F.try_element_at("rest", F.lit("lang")).alias("lang"), "body")
 
 
+def nested(spark, d):
+    """Parts as documents whose front matter has authors in three forms, a folded text, and maps in lists in maps."""
+    k = F.col("p_partkey")
+    authors = F.when(k % 4 == 1, F.concat(F.lit("author:\n  - name: Jane "), k, F.lit("\n    affiliation: "), "p_brand", F.lit("\n  - 'Joe'\n"))).when(k % 4 == 2, F.concat(F.lit("author: Solo "), k, F.lit("\n"))).otherwise(F.concat(F.lit("authors: [A, {name: B "), k, F.lit("}]\n")))
+    head = F.concat(F.lit('---\ntitle: "A: '), "p_name", F.lit('"\n'), authors, F.lit("abstract: >\n  First "), k, F.lit("\n  line\n\n  last\ntags: ["), F.lower("p_type"), F.lit(", "), "p_size", F.lit(', "x, y"]\nlayout:\n  size: '), "p_size", F.lit(" # of a part\n  parts:\n  - {name: "), "p_type", F.lit(", ok: true}\n  - null\n---\n"))
+    text = F.concat(F.when(k % 4 == 0, "").otherwise(head), F.lit("Body "), k)
+    return spark.read.parquet(f"{d}/part.parquet").select(k.alias("doc_id"), text.alias("text"))
+
+
+@query("c17_nested_metadata", """SELECT doc_id, body, CASE WHEN m THEN title END AS title, CASE WHEN m THEN abstract END AS abstract, CASE WHEN m THEN keywords END AS keywords, CASE WHEN m THEN authors END AS authors, CASE WHEN m THEN custom END AS custom FROM (
+  SELECT p_partkey AS doc_id, p_partkey % 4 != 0 AS m, 'Body ' || p_partkey AS body, 'A: ' || p_name AS title, 'First ' || p_partkey || ' line' || chr(10) || 'last' || chr(10) AS abstract, lower(p_type) || '|x, y' AS keywords,
+  CASE p_partkey % 4 WHEN 1 THEN 'Jane ' || p_partkey || ' of ' || p_brand || '|Joe' WHEN 2 THEN 'Solo ' || p_partkey ELSE 'A|B ' || p_partkey END AS authors, '{"layout":{"parts":[{"name":"' || p_type || '","ok":true},null],"size":' || p_size || '}}' AS custom FROM part)""")
+def c17_nested(spark, d):
+    out = markdown.document_metadata(nested(spark, d))
+    said = F.transform("authors", lambda a: F.concat_ws(" of ", a["name"], a["affiliation"]))
+    return out.select("doc_id", "body", "title", "abstract", F.array_join("keywords", "|").alias("keywords"), F.array_join(said, "|").alias("authors"), F.to_json("custom").alias("custom"))
+
+
+@query("b11_document_tree", """SELECT p_partkey AS doc_id, CAST(p_size AS VARCHAR) AS size, '{"content":[{"type":"Heading","level":1,"id":"t-' || p_partkey || '-x","content":[{"type":"Text","value":"T ' || p_partkey || ' "},{"type":"Emphasis","content":[{"type":"Text","value":"x"}]}]},{"type":"List","ordered":true,"start":3,"tight":true,"items":['
+  || '{"type":"ListItem","content":[{"type":"Paragraph","content":[{"type":"Text","value":"a "},{"type":"Strong","content":[{"type":"Text","value":"b "},{"type":"Emphasis","content":[{"type":"Text","value":"c"}]}]}]},{"type":"List","ordered":false,"tight":true,"items":[{"type":"ListItem","checked":true,"content":[{"type":"Paragraph","content":[{"type":"Link","url":"u' || p_size || '","title":"' || p_brand || '","content":[{"type":"Text","value":"l"}]}]}]}]}]},'
+  || '{"type":"ListItem","content":[{"type":"Paragraph","content":[{"type":"Code","value":"d"}]}]}]},{"type":"BlockQuote","content":[{"type":"Paragraph","content":[{"type":"Text","value":"q ' || p_size || '"}]}]},{"type":"CodeBlock","language":"py","content":"' || p_size || chr(92) || 'n"}]}' AS json FROM part""")
+def b11_tree(spark, d):
+    """The tree of each document in JSON; size is read back from it as VARIANT."""
+    from leafmill.operators.tree import tree_json
+
+    k = F.col("p_partkey")
+    text = F.concat(F.lit("# T "), k, F.lit(" *x*\n\n3. a **b *c***\n   - [x] [l](u"), "p_size", F.lit(' "'), "p_brand", F.lit('")\n4. `d`\n\n> q '), "p_size", F.lit("\n\n```py\n"), "p_size", F.lit("\n```"))
+    out = tree_json(markdown.markdown_documents(spark.read.parquet(f"{d}/part.parquet").select(k.alias("doc_id"), text.alias("text"))))
+    return out.select("doc_id", "json", F.regexp_extract(F.variant_get(F.parse_json("json"), "$.content[2].content[0].content[0].value", "string"), r"q (\d+)", 1).alias("size"))
+
+
 TEX = ["Para #\ntext $m$", "\\@subsection{T #}\\label{s:#}", "\\begin{verbatim}\ncode #\n\\end{verbatim}", "\\begin{equation}\\label{eq:#} x_# \\end{equation}", "\\begin{quote}q #\\end{quote}", "\\begin{itemize}\\item a # \\item b\\end{itemize}", "\\begin{foo}f #\\end{foo}", "\\[ y_# \\]"]
 TEX_CASES = {
     0: {"kind": "'paragraph'", "text": "'Para ' || k || ' text $m$'"}, 1: {"kind": "'heading'", "level": "k % 3 + 1", "ident": "'s:' || k", "text": "'T ' || k"}, 2: {"kind": "'code'", "text": "'code ' || k"}, 3: {"kind": "'math'", "ident": "'eq:' || k", "text": "'x_' || k"},

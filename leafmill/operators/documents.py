@@ -323,6 +323,26 @@ def captioned(form: str, table: Column, caption: Column, ident: Column) -> Colum
     return table
 
 
+def from_deepest(rows: DataFrame, block: Column, sep: Column) -> DataFrame:
+    """(doc_id, text): blocks (doc_id, pos, parent, depth, content, ...) as `block` writes them, each with `sep` before it if it is not the first.
+
+    From the deepest level up, what stands in a container becomes its content. The rows are written once, in a
+    folder for each depth: each step reads its own blocks only.
+    """
+    rows = Tables(rows).stored(rows, "depth")
+    level, depth = None, rows.agg(F.max("depth")).first()[0] or 0
+    for d in range(depth, -1, -1):
+        here = rows.where(F.col("depth") == d)
+        if level is not None:
+            here = here.join(level, ["doc_id", "pos"], "left").withColumn("content", F.coalesce("inner", "content")).drop("inner")
+        said = here.select("doc_id", "pos", "parent", sep.alias("sep"), block.alias("s"))
+        keys = ["doc_id"] if d == 0 else ["doc_id", "parent"]
+        ordered = F.array_sort(F.collect_list(F.struct("pos", "sep", "s")))
+        joined = F.array_join(F.transform(ordered, lambda x, i: F.concat(F.when(i > 0, x["sep"]).otherwise(""), x["s"])), "")
+        level = said.groupBy(*keys).agg(joined.alias("inner")).withColumnRenamed("parent", "pos")
+    return level.withColumnRenamed("inner", "text")
+
+
 def render_documents(blocks: DataFrame, inlines: DataFrame | None, form: str) -> DataFrame:
     """(doc_id, text) of blocks (doc_id, pos, parent, depth, ...) and inlines (doc_id, pos, ipos, kind, value, url, note).
 
@@ -341,20 +361,8 @@ def render_documents(blocks: DataFrame, inlines: DataFrame | None, form: str) ->
     if "cells" in blocks.columns:
         cells = blocks.where("kind = 'table'").select("doc_id", "pos", F.inline("cells"))
         rows = rows.join(tables_of(cells, form).withColumnRenamed("content", "made"), ["doc_id", "pos"], "left").withColumn("content", F.when(F.col("made").isNotNull(), captioned(form, F.col("made"), F.col("content"), F.col("ident"))).otherwise(F.col("content"))).drop("made")
-    # written once, in a folder for each depth: each step reads its own blocks only
     fields = ["doc_id", "pos", "parent", "depth", "kind", "level", "ident", "language", "text", "ordered", "start", "index", "checked", "url", "title", "classes", "tight", "content"]
-    rows = Tables(blocks).stored(rows.select(*fields), "depth")
-    level, depth = None, rows.agg(F.max("depth")).first()[0] or 0
-    for d in range(depth, -1, -1):
-        here = rows.where(F.col("depth") == d)
-        if level is not None:
-            here = here.join(level, ["doc_id", "pos"], "left").withColumn("content", F.coalesce("inner", "content")).drop("inner")
-        said = here.select("doc_id", "pos", "parent", separator(form).alias("sep"), render_block(form).alias("s"))
-        keys = ["doc_id"] if d == 0 else ["doc_id", "parent"]
-        ordered = F.array_sort(F.collect_list(F.struct("pos", "sep", "s")))
-        joined = F.array_join(F.transform(ordered, lambda x, i: F.concat(F.when(i > 0, x["sep"]).otherwise(""), x["s"])), "")
-        level = said.groupBy(*keys).agg(joined.alias("inner")).withColumnRenamed("parent", "pos")
-    out = level.withColumnRenamed("inner", "text")
+    out = from_deepest(rows.select(*fields), render_block(form), separator(form))
     return out.withColumn("text", F.concat(F.regexp_replace("text", "^[\\s]+|[\\s]+$", ""), F.lit("\n"))) if form == "plain" else out
 
 

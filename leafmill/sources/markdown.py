@@ -401,3 +401,40 @@ def front_matter(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     body = F.when(has, F.regexp_extract("text", block, 2)).otherwise(F.col("text"))
     rest = F.transform_values(F.map_filter("f", lambda k, _: ~k.isin(*known)), lambda _, v: clean(v))
     return d.select(key, clean(get("title")).alias("title"), clean(get("date")).alias("date"), several(get("keywords", "tags")).alias("keywords"), several(get("author", "authors")).alias("authors"), rest.alias("rest"), body.alias("body"))
+
+
+AUTHOR = "struct<name:string,affiliation:string,email:string,orcid:string>"
+#: Fields of the front matter that have a column of their own; the last of several names counts.
+OWN = {"title": ["title"], "date": ["date"], "abstract": ["abstract", "abstract_text", "description"], "keywords": ["keywords", "tags"], "authors": ["author", "authors"]}
+
+
+def document_metadata(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, title, date, abstract, keywords, authors, custom, body) of documents (key, text) that may begin with nested YAML between --- lines.
+
+    Authors are structs, from a text, a list of texts or a list of maps with a name. Keywords are the texts of a list, or
+    a text cut at commas. Any other field stays as it is, however deep, in the VARIANT custom. YAML that cannot be read
+    gives no metadata; null texts are empty.
+    """
+    from leafmill.functions.yaml import yaml_json
+
+    block = r"(?s)\A---[ \t]*\r?\n(?:(.*?)\r?\n)??---[ \t]*(?:\r?\n(.*))?\z"
+    text = F.coalesce("text", F.lit(""))
+    has = text.rlike(block)
+    d = docs.select(key, text.alias("text")).withColumn("json", F.when(has, yaml_json(F.regexp_extract("text", block, 1))))
+    d = d.withColumns({"v": F.parse_json("json"), "f": F.from_json("json", "map<string,variant>")})
+    first = lambda name, kind: F.coalesce(*[F.try_variant_get("v", f"$.{n}", kind) for n in reversed(OWN[name])])
+    raw = lambda name: F.coalesce(*[F.get_json_object("json", f"$.{n}") for n in reversed(OWN[name])])
+    is_list = lambda name: F.coalesce(*[F.schema_of_variant(F.try_element_at("f", F.lit(n))) for n in reversed(OWN[name])]).startswith("ARRAY")
+    each = lambda name: first(name, "array<variant>")
+    is_text = lambda x: F.schema_of_variant(x) == "STRING"
+    words = F.when(is_list("keywords"), F.transform(F.filter(each("keywords"), is_text), lambda x: x.cast("string"))).otherwise(F.transform(F.split(raw("keywords"), ","), lambda x: F.trim(x)))
+    get = lambda x, n: F.try_variant_get(x, f"$.{n}", "string").alias(n)
+    named = lambda x: F.when(is_text(x), F.struct(x.cast("string").alias("name"), *[F.lit(None).cast("string").alias(n) for n in ("affiliation", "email", "orcid")])).otherwise(F.struct(*[get(x, n) for n in ("name", "affiliation", "email", "orcid")]))
+    several = F.filter(F.transform(each("authors"), lambda x: named(x).cast(AUTHOR)), lambda a: a["name"].isNotNull())
+    single = F.array(F.struct(raw("authors").alias("name"), *[F.lit(None).cast("string").alias(n) for n in ("affiliation", "email", "orcid")]).cast(AUTHOR))
+    is_map = lambda name: F.coalesce(raw(name), F.lit("")).startswith("{")
+    authors = F.when(is_list("authors"), several).when(raw("authors").isNotNull() & ~is_map("authors"), single)
+    known = [n for names in OWN.values() for n in names]
+    custom = F.to_variant_object(F.map_filter("f", lambda k, _: ~k.isin(*known)))
+    body = F.when(has, F.regexp_extract("text", block, 2)).otherwise(F.col("text"))
+    return d.select(key, *[F.when(~F.coalesce(raw(n), F.lit("")).rlike(r"^[\[{]"), raw(n)).alias(n) for n in ("title", "date", "abstract")], words.alias("keywords"), authors.alias("authors"), custom.alias("custom"), body.alias("body"))

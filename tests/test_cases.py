@@ -297,3 +297,82 @@ def test_package(spark):
     want += '<table>\n<thead>\n<tr><th><p>A</p>\n</th><th><p>B</p>\n</th></tr>\n</thead>\n<tbody>\n<tr><td rowspan="2"><p>1</p>\n</td><td><p>2</p>\n</td></tr>\n<tr><td><p>3</p>\n</td></tr>\n</tbody>\n</table>\n<aside id="fn-2" class="footnote" role="note">\n<p>note</p>\n</aside>\n'
     assert {x["doc_id"]: x["text"] for x in render_documents(blocks.where("kind != 'error'"), None, "html").collect()} == {1: want}
     assert {x["doc_id"] for x in blocks.where("kind = 'error'").collect()} == {2, 3}
+
+
+YAML = [
+    ("a: 1\nb:\n- x\n- 'it''s'\nc: # none\n", '{"a":1,"b":["x","it\'s"],"c":null}'),
+    ("a:\n  b: [1, two, {k: v, w: \"x, y\"}]\n  c:\n    - d: true\n      e: u v\n        w\n    - f\n", '{"a":{"b":[1,"two",{"k":"v","w":"x, y"}],"c":[{"d":true,"e":"u v w"},"f"]}}'),
+    ("- 1\n- - 2\n  - 3\n- b: -1.5\n", "[1,[2,3],{\"b\":-1.5}]"),
+    ("t: |\n  one\n    two\n\n  # three\ng: >-\n  x\n  y\nu: http://h/#a\n", '{"t":"one\\n  two\\n\\n# three\\n","g":"x y\\n","u":"http://h/#a"}'),
+    ('k: "q \\" \\n z"\n"a b": 007', '{"k":"q \\" \\n z","a b":"007"}'),
+    ("a: 1\na: 2", None), ("", None), (None, None), ("only text", None),
+]
+
+
+def test_yaml(spark):
+    from leafmill.functions.yaml import yaml_json
+
+    df = spark.createDataFrame([(i, text) for i, (text, _) in enumerate(YAML)], "i int, text string")
+    got = {r.i: r.j for r in df.select("i", yaml_json(F.col("text")).alias("j")).collect()}
+    assert [got[i] for i in range(len(YAML))] == [want for _, want in YAML]
+
+
+def test_nested_metadata(spark):
+    from leafmill.sources.markdown import document_metadata
+
+    docs = [
+        (1, "---\nauthors:\n  - name: Ann\n    orcid: '0000'\n  - Bo\ndescription: d\nkeywords: a, b\nx: {y: [1, z]}\n---\nbody ---\nmore"),
+        (2, "---\n---\nb"), (3, None), (4, "no ---\nx"), (5, "---\nauthor: {name: X}\ntitle: 2026\n---"),
+    ]
+    out = document_metadata(spark.createDataFrame(docs, "doc_id int, text string")).withColumn("custom", F.to_json("custom"))
+    got = {r.doc_id: r for r in out.collect()}
+    assert [tuple(a) for a in got[1].authors] == [("Ann", None, None, "0000"), ("Bo", None, None, None)]
+    assert (got[1].abstract, got[1].keywords, got[1].custom, got[1].body) == ("d", ["a", "b"], '{"x":{"y":[1,"z"]}}', "body ---\nmore")
+    assert (got[2].body, got[2].title, got[3].body, got[4].body) == ("b", None, "", "no ---\nx")
+    assert (got[5].authors, got[5].title, got[5].body) == (None, "2026", "")
+
+
+def test_tree_of_a_document(spark):
+    import json
+
+    from leafmill.operators.tree import tree_json
+    from leafmill.sources.markdown import markdown_documents
+
+    text = 'x[^n] ![a](i "t") "q *e*"\n\n---\n\n| A |\n|--:|\n| **b** |\n\n[^n]: > in\n'
+    out = tree_json(markdown_documents(spark.createDataFrame([(1, text), (2, ""), (3, None)], "doc_id int, text string"))).collect()
+    assert [r.doc_id for r in out] == [1]
+    first, rule, table, note = json.loads(out[0].json)["content"]
+    word = lambda s: {"type": "Text", "value": s}
+    assert first["content"][:3] == [word("x"), {"type": "FootnoteRef", "id": "n"}, word(" ")]
+    assert {"type": "Image", "url": "i", "title": "t", "alt": [word("a")]} in first["content"]
+    assert rule == {"type": "ThematicBreak"}
+    assert table["cells"][1] == {"section": "tbody", "row": 0, "col": 0, "align": "right", "content": [{"type": "Strong", "content": [word("b")]}]}
+    assert note == {"type": "FootnoteDef", "id": "n", "content": [{"type": "BlockQuote", "content": [{"type": "Paragraph", "content": [word("in")]}]}]}
+
+
+def test_yaml_library(spark):
+    from leafmill.sources.citations import merge_libraries, read_bibtex, read_yaml_library
+
+    text = "# c\nk:\n  type: Article\n  title: {value: T, short: t}\n  author:\n    - name: B\n      given-name: J\n  date: 1997-06\n  parent:\n    - title: M\n      volume: 13\nbad: 1\n'l m':\n  title: U\n"
+    rows = [(1, 1, text), (1, 2, "k:\n  title: later\n"), (1, 3, None)]
+    lib = read_yaml_library(spark.createDataFrame(rows, "library_id int, ord int, text string"))
+    bib = read_bibtex(spark.createDataFrame([(1, 1, "@book{b, title={V}}")], "library_id int, ord int, text string"))
+    got = {r.key: (r.entry_type, r.fields) for r in merge_libraries(lib.drop("library_id"), bib.drop("library_id")).collect()}
+    assert got == {"k": ("misc", {"title": "later"}), "l m": ("misc", {"title": "U"}), "b": ("book", {"title": "V"})}
+    first = read_yaml_library(spark.createDataFrame(rows[:1], "library_id int, ord int, text string")).where("key = 'k'").first()
+    assert (first.entry_type, first.fields) == ("article", {"title": "T", "author": "B, J", "year": "1997", "journal": "M", "volume": "13"})
+
+
+def test_whole_libraries_in_blocks(spark):
+    from leafmill.operators import cite
+
+    n = cite.BLOCK * 2 + 1
+    lib = spark.range(n).select(F.concat(F.lit("k"), "id").alias("key"), F.lit("book").alias("entry_type"), F.create_map(F.lit("author"), F.format_string("A%05d", "id"), F.lit("year"), F.lit("1"), F.lit("title"), F.lit("t")).alias("fields"))
+    cited = spark.createDataFrame([(1, "k2"), (1, "k1"), (1, "none")], "doc_id int, key string")
+    asked = spark.createDataFrame([(2, "@*"), (2, "@k1"), (3, "@k3")], "doc_id int, key string")
+    assert {r.doc_id: r.n for r in cite.nocite_union(cited, asked, lib).groupBy("doc_id").agg(F.count("*").alias("n")).collect()} == {1: 3, 2: n, 3: 1}
+    got = {r.doc_id: r.bibliography.split("\n") for r in cite.bibliography(cited, lib, nocite=asked).collect()}
+    assert got[1] == ["A00001. 1. t.", "A00002. 1. t."] and got[3] == ["A00003. 1. t."]
+    assert got[2] == [f"A{i:05d}. 1. t." for i in range(n)]
+    empty = lib.limit(0)
+    assert cite.bibliography(cited, empty, nocite=asked).count() == 0 and cite.nocite_union(cited, asked, empty).where("doc_id = 2").count() == 1
