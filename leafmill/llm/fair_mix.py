@@ -93,7 +93,7 @@ def mixed_documents(docs: DataFrame, weights: Column, epochs: int = 3) -> DataFr
     taken = small(taken, SMALL_DOCS)
     same = docs["doc_id"].eqNullSafe(taken["_id"]) & (F.hash(docs["text"]) == taken["_mark"]) & docs["source"].eqNullSafe(taken["_source"])
     each = F.explode(F.sequence(F.lit(1), taken["copies"])).alias("_copy")
-    numbered = docs.join(taken, same).select(*[docs[c].alias(f"_c{i}") for i, c in enumerate(docs.columns)], each)
+    numbered = docs.join(taken, same).select(*[docs[f"`{c}`"].alias(f"_c{i}") for i, c in enumerate(docs.columns)], each)
     return numbered.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 

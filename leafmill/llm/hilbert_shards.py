@@ -82,26 +82,36 @@ def shard_by_hilbert(docs: DataFrame, cells: list[Column], bits: int, ties: list
     return ranked.withColumn("shard", shard.cast("int")).select(*columns, "hilbert", "shard", (F.col("_rank") - first).alias("slot"))
 
 
+#: Columns that sharding adds.
+RESULT = ["size", "text_crc32", "hilbert", "shard", "slot"]
+
+
 def shard_documents(docs: DataFrame, shards: int = 8, bits: int = 5, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Shards of a table of documents by source, language and text size; the law is `rows`.
 
     Rows of equal texts count as of their least source and language, so they lie side by side on the curve; only a
     cut may part them, since no shard may have two rows more than another. Every column may be null: a null
     text has size 1 and the checksum of the empty text. Repeated rows get slots of their own; long texts are
-    only measured; an empty table gives no rows; columns other than `keep` may have any names.
+    only measured, unless they are kept; an empty table gives no rows. Columns of `keep` may have any names: one that is
+    called like a column of RESULT, in any case, gives way to it.
     """
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    sized = docs.select(*keep, F.col("source").alias("_source"), F.col("lang").alias("_lang"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.md5(text).alias("_text"))
+    row = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)])
+    sized = docs.select(row.alias("_row"), F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("lang").alias("_lang"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.md5(text).alias("_text"))
     groups = sized.groupBy("_text").agg(F.min("_source").alias("_s"), F.min("_lang").alias("_l"), F.count("*").alias("_n")).where("_n > 1")
     sized = sized.join(small(groups, SMALL_GROUPS), "_text", "left")
     of_group = lambda a, b: F.when(F.col("_n").isNull(), F.col(a)).otherwise(F.col(b))
     cells = [quantise_category(of_group("_source", "_s"), bits), quantise_category(of_group("_lang", "_l"), bits), quantise_size(F.col("size"), bits)]
-    ties = [F.col("text_crc32"), F.col("size"), F.xxhash64(F.col("doc_id")), F.col("doc_id")]
-    return shard_by_hilbert(sized, cells, bits, ties, shards, [*keep, "size", "text_crc32"])
+    ties = [F.col("text_crc32"), F.col("size"), F.xxhash64(F.col("_id")), F.col("_id")]
+    placed = shard_by_hilbert(sized, cells, bits, ties, shards, ["_row", "size", "text_crc32"])
+    return placed.select(*[F.col(f"_row.c{i}").alias(c) for i, c in enumerate(keep) if c.lower() not in RESULT], *RESULT)
 
 
 def write_shards(sharded: DataFrame, path: str) -> None:
-    """Writes each shard as a folder of its own, in the order of its slots, so that readers that filter by what the curve is made of skip shards and parts of files."""
+    """Writes each shard as a folder of its own, in the order of its slots, so that readers that filter by what the curve is made of skip shards and parts of files.
+
+    An empty table gives an empty folder. A folder that is there already is an error.
+    """
     sharded.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
 
 

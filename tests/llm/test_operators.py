@@ -627,10 +627,47 @@ def test_pipeline_on_odd_rows(spark, small, odd, none):
         kept = docs.withColumns({"n_chars": F.length("text"), **clash})
         for name, stage in pipeline.STAGES:
             before, kept = kept.columns, stage(spark, kept, small)
-            assert name == "shards" or sorted(kept.columns) == sorted(before), name
+            result = hilbert_shards.RESULT if name == "shards" else []
+            assert sorted(kept.columns) == sorted([c for c in before if c not in result] + result), name
         assert {r["doc_id"] for r in kept.collect()} <= want | {6}
 
 
+@pytest.mark.parametrize("empty", [False, True])
+def test_pipeline_runs_on_odd_tables(spark, tmp_path, odd, none, empty):
+    """run() itself: nulls, repeated rows, clashing and further columns, no labels and no benchmark items."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    words = " ".join(f"w{i}" for i in range(80))
+    good = spark.createDataFrame([(20, words, "s", "en"), (21, words.upper(), "t", None), (22, words.replace("w", "v"), None, "de")], DOC)
+    docs = none if empty else odd.unionByName(good)
+    docs.withColumns({"Shard": F.lit("x"), "slot": F.lit(None).cast("string"), "_row": F.lit(1), "a.b": F.lit(2)}).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    out = pipeline.run(spark, str(tmp_path))
+    assert out.columns == ["doc_id", "text", "source", "lang", "_row", "a.b", *hilbert_shards.RESULT]
+    rows = out.collect()
+    ids = {r["doc_id"] for r in rows}  # 21 is alike to 20; the mixture may take none of the lighter source
+    assert ids <= {20, 22} and (20 in ids) != empty and all((r["_row"], r["a.b"]) == (1, 2) for r in rows)
+    assert {r["text"] for r in rows if r["doc_id"] == 20} <= {words}
+
+
+def test_readers_skip_shards(spark, tmp_path, odd):
+    kept = hilbert_shards.shard_documents(odd, shards=3, keep=("doc_id", "text", "source", "lang"))
+    hilbert_shards.write_shards(kept, f"{tmp_path}/shards")
+    back = spark.read.parquet(f"{tmp_path}/shards")
+    assert sorted(map(str, back.select(*kept.columns).collect())) == sorted(map(str, kept.collect()))
+    spans = kept.groupBy("shard").agg(F.min("hilbert").alias("lo"), F.max("hilbert").alias("hi")).orderBy("shard").collect()
+    assert all(a["hi"] <= b["lo"] for a, b in zip(spans, spans[1:], strict=False))
+    files = back.where(F.col("shard") == 1).select(F.input_file_name().alias("f")).distinct().collect()
+    assert files and all("shard=1/" in r["f"] for r in files)
+
+
+def test_kept_columns_may_have_any_name(spark, odd):
+    clash = odd.withColumns({"Size": F.lit("x"), "_text": F.lit(1), "_s": F.lit(2), "_n": F.lit(3), "_t0": F.lit(4)})
+    out = hilbert_shards.shard_documents(clash, keep=tuple(clash.columns))
+    assert out.columns == ["doc_id", "text", "source", "lang", "_text", "_s", "_n", "_t0", *hilbert_shards.RESULT]
+    assert all((r["_text"], r["_s"], r["_n"], r["_t0"]) == (1, 2, 3, 4) for r in out.collect()) and out.count() == len(ODD)
+
+
 def test_pipeline(spark, small):
     pipeline = pytest.importorskip("corpus_pipeline")
     docs = spark.read.parquet(f"{small}/documents.parquet")
