@@ -16,29 +16,44 @@ from leafmill.llm.quality_forest import fit_forest, score_quality
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and are no anomaly to the forest; null and empty texts fail them."""
+    """Documents that pass the base rules and are no anomaly to the forest; null and empty texts fail them.
+
+    Repeated rows are judged alike; without labels, or without documents that have any, the forest rejects nothing.
+    """
     forest, threshold = fit_forest(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return score_quality(docs, forest, threshold, docs.columns, only_kept=True)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by five-word shingles with a Jaccard index of 0.8 or more: that of the least id; null ids come first."""
+    """One document of each group linked by five-word shingles with a Jaccard index of 0.8 or more: that of the least id; null ids come first.
+
+    Of rows alike in id and text one stays; texts without words are no group. Ids are integers.
+    """
     return keep_one(docs)
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the words that they share with benchmark items, ten or more in a row; null texts stay."""
+    """Documents without the words that they share with benchmark items, ten or more in a row; null texts stay.
+
+    Rows of which these are more than half go. An empty benchmark takes nothing away; repeated rows are cut alike.
+    """
     return remove_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mixture takes them; those without words as often as their place in the queue says."""
+    """Documents as often as the mixture takes them; those without words as often as their place in the queue says.
+
+    Null sources are a source of their own, the last; repeated rows queue one by one. An empty table gives no rows.
+    """
     return mixed_documents(docs, op7_weights())
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with their shard and slot, each copy with a slot of its own."""
-    return shard_documents(docs, keep=("doc_id", "text", "n_chars"))
+    """Documents, with all their columns, and their shard and slot, each copy with a slot of its own.
+
+    A column called like one that sharding adds gives way to it.
+    """
+    return shard_documents(docs, keep=tuple(docs.columns))
 
 
 STAGES = [
