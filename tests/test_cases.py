@@ -376,3 +376,9 @@ def test_whole_libraries_in_blocks(spark):
     assert got[2] == [f"A{i:05d}. 1. t." for i in range(n)]
     empty = lib.limit(0)
     assert cite.bibliography(cited, empty, nocite=asked).count() == 0 and cite.nocite_union(cited, asked, empty).where("doc_id = 2").count() == 1
+
+
+def test_pages_read_only_references_with_a_semicolon():
+    blocks = html.parse_page('<h1>A &amp; B &lt;i&gt; &#65;&#x42; &copy &nosuch; and&&amp;&amp</h1><p><a href="x?a=1&copy=2&amp;b=&quot;">c &notit; d</a>')
+    assert [b["text"] for b in blocks] == ["A & B <i> AB &copy &nosuch; and&&&amp", "c &notit; d"]
+    assert blocks[1]["inlines"][0]["url"] == 'x?a=1&copy=2&b="'
