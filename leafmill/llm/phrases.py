@@ -21,6 +21,8 @@ from leafmill.llm.hashing import Hashes, mixed
 BLOCK, SHARD = 2 << 20, 32 << 20
 #: A-Z lower-cased, ends of pieces a line feed, spaces and tabs a space.
 PLAIN = bytes(c + 32 if 65 <= c <= 90 else 10 if c in b".,;:!?" or 10 <= c <= 13 else 32 if c == 9 else c for c in range(256))
+#: The least and the most bits of the hash that picks a phrase's cell.
+BITS = 20, 28
 #: The step of a phrase that has not reached the threshold.
 NEVER = 255
 #: A table of no more rows is broadcast.
@@ -122,7 +124,8 @@ def _counted(shared, bits: int, step: int, shards: int, longest: int):
                     if k == longest:
                         break
                     when = np.full(len(ends) + 1, NEVER, np.uint8)
-                    when[at] = reached[h >> np.uint64(64 - bits)]
+                    # no earlier than the parts of this phrase: a cell that it shares may have been reached before a block could get to it
+                    when[at] = np.maximum(reached[h >> np.uint64(64 - bits)], since)
                     at = at[(when[at] != NEVER) & (when[np.minimum(at + 1, len(ends))] != NEVER) & ~last[at]]
                     at = at[at + k < len(ends)]
                     since = np.maximum(when[at], when[at + 1])
@@ -167,8 +170,8 @@ def frequent(docs: DataFrame, least: int, longest: int, shards: int, written: Wr
 
     Which phrases have reached the threshold, and in which step, is sent to the tasks as a table of one byte for
     each of 2**bits cells of a hash; there are a few cells for 16 words of the corpus, between 2**20 and 2**28. Phrases that
-    share a cell may become active too early or without need; they are counted for a full cycle and dropped if rare, so
-    the result does not depend on it. The bit maps that come back to the driver have that same size.
+    share a cell may become active too early or without need, but none before all its parts; they are counted for a full
+    cycle and dropped if rare, so the result does not depend on it. The bit maps that come back to the driver have that same size.
     """
     import numpy as np
 
@@ -178,7 +181,7 @@ def frequent(docs: DataFrame, least: int, longest: int, shards: int, written: Wr
     size = blocks.agg(F.sum("n"), F.sum(F.octet_length("data")), F.count("*")).first()
     shards = min(shards, max(1, (size[1] or 0) // SHARD))
     words = blocks.groupBy("lang").agg(F.sum("n").alias("n"))
-    bits = min(28, max(20, ((size[0] or 1) // 16).bit_length()))
+    bits = min(BITS[1], max(BITS[0], ((size[0] or 1) // 16).bit_length()))
     chunk = min(bits, 20)
     reached = np.full(1 << bits, NEVER, np.uint8)
     carried, done, step, latest = None, [], 0, 0

@@ -750,6 +750,17 @@ def test_collocations(spark, monkeypatch, shards, block):
     assert any(r[2] == "new york city hall" for r in got) and not any(r[2] == "york city" for r in got)
 
 
+def test_phrases_that_share_cells_are_counted(spark, monkeypatch):
+    monkeypatch.setattr(phrases, "BITS", (3, 3))
+    monkeypatch.setattr(phrases, "SHARD", 1)
+    rng = random.Random(8)
+    rows = [("en", "so " * 9 + " ".join(rng.choice("abcdefghij") for _ in range(40))) for _ in range(30)]
+    df = spark.createDataFrame(rows, "lang string, text string").repartition(3)
+    for shards in (1, 3):
+        got = [tuple(r) for r in phrases.collocations(df, least=3, shards=shards).collect()]
+        assert sorted(got) == plain_collocations(rows, 3, 5, 2000)
+
+
 def test_collocations_none(spark, none):
     assert phrases.collocations(none).count() == 0
 
