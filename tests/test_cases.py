@@ -382,3 +382,17 @@ def test_pages_read_only_references_with_a_semicolon():
     blocks = html.parse_page('<h1>A &amp; B &lt;i&gt; &#65;&#x42; &copy &nosuch; and&&amp;&amp</h1><p><a href="x?a=1&copy=2&amp;b=&quot;">c &notit; d</a>')
     assert [b["text"] for b in blocks] == ["A & B <i> AB &copy &nosuch; and&&&amp", "c &notit; d"]
     assert blocks[1]["inlines"][0]["url"] == 'x?a=1&copy=2&b="'
+
+
+def test_a_whole_library_is_not_shuffled_for_each_document(spark):
+    from leafmill.operators import cite
+
+    lib = spark.range(50).select(F.concat(F.lit("k"), F.col("id") % 40).alias("key"), F.lit("book").alias("entry_type"), F.create_map(F.lit("author"), F.lit("A"), F.lit("year"), F.lit("1"), F.lit("title"), F.lit("t")).alias("fields"))
+    cited = spark.createDataFrame([(2, "k2"), (2, "none"), (None, "k1")], "doc_id int, key string")
+    asked = spark.createDataFrame([(2, "@*"), (2, "@k1"), (3, "@k3"), (3, "@k3")], "doc_id int, key string")
+    union = cite.nocite_union(cited, asked, lib)
+    got = sorted((r.doc_id or 0, r.key) for r in union.collect())
+    assert got == sorted([(2, f"k{i}") for i in range(40)] + [(2, "none"), (3, "k3"), (0, "k1")])
+    assert not union._jdf.queryExecution().optimizedPlan().nodeName().startswith("Aggregate")
+    plan = cite.bibliography(cited, lib, nocite=asked)._jdf.queryExecution().optimizedPlan().toString()
+    assert "_copy" in plan
