@@ -9,6 +9,8 @@ from typing import ClassVar
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from leafmill.tables import bounded_batches, give_back, task  # noqa: F401
+
 #: Words as the contracts define them: runs without ASCII white space.
 SPACE_WORD = r"[^\x20\x09-\x0D]+"
 #: Words of letters and digits, after A-Z has been lower-cased.
@@ -81,38 +83,6 @@ def free_shuffles(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
-def bounded_batches(spark: SparkSession, size: int = 4 << 20) -> None:
-    """Has Spark send Python batches of about `size` bytes, so that long texts do not make them large.
-
-    Frames are lazy, so this stays set in the session; a size that the session has set itself is kept.
-    """
-    name, unset = "spark.sql.execution.arrow.maxBytesPerBatch", "7"
-    if spark.conf.get(name, unset) == unset:
-        spark.conf.set(name, str(size))
-
-
-def give_back() -> None:
-    """Returns memory that a Python worker has freed to the system, since workers live on for later tasks."""
-    import ctypes
-
-    import pyarrow as pa
-
-    pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-    if trim:
-        trim(0)
-
-
-def task(f):
-    """`f` over a partition's batches; freed memory is given back after it."""
-
-    def run(batches):
-        yield from f(batches)
-        give_back()
-
-    return run
-
-
 def lower_ascii(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 

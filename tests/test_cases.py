@@ -396,3 +396,13 @@ def test_a_whole_library_is_not_shuffled_for_each_document(spark):
     assert not union._jdf.queryExecution().optimizedPlan().nodeName().startswith("Aggregate")
     plan = cite.bibliography(cited, lib, nocite=asked)._jdf.queryExecution().optimizedPlan().toString()
     assert "_copy" in plan
+
+
+def test_pages_are_parsed_in_small_batches():
+    import pyarrow as pa
+
+    n = html.PAGES * 2 + 1
+    whole = pa.RecordBatch.from_arrays([pa.array(range(n)), pa.array([f"<p>{i}" for i in range(n - 1)] + [None])], names=["page_id", "html"])
+    got = list(html._parsed("page_id", False)(iter([whole])))
+    assert [len(b) for b in got] == [html.PAGES, html.PAGES, 1]
+    assert [b[0]["text"] if b else None for g in got for b in g.column(1).to_pylist()] == [str(i) for i in range(n - 1)] + [None]
