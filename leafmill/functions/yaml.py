@@ -10,6 +10,7 @@ from leafmill.functions.inlines import let
 #: A step of a path: the name of a field, or an item of a list with its place as name.
 STEP = "struct<name:string,item:boolean>"
 OPEN = "array<struct<at:int,name:string,item:boolean>>"
+TOKENS = "array<struct<at:int,kind:string,name:string,value:string>>"
 ENTRY = f"struct<path:array<{STEP}>,value:string,style:string>"
 #: `name:` at the beginning of what a line says; names may be in quotes.
 PAIR = r"^(\"(?:[^\"\\]|\\.)*\"|'(?:[^']|'')*'|[^\s\[\]{},#&*!|>'\"%@`-][^:#]*?|-[^\s:][^:#]*?)\s*:(?:\s+(.*))?$"
@@ -18,8 +19,7 @@ FLOW = r"\"(?:[^\"\\]|\\.)*\"|'(?:[^']|'')*'|[\[\]{},]|:(?=[\s\[\{\"']|$)|(?:[^\
 
 def json_string(c: Column) -> Column:
     """A string as JSON writes it."""
-    quoted = F.to_json(F.array(c))
-    return F.substring(quoted, F.lit(2), F.length(quoted) - 2)
+    return let(F.to_json(F.array(c)), lambda quoted: F.substring(quoted, F.lit(2), F.length(quoted) - 2))
 
 
 def unquoted(c: Column) -> Column:
@@ -36,24 +36,31 @@ def scalar(c: Column) -> Column:
 
 def flow(c: Column) -> Column:
     """A list or map in brackets as JSON; null if it does not come out as such."""
-    tokens = F.transform(F.regexp_extract_all(c, F.lit(FLOW), 0), lambda t: F.trim(t))
-    said = F.transform(tokens, lambda t, i: F.when(t.rlike(r"^[\[\]{},:]$"), t).when(F.get(tokens, i + 1) == ":", json_string(unquoted(t))).otherwise(scalar(t)))
-    made = F.array_join(said, "")
-    return F.when(F.try_parse_json(made).isNotNull(), made)
+    found = F.transform(F.regexp_extract_all(c, F.lit(FLOW), 0), lambda t: F.trim(t))
+    said = lambda tokens: F.transform(tokens, lambda t, i: F.when(t.isin("[", "]", "{", "}", ",", ":"), t).when(F.get(tokens, i + 1) == ":", json_string(unquoted(t))).otherwise(scalar(t)))
+    return let(F.array_join(let(found, said), ""), lambda made: F.when(F.try_parse_json(made).isNotNull(), made))
 
 
 def _tokens(line: Column) -> Column:
     """What a line says: a token for each dash it begins with, then a pair or a scalar, each with its column."""
-    lead = F.regexp_extract(line, r"^( *(?:- +|-$)*)", 1)
-    dashes = F.filter(F.transform(F.sequence(F.lit(1), F.greatest(F.length(lead), F.lit(1))), lambda i: F.when(F.substring(lead, i, F.lit(1)) == "-", (i - 1).cast("int"))), lambda i: i.isNotNull())
-    rest = F.rtrim(F.substring(line, F.length(lead) + 1, F.length(line)))
-    rest = F.when(rest.rlike(r"^[\"']|^[\w -]+:\s+[\"']"), rest).otherwise(F.trim(F.regexp_replace(rest, r"(?:^|\s+)#.*$", "")))
-    is_pair = rest.rlike(PAIR)
-    token = lambda at, kind, name, value: F.struct(at.cast("int").alias("at"), F.lit(kind).alias("kind"), name.cast("string").alias("name"), value.cast("string").alias("value"))
     null = F.lit(None)
-    pair = token(F.length(lead), "pair", unquoted(F.regexp_extract(rest, PAIR, 1)), F.trim(F.regexp_extract(rest, PAIR, 2)))
-    own = F.when(rest == "", F.array().cast("array<struct<at:int,kind:string,name:string,value:string>>")).when(is_pair, F.array(pair)).otherwise(F.array(token(F.length(lead), "scalar", null, rest)))
-    return F.concat(F.transform(dashes, lambda a: token(a, "item", null, null)), own)
+    token = lambda at, kind, name, value: F.struct(at.cast("int").alias("at"), F.lit(kind).alias("kind"), name.cast("string").alias("name"), value.cast("string").alias("value"))
+
+    def after(lead: Column) -> Column:
+        places = F.filter(F.transform(F.split(lead, ""), lambda c, i: F.when(c == "-", i)), lambda i: i.isNotNull())
+        dashes = F.when(F.contains(lead, F.lit("-")), F.transform(places, lambda a: token(a, "item", null, null))).otherwise(F.array().cast(TOKENS))
+        rest = F.rtrim(F.substring(line, F.length(lead) + 1, F.length(line)))
+        return F.concat(dashes, let(let(rest, uncommented), lambda said: own(lead, said)))
+
+    def uncommented(rest: Column) -> Column:
+        bare = F.when(F.contains(rest, F.lit("#")), F.regexp_replace(rest, r"(?:^|\s+)#.*$", "")).otherwise(rest)
+        return F.when(rest.rlike(r"^[\"']|^[\w -]+:\s+[\"']"), rest).otherwise(F.trim(bare))
+
+    def own(lead: Column, rest: Column) -> Column:
+        pair = token(F.length(lead), "pair", let(F.regexp_extract(rest, PAIR, 1), unquoted), F.trim(F.regexp_extract(rest, PAIR, 2)))
+        return F.when(rest == "", F.array().cast(TOKENS)).when(rest.rlike(PAIR), F.array(pair)).otherwise(F.array(token(F.length(lead), "scalar", null, rest)))
+
+    return let(F.regexp_extract(line, r"^( *(?:- +|-$)*)", 1), after)
 
 
 def yaml_entries(text: Column) -> Column:
@@ -66,7 +73,7 @@ def yaml_entries(text: Column) -> Column:
     begin = F.struct(F.array().cast(OPEN).alias("open"), F.array().cast(f"array<{ENTRY}>").alias("out"), F.lit(-1).alias("block"))
 
     def state(open_: Column, out: Column, block: Column) -> Column:
-        return F.struct(open_.cast(OPEN).alias("open"), out.cast(f"array<{ENTRY}>").alias("out"), block.cast("int").alias("block"))
+        return F.struct(open_.alias("open"), out.alias("out"), block.cast("int").alias("block"))
 
     def more(a: Column, said: Column, sep: str) -> Column:
         """The last value with another line."""
@@ -74,7 +81,7 @@ def yaml_entries(text: Column) -> Column:
         last = F.get(a["out"], n - 1)
         value = F.when(F.coalesce(last["value"], F.lit("")) == "", said).otherwise(F.concat(last["value"], F.lit(sep), said))
         new = F.struct(last["path"].alias("path"), value.alias("value"), last["style"].alias("style"))
-        return F.when(n > 0, F.concat(F.slice(a["out"], F.lit(1), n - 1), F.array(new).cast(f"array<{ENTRY}>"))).otherwise(a["out"])
+        return F.when(n > 0, F.concat(F.slice(a["out"], F.lit(1), n - 1), F.array(new))).otherwise(a["out"])
 
     def put(a: Column, t: Column) -> Column:
         kept = F.filter(a["open"], lambda o: (o["at"] < t["at"]) | ((t["kind"] == "item") & (o["at"] == t["at"])))
@@ -84,11 +91,11 @@ def yaml_entries(text: Column) -> Column:
             again = F.coalesce((F.size(kept) > 0) & (t["kind"] == "item") & F.try_element_at(kept, F.lit(-1))["item"] & (F.try_element_at(kept, F.lit(-1))["at"] == t["at"]), F.lit(False))
             name = F.when(t["kind"] == "pair", t["name"]).when(again, (top["name"].cast("int") + 1).cast("string")).otherwise("0")
             under = F.when(again, F.slice(kept, F.lit(1), F.size(kept) - 1)).otherwise(kept)
-            new = F.concat(under.cast(OPEN), F.array(F.struct(t["at"].alias("at"), name.alias("name"), (t["kind"] == "item").alias("item"))).cast(OPEN))
+            new = F.concat(under, F.array(F.struct(t["at"].alias("at"), name.alias("name"), (t["kind"] == "item").alias("item"))))
             style = F.regexp_extract(F.coalesce(t["value"], F.lit("")), r"^([|>])[+-]?$", 1)
             value = F.when(style == "", F.nullif(t["value"], F.lit("")))
             entry = let(new, lambda n: F.array(F.struct(F.transform(n, lambda o: F.struct(o["name"].alias("name"), o["item"].alias("item"))).alias("path"), value.alias("value"), F.nullif(style, F.lit("")).alias("style"))))
-            return state(new, F.concat(a["out"], entry.cast(f"array<{ENTRY}>")), F.when(style != "", t["at"]).otherwise(-1))
+            return state(new, F.concat(a["out"], entry), F.when(style != "", t["at"]).otherwise(-1))
 
         return F.when(t["kind"] == "scalar", state(a["open"], more(a, t["value"], " "), a["block"])).otherwise(let(kept, on))
 
@@ -139,4 +146,4 @@ def yaml_json(text: Column) -> Column:
         return F.concat(F.array_join(F.transform(es, one), ""), closed(F.element_at(es, -1)["path"]))
 
     made = let(yaml_entries(text), lambda es: F.when(F.size(es) > 0, written(es)))
-    return F.when(F.try_parse_json(made).isNotNull(), made)
+    return let(made, lambda m: F.when(F.try_parse_json(m).isNotNull(), m))

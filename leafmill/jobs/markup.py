@@ -11,6 +11,7 @@ from leafmill.jobs.pages import LINES, lines
 from leafmill.operators.documents import render_documents
 from leafmill.operators.render import in_order
 from leafmill.sources import docx, latex, markdown, typst
+from leafmill.tables import spread
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -162,7 +163,7 @@ def nested(spark, d):
     authors = F.when(k % 4 == 1, F.concat(F.lit("author:\n  - name: Jane "), k, F.lit("\n    affiliation: "), "p_brand", F.lit("\n  - 'Joe'\n"))).when(k % 4 == 2, F.concat(F.lit("author: Solo "), k, F.lit("\n"))).otherwise(F.concat(F.lit("authors: [A, {name: B "), k, F.lit("}]\n")))
     head = F.concat(F.lit('---\ntitle: "A: '), "p_name", F.lit('"\n'), authors, F.lit("abstract: >\n  First "), k, F.lit("\n  line\n\n  last\ntags: ["), F.lower("p_type"), F.lit(", "), "p_size", F.lit(', "x, y"]\nlayout:\n  size: '), "p_size", F.lit(" # of a part\n  parts:\n  - {name: "), "p_type", F.lit(", ok: true}\n  - null\n---\n"))
     text = F.concat(F.when(k % 4 == 0, "").otherwise(head), F.lit("Body "), k)
-    return spark.read.parquet(f"{d}/part.parquet").select(k.alias("doc_id"), text.alias("text"))
+    return spread(spark.read.parquet(f"{d}/part.parquet").select("p_partkey", "p_name", "p_brand", "p_type", "p_size")).select(k.alias("doc_id"), text.alias("text"))
 
 
 @query("c17_nested_metadata", """SELECT doc_id, body, CASE WHEN m THEN title END AS title, CASE WHEN m THEN abstract END AS abstract, CASE WHEN m THEN keywords END AS keywords, CASE WHEN m THEN authors END AS authors, CASE WHEN m THEN custom END AS custom FROM (

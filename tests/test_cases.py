@@ -406,3 +406,15 @@ def test_pages_are_parsed_in_small_batches():
     got = list(html._parsed("page_id", False)(iter([whole])))
     assert [len(b) for b in got] == [html.PAGES, html.PAGES, 1]
     assert [b[0]["text"] if b else None for g in got for b in g.column(1).to_pylist()] == [str(i) for i in range(n - 1)] + [None]
+
+
+def test_yaml_is_read_once_and_in_many_tasks(spark, small):
+    from leafmill.functions.yaml import flow, yaml_json
+    from leafmill.jobs import registry
+
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    texts = spark.createDataFrame([("a: 1",)], "text string")
+    assert plan(texts.select(yaml_json(F.col("text")).alias("j"))).count("aggregate(") == 2  # one over the lines, one over what a line says
+    assert plan(texts.select(flow(F.col("text")).alias("j"))).count("regexp_extract_all(") == 1
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert registry.QUERIES["c17_nested_metadata"](spark, small).rdd.getNumPartitions() == n
