@@ -418,3 +418,4 @@ def test_yaml_is_read_once_and_in_many_tasks(spark, small):
     assert plan(texts.select(flow(F.col("text")).alias("j"))).count("regexp_extract_all(") == 1
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert registry.QUERIES["c17_nested_metadata"](spark, small).rdd.getNumPartitions() == n
+    assert f"Repartition {n}, true" in plan(registry.QUERIES["a34_read_yaml_library"](spark, small))
