@@ -419,3 +419,10 @@ def test_yaml_is_read_once_and_in_many_tasks(spark, small):
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert registry.QUERIES["c17_nested_metadata"](spark, small).rdd.getNumPartitions() == n
     assert f"Repartition {n}, true" in plan(registry.QUERIES["a34_read_yaml_library"](spark, small))
+
+
+def test_order_tables_take_one_shuffle(spark, small):
+    from leafmill.jobs import registry
+
+    plan = registry.QUERIES["b2_render_html_table"](spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
