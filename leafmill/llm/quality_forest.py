@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import bounded_batches, task, text_bytes
+from leafmill.llm.common import Written, bounded_batches, task, text_bytes
 
 SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
 SYMBOLS = b"#*$%&|<>"
@@ -18,6 +18,8 @@ STATISTICS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_wor
 SHAPE = ["n_letters", "n_upper", "n_bare_words"]
 MEASURES = [*STATISTICS, *SHAPE]
 CAPITALS, LETTERS = bytes(range(65, 91)), bytes(range(65, 91)) + bytes(range(97, 123))
+#: Anomaly scores are multiples of 1 / STEPS, so that the scores of any number of rows can be counted in a table of fixed size.
+STEPS = 1 << 16
 #: Bytes that are no letter, digit, white space or part of a non-ASCII character.
 MARKS = bytes(c for c in range(128) if c not in LETTERS + b"0123456789" + SPACES)
 
@@ -73,19 +75,23 @@ def base_failures(stats):
 
 
 class IsolationForest:
-    """Trees of random splits on samples of `size` rows; anomalies have short paths from the root."""
+    """Trees of random splits on `size` rows each; anomalies have short paths from the root.
 
-    def __init__(self, rows, trees: int, size: int, seed: int):
+    Each tree draws its rows from `rows`, or grows on its part of `drawn`, one array for each tree.
+    """
+
+    def __init__(self, rows, trees: int, size: int, seed: int, drawn: list | None = None):
         import numpy as np
 
-        rng, self.size = np.random.default_rng(seed), max(2, min(size, len(rows)))
+        most = len(rows) if drawn is None else max(map(len, drawn), default=0)
+        rng, self.size = np.random.default_rng(seed), max(2, min(size, most))
         self.depth = int(np.ceil(np.log2(self.size)))
         width = 2 ** (self.depth + 1) - 1
         self.feature = np.full((trees, width), -1, np.int64)
         self.split = np.zeros((trees, width))
         self.path = np.zeros((trees, width))
-        for t in range(trees if len(rows) else 0):
-            todo = [(0, 0, rows[rng.choice(len(rows), self.size, replace=len(rows) < self.size)])]
+        for t in range(trees if most else 0):
+            todo = [(0, 0, rows[rng.choice(len(rows), self.size, replace=len(rows) < self.size)] if drawn is None else drawn[t])]
             while todo:
                 node, depth, part = todo.pop()
                 spread = part.max(0) - part.min(0)
@@ -107,7 +113,7 @@ class IsolationForest:
         return 0.0 if n < 2 else 2 * (np.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n if n > 2 else 1.0
 
     def scores(self, rows):
-        """Anomaly scores in 0 .. 1; near 1 for rows that few splits set apart."""
+        """Anomaly scores in 0 .. 1, in steps of 1 / STEPS; near 1 for rows that few splits set apart."""
         import numpy as np
 
         total, each = np.zeros(len(rows)), np.arange(len(rows))
@@ -119,7 +125,7 @@ class IsolationForest:
                 right = rows[each, np.maximum(f, 0)] > split[node]
                 node = np.where(inner, 2 * node + 1 + right, node)
             total += path[node]
-        return 2.0 ** (-total / len(self.path) / self.usual(self.size))
+        return np.floor(2.0 ** (-total / len(self.path) / self.usual(self.size)) * STEPS) / STEPS
 
 
 def statistics(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -137,47 +143,92 @@ def statistics(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     return docs.select(key, F.col(text).alias("_text")).mapInArrow(task(measure), f"`{key}` {kind}, " + ", ".join(f"{s} long" for s in MEASURES))
 
 
-def threshold_of(good, bad, lost: float) -> tuple[float, int]:
+def threshold_of(good, bad, lost: float, n_good=None, n_bad=None) -> tuple[float, int]:
     """(threshold, caught): rows of quality 0 with scores above the threshold are caught, and no more than the share `lost` of good ones lies above.
 
     As many as possible are caught; of the thresholds that catch the same rows, one halfway to the next lower
     score of any row is taken. Where none can be caught only the loss counts; without good rows nothing is above.
+    `n_good` and `n_bad` say how many rows have each score; one each if they are missing.
     """
     import numpy as np
 
     if not len(good):
         return 1.0, 0
-    least = float(np.sort(good)[len(good) - 1 - int(lost * len(good))])
-    above = bad[bad > least]
-    if not len(above):
+    order = np.argsort(good)
+    upto = np.cumsum(np.ones(len(good), np.int64) if n_good is None else n_good[order])
+    least = float(good[order][np.searchsorted(upto, upto[-1] - 1 - int(lost * upto[-1]), side="right")])
+    above = bad > least
+    if not above.any():
         return least, 0
-    below = np.concatenate([good[good < above.min()], bad[bad < above.min()]]).max()
-    return float((below + above.min()) / 2), len(above)
+    first = bad[above].min()
+    below = np.concatenate([good[good < first], bad[bad < first]]).max()
+    return float((below + first) / 2), int(above.sum() if n_bad is None else n_bad[above].sum())
 
 
-def fit_forest(docs: DataFrame, labels: DataFrame, fit_rows: int = 8192, trees: int = 100, size: int = 256, lost: float = 0.001, seed: int = 7, tries: int = 4):
-    """A forest and its threshold from labelled rows: (forest, threshold).
+def drawn_rows(seen: DataFrame, n: int, trees: int, size: int, seed: int) -> list:
+    """The features of `size` of the n rows of `seen` for each tree: those with the smallest hashes of row and tree, so any row may be drawn.
 
-    `fit_rows` bounds the labelled rows that are used: those whose ids have the smallest MD5. Only their
-    measures come to the driver. The forest samples from all of them, so it knows what is usual. The threshold
-    is set by those that pass the base rules, since it decides on no others: it catches the most rows of
-    quality 0 of which no more than the share `lost` of the rows of quality 1 is above as well. Of `tries`
-    forests with other draws the one that catches the most is taken. Without labelled rows nothing is an
-    anomaly.
+    Rows whose hash is above what one and a half times `size` rows of n have are left out before the hashes are ranked: that
+    leaves fewer than 256 of 384 once in 10**10 draws, and then a tree has fewer rows.
     """
     import numpy as np
 
+    share = min(1.0, 1.5 * size / max(n, 1))
+    at_most = (int(share * (1 << 32)) << 31) - 1
+    draw = lambda t: F.shiftrightunsigned(F.xxhash64("_row", t), 1)
+    rows = seen.withColumn("_row", F.xxhash64(F.lit(seed), "doc_id", *MEASURES))
+    rows = rows.select("_row", *MEASURES, F.explode(F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: draw(t) <= F.lit(at_most))).alias("_tree"))
+    first = F.row_number().over(Window.partitionBy("_tree").orderBy(draw(F.col("_tree")), *MEASURES))
+    got = rows.withColumn("_n", first).where(F.col("_n") <= size).select("_tree", "_n", *MEASURES).toArrow()
+    found = np.column_stack([got.column(i).to_numpy().astype(np.int64) for i in range(got.num_columns)])
+    found = found[np.lexsort((found[:, 1], found[:, 0]))]
+    ends = np.searchsorted(found[:, 0], np.arange(trees + 1))
+    return [features(found[a:b, 2:].astype(float)) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+
+
+def score_counts(seen: DataFrame, forests: list[IsolationForest]):
+    """How often each score stands, of all rows that pass the base rules: an array of forest, quality, score in STEPS and count."""
+    import numpy as np
+
+    shared = seen.sparkSession.sparkContext.broadcast(forests)
+
+    def judge(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            known = np.column_stack([c.to_numpy() for c in batch.columns])
+            known = known[~base_failures(known)]
+            seen = features(known[:, :-1].astype(float))
+            for i, forest in enumerate(shared.value):
+                steps = (forest.scores(seen) * STEPS).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(seen), i)), pa.array(known[:, -1]), pa.array(steps)], names=["forest", "quality", "step"])
+
+    rows = seen.select(*MEASURES, F.col("quality").cast("long").alias("quality"))
+    counts = rows.mapInArrow(task(judge), "forest long, quality long, step long").groupBy("forest", "quality", "step").count().toArrow()
+    return np.column_stack([counts.column(i).to_numpy().astype(np.int64) for i in range(4)])
+
+
+def fit_forest(docs: DataFrame, labels: DataFrame, trees: int = 100, size: int = 256, lost: float = 0.001, seed: int = 7, tries: int = 4):
+    """A forest and its threshold from all labelled rows: (forest, threshold).
+
+    Each tree grows on `size` rows, as an isolation forest does, drawn anew from all labelled rows, so the forest
+    knows what is usual. The threshold is set by all of them that pass the base rules, since it decides on no
+    others: it catches the most rows of quality 0 of which no more than the share `lost` of the rows of quality 1
+    is above as well. Of `tries` forests with other draws the one that catches the most is taken. Without
+    labelled rows nothing is an anomaly. The measures of labelled rows are written once; the driver gets the rows of
+    the trees and one count for each step of the scores, both of a size that does not grow with the tables.
+    """
     bounded_batches(docs.sparkSession)
+    tries, written = max(1, tries), Written(docs.sparkSession, "forest")
     chosen = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    chosen = chosen.orderBy(F.md5(F.col("doc_id").cast("string"))).limit(fit_rows)
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    rows = statistics(sample).join(chosen, "doc_id").orderBy("doc_id", *MEASURES).limit(fit_rows).select(*MEASURES, "quality").collect()
-    known = np.array([list(r) for r in rows], float).reshape(-1, len(MEASURES) + 1)
-    seen, quality, passed = features(known[:, :-1]), known[:, -1], ~base_failures(known[:, :-1])
-    best = None
-    for draw in range(seed, seed + max(1, tries)):
-        forest = IsolationForest(seen, trees, size, draw)
-        threshold, caught = threshold_of(forest.scores(seen[passed & (quality == 1)]), forest.scores(seen[passed & (quality == 0)]), lost)
+    seen = written.table(statistics(docs.select("doc_id", "text")).join(chosen, "doc_id"), "seen")
+    drawn = drawn_rows(seen, seen.count(), tries * trees, size, seed)
+    forests = [IsolationForest(None, trees, size, seed + i, drawn[i * trees : (i + 1) * trees]) for i in range(tries)]
+    counts, best = score_counts(seen, forests), None
+    written.drop("seen")
+    for i, forest in enumerate(forests):
+        good, bad = (counts[(counts[:, 0] == i) & (counts[:, 1] == q), 2:] for q in (1, 0))
+        threshold, caught = threshold_of(good[:, 0] / STEPS, bad[:, 0] / STEPS, lost, good[:, 1], bad[:, 1])
         if best is None or caught > best[0]:
             best = caught, forest, threshold
     return best[1:]

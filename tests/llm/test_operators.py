@@ -322,6 +322,21 @@ def test_forest_catches_junk(spark):
     assert len([i for i in kept if i < 1000]) >= 599 and len([i for i in kept if 1000 <= i < 2000]) <= 6
 
 
+def test_forest_learns_from_all_labels(spark):
+    n = 9000
+    word = "concat(chr(97 + CAST(pmod(xxhash64(id, i), 26) AS INT)), repeat('b', CAST(pmod(xxhash64(i, id), 5 + id % 4) AS INT)), CASE WHEN pmod(xxhash64(id, i, 1), 60) < id % 3 THEN '#' ELSE '' END)"
+    docs = spark.range(n).selectExpr("id AS doc_id", f"array_join(transform(sequence(1, CAST(55 + id % 40 AS INT)), i -> {word}), ' ') AS text")
+    labels = spark.range(n).selectExpr("id AS doc_id", "CAST(id % 90 != 0 AS INT) AS quality")
+    forest, threshold = quality_forest.fit_forest(docs, labels, trees=20, tries=1)
+    scored = [(r["anomaly"], r["doc_id"] % 90 != 0) for r in quality_forest.score_quality(docs, forest, threshold, ["doc_id"]).where("NOT base_failed").collect()]
+    assert len(scored) > 8192
+    good, bad = np.array([a for a, q in scored if q]), np.array([a for a, q in scored if not q])
+    assert threshold == quality_forest.threshold_of(good, bad, 0.001)[0] and forest.size == 256
+    seen = quality_forest.statistics(docs)
+    drawn = quality_forest.drawn_rows(seen, n, 40, 256, 7)
+    assert {len(d) for d in drawn} == {256} and len(np.unique(np.concatenate(drawn), axis=0)) > 0.5 * seen.drop("doc_id").distinct().count()
+
+
 # ---- 6 -------------------------------------------------------------------------------------------
 
 
