@@ -426,3 +426,25 @@ def test_order_tables_take_one_shuffle(spark, small):
 
     plan = registry.QUERIES["b2_render_html_table"](spark, small)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1
+
+
+def test_pieces(spark):
+    from leafmill.functions.inlines import pieces
+    from leafmill.sources import markdown, typst
+
+    texts = ["", "a", "*a*", "a *b* c", "`x`", "``a`b`` é\n@k.", "me@b.c #link(\"u[\")[t] \\\n_x_", "$a$$b$", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
+    for mark, plain_old in ((typst.MARK, typst.MARK), (typst.TYPST_INLINE, typst.TYPST_INLINE), (markdown.MARK, markdown.MARK)):
+        plain, marks = pieces(F.col("text"), mark)
+        for r in df.select(plain.alias("p"), marks.alias("m"), F.split("text", plain_old, -1).alias("q"), F.regexp_extract_all("text", F.lit(mark), 0).alias("n")).collect():
+            assert r["m"] == r["n"]
+            assert r["p"] is None and r["q"] is None or r["p"] in (r["q"], [*r["q"], ""])
+
+
+def test_inline_queries_use_no_split_by_pattern_and_all_tasks(spark, small):
+    from leafmill.jobs.registry import QUERIES
+
+    for name in ("a4_markdown_inlines", "a25_typst_inlines"):
+        df = QUERIES[name](spark, small)
+        assert df.rdd.getNumPartitions() == 4  # before, that of the file: 1
+        assert "split(" not in df._jdf.queryExecution().executedPlan().toString().lower().replace("splitting", "")
