@@ -428,6 +428,21 @@ def test_order_tables_take_one_shuffle(spark, small):
     assert plan.count("Exchange") == 1
 
 
+def test_tables_are_read_once(spark, small):
+    from leafmill.jobs import registry
+
+    for name in ("b4_markdown_table", "b7_plaintext_table"):  # before: twice and three times
+        plan = registry.QUERIES[name](spark, small)._jdf.queryExecution()
+        assert plan.optimizedPlan().toString().count("Relation [") == 1
+        assert plan.executedPlan().toString().count("Exchange") == 1
+
+
+def test_tables_with_missing_cells(spark):
+    cells = spark.createDataFrame([("thead", 0, 1, "b|", "right"), ("tbody", 0, 0, "x", None), ("tbody", 1, 2, "éé", None), ("tfoot", 0, 0, None, None)], "section string, row int, col int, text string, align string").withColumn("doc_id", F.lit(1))
+    assert render.plaintext_table(cells).first()["text"] == "+-----+-----+------+\n|     | b|  |      |\n+-----+-----+------+\n| x   |     |      |\n|     |     | éé |\n+-----+-----+------+\n|     |     |      |\n+-----+-----+------+\n"
+    assert render.markdown_table(cells.where("section = 'tbody'")).first()["markdown"] == "|  |  |\n| --- | --- |\n| x |\n| éé |\n"
+
+
 def test_pieces(spark):
     from leafmill.functions.inlines import pieces
     from leafmill.sources import markdown, typst
