@@ -321,7 +321,8 @@ def _package(names: pd.Series, texts: pd.Series) -> pd.Series:
 
 @query("a28_docx_blocks", "SELECT c_custkey AS doc_id, 0 AS pos, 'Heading1' AS style, c_name AS text, false AS bold FROM customer UNION ALL SELECT c_custkey, 1, NULL, c_mktsegment || chr(10) || 'end', true FROM customer")
 def a28(spark, d):
-    files = spark.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").alias("doc_id"), _package("c_name", "c_mktsegment").alias("data"))
+    customers = spread(spark.read.parquet(f"{d}/customer.parquet").select("c_custkey", "c_name", "c_mktsegment"))
+    files = customers.select(F.col("c_custkey").alias("doc_id"), _package("c_name", "c_mktsegment").alias("data"))
     return docx.docx_blocks(files).select("doc_id", "pos", "style", "text", "bold")
 
 

@@ -443,6 +443,12 @@ def test_tables_with_missing_cells(spark):
     assert render.markdown_table(cells.where("section = 'tbody'")).first()["markdown"] == "|  |  |\n| --- | --- |\n| x |\n| éé |\n"
 
 
+def test_packages_are_made_in_all_tasks(spark, small):
+    from leafmill.jobs import registry
+
+    assert registry.QUERIES["a28_docx_blocks"](spark, small).rdd.getNumPartitions() == 4  # before, that of the file: 1
+
+
 def test_pieces(spark):
     from leafmill.functions.inlines import pieces
     from leafmill.sources import markdown, typst
