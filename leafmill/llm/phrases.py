@@ -96,6 +96,32 @@ def salt(lang: str):
     return np.uint64(int.from_bytes(hashlib.blake2b(lang.encode(), digest_size=8).digest(), "little"))
 
 
+def different(keys):
+    """(places, counts): one place of each different key, in the order of the keys, and how often it is there."""
+    import numpy as np
+
+    order = np.argsort(keys)
+    ordered = keys[order]
+    starts = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    return order[starts], np.diff(np.append(starts, len(keys)))
+
+
+def texts_of(x, begins, ends, most: int = 32 << 20) -> Iterator:
+    """(first, end, texts) for runs of the ranges [begin, end) of UTF-8 bytes x, as Arrow strings of about `most` bytes in all."""
+    import numpy as np
+    import pyarrow as pa
+
+    sizes = ends - begins
+    run = np.cumsum(sizes) // most
+    cuts = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]])) if len(run) else np.zeros(0, np.int64)
+    for a, z in zip(cuts.tolist(), [*cuts[1:].tolist(), len(run)], strict=False):
+        offsets = np.concatenate([[0], np.cumsum(sizes[a:z])]).astype(np.int32)
+        kind = np.int32 if len(x) < 1 << 31 else np.int64
+        at = np.arange(offsets[-1], dtype=kind)
+        at += np.repeat((begins[a:z] - offsets[:-1]).astype(kind), sizes[a:z])
+        yield a, z, pa.Array.from_buffers(pa.string(), z - a, [None, pa.py_buffer(offsets), pa.py_buffer(x[at])])
+
+
 def _counted(shared, bits: int, step: int, shards: int, longest: int):
     """Blocks of a shard to the phrases active in this step, with the step since which they are, and their number in the block."""
 
@@ -115,11 +141,10 @@ def _counted(shared, bits: int, step: int, shards: int, longest: int):
                 for k in range(1, longest + 1):
                     h = mixed(hashes.of(begins[at], ends[at + k - 1]) ^ own)
                     active = (since <= step) & (since.astype(np.int64) + shards > step)
-                    keys, first, count = np.unique(h[active], return_index=True, return_counts=True)
-                    if len(keys):
-                        place, from_ = at[active][first], since[active][first]
-                        phrases = [data[b:e] for b, e in zip(begins[place].tolist(), ends[place + k - 1].tolist(), strict=True)]
-                        arrays = [pa.array([lang] * len(keys)), pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(np.full(len(keys), k, np.int32)), pa.array(from_.astype(np.int32)), pa.array(count)]
+                    first, count = different(h[active])
+                    place, from_ = at[active][first], since[active][first].astype(np.int32)
+                    for a, z, phrases in texts_of(x, begins[place], ends[place + k - 1]):
+                        arrays = [pa.repeat(pa.scalar(lang, pa.string()), z - a), phrases, pa.repeat(pa.scalar(k, pa.int32()), z - a), pa.array(from_[a:z]), pa.array(count[a:z])]
                         yield pa.RecordBatch.from_arrays(arrays, names=["lang", "phrase", "k", "since", "count"])
                     if k == longest:
                         break

@@ -854,3 +854,21 @@ def test_forest_of_signatures_odd(odd, none):
     rows = sorted(((r["doc_id"], r["component_id"], r["kept"]) for r in lsh_forest.near_duplicates(odd).collect()), key=str)
     assert (5, 4, False) in rows and (None, None, True) in rows and len(rows) == len(ODD)
     assert lsh_forest.near_duplicates(none).count() == 0
+
+
+def test_phrases_of_a_block_are_cut_out_at_once():
+    import numpy as np
+
+    from leafmill.llm.phrases import different, texts_of
+
+    keys = np.array([7, 3, 7, 1 << 63, 3, 7], np.uint64)
+    places, counts = different(keys)
+    assert keys[places].tolist() == [3, 7, 1 << 63] and counts.tolist() == [2, 3, 1]
+    assert [len(a) for a in different(keys[:0])] == [0, 0]
+    data = "één ab c dé".encode()
+    begins, ends = np.array([0, 6, 0, 11, 9]), np.array([5, 8, len(data), len(data), 9])
+    for most in (1, 5, 1 << 20):
+        got = list(texts_of(np.frombuffer(data, np.uint8), begins, ends, most))
+        assert [t for _, _, texts in got for t in texts.to_pylist()] == [data[b:e].decode() for b, e in zip(begins, ends, strict=True)]
+        assert [a for a, _, _ in got] == [0, *[z for _, z, _ in got][:-1]] and got[-1][1] == 5
+    assert list(texts_of(np.frombuffer(data, np.uint8), begins[:0], ends[:0])) == []
