@@ -398,6 +398,18 @@ def test_a_whole_library_is_not_shuffled_for_each_document(spark):
     assert "_copy" in plan
 
 
+def test_rows_with_a_whole_library_come_one_by_one(spark):
+    from leafmill.operators import cite
+
+    lib = spark.range(50).select(F.concat(F.lit("k"), "id").alias("key"), F.lit("book").alias("entry_type"), F.create_map(F.lit("author"), F.lit("A"), F.lit("year"), F.lit("1"), F.lit("title"), F.lit("t")).alias("fields"))
+    cited = spark.createDataFrame([(2, "k2")], "doc_id int, key string")
+    asked = spark.createDataFrame([(2, "@*"), (3, "@*")], "doc_id int, key string")
+    done = cite.bibliography(cited, lib, nocite=asked)
+    assert {r.doc_id: r.bibliography.count("A. 1. t.") for r in done.collect()} == {2: 50, 3: 50}
+    plan = done._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Generate explode" not in plan
+
+
 def test_pages_are_parsed_in_small_batches():
     import pyarrow as pa
 
