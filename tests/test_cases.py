@@ -408,6 +408,10 @@ def test_rows_with_a_whole_library_come_one_by_one(spark):
     assert {r.doc_id: r.bibliography.count("A. 1. t.") for r in done.collect()} == {2: 50, 3: 50}
     plan = done._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" in plan and "Generate explode" not in plan
+    union = cite.nocite_union(cited, asked, lib)
+    assert union.count() == 100
+    # what is exploded by document and block is merged, not sent to the driver
+    assert "SortMergeJoin [block" in union._jdf.queryExecution().executedPlan().toString()
 
 
 def test_pages_are_parsed_in_small_batches():
