@@ -117,20 +117,90 @@ MARK = (
 )
 
 
+#: Plain text in which no mark can begin.
+INSIDE = r"(?:[^`$!\[\]<\\*_~^h]|h(?!ttps?://))"
+#: Marks around plain text that only pair with each other, with that text: the first stands after a space, so it cannot close; the last can close, and nothing between them answers either.
+SPANS = "|".join(
+    rf"(?<!\S){sign}(?=\S){INSIDE}++(?<!\s)(?:{after})"
+    for sign, after in (
+        *[(star, rf"(?<![\p{{P}}\p{{S}}\p{{Cs}}]){star}(?!\*)|(?<=[\p{{P}}\p{{S}}]){star}(?!\*)(?=[\s\p{{P}}\p{{S}}]|\z)") for star in (r"\*", r"\*\*")],
+        *[(line, rf"{line}(?!_)(?=[\s\p{{P}}\p{{S}}]|\z)") for line in ("_", "__")],
+    )
+)
+SPANS += rf"|\[{INSIDE}++\]\([^()\s]*(?:\s+\"[^\"]*\")?\s*\)"
+#: Group 1: all before the next span or mark, with escaped signs; group 3: a span or mark (2 is the fence of code).
+TOKEN = rf"((?:[^`$!\[\]<h\\*_~^]++|h(?!ttps?://)|\\[!-/:-@\[-`{{-~]|(?!{SPANS}|{MARK.replace('ticks', 'fence')})(?s:.))++)|({SPANS}|{MARK})"
+#: A token that has to be paired.
+OPEN = r"\A\x02(?:(?:\*+|_+|~+|\[)\z|\]\()"
+#: What stands behind the text of a link or an image.
+TARGET = r'\]\(([^()\s]*)(?:\s+"([^"]*)")?\s*\)$'
+
+
 def inline_array(text: Column, smart: bool = False) -> Column:
     """Events (kind, value, url, title) of a text: markup nests, marks are paired as `paired` says, an escaped sign is text.
 
-    With `smart`, quotes, dashes and dots in plain text become typographic ones.
+    With `smart`, quotes, dashes and dots in plain text become typographic ones. Most texts have nothing but spans and
+    marks that stand for themselves; only others go through the pairing.
     """
-    from leafmill.functions.inlines import event, let, paired, pieces, token
+    from leafmill.functions.inlines import event, let
     from leafmill.functions.inlines import smart as smarter
     from leafmill.sources.html import unescape
 
+    # the long pattern is tried once: each token after a separator, a mark with another one before it
+    tokens = F.regexp_extract_all(F.regexp_replace(text, TOKEN, "\x01$1\x02$3"), F.lit("\x01([^\x01]*+)"), 1)
+    paired_up = lambda ts: F.contains(text, F.lit("\x01")) | F.contains(text, F.lit("\x02")) | F.exists(ts, lambda t: t.rlike(OPEN))
+    events = let(tokens, lambda ts: F.when(paired_up(ts), nested_array(text)).otherwise(flat_array(ts)))
+    prose = lambda e: e["kind"].isin("text", "emphasis", "strong", "strikethrough", "superscript", "subscript") | ((e["kind"] == "link") & (e["value"] != e["url"]))
+    typed = lambda e, i: F.when(prose(e) & e["value"].isNotNull(), event(e["kind"], smarter(unescape(e["value"]), (i == 0) | (e["kind"] != "text")), e["url"], e["title"])).otherwise(e)
+    return F.transform(events, typed) if smart else events
+
+
+def between(c: Column, a: int, z: int) -> Column:
+    """A text from its character a on, without the last z."""
+    return F.substring(c, F.lit(a), F.length(c) - (a - 1 + z))
+
+
+def code_text(m: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(m, "^`+|`+$", ""), r"(?s)^ (?=.*\S)(.*) $", "$1")
+
+
+def target_of(m: Column) -> tuple[Column, Column]:
+    """url and title of a link or an image."""
+    return F.regexp_extract(m, TARGET, 1), F.nullif(F.regexp_extract(m, TARGET, 2), F.lit(""))
+
+
+def flat_array(tokens: Column) -> Column:
+    """Events of tokens of which none has to be paired: marks begin with \\x02, all else ends with it."""
+    from leafmill.functions.inlines import event
+
+    lit = F.lit
+    text = lambda p: F.when(F.contains(p, lit("\\")), F.regexp_replace(p, r"\\([!-/:-@\[-`{-~])", "$1")).otherwise(p)
+
+    def one(t: Column) -> Column:
+        sign, m = F.substring(t, 2, 1), between(t, 2, 0)
+        doubled = F.substring(t, 3, 1).isin("*", "_")
+        return (
+            F.when(~F.startswith(t, lit("\x02")), event(lit("text"), text(between(t, 1, 1))))
+            .when(sign == "`", event(lit("code"), code_text(m)))
+            .when(sign == "$", event(lit("math"), between(t, 3, 1)))
+            .when(F.startswith(t, lit("\x02[^")), event(lit("footnote_ref"), between(t, 4, 1)))
+            .when(sign == "[", event(lit("link"), F.regexp_extract(m, r"^\[([^\]]*)\]", 1), *target_of(m)))
+            .when(sign.isin("*", "_"), event(F.when(doubled, "strong").otherwise("emphasis"), F.when(doubled, between(t, 4, 2)).otherwise(between(t, 3, 1))))
+            .when(sign == "!", event(lit("image"), F.regexp_extract(m, r"(?s)^!\[(.*)\]\(", 1), *target_of(m)))
+            .when(sign == "<", event(lit("link"), between(t, 3, 1), between(t, 3, 1)))
+            .when(sign == "h", event(lit("link"), m, m))
+            .otherwise(event(lit("superscript"), between(t, 3, 1)))
+        )
+
+    return F.transform(tokens, one)
+
+
+def nested_array(text: Column) -> Column:
+    """Events of any text, by pairing its marks."""
+    from leafmill.functions.inlines import event, let, paired, pieces, token
+
     lit, space, punct = F.lit, lambda c: c.rlike(r"^\s*$"), lambda c: c.rlike(r"^[\p{P}\p{S}]$")
     rest = lambda c, n: F.substring(c, n, 1 << 30)
-    between = lambda c, a, z: F.substring(c, lit(a), F.length(c) - (a - 1 + z))
-    target = r'\]\(([^()\s]*)(?:\s+"([^"]*)")?\s*\)$'
-    url, title = lambda m: F.regexp_extract(m, target, 1), lambda m: F.nullif(F.regexp_extract(m, target, 2), lit(""))
     none = F.array().cast("array<struct<kind:string,value:string,url:string,title:string,sign:string,opens:boolean,closes:boolean>>")
 
     def mark(m: Column, before: Column, after: Column) -> Column:
@@ -142,15 +212,15 @@ def inline_array(text: Column, smart: bool = False) -> Column:
         unit = lambda kind, value, s: token(kind, value, None, None, s, opens, closes)
         autolink = between(m, 2, 1)
         return (
-            F.when(sign == "`", F.array(token(lit("code"), F.regexp_replace(F.regexp_replace(m, "^`+|`+$", ""), r"(?s)^ (?=.*\S)(.*) $", "$1"))))
+            F.when(sign == "`", F.array(token(lit("code"), code_text(m))))
             .when(sign == "$", F.array(token(lit("math"), between(m, 2, 1))))
-            .when(sign == "!", F.array(token(lit("image"), F.regexp_extract(m, r"(?s)^!\[(.*)\]\(", 1), url(m), title(m))))
+            .when(sign == "!", F.array(token(lit("image"), F.regexp_extract(m, r"(?s)^!\[(.*)\]\(", 1), *target_of(m))))
             .when(F.startswith(m, lit("[^")), F.array(token(lit("footnote_ref"), between(m, 3, 1))))
             .when(sign == "<", F.array(token(lit("link"), autolink, autolink)))
             .when(sign == "h", F.array(token(lit("link"), m, m)))
             .when(sign == "\\", F.array(token(lit("text"), rest(m, 2))))
             .when(sign == "[", F.array(token(null("string"), m, None, None, sign, lit(True), lit(False))))
-            .when(sign == "]", F.array(token(lit("link"), m, url(m), title(m), lit("["), lit(False), lit(True))))
+            .when(sign == "]", F.array(token(lit("link"), m, *target_of(m), lit("["), lit(False), lit(True))))
             .when(sign == "^", F.array(token(lit("superscript"), between(m, 2, 1))))
             .when(sign == "~", F.array(unit(F.when(m == "~", "subscript").otherwise("strikethrough"), m, m)))
             .otherwise(F.array_repeat(unit(null("string"), sign, sign), F.length(m)))
@@ -167,10 +237,7 @@ def inline_array(text: Column, smart: bool = False) -> Column:
         return let(found, lambda marks: F.when(F.size(marks) == 0, F.transform(F.filter(plain, lambda p: p != ""), lambda p: event(lit("text"), p))).otherwise(paired(tokens(plain, marks))))
 
     pieces_of, found = pieces(text, MARK)
-    events = let(pieces_of, parsed)
-    prose = lambda e: e["kind"].isin("text", "emphasis", "strong", "strikethrough", "superscript", "subscript") | ((e["kind"] == "link") & (e["value"] != e["url"]))
-    typed = lambda e, i: F.when(prose(e) & e["value"].isNotNull(), event(e["kind"], smarter(unescape(e["value"]), (i == 0) | (e["kind"] != "text")), e["url"], e["title"])).otherwise(e)
-    return F.transform(events, typed) if smart else events
+    return let(pieces_of, parsed)
 
 
 def null(kind: str) -> Column:
@@ -186,6 +253,7 @@ def markdown_inlines(blocks: DataFrame) -> DataFrame:
 def with_breaks(inlines: Column) -> Column:
     """Inlines with a soft break for each line break in their texts, a hard one after two spaces or a backslash."""
     from leafmill.functions.inlines import event as inline
+    from leafmill.functions.inlines import let
 
     def split(x):
         parts = F.split(x["value"], "\n", -1)
@@ -194,7 +262,8 @@ def with_breaks(inlines: Column) -> Column:
         each = F.transform(parts, lambda p, i: F.array(inline(F.when(hard(F.get(parts, i - 1)), "hard_break").otherwise("soft_break"), F.when(i > 0, "\n").otherwise("")), said(p, i)))
         return F.filter(F.flatten(each), lambda y: y["value"] != "")
 
-    return F.flatten(F.transform(inlines, lambda x: F.when((x["kind"] == "text") & F.contains(x["value"], F.lit("\n")), split(x)).otherwise(F.array(x))))
+    broken = lambda x: (x["kind"] == "text") & F.contains(x["value"], F.lit("\n"))
+    return let(inlines, lambda xs: F.when(F.exists(xs, broken), F.flatten(F.transform(xs, lambda x: F.when(broken(x), split(x)).otherwise(F.array(x))))).otherwise(xs))
 
 
 # ---- Whole documents --------------------------------------------------------------------------------

@@ -485,3 +485,17 @@ def test_inline_queries_use_no_split_by_pattern_and_all_tasks(spark, small):
         df = QUERIES[name](spark, small)
         assert df.rdd.getNumPartitions() == 4  # before, that of the file: 1
         assert "split(" not in df._jdf.queryExecution().executedPlan().toString().lower().replace("splitting", "")
+
+
+def test_texts_without_nesting_are_read_as_by_pairing(spark):
+    import random
+
+    rng = random.Random(3)
+    bits = ["*", "**", "***", "_", "__", "~", "[", "](u)", '](u "t")', "]", "`", "$", "![", "<http://x>", "http", "http://a.b", "^", "[^n]", "\\", "\\*", " ", "\n", "a", "h", "é", "(", ".", '"', "😀", " **a**", "*b* ", " _c_ ", "[t](u)", "`c`", "$x$", "\x01", "\x02"]
+    texts = ["", None, "See **b1**, [t](u)`c*d` 5 * 6 [^n]$x$![a](i)", "\n*ab😀*h", " *a.*b", "*a.* b", "x*a*", "[a *b*](u) *c*"] + ["".join(rng.choice(bits) for _ in range(rng.randint(1, 12))) for _ in range(3000)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
+    read = df.select("text", markdown.inline_array(F.col("text")).alias("a"), markdown.nested_array(F.col("text")).alias("b"))
+    assert read.where("NOT (a <=> b)").collect() == []
+    # such texts are read without a fold
+    flat = spark.range(1).select(markdown.flat_array(F.array(F.lit("See \x02"), F.lit("\x02**b**"), F.lit("\x02[t](u)"))).alias("e")).first().e
+    assert [(x.kind, x.value, x.url) for x in flat] == [("text", "See ", None), ("strong", "b", None), ("link", "t", "u")]
