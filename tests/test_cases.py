@@ -499,3 +499,20 @@ def test_texts_without_nesting_are_read_as_by_pairing(spark):
     # such texts are read without a fold
     flat = spark.range(1).select(markdown.flat_array(F.array(F.lit("See \x02"), F.lit("\x02**b**"), F.lit("\x02[t](u)"))).alias("e")).first().e
     assert [(x.kind, x.value, x.url) for x in flat] == [("text", "See ", None), ("strong", "b", None), ("link", "t", "u")]
+
+
+def test_latex_tokens_are_dealt_out_once_and_rounds_of_includes_are_tables(spark, monkeypatch):
+    from leafmill import tables
+    from leafmill.sources import latex
+
+    plans, stored = [], tables.Tables.stored
+    monkeypatch.setattr(tables.Tables, "stored", lambda self, df, *parts: (plans.append(df._jdf.queryExecution().executedPlan().toString()), stored(self, df, *parts))[1])
+    body = "a\\begin{foo}x\\begin{foo}y\\end{foo}\\end{foo}\n\n\\begin{itemize}\\item b\\begin{bar}z\\end{bar}\\item c\\end{itemize}\\begin{foo}w\\end{foo}"
+    blocks = latex.latex_documents(spark.createDataFrame([(1, body), (2, "\\begin{foo}open"), (3, None)], "doc_id int, text string"))
+    raw = {(r.doc_id, r.text) for r in blocks.where("kind = 'raw'").collect()}
+    assert raw == {(1, "\\begin{foo}x\\begin{foo}y\\end{foo}\\end{foo}"), (1, "\\begin{bar}z\\end{bar}"), (1, "\\begin{foo}w\\end{foo}"), (2, "\\begin{foo}open")}
+    assert max(p.count("Exchange hashpartitioning(doc_id") for p in plans) <= 2  # by document, and what is raw; before, one for each join and window
+    files = spark.createDataFrame([(1, "m", "a\\input{x}"), (1, "x.tex", "b")], "project_id int, path string, text string")
+    texts, _ = includes.resolve_includes(files, spark.createDataFrame([(1, "m")], "project_id int, root string"))
+    assert texts.first()["text"] == "ab"
+    assert "ExistingRDD" not in texts._jdf.queryExecution().executedPlan().toString()
