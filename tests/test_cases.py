@@ -516,3 +516,16 @@ def test_latex_tokens_are_dealt_out_once_and_rounds_of_includes_are_tables(spark
     texts, _ = includes.resolve_includes(files, spark.createDataFrame([(1, "m")], "project_id int, root string"))
     assert texts.first()["text"] == "ab"
     assert "ExistingRDD" not in texts._jdf.queryExecution().executedPlan().toString()
+
+
+def test_typst_texts_without_nesting_are_read_as_by_pairing(spark):
+    import random
+
+    from leafmill.sources import typst
+
+    rng = random.Random(5)
+    bits = ["*", "_", "~", "[", "]", "`", "$", "#", '#link("u")', '#link("u")[', "#emph[", "#footnote[^n]", '#image("a", alt: "b")', "#cite(<x>)", "#linebreak()", "http://a.b", "h", "@r-1", "\\", "\\\n", "\\*", "\n", " ", "a", "é", ".", "😀", " *ab*", " _b_ ", "`c`", "$x$", "\x01", "\x02"]
+    texts = ["", None, 'See @f-1, #link("u")#footnote[^n] *b* 5 * 6', "a *b*c", "[c]"] + ["".join(rng.choice(bits) for _ in range(rng.randint(1, 10))) for _ in range(2000)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
+    read = df.select("text", typst.inline_array(F.col("text")).alias("a"), typst.nested_array(F.col("text")).alias("b"))
+    assert read.where("NOT (a <=> b)").collect() == []
